@@ -11,6 +11,7 @@ from .common import bounded_batches
 from .decontam import contamination_digest
 from .quality import quality_digest
 from .secrets import secret_digest
+from .shards import digest_sql, sharding_digest
 from .simhash import near_duplicate_digest
 from .tokenfile import token_digest
 from .warc import warc_digest
@@ -33,6 +34,10 @@ def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, end_id=2)
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding_digest(table(spark, sf_dir, "documents"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_digest(table(spark, sf_dir, "pages"))
 
@@ -60,4 +65,4 @@ FROM f
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc": OP6_SQL}
+    return {"op5_sharding": digest_sql(), "op6_warc": OP6_SQL}

@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import bounded_batches
 from .decontam import contamination_digest
+from .htmltext import html_digest
 from .pieces import piece_digest
 from .quality import quality_digest
 from .secrets import secret_digest
 from .shards import digest_sql, sharding_digest
 from .simhash import near_duplicate_digest
 from .tokenfile import token_digest
+from .toxicity import toxicity_digest
 from .warc import warc_digest
 
 
@@ -27,6 +29,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_digest(table(spark, sf_dir, "pages"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -55,6 +61,10 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_digest(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 

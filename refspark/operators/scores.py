@@ -30,6 +30,11 @@ def sharpe(k: str, mean: str, sd: str, bpy: str) -> Column:
     return F.expr(f"CASE WHEN {k} >= 20 AND {sd} > 0 THEN {mean} / {sd} * sqrt({bpy}) END")
 
 
+def once(x: str, function) -> str:
+    """SQL text of function(x) that evaluates x one time, however often the function's text names it."""
+    return f"transform(array({x}), v -> {function('v')})[0]"
+
+
 def psr(prefix: str = "", bench: str = "0e0") -> Column:
     """P(true Sharpe > bench), with skewness and kurtosis made unbiased from the population moments."""
     k, m, s, a, b = (f"{prefix}{c}" for c in ("k", "mean", "sd", "g1", "g2"))
@@ -37,12 +42,12 @@ def psr(prefix: str = "", bench: str = "0e0") -> Column:
     g4 = f"((({k} - 1e0) / (({k} - 2e0) * ({k} - 3e0))) * (({k} + 1) * {b} + 6) + 3)"
     root = f"sqrt(greatest(1e-12, 1 - {g3} * ({m} / {s}) + ({g4} - 1) / 4 * power({m} / {s}, 2)))"
     z = f"(({m} / {s} - ({bench})) * sqrt({k} - 1e0) / {root})"
-    return F.expr(f"CASE WHEN {k} >= 20 AND {s} > 0 THEN {norm_cdf(z)} END")
+    return F.expr(f"CASE WHEN {k} >= 20 AND {s} > 0 THEN {once(z, norm_cdf)} END")
 
 
 def deflation_benchmark(trials: str, variance: str) -> str:
     """The Sharpe that the best of so many trials shows by luck; 0 for one trial or no variance."""
-    e1, e2 = norm_ppf(f"(1 - 1e0 / {trials})"), norm_ppf(f"(1 - 1e0 / ({trials} * 2.718281828459045e0))")
+    e1, e2 = once(f"1 - 1e0 / {trials}", norm_ppf), once(f"1 - 1e0 / ({trials} * 2.718281828459045e0)", norm_ppf)
     return f"(CASE WHEN {trials} >= 2 AND {variance} > 0 THEN sqrt({variance}) * ({1 - EULER} * {e1} + {EULER} * {e2}) ELSE 0e0 END)"
 
 

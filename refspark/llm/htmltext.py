@@ -264,7 +264,9 @@ def weak_labels(nodes: list[Node]) -> np.ndarray | None:
 
 def train(pages: DataFrame, most_pages: int = 200, html: str = "html") -> Model:
     """The model, from the written-out pages and at most most_pages of the table's own (those of the smallest hashes) under their weak labels."""
-    sample = pages.filter(F.col(html).isNotNull() & (F.length(html) < 100_000)).select(html).orderBy(F.xxhash64(html), html).limit(most_pages)
+    hashed = pages.filter(F.col(html).isNotNull() & (F.length(html) < 100_000)).select(html, F.xxhash64(html).alias("__h"))
+    last = hashed.select("__h").distinct().orderBy("__h").limit(most_pages).agg(F.max("__h")).first()[0]  # only hashes are sorted
+    sample = hashed.filter(F.col("__h") <= F.lit(last).cast("long")).groupBy("__h").agg(F.min(html).alias(html)).orderBy("__h").select(html)
     own = [parse(r[0]) for r in sample.collect()]
     examples = labelled_examples()
     weight = max(1, len(own) // max(1, len(examples)))

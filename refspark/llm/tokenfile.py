@@ -11,7 +11,10 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -100,7 +103,7 @@ class Encoder:
     letters are encoded together, one after another, for the pre-tokenizer cuts them apart again. `limit` bounds what is remembered.
     """
 
-    def __init__(self, file: str, pattern: str, limit: int = 300_000):
+    def __init__(self, file: str, pattern: str, limit: int = 150_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
@@ -118,31 +121,44 @@ class Encoder:
         first, *rest = text.split(" ")
         return [first, *[" " + p for p in rest]]
 
-    def _learn(self, pieces: list[str]) -> None:
+    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
+        """What these pieces encode to; pre-tokens of two or more of them are remembered."""
         cut = [self.pretokens.findall(p) for p in pieces]
-        new = list({t for tokens in cut for t in tokens} - self.own.keys())
+        count = Counter(chain.from_iterable(cut))
+        own = {t: got for t in count if (got := self.own.get(t)) is not None}
+        new = [t for t in count if t not in own]
         together = [t for t in new if self.joinable.fullmatch(t)]
         for k in range(0, len(together), 2048):
             part = together[k : k + 2048]
             e = self.tokenizer.encode("".join(part), add_special_tokens=False)
             edges = (4 * np.searchsorted(np.array(e.word_ids), np.arange(len(part) + 1))).tolist()
             ids = np.array(e.ids, "<u4").tobytes()
-            self.own.update((t, ids[a:b]) for t, a, b in zip(part, edges[:-1], edges[1:], strict=True))
-        alone = [t for t in new if t not in self.own]
-        self.own.update((t, np.array(e.ids, "<u4").tobytes()) for t, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True))
-        own = self.own
-        for p, tokens in zip(pieces, cut, strict=True):
-            self.known[p] = b"".join([own[t] for t in tokens])
+            own.update((t, ids[a:b]) for t, a, b in zip(part, edges[:-1], edges[1:], strict=True))
+        alone = [t for t in new if t not in own]
+        own.update((t, np.array(e.ids, "<u4").tobytes()) for t, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True))
+        self._remember(self.own, {t: own[t] for t in new if count[t] > 1})
+        return {p: b"".join([own[t] for t in tokens]) for p, tokens in zip(pieces, cut, strict=True)}
+
+    def _remember(self, held: dict[str, bytes], more: dict[str, bytes]) -> None:
+        if len(held) + len(more) > self.limit:
+            held.clear()
+        held.update(more)
 
     def encode(self, batch: list[str]) -> list[np.ndarray]:
+        """Each text's ids. Pieces that a batch has twice or more are remembered: most others never come again."""
         cut = [self.cuts.split(t) if self.spaces.search(t) else self._plain(t) for t in batch]
-        known = self.known
-        self._learn(list({p for pieces in cut for p in pieces} - known.keys()))
-        out = [np.frombuffer(b"".join([known[p] for p in pieces]), "<u4").astype(np.uint64) for pieces in cut]
-        for held in (self.known, self.own):
-            if len(held) > self.limit:
-                held.clear()
-        return out
+        count = Counter(chain.from_iterable(cut))
+        now = {p: got for p in count if (got := self.known.get(p)) is not None}
+        new = self._learn([p for p in count if p not in now])
+        self._remember(self.known, {p: x for p, x in new.items() if count[p] > 1})
+        now.update(new)
+        return [np.frombuffer(b"".join([now[p] for p in pieces]), "<u4").astype(np.uint64) for pieces in cut]
+
+
+@lru_cache(maxsize=2)
+def encoder(file: str, pattern: str) -> Encoder:
+    """One for each Python worker, so that what it remembers serves all its tasks."""
+    return Encoder(file, pattern)
 
 
 ROWS = (
@@ -162,7 +178,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, pattern: str, end_i
     ordered = ordered.withColumn("tie", F.xxhash64("text")).repartitionByRange("id", "tie").sortWithinPartitions("id", "tie").select("id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer, pattern)
+        encode = encoder(tokenizer, pattern).encode
         part, seq, before = TaskContext.get().partitionId(), 0, 0
         held, names, size = [], [], 0
 
@@ -175,7 +191,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, pattern: str, end_i
         for batch in batches:
             own = batch.column(0).to_pylist()
             raw = texts(batch.column(1))
-            for name, ids in zip(own, encoder.encode(raw), strict=True):
+            for name, ids in zip(own, encode(raw), strict=True):
                 held.append(np.append(ids, np.uint64(end_id)))
                 names.append(name)
                 size += len(ids) + 1

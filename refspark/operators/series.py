@@ -144,3 +144,28 @@ def liquidity_screen(panel: DataFrame, top: int, months: int = 3) -> DataFrame:
     w = W.partitionBy("entity").orderBy("ts").rowsBetween(-(months - 1), 0)
     m = panel.withColumn("median", F.expr("percentile(dvol, 0.5)").over(w))
     return m.withColumn("k", F.row_number().over(W.partitionBy("ts").orderBy(F.desc("median"), "entity"))).filter(F.col("k") <= top).select("ts", "entity", "median", "k")
+
+
+def clip_window(df: DataFrame, start: str, end: str, least: int = 30) -> DataFrame:
+    """Rows of [start, end] of the series that have `least` of them."""
+    cut = df.filter(F.col("ts").between(F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")))
+    return cut.withColumn("n", F.count("*").over(W.partitionBy("series_id"))).filter(F.col("n") >= least).drop("n")
+
+
+def resample_agg(df: DataFrame, tie: str, width: str = "day") -> DataFrame:
+    """series_id, day and the period's last, first, sum, mean, count, max and min."""
+    at = F.struct("ts", tie)
+    return df.filter("value is not null").groupBy("series_id", F.date_trunc(width, "ts").alias("day")).agg(F.max_by("value", at).alias("last"), F.min_by("value", at).alias("first"), F.sum("value").alias("sum"), F.avg("value").alias("mean"), F.count("*").alias("count"), F.max("value").alias("max"), F.min("value").alias("min"))
+
+
+def rebalance_dates(df: DataFrame) -> DataFrame:
+    """The ends of the calendar months that have rows."""
+    return df.select(F.last_day("ts").cast("timestamp").alias("ts")).distinct()
+
+
+def funding_carry(df: DataFrame, cost: float = 0.0005) -> DataFrame:
+    """net of holding the sign of the row before, earning this row's value, less cost where that sign changes."""
+    sign = F.signum(F.lag("value").over(over()))
+    held = df.withColumn("position", sign)
+    before = F.lag("position").over(over())
+    return held.withColumn("net", F.col("position") * F.col("value") - F.when(F.col("position") != F.coalesce(before, F.lit(0.0)), cost).otherwise(0.0)).filter("net is not null")

@@ -87,3 +87,16 @@ SQL = {
     "b7_bracket_probability": f"WITH {_BR}, g AS (SELECT event_id, max(mu) AS mu FROM bracket GROUP BY ALL) SELECT event_id, round({norm_cdf('(1e0 - mu)')} - {norm_cdf('(0e0 - mu)')}, 6) AS p FROM g",
     "f7_bracket_backtest": f"WITH {_BR}, t AS (SELECT *, {_K} AS kelly FROM bracket WHERE 0.6e0 - entry_price > 0 AND entry_price <= 0.9e0) SELECT CAST(CAST(close_time AS DATE) AS TIMESTAMP) AS day, count(*) AS trades, round(sum(kelly * ((outcome - entry_price) - 0.07e0 * entry_price * (1 - entry_price))), 5) AS net FROM t WHERE kelly > 0 GROUP BY ALL",
 }
+
+QUERIES |= {
+    "a12_clip_window": lambda s, d: o.clip_window(ticks(s, d), "2024-01-05", "2024-01-20"),
+    "d18_resample_agg": lambda s, d: rounded(o.resample_agg(ticks(s, d), "event_id"), "series_id", "day", "last", "first", "count", "max", "min", sum=4, mean=5),
+    "e13_rebalance_dates": lambda s, d: o.rebalance_dates(views.price(s, d)),
+    "e17_funding_carry": lambda s, d: rounded(o.funding_carry(views.price(s, d).withColumn("value", F.col("value") / 30000 - 1)), "series_id", "ts", position=1, net=6),
+}
+SQL |= {
+    "a12_clip_window": f"WITH {_TICKS}, c AS (SELECT *, count(*) OVER (PARTITION BY series_id) AS n FROM ticks WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20') SELECT series_id, ts, value, event_id FROM c WHERE n >= 30",
+    "d18_resample_agg": f"WITH {_TICKS} SELECT series_id, CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, arg_max(value, (ts, event_id)) AS last, arg_min(value, (ts, event_id)) AS first, count(*) AS count, max(value) AS max, min(value) AS min, round(sum(value), 4) AS sum, round(avg(value), 5) AS mean FROM ticks WHERE value IS NOT NULL GROUP BY ALL",
+    "e13_rebalance_dates": "SELECT DISTINCT CAST(last_day(l_shipdate) AS TIMESTAMP) AS ts FROM lineitem",
+    "e17_funding_carry": f"WITH {views.PRICE_SQL}, v AS (SELECT series_id, ts, value / 30000 - 1 AS value FROM price), p AS (SELECT *, CAST(sign(lag(value) OVER {_W}) AS DOUBLE) AS position FROM v), k AS (SELECT *, position * value - CASE WHEN position <> coalesce(lag(position) OVER {_W}, 0) THEN 0.0005e0 ELSE 0 END AS net FROM p) SELECT series_id, ts, position, round(net, 6) AS net FROM k WHERE net IS NOT NULL",
+}

@@ -86,8 +86,8 @@ def trial_stats(scores: DataFrame, least: int = 10) -> DataFrame:
 
 def power(n_oos: str, bpy: str = "252") -> dict[str, Column]:
     """Smallest detectable effect per bar and a year, and whether it is within the floor."""
-    mde = f"({Z} / sqrt({n_oos}))"
-    return {"mde": F.expr(mde), "mde_annual": F.expr(f"{mde} * sqrt({bpy})"), "sufficient": F.expr(f"{mde} <= {IC_FLOOR}"), "needed_bars": F.lit(int((Z / IC_FLOOR) ** 2) + 1).cast("long")}
+    mde = f"({Z} / nullif(sqrt({n_oos}), 0))"
+    return {"mde": F.expr(mde), "mde_annual": F.expr(f"{mde} * sqrt({bpy})"), "sufficient": F.expr(f"coalesce({mde} <= {IC_FLOOR}, false)"), "needed_bars": F.lit(int((Z / IC_FLOOR) ** 2) + 1).cast("long")}
 
 
 def verdict(scored: DataFrame) -> DataFrame:
@@ -106,7 +106,8 @@ def verdict(scored: DataFrame) -> DataFrame:
 def referee(net: DataFrame) -> DataFrame:
     """One verdict row for each series of net."""
     scored = trial_stats(score_split(net)).withColumn("bench", F.expr(deflation_benchmark("n_trials", "sr_variance")))
-    scored = scored.withColumn("dsr", psr("o_", "bench")).join(three_fold(net), "series_id")
+    scored = scored.withColumn("dsr", psr("o_", "bench")).join(three_fold(net), "series_id", "left")
+    scored = scored.withColumn("consistent", F.coalesce("consistent", F.lit(False)))  # a series of one row is all holdout
     return verdict(scored.withColumns(power("n_oos")))
 
 

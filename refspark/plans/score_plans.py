@@ -42,8 +42,8 @@ def minimum_slice(spark, d):
 SQL_SLICE = f"""WITH {_PART}, {_FOLDS}, {_SCORES}, t AS (SELECT s.*, {_OTHERS} FROM s),
 u AS (SELECT *, greatest(trials, 10) AS n_trials, CASE WHEN others >= 3 THEN greatest(0e0, var_others) ELSE 0.01e0 END AS sr_variance FROM t),
 v AS (SELECT *, {_psr('k', 'm', 'sd', 'g3', '(g4)')} AS psr, {_psr('k', 'm', 'sd', 'g3', '(g4)', 'bench')} AS dsr, {_psr('hk', 'hm', 'hs', 'h3', '(h4)')} AS hp, CASE WHEN sd > 0 THEN m / (sd / sqrt(k)) END AS edge_t FROM (SELECT *, {_BENCH} AS bench FROM u)),
-w AS (SELECT *, CASE WHEN k < 30 THEN 'insufficient_data' WHEN NOT consistent THEN 'kill' WHEN coalesce(dsr, 0) < 0.9 OR coalesce(edge_t, 0) < 1 THEN 'kill' WHEN dsr < 0.95 THEN 'watch' WHEN hm > 0 AND hk >= 20 AND hp >= 0.9 THEN 'research-supported' ELSE 'watch' END AS v0,
- CASE WHEN k < 30 THEN 'data_unavailable' WHEN NOT consistent THEN 'in_sample_only' WHEN coalesce(dsr, 0) < 0.9 THEN 'no_oos_edge' WHEN coalesce(edge_t, 0) < 1 THEN 'low_edge_t' END AS r0, 1.645 / sqrt(k) > 0.05 AS weak FROM v JOIN folds USING (series_id))
+w AS (SELECT *, CASE WHEN k < 30 THEN 'insufficient_data' WHEN NOT coalesce(consistent, false) THEN 'kill' WHEN coalesce(dsr, 0) < 0.9 OR coalesce(edge_t, 0) < 1 THEN 'kill' WHEN dsr < 0.95 THEN 'watch' WHEN hm > 0 AND hk >= 20 AND hp >= 0.9 THEN 'research-supported' ELSE 'watch' END AS v0,
+ CASE WHEN k < 30 THEN 'data_unavailable' WHEN NOT coalesce(consistent, false) THEN 'in_sample_only' WHEN coalesce(dsr, 0) < 0.9 THEN 'no_oos_edge' WHEN coalesce(edge_t, 0) < 1 THEN 'low_edge_t' END AS r0, 1.645 / sqrt(k) > 0.05 AS weak FROM v LEFT JOIN folds USING (series_id))
 SELECT series_id, k AS n_oos, CASE WHEN weak AND r0 IN ('no_oos_edge', 'low_edge_t') THEN 'underpowered' ELSE v0 END AS verdict, CASE WHEN weak AND r0 IN ('no_oos_edge', 'low_edge_t') THEN 'below_detection_floor' ELSE r0 END AS kill_reason,
  CAST(n_trials AS BIGINT) AS n_trials, round(psr, 6) AS psr, round(dsr, 6) AS dsr, round(edge_t, 6) AS edge_t FROM w"""
 

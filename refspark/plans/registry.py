@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ("score_plans", "series_plans", "evidence_plans", "source_plans")
+MODULES: tuple[str, ...] = ("score_plans", "series_plans", "evidence_plans", "source_plans", "claim_plans")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -54,10 +54,18 @@ def chain_breaks(events: DataFrame) -> DataFrame:
     return bad.groupBy("run").agg(F.count("*").alias("events"), F.min(F.when(F.col("bad"), F.col("seq"))).alias("broken_seq"))
 
 
+# Instructions that a text should not give, by name.
+INJECTIONS = (
+    ("override", r"(?i)\bignore (?:all )?(?:previous|prior|above) instructions\b"),
+    ("role", r"(?i)\b(?:you are|act as|pretend to be) (?:a|an) (?:helpful )?(?:assistant|agent|trader)\b"),
+    ("prompt", r"(?i)\b(?:system|developer|user) (?:message|prompt|instruction)\b"),
+    ("decision", r"(?i)\b(?:promote|approve|commit) (?:this|the) (?:claim|verdict|decision)\b"),
+)
+
+
 def injection_flags(text: Column) -> Column:
     """Names of suspicious instructions in a text; the text is left as it is."""
-    rules = (("override", r"ignore (all|any|the) (previous|prior|above)"), ("role", r"you are now "), ("prompt", r"system prompt"), ("markup", r"<\s*(script|iframe)"))
-    return F.array_compact(F.array(*[F.when(F.lower(text).rlike(p), F.lit(n)) for n, p in rules]))
+    return F.array_compact(F.array(*[F.when(text.rlike(p), F.lit(n)) for n, p in INJECTIONS]))
 
 
 def family_counts(df: DataFrame, source: str, family: str) -> DataFrame:

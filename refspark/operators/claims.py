@@ -112,3 +112,64 @@ def best_of_k(net: DataFrame, per_year: float = 252) -> DataFrame:
     s = net.groupBy("family", "series_id").agg(F.count("net").alias("n"), F.avg("net").alias("m"), F.stddev_samp("net").alias("sd"))
     s = s.withColumn("sharpe", F.when(F.expr("n >= 20 and sd > 0"), F.col("m") / F.col("sd") * per_year**0.5))
     return s.groupBy("family").agg(F.max_by("series_id", F.struct("sharpe", -F.col("series_id"))).alias("series_id"), F.max("sharpe").alias("sharpe"), F.count("*").alias("k"))
+
+
+def tail_fade(trades: DataFrame, capacity_frac: float = 0.1, notional: float = 1000.0, least_interest: float = 0.0, pair: tuple[str, ...] = (), pair_gross: float | None = None, fee: float = 0.07, equal: bool = False) -> DataFrame:
+    """day, net, trades of holding NO in each traded tail bracket from its price to settlement.
+
+    A trade's size is capacity_frac x the smaller of volume and open interest; on a day when the pair's cities exceed pair_gross x
+    notional, theirs are scaled down to it. net is the day's gain over notional, or with `equal` the mean gain of a unit.
+    """
+    ok = trades.filter(F.expr("is_tail and volume > 0")).filter(F.col("open_interest") >= least_interest)
+    ok = ok.withColumns({"day": F.date_trunc("day", "close_time"), "size": capacity_frac * F.least("volume", "open_interest")}).filter("size > 0")
+    p = F.col("entry_price")
+    ok = ok.withColumn("unit", F.when(F.col("outcome") == 0, p).otherwise(p - 1) - fee * p * (1 - p))
+    if pair and pair_gross is not None:
+        in_pair, cap = F.col("city").cast("string").isin(*pair), pair_gross * notional
+        gross = ok.filter(in_pair).groupBy("day").agg(F.sum("size").alias("gross"))
+        ok = ok.join(gross, "day", "left").withColumn("size", F.when(in_pair & (F.col("gross") > cap) & F.lit(cap > 0), F.col("size") * cap / F.col("gross")).otherwise(F.col("size")))
+    net = F.avg("unit") if equal else F.sum(F.col("size") * F.col("unit")) / notional
+    return ok.groupBy("day").agg(net.alias("net"), F.count("*").alias("trades"))
+
+
+def capacity(net: DataFrame, scores: DataFrame, per_year: float = 252, bps_per_million: float = 25.0) -> DataFrame:
+    """series_id, capacity_usd: the size at which linear impact takes the whole yearly return, to the nearest 1000; null without a gain or turnover.
+
+    The first bar counts as no change of position. scores has series_id and ann_ret.
+    """
+    step = F.abs(F.col("position") - F.lag("position").over(W.partitionBy("series_id").orderBy("seq")))
+    turn = net.select("series_id", F.coalesce(step, F.lit(0.0)).alias("step")).groupBy("series_id").agg(F.avg("step").alias("turn"))
+    usd = F.col("ann_ret") / (F.col("turn") * per_year * (bps_per_million / 1e4 / 1e6))
+    return scores.join(turn, "series_id").select("series_id", F.when(F.expr("ann_ret > 0 and turn > 0"), F.round(usd / 1000) * 1000).alias("capacity_usd"))
+
+
+def market_model(df: DataFrame, y: str, x: str, by: tuple[str, ...], least: int = 5) -> DataFrame:
+    """alpha and beta of y on x by key; null for fewer than `least` rows or no spread."""
+    m = df.filter(F.col(y).isNotNull() & F.col(x).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.avg(y).alias("my"), F.avg(x).alias("mx"), F.covar_samp(y, x).alias("c"), F.var_samp(x).alias("v"))
+    good = (F.col("n") >= least) & (F.col("v") > 0)
+    return m.select(*by, "n", F.when(good, F.expr("my - c / v * mx")).alias("alpha"), F.when(good, F.expr("c / v")).alias("beta"))
+
+
+def pool_series(net: DataFrame, by: str) -> DataFrame:
+    """The net series of each value of `by` as one sample, in order of time; family and seq are the pool's."""
+    order = W.partitionBy(by).orderBy("ts", "series_id", "seq")
+    return net.withColumn("__k", F.row_number().over(order)).withColumns({"series_id": F.col(by), "seq": F.col("__k")}).drop("__k")
+
+
+def walk_forward(frame: DataFrame, hold: int = 5, windows: int = 4, first: float = 0.3, cost: float = 0.0008) -> DataFrame:
+    """series_id, window, trades, mean, sharpe: each `hold`-th row of signal, fut_rv, iv traded, standardised on all rows before its window.
+
+    Series with fewer than 3 trades a window have no rows.
+    """
+    w = W.partitionBy("series_id")
+    rows = frame.filter("signal is not null and fut_rv is not null and iv is not null").withColumns({"k": F.row_number().over(w.orderBy("ts")) - 1, "n": F.count("*").over(w)})
+    past = w.orderBy("ts").rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumns({"mu": F.avg("signal").over(past), "sd": F.stddev_samp("signal").over(past)})
+    entries = rows.filter((F.col("k") % hold == 0) & (F.col("k") < F.col("n") - hold) & (F.col("k") >= F.floor(F.col("n") * first)))
+    entries = entries.withColumns({"entries": F.count("*").over(w), "window": F.ntile(windows).over(w.orderBy("ts"))}).filter(F.col("entries") >= 3 * windows)
+    start = entries.groupBy("series_id", "window").agg(F.min_by(F.struct("k", "mu", "sd"), "k").alias("s"))
+    z = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (F.col("signal") - F.col("s.mu")) / F.col("s.sd")))
+    traded = entries.join(start, ["series_id", "window"]).filter("s.k >= 5 and s.sd > 0").withColumn("z", z)
+    net = traded.withColumn("net", F.col("z") * (F.col("fut_rv") - F.col("iv")) - F.abs("z") * cost)
+    sharpe = F.when((F.count("*") >= 20) & (F.stddev_samp("net") > 0), F.avg("net") / F.stddev_samp("net") * (365 / hold) ** 0.5)
+    return net.groupBy("series_id", "window").agg(F.count("*").alias("trades"), F.avg("net").alias("mean"), sharpe.alias("sharpe"))

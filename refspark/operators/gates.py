@@ -21,7 +21,7 @@ def _numbered(net: DataFrame) -> DataFrame:
     return net.withColumns({"k": F.row_number().over(w.orderBy("seq")) - 1, "n": F.count("*").over(w)})
 
 
-def block_bootstrap(net: DataFrame, reps: int = 200, ci: float = 0.9) -> DataFrame:
+def block_bootstrap(net: DataFrame, reps: int = 2000, ci: float = 0.9) -> DataFrame:
     """series_id, edge_lo, edge_hi, p_positive by a stationary bootstrap: blocks of mean length sqrt(n), wrapping around; from 10 rows on."""
     rows = _numbered(net.filter("net is not null")).filter("n >= 10").select("series_id", "k", "n", "net")
     grid = rows.select("series_id", "k", "n", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
@@ -35,7 +35,7 @@ def block_bootstrap(net: DataFrame, reps: int = 200, ci: float = 0.9) -> DataFra
     return means.groupBy("series_id").agg(F.expr(f"percentile(edge, {low:.6f}e0)").alias("edge_lo"), F.expr(f"percentile(edge, {1 - low:.6f}e0)").alias("edge_hi"), F.avg(F.expr("int(edge > 1e-12)")).alias("p_positive"))
 
 
-def permutation_test(net: DataFrame, reps: int = 200) -> DataFrame:
+def permutation_test(net: DataFrame, reps: int = 2000) -> DataFrame:
     """series_id, observed, p: the mean of position x payoff against payoffs in shuffled order; p = (as large + 1) / (reps + 1)."""
     rows = _numbered(net.filter("position is not null and payoff is not null")).select("series_id", "k", "position", "payoff")
     observed = rows.groupBy("series_id").agg(F.avg(F.col("position") * F.col("payoff")).alias("observed"))

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from refspark.operators import claims as c
 from refspark.operators import gates as g
+from refspark.operators import scores
 from refspark.operators import series as o
 from refspark.plans import views
-from refspark.plans.score_plans import rounded
+from refspark.plans.score_plans import _PART, _SCORES, rounded
 
 WINDOWS = [("1997-01-01", "1997-06-30"), ("1999-07-01", "1999-12-31")]
 REPS = 40
@@ -97,3 +98,34 @@ s AS (SELECT p.series_id, p.g AS g, p.h AS h, avg(net) / nullif(stddev_samp(net)
     "g16_sign_flip_null": f"""WITH {_P}, q AS (SELECT series_id, ts, ln(value / lag(value) OVER {_W}) AS ret FROM price), r AS (SELECT *, row_number() OVER {_W} - 1 AS k FROM q WHERE ret IS NOT NULL), f AS (SELECT series_id, rep, k, ret * CASE WHEN {_draw("'f'", 'series_id', 'rep', 'k // 6')} % 2 = 0 THEN 1 ELSE -1 END AS r FROM r, (SELECT unnest(range(1, 21)) AS rep)),
 n AS (SELECT series_id, rep, sign(lag(r) OVER (PARTITION BY series_id, rep ORDER BY k)) * r AS net FROM f) SELECT series_id, rep, round(avg(net), 7) AS mean FROM n GROUP BY ALL""",
 }
+
+
+def tails(s, d):
+    b = views.bracket(s, d).selectExpr("*", "2 * volume open_interest", "entry_price <= 0.35D is_tail")
+    return rounded(c.tail_fade(b, pair=("1", "2"), pair_gross=0.002, least_interest=10), "day", "trades", net=6)
+
+
+def forward_frame(s, d):
+    w = "over (partition by series_id order by ts)"
+    return views.price(s, d).selectExpr("series_id", "ts", "value signal", f"abs(ln(lead(value) {w} / value)) fut_rv", f"abs(ln(value / lag(value) {w})) iv")
+
+
+QUERIES |= {
+    "f8_tail_fade": tails,
+    "d12_capacity": lambda s, d: c.capacity(views.net(s, d), scores.score_split(views.net(s, d))),
+    "d21_market_model": lambda s, d: rounded(c.market_model(factors(s, d), "net", "a", ("series_id",)), "series_id", "n", alpha=6, beta=5),
+    "d25_pooled_score": lambda s, d: rounded(scores.score_split(c.pool_series(views.net(s, d), "family")), "series_id", "n", "n_oos", per_trade_sharpe=5, ann_ret=5),
+    "g6_walk_forward": lambda s, d: rounded(c.walk_forward(forward_frame(s, d)), "series_id", "window", "trades", mean=6, sharpe=5),
+}
+_PP = "entry_price * (1 - entry_price)"
+SQL |= {
+    "f8_tail_fade": f"""WITH {views.BRACKET_SQL}, t AS (SELECT date_trunc('day', close_time) AS day, city IN (1, 2) AS pair, 0.1e0 * volume AS size, CASE WHEN outcome = 0 THEN entry_price ELSE entry_price - 1 END - 0.07e0 * {_PP} AS unit FROM bracket WHERE entry_price <= 0.35e0 AND volume > 0 AND 2 * volume >= 10),
+g AS (SELECT *, sum(size) FILTER (pair) OVER (PARTITION BY day) AS gross FROM t) SELECT CAST(day AS TIMESTAMP) AS day, count(*) AS trades, round(sum(CASE WHEN pair AND gross > 2 THEN size * 2 / gross ELSE size END * unit) / 1000, 6) AS net FROM g GROUP BY day""",
+    "d12_capacity": f"WITH {_PART}, {_SCORES}, q AS (SELECT series_id, abs(position - lag(position) OVER (PARTITION BY series_id ORDER BY seq)) AS step FROM net), t AS (SELECT series_id, avg(coalesce(step, 0)) AS turn FROM q GROUP BY ALL) SELECT series_id, CASE WHEN seen_mean > 0 AND turn > 0 THEN round(seen_mean * 252 / (turn * 252 * 2.5e-9) / 1000) * 1000 END AS capacity_usd FROM s JOIN t USING (series_id)",
+    "d21_market_model": f"WITH {_N}, {views.PAIR_SQL}, j AS (SELECT series_id, net AS y, x / 100 AS a FROM net JOIN pair ON pair.ts = date_trunc('day', net.ts)) SELECT series_id, count(*) AS n, round(regr_intercept(y, a), 6) AS alpha, round(regr_slope(y, a), 5) AS beta FROM j GROUP BY series_id",
+    "d25_pooled_score": f"WITH {_PART.replace('net AS (', 'net0 AS (', 1).replace('c AS (SELECT', 'net AS (SELECT family AS series_id, family, row_number() OVER (PARTITION BY family ORDER BY ts, series_id, seq) AS seq, net FROM net0), c AS (SELECT', 1)}, {_SCORES} SELECT series_id, n, k AS n_oos, round(m / sd, 5) AS per_trade_sharpe, round(seen_mean * 252, 5) AS ann_ret FROM s",
+    "g6_walk_forward": f"""WITH {_P}, f AS (SELECT series_id, ts, value AS signal, abs(ln(lead(value) OVER {_W} / value)) AS rv, abs(ln(value / lag(value) OVER {_W})) AS iv FROM price),
+r AS (SELECT *, row_number() OVER {_W} - 1 AS k, count(*) OVER (PARTITION BY series_id) AS n, avg(signal) OVER p AS mu, stddev_samp(signal) OVER p AS sd FROM f WHERE rv IS NOT NULL AND iv IS NOT NULL WINDOW p AS (PARTITION BY series_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+e AS (SELECT *, ntile(4) OVER {_W} AS w FROM r WHERE k % 5 = 0 AND k < n - 5 AND k >= floor(n * 0.3e0)), g AS (SELECT *, first_value(mu) OVER (PARTITION BY series_id, w ORDER BY k) AS m0, first_value(sd) OVER (PARTITION BY series_id, w ORDER BY k) AS s0 FROM e),
+z AS (SELECT *, greatest(-1, least(1, (signal - m0) / s0)) AS z FROM g), t AS (SELECT series_id, w, z * (rv - iv) - abs(z) * 0.0008e0 AS net FROM z) SELECT series_id, w AS "window", count(*) AS trades, round(avg(net), 6) AS mean, round(CASE WHEN count(*) >= 20 THEN avg(net) / stddev_samp(net) * sqrt(73e0) END, 5) AS sharpe FROM t GROUP BY series_id, w""",
+}

@@ -99,7 +99,7 @@ def factor_blocks(spark: SparkSession, path: str) -> DataFrame:
     A block is a run of lines that start with a date (YYYYMM or YYYYMMDD) and a comma; its header is the nearest line before it with a
     comma and no date. Percents become fractions; values of -99 or less are missing. Lines are ordered within their own file.
     """
-    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", r"\r?\n")).alias("k", "line"))
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", r"\r?\n")).alias("k", "line"))
     w = W.partitionBy("path").orderBy("k").rowsBetween(W.unboundedPreceding, 0)
     dated = F.col("line").rlike(r"^\s*\d{6}(\d{2})?\s*,")
     lines = files.withColumns({"dated": dated, "header": F.when(~dated & F.col("line").contains(","), F.col("line"))})

@@ -30,6 +30,13 @@ def test_factor_blocks(spark, tmp_path):
     assert got == [(1, "2020-01-31", "Mkt", 0.015), (1, "2020-02-29", "Mkt", -0.02), (1, "2020-02-29", "SMB", 0.005), (2, "2020-01-31", "Mkt", 0.001), (2, "2020-01-31", "SMB", 0.002)]
 
 
+def test_factor_blocks_count_within_each_file(spark, tmp_path):
+    for name in "ab":
+        (tmp_path / f"{name}.txt").write_text(",X\n" + "".join(f"2020{m:02d},{m}\n" for m in range(1, 13)) + "\n,Y\n202001,5\n")
+    got = t.factor_blocks(spark, str(tmp_path)).groupBy("path", "block", "name").agg(F.count("*").alias("n")).collect()
+    assert sorted((r.path[-5:], r.block, r.name, r.n) for r in got) == [(f"{f}.txt", b, x, n) for f in "ab" for b, x, n in ((1, "X", 12), (2, "Y", 1))]
+
+
 def test_lookahead_without_stamps(spark):
     df = spark.createDataFrame([(1, 2)], "event_id int, decision_time int")
     assert [tuple(r) for r in t.lookahead(df, "event_id").collect()] == [(1, "unverified")]

@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refspark.llm import decontam, pieces, quality, secrets, simhash
+from refspark.llm import decontam, jaccard, pieces, quality, secrets
 from refspark.llm.common import bounded_batches, cut
 
 SENTENCEPIECE_FILE = public_tokenizers.path("piece_bpe_32k.model")
@@ -33,10 +33,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id stays, once."""
+    """Of each group of near copies (five-word Jaccard 0.8 at least) the document with the smallest doc_id stays, once."""
     bounded_batches(spark)
     named = docs.filter("doc_id is not null")
-    stay = simhash.near_duplicates(named).filter("doc_id = component_id").select("doc_id").distinct()
+    stay = jaccard.near_duplicates(named).filter("doc_id = component_id").select("doc_id").distinct()
     return named.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.filter("doc_id is null"))
 
 

@@ -20,7 +20,11 @@ from .common import map_columns, texts
 
 #: Fixed values of HTML: elements without content, elements whose text isn't shown, elements that make blocks.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math object canvas noframes xmp".split())
+RAW = frozenset("script style textarea title noscript iframe noframes xmp".split())
+SUBTREE = frozenset("template svg math object canvas".split())
+FOREIGN = frozenset(("svg", "math"))
+#: What may stand in a head; anything else ends it.
+IN_HEAD = frozenset("html head base basefont bgsound link meta title script style noscript template".split())
 HIDDEN = frozenset("script style noscript template iframe svg math object canvas noframes head title textarea select option button datalist audio video".split())
 BLOCK = frozenset(
     "html body address article aside blockquote center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -47,6 +51,7 @@ TAGS = {"nav": "menu", "menu": "menu", "header": "head", "footer": "foot", "asid
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role|aria-label|hidden|style|aria-hidden|itemprop|data-label)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _RAW_END = {t: re.compile(rf"</{t}\s*[^>]*>", re.I) for t in RAW}
+_SUBTREE_TAG = {t: re.compile(rf"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*[^>]*>|\Z)|<(/?){t}(?=[\s/>])((?:[^>\"']+|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)>", re.I | re.S) for t in SUBTREE}
 _PARTS = re.compile(r"[^a-zA-Z0-9]+|(?<=[a-z])(?=[A-Z])")
 _SPACE = re.compile(r"\s+")
 
@@ -66,20 +71,36 @@ class Node:
     label: str | None = None
 
 
+def subtree_ends(html: str, tag: str) -> dict[int, int]:
+    """Where the element of each start tag ends, by the tag's end; start tags without an end tag of their own are left out."""
+    ends, open_at = {}, []
+    for m in _SUBTREE_TAG[tag].finditer(html):
+        if m[2]:
+            if open_at:
+                ends[open_at.pop()] = m.end()
+        elif m[2] is not None and not (tag in FOREIGN and m[3].endswith("/")):
+            open_at.append(m.end())
+    return ends
+
+
 def parse(html: str) -> list[Node]:
     """Block nodes in page order; node 0 is the root. Inline elements add their text to the block around them.
 
     Tags left open end where HTML lets them: a block start ends a paragraph, an item an item, and the end of an outer element all
-    within it. Broken or cut-off markup yields what came before it.
+    within it. Broken or cut-off markup yields what came before it. A head ends at the first thing that can't be in one. An element
+    of SUBTREE without an end tag hides nothing.
     """
     nodes = [Node("html", -1, 0, "")]
     stack: list[tuple[str, int]] = [("html", 0)]  # open elements with the block each belongs to
     order = pos = links = 0
     n = len(html)
+    ends: dict[str, dict[int, int]] = {}
 
     def text(raw: str) -> None:
         nonlocal order
         if raw:
+            if stack[-1][0] == "head" and raw.strip():
+                stack.pop()
             node = nodes[stack[-1][1]]
             if not any(t in HIDDEN for t, _ in stack):
                 order += 1
@@ -111,6 +132,8 @@ def parse(html: str) -> list[Node]:
         if not tag:
             continue
         tag = tag.lower()
+        if stack[-1][0] == "head" and tag not in IN_HEAD:
+            stack.pop()
         if tag == "br" or tag == "hr" or tag == "wbr":
             if tag != "wbr":
                 text("\n")
@@ -122,7 +145,12 @@ def parse(html: str) -> list[Node]:
         attributes = m[3] or ""
         if tag in RAW:
             found = _RAW_END[tag].search(html, pos)
-            pos = found.end() if found else n
+            pos = found.end() if found else pos if tag in ("iframe", "noscript") else n
+            continue
+        if tag in SUBTREE:
+            if tag not in ends:
+                ends[tag] = subtree_ends(html, tag)
+            pos = ends[tag].get(pos, pos)
             continue
         if tag in BLOCK:
             close("p", FENCE)

@@ -67,3 +67,26 @@ def test_nulls_and_clashes(spark):
     pages = spark.createDataFrame([(1, "u", None, 3), (2, None, "", 4)], "page_id long, url string, html string, text int")
     assert sorted(map(tuple, h.html_digest(pages).collect())) == [(1, "u", "", 0), (2, None, "", 0)]
     assert h.html_digest(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        "<div><svg viewBox='0 0 1 1'/><p>SAID</p></div>",
+        "<div><svg/><p>SAID</p><svg><text>no</text></svg></div>",
+        "<div><math/>SAID</div>",
+        "<div><svg><p>SAID</p><svg><text>no</text></svg></div>",
+        "<div><object data=x><p>SAID</p></div>",
+        "<div><canvas id=c><p>SAID</p></div>",
+        "<div><iframe src=x><p>SAID</p></div>",
+        "<div><svg><!-- </svg> --><text>no</text><svg><text>no</text></svg><text>no</text></svg><p>SAID</p></div>",
+        "<div><object><object><p>no</p></object><p>no</p></object><p>SAID</p></div>",
+        "<html><head><title>no</title><meta name=a><script>no</script><body><p>SAID</p></body></html>",
+        "<html><head><title>no</title><p>SAID</p></html>",
+        "<html><head><title>no</title>SAID</html>",
+        "<html><head><style>no</style><a href=x>SAID</a></html>",
+        "<html><head><title>no</title><template><p>no</p></template></head><body>SAID</body></html>",
+    ],
+)
+def test_hidden_elements_take_no_other_text(html):
+    assert "".join(t for node in h.parse(html) for _, t in node.parts).strip() == "SAID"

@@ -12,7 +12,7 @@ from refspark.plans import views
 from refspark.plans.score_plans import _PART, _SCORES, rounded
 
 WINDOWS = [("1997-01-01", "1997-06-30"), ("1999-07-01", "1999-12-31")]
-REPS = 40
+REPS = 2000
 
 
 def regression(s, d):

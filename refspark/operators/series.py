@@ -71,7 +71,7 @@ def benchmarks(df: DataFrame, ahead: int = 5) -> DataFrame:
 
 
 def regimes(df: DataFrame, n: int = 200) -> DataFrame:
-    """trend (above or below the trailing mean; null until n rows), weekend and day name."""
+    """trend (above or below the trailing mean; null until n rows), part_of_week and month_end."""
     mean = full(n, F.avg("value"))
     return df.withColumns({"trend": F.when(mean.isNotNull(), F.when(F.col("value") > mean, "above").otherwise("below")), "part_of_week": F.when(F.dayofweek("ts").isin(1, 7), "weekend").otherwise("weekday"), "month_end": F.last_day("ts")})
 

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-#: Rows in an Arrow batch: at a few kilobytes a row, a batch is a few megabytes.
-BATCH_ROWS = 1000
+#: Rows and bytes in an Arrow batch: whichever is reached first ends it, and a row that is longer alone is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -50,8 +50,9 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Whole texts go to Python in batches of BATCH_ROWS rows, so a worker's memory follows the batch and not the partition."""
+    """Whole texts go to Python in batches of BATCH_ROWS rows and BATCH_BYTES, so a worker's memory follows the batch and not the partition."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def text_bytes(column: pa.Array) -> list[bytes]:
@@ -76,6 +77,7 @@ def map_columns(df: DataFrame, read: list[str], keep: list[str], fields: str, ma
     new = T._parse_datatype_string(fields)
     keep = [c for c in keep if c not in new.names]
     take = list(dict.fromkeys(keep + read))
+    bounded_batches(df.sparkSession)
     df = df.select(*[f"`{c}`" for c in take])
     schema = T.StructType([df.schema[c] for c in keep] + list(new.fields))
     arrow = to_arrow_schema(new)

@@ -38,7 +38,7 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, end_id=2)
+    return token_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,23 +9,21 @@ over ESCAPE_BITS bits stands as 0 and is listed in `escape_at`, `escape_id`.
 
 from __future__ import annotations
 
-import re
+import json
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import new_folder, texts
+from .common import bounded_batches, cut, new_folder
 
 #: The format's selectors: ids in a word, and bits of an id.
 COUNTS = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
@@ -46,13 +44,21 @@ def encode_ids(ids: np.ndarray) -> dict[str, np.ndarray]:
     full = n // BLOCK
     grid[:full, :BLOCK] = plain[: full * BLOCK].reshape(full, BLOCK)
     grid[full:, : n - full * BLOCK] = plain[full * BLOCK :]
+    bits = np.zeros(grid.shape, np.uint8)  # no plain id has over ESCAPE_BITS bits
+    for k in range(ESCAPE_BITS):
+        more = grid >= np.uint64(1 << k)
+        if not more.any():
+            break
+        bits += more
+    widest = {1: bits}  # the most bits among the next 1, 2, 4 ... ids
+    for k in (1, 2, 4, 8, 16):
+        widest[2 * k] = np.maximum(widest[k][:, :-k], widest[k][:, k:])
     choice = np.full((blocks, BLOCK), len(COUNTS) - 1, np.int8)
-    place = np.arange(BLOCK + 60, dtype=np.int16)
-    low = grid.astype(np.uint32)  # no plain id has over ESCAPE_BITS bits
     for k in range(len(COUNTS) - 2, -1, -1):  # the fullest word that holds the next ids wins
-        wide = np.where(low >= np.uint32(1 << WIDTHS[k]), place, np.int16(BLOCK + 1000))
-        next_wide = np.minimum.accumulate(wide[:, ::-1], axis=1)[:, ::-1][:, :BLOCK]
-        choice[next_wide - place[:BLOCK] >= COUNTS[k]] = k
+        half = 1 << (int(COUNTS[k]).bit_length() - 1)
+        rest = int(COUNTS[k]) - half
+        most = np.maximum(widest[half][:, :BLOCK], widest[half][:, rest : rest + BLOCK])
+        choice[most <= WIDTHS[k]] = k
     size = np.full(blocks, BLOCK)
     if n % BLOCK:
         size[-1] = n % BLOCK
@@ -96,69 +102,113 @@ def decode_ids(words: np.ndarray, block_words: np.ndarray, n: int, escape_at: np
 
 
 class Encoder:
-    """A byte-level BPE of the tokenizers library over whole texts, with each distinct pre-token encoded once.
+    """A tokenizer of the tokenizers library over whole texts, with each distinct stretch of a batch encoded once.
 
-    Byte-level pre-tokenization always cuts before a space that has a non-space on either side, so a text is first cut there, and what
-    those pieces encode to is remembered; a new piece is cut by `pattern`, the pre-tokenizer's own. New pre-tokens of a space and
-    letters are encoded together, one after another, for the pre-tokenizer cuts them apart again. `limit` bounds what is remembered.
+    Byte-level pre-tokenization always parts before a space that has a character other than white space on either side, so texts
+    are cut there as arrays of bytes, Arrow finds the distinct stretches, and only those are encoded: strung together in long
+    strings, for the library parts them again at the same places, and told apart by the bytes that each id stands for. A neighbour
+    that could end or begin a white space character outside ASCII gives no cut, which only makes a stretch longer. Texts with the
+    string of an added token, and all texts of a file with another pre-tokenizer or a normalizer, are encoded whole.
     """
 
-    def __init__(self, file: str, pattern: str, limit: int = 150_000):
+    #: Bytes of stretches in one call's string.
+    STRING = 10_000
+
+    def __init__(self, file: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.pretokens = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
-        self.spaces = re.compile(r"\s\s|^\s|\s$")  # without these, every space is such a cut
-        self.cuts = re.compile(r"(?<=\S)(?= \S)")
-        self.joinable = regex.compile(r" \p{L}+")
-        self.known: dict[str, bytes] = {}
-        self.own: dict[str, bytes] = {}
-        self.limit = limit
-
-    @staticmethod
-    def _plain(text: str) -> list[str]:
-        first, *rest = text.split(" ")
-        return [first, *[" " + p for p in rest]]
-
-    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        """What these pieces encode to; pre-tokens of two or more of them are remembered."""
-        cut = [self.pretokens.findall(p) for p in pieces]
-        count = Counter(chain.from_iterable(cut))
-        own = {t: got for t in count if (got := self.own.get(t)) is not None}
-        new = [t for t in count if t not in own]
-        together = [t for t in new if self.joinable.fullmatch(t)]
-        for k in range(0, len(together), 2048):
-            part = together[k : k + 2048]
-            e = self.tokenizer.encode("".join(part), add_special_tokens=False)
-            edges = (4 * np.searchsorted(np.array(e.word_ids), np.arange(len(part) + 1))).tolist()
-            ids = np.array(e.ids, "<u4").tobytes()
-            own.update((t, ids[a:b]) for t, a, b in zip(part, edges[:-1], edges[1:], strict=True))
-        alone = [t for t in new if t not in own]
-        own.update((t, np.array(e.ids, "<u4").tobytes()) for t, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True))
-        self._remember(self.own, {t: own[t] for t in new if count[t] > 1})
-        return {p: b"".join([own[t] for t in tokens]) for p, tokens in zip(pieces, cut, strict=True)}
-
-    def _remember(self, held: dict[str, bytes], more: dict[str, bytes]) -> None:
-        if len(held) + len(more) > self.limit:
-            held.clear()
-        held.update(more)
-
-    def encode(self, batch: list[str]) -> list[np.ndarray]:
-        """Each text's ids. Pieces that a batch has twice or more are remembered: most others never come again."""
-        cut = [self.cuts.split(t) if self.spaces.search(t) else self._plain(t) for t in batch]
-        count = Counter(chain.from_iterable(cut))
-        now = {p: got for p in count if (got := self.known.get(p)) is not None}
-        new = self._learn([p for p in count if p not in now])
-        self._remember(self.known, {p: x for p, x in new.items() if count[p] > 1})
-        now.update(new)
-        return [np.frombuffer(b"".join([now[p] for p in pieces]), "<u4").astype(np.uint64) for pieces in cut]
+        said = json.loads(self.tokenizer.to_str())
+        how = said.get("pre_tokenizer") or {}
+        self.parts = how.get("type") == "ByteLevel" and not how.get("add_prefix_space") and how.get("use_regex", True) and not said.get("normalizer")
+        self.added = [t["content"] for t in said.get("added_tokens", [])]
+        size = self.tokenizer.get_vocab_size()
+        self.bytes = np.fromiter((len(self.tokenizer.id_to_token(i) or "") for i in range(size)), np.int64, size)  # a letter of a byte-level token is a byte
+
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, texts: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and how many each has. texts: no nulls; what isn't UTF-8 is read as replacement characters."""
+        try:
+            texts.cast(pa.large_string())
+        except pa.ArrowInvalid:
+            texts = pa.array([t.decode("utf-8", "replace").encode() for t in texts.to_pylist()], pa.large_binary())
+        whole = np.full(len(texts), not self.parts)
+        for content in self.added:
+            whole |= pc.match_substring(texts, content.encode()).to_numpy(zero_copy_only=False)
+        counts = np.zeros(len(texts), np.int64)
+        plain, odd = np.flatnonzero(~whole), np.flatnonzero(whole)
+        ids, counts[plain] = self._stretches(texts if not len(odd) else texts.take(pa.array(plain)))
+        if not len(odd):
+            return ids, counts
+        own = self._library([t.decode("utf-8", "replace") for t in texts.take(pa.array(odd)).to_pylist()])
+        counts[odd] = list(map(len, own))
+        out, kind = np.empty(counts.sum(), np.uint32), np.repeat(whole, counts)
+        out[~kind], out[kind] = ids, np.concatenate(own)
+        return out, counts
+
+    def _stretches(self, texts: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(texts):
+            return np.empty(0, np.uint32), np.empty(0, np.int64)
+        at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        b = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+        at = at - at[0]
+        edge = np.zeros(len(b) + 1, bool)
+        edge[at] = True
+        safe = (b > 0x20) & (b != 0x7F)
+        before = safe.copy()  # by the last byte: not if two or three bytes back stands a byte that leads to white space
+        before[1:] &= (b[:-1] != 0xC2) | (b[1:] < 0x80)
+        before[2:] &= ((b[:-2] != 0xE1) & (b[:-2] != 0xE2) & (b[:-2] != 0xE3)) | (b[2:] < 0x80)
+        after = safe & (b != 0xC2) & (b != 0xE1) & (b != 0xE2) & (b != 0xE3)
+        if len(b) > 2:
+            edge[1 : len(b) - 1] |= (b[1:-1] == 0x20) & before[:-2] & after[2:]
+        cuts = np.flatnonzero(edge)
+        stretches = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(b)]).dictionary_encode()
+        ids, edges = self._distinct(stretches.dictionary)
+        which = stretches.indices.to_numpy()
+        got = pa.LargeListArray.from_arrays(pa.array(edges), pa.array(ids)).take(stretches.indices)
+        total = np.append(0, np.cumsum((edges[1:] - edges[:-1])[which]))
+        return got.flatten().to_numpy(), np.diff(total[np.searchsorted(cuts, at)])
+
+    def _distinct(self, stretches: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these stretches and where each one's begin. Those that start and end like a cut are encoded together."""
+        n = len(stretches)
+        if not n:
+            return np.empty(0, np.uint32), np.zeros(1, np.int64)
+        at = np.frombuffer(stretches.buffers()[1], np.int64)[: n + 1]
+        raw = np.frombuffer(stretches.buffers()[2] or b"", np.uint8)[: at[-1]]
+        head, second, last = raw[at[:-1]], raw[np.minimum(at[:-1] + 1, len(raw) - 1)], raw[at[1:] - 1]
+        ok = (np.diff(at) > 1) & (head == 0x20) & (second > 0x20) & (second < 0x7F) & (last > 0x20) & (last < 0x7F)  # others are encoded alone
+        tied, lone = np.flatnonzero(ok), np.flatnonzero(~ok)
+        counts = np.zeros(n, np.int64)
+        own: list[np.ndarray] = []
+        if len(tied):
+            joined = stretches.take(pa.array(tied))
+            to = np.frombuffer(joined.buffers()[1], np.int64)[: len(tied) + 1]
+            text = np.frombuffer(joined.buffers()[2], np.uint8)[: to[-1]].tobytes()
+            stops = np.unique(np.append(np.searchsorted(to, np.arange(0, to[-1], self.STRING)), len(tied)))
+            got = np.concatenate(self._library([text[to[i] : to[j]].decode("utf-8", "replace") for i, j in zip(stops[:-1].tolist(), stops[1:].tolist(), strict=True)]))
+            ends = np.searchsorted(np.append(0, np.cumsum(self.bytes[got])), to)
+            counts[tied] = np.diff(ends)
+            own.append(got)
+        if len(lone):
+            alone = self._library([t.decode("utf-8", "replace") for t in stretches.take(pa.array(lone)).to_pylist()])
+            counts[lone] = list(map(len, alone))
+            own += alone
+        edges = np.append(0, np.cumsum(counts))
+        out, kind = np.empty(edges[-1], np.uint32), np.repeat(ok, counts)
+        if len(tied):
+            out[kind] = own.pop(0)
+        if own:
+            out[~kind] = np.concatenate(own)
+        return out, edges
 
 
 @lru_cache(maxsize=2)
-def encoder(file: str, pattern: str) -> Encoder:
-    """One for each Python worker, so that what it remembers serves all its tasks."""
-    return Encoder(file, pattern)
+def encoder(file: str) -> Encoder:
+    """One for each Python worker."""
+    return Encoder(file)
 
 
 ROWS = (
@@ -167,54 +217,75 @@ ROWS = (
 )
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, pattern: str, end_id: int, doc_id: str = "doc_id", text: str = "text", row_ids: int = 1 << 18) -> None:
+#: Bytes of text that a writing task encodes at a time.
+TEXT_BYTES = 16 << 20
+
+
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, doc_id: str = "doc_id", text: str = "text", row_ids: int = 1 << 18) -> None:
     """Write docs' ids, each document closed by end_id, in ascending doc_id order (null first; repeated ids by their text's hash).
 
-    One range shuffle of the texts; a part is encoded as a stream, so a task holds one batch of texts and one row of ids. Null texts
-    are empty. A document longer than row_ids makes a row of its own.
+    One range shuffle of the texts; a part is encoded as a stream, so a task holds about TEXT_BYTES of texts and their ids. Null texts
+    are empty, repeated rows are each written, an empty table gives no rows. A document longer than row_ids makes a row of its own.
+    Only doc_id and text are read, so other columns' names can't clash.
     """
     kinds = to_arrow_schema(T._parse_datatype_string(ROWS))
     ordered = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     ordered = ordered.withColumn("tie", F.xxhash64("text")).repartitionByRange("id", "tie").sortWithinPartitions("id", "tie").select("id", "text")
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer, pattern).encode
+        encode = encoder(tokenizer).encode
         part, seq, before = TaskContext.get().partitionId(), 0, 0
-        held, names, size = [], [], 0
 
-        def row() -> pa.RecordBatch:
-            ids = np.concatenate(held)
+        def row(names: pa.Array, counts: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+            nonlocal seq, before
             packed = encode_ids(ids)
-            values = [part, seq, before, len(ids), names, [len(x) for x in held], packed["words"].tobytes(), packed["block_words"], packed["escape_at"], packed["escape_id"].astype(np.int64)]
+            values = [part, seq, before, len(ids), names.to_pylist(), counts, packed["words"].tobytes(), packed["block_words"], packed["escape_at"], packed["escape_id"].astype(np.int64)]
+            seq, before = seq + 1, before + len(ids)
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, kinds, strict=True)], schema=kinds)
 
+        def rows(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names = pa.concat_arrays([b.column(0) for b in held])
+            ids, counts = encode(pa.concat_arrays([b.column(1).cast(pa.large_binary()) for b in held]))
+            whole = np.full(len(ids) + len(counts), end_id, np.uint64)
+            stop = np.cumsum(counts + 1)
+            whole[np.delete(np.arange(len(whole)), stop - 1)] = ids
+            first = 0
+            while first < len(counts):
+                start = stop[first] - counts[first] - 1
+                end = min(int(np.searchsorted(stop, start + row_ids)) + 1, len(counts))
+                yield row(names[first:end], counts[first:end] + 1, whole[start : stop[end - 1]])
+                first = end
+
+        held, size = [], 0
         for batch in batches:
-            own = batch.column(0).to_pylist()
-            raw = texts(batch.column(1))
-            for name, ids in zip(own, encode(raw), strict=True):
-                held.append(np.append(ids, np.uint64(end_id)))
-                names.append(name)
-                size += len(ids) + 1
-                if size >= row_ids:
-                    yield row()
-                    seq, before, held, names, size = seq + 1, before + size, [], [], 0
+            held.append(batch)
+            size += batch.nbytes
+            if size >= TEXT_BYTES:
+                yield from rows(held)
+                held, size = [], 0
         if held:
-            yield row()
+            yield from rows(held)
 
     ordered.mapInArrow(run, ROWS).write.parquet(path)
 
 
+#: Parts of a file whose starts are broadcast; those of more are joined by a shuffle.
+PARTS = 100_000
+
+
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens and ids_crc32 (over all its ids as little-endian 32-bit integers), from the files.
 
-    The starts of the parts, one small row for each, are summed in Spark and broadcast: as many rows as the files have parts.
+    The starts of the parts, one small row for each, are summed in Spark; they are broadcast if there are at most PARTS.
     """
     from pyspark.sql import Window as W
 
     rows = spark.read.schema(ROWS).parquet(path)
     parts = rows.groupBy("part").agg(F.sum("n_ids").alias("n"))
-    first = parts.select("part", (F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")).alias("first"))
-    placed = rows.join(F.broadcast(first), "part").withColumn("before", F.col("before") + F.col("first")).drop("first", "part", "seq")
+    first = cut(parts.select("part", (F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")).alias("first")), "starts")
+    small = first.count() <= PARTS
+    placed = rows.join(F.broadcast(first) if small else first, "part").withColumn("before", F.col("before") + F.col("first")).drop("first", "part", "seq")
     out = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
     kinds = to_arrow_schema(T._parse_datatype_string(out))
     names = placed.columns
@@ -223,20 +294,20 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for k in range(batch.num_rows):
                 r = {c: batch.column(i)[k] for i, c in enumerate(names)}
-                counts = np.array(r["counts"].as_py(), np.int64)
-                array = lambda c, t: np.array(r[c].as_py(), t)  # noqa: B023, E731
-                ids = decode_ids(np.frombuffer(r["words"].as_py(), np.uint64), array("block_words", np.int64), r["n_ids"].as_py(), array("escape_at", np.int64), array("escape_id", np.int64).view(np.uint64))
-                raw = ids.astype("<u4").tobytes()
+                array = lambda c: r[c].values.to_numpy(zero_copy_only=False).astype(np.int64)  # noqa: B023, E731
+                counts = array("counts")
+                ids = decode_ids(np.frombuffer(r["words"].as_py(), np.uint64), array("block_words"), r["n_ids"].as_py(), array("escape_at"), array("escape_id").view(np.uint64))
+                raw = memoryview(ids.astype("<u4").tobytes())
                 stop = np.cumsum(counts)
                 start = stop - counts
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(start.tolist(), stop.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((r["doc_ids"].as_py(), start + r["before"].as_py(), counts, crc), kinds, strict=True)], schema=kinds)
+                yield pa.RecordBatch.from_arrays([r["doc_ids"].values.cast(kinds[0].type), *[pa.array(x, f.type) for x, f in zip((start + r["before"].as_py(), counts, crc), list(kinds)[1:], strict=True)]], schema=kinds)
 
     return placed.mapInArrow(run, out)
 
 
-def token_digest(docs: DataFrame, tokenizer: str, pattern: str, end_id: int = 2) -> DataFrame:
+def token_digest(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
     """The row of each document that op4's contract asks for: written in this format, and read back."""
     path = new_folder(docs.sparkSession, "tokens")
-    write_tokens(docs, path, tokenizer, pattern, end_id)
+    write_tokens(docs, path, tokenizer, end_id)
     return read_tokens(docs.sparkSession, path)

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -30,22 +31,27 @@ def test_mixed_widths_round_trip():
     assert len(small["words"]) == 5 * 18 + 15  # 1024 ids in words of 60; at last 880
 
 
-def test_pieces_encode_as_the_whole_text():
+def test_stretches_encode_as_the_whole_text():
     rng = random.Random(4)
     plain = Tokenizer.from_file(FILE)
-    plain.encode_special_tokens = True
-    some = ["a", "É", " ", "  ", "\n", "\t", "don't", "12", "...", "!!", " ", "　", "x y", "<|endoftext|>", "日本", "'s", "\r\n", " ", "_"]
-    said = ["".join(rng.choice(some) for _ in range(rng.randint(0, 30))) for _ in range(800)]
-    encoder = t.Encoder(FILE, public_tokenizers.PATTERN, limit=50)
-    for text, ids in zip(said, [*encoder.encode(said[:300]), *encoder.encode(said[300:])], strict=True):
-        assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
+    some = ["a", "É", " ", "  ", "\n", "\t", "don't", "12", "...", "!!", "\u00a0", "\u3000", "\u2009", "\u1680", "\u0085", "\x1c", "x y", "<|endoftext|>", "日本", "かな", "'s", "\r\n", " ", "_", "e\u0301"]
+    said = ["".join(rng.choice(some) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
+    encoder = t.Encoder(FILE)
+    for batch in (said[:300], said[300:], said[:1], ["", ""], []):
+        ids, counts = encoder.encode(pa.array([x.encode() for x in batch], pa.large_binary()))
+        assert len(counts) == len(batch)
+        stop = np.cumsum(counts)
+        for text, a, b in zip(batch, stop - counts, stop, strict=True):
+            assert ids[a:b].tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
+    ids, counts = encoder.encode(pa.array([b"a \xff b", b"c"], pa.large_binary()))
+    assert ids.tolist() == [*plain.encode("a \ufffd b").ids, *plain.encode("c").ids] and counts.sum() == len(ids)
 
 
 def test_digest(spark):
     rng = random.Random(6)
     rows = [(i, " ".join(rng.choice(["the", "of\n", "É", "  x", "7"]) for _ in range(rng.randint(0, 50)))) for i in range(120)] + [(500, None), (501, ""), (499, "w " * 40_000), (7, "again")]
-    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    got = sorted(map(tuple, t.token_digest(frame, FILE, public_tokenizers.PATTERN).collect()))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as id", "'x' as words", "3 as part").repartition(5)
+    got = sorted(map(tuple, t.token_digest(frame, FILE).collect()))
     plain, at, want = Tokenizer.from_file(FILE), 0, []
     kept = {r[1]: r for r in got if r[0] == 7}
     for i, x in sorted(rows, key=lambda r: (r[0], kept and r[0] == 7 and kept.get(0, (0, 0, 0))[2] or 0)):
@@ -55,4 +61,4 @@ def test_digest(spark):
     once = lambda found: [r for r in found if r[0] != 7]  # noqa: E731  the two rows of one id may stand either way
     assert once(got) == sorted(once(want))
     assert sorted(r[2:] for r in got if r[0] == 7) == sorted(r[2:] for r in want if r[0] == 7)
-    assert t.token_digest(frame.limit(0), FILE, public_tokenizers.PATTERN).count() == 0
+    assert t.token_digest(frame.limit(0), FILE).count() == 0

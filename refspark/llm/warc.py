@@ -1,9 +1,10 @@
 """WARC archives as a chunked record table.
 
-A record is rows of (archive, record_no, chunk_no, data, digest): chunk 0 is the WARC and HTTP headers, each later chunk at most
-CHUNK bytes of payload, and the last the record's closing line ends. Concatenated in that order an archive is a plain WARC/1.1
-file. digest is the SHA-256 of the payload up to and with the row's chunk, so a reader checks a record as it streams and never
-holds a whole one.
+A record is rows of (archive, record_no, chunk_no, last, head, data, digest). A payload of at most CHUNK bytes is one row: its first
+`head` bytes are the WARC and HTTP headers, then come the payload and the record's closing line ends. A longer payload is cut, in
+the JVM, into rows of CHUNK payload bytes each, the first with the headers and the last with the closing line ends. Concatenated in
+that order an archive is a plain WARC/1.1 file. digest is the SHA-256 of the payload up to and with the row's chunk, carried from row
+to row, so neither the writer's Python nor a reader ever holds more than a chunk of a record.
 """
 
 from __future__ import annotations
@@ -18,32 +19,41 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import new_folder, text_bytes
+from .common import bounded_batches, cut, new_folder
 
 #: Payload bytes in a chunk.
 CHUNK = 1 << 16
 #: Payloads below this size are always stored whole.
 LEAST = 100
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-ROWS = "archive int, record_no bigint, chunk_no int, data binary, digest string"
-#: Shares of a payload group, so that many equal pages are not one task's.
-SALTS = 32
+ROWS = "archive int, record_no bigint, chunk_no int, last boolean, head int, data binary, digest string"
+END = b"\r\n\r\n"
+#: Payloads found twice or more that are broadcast, 100 bytes each; beyond it only those of over HOT rows are, at most one for HOT rows.
+FEW, HOT = 100_000, 100_000
 
 
-def plan_records(pages: DataFrame) -> DataFrame:
-    """page_id, url, html, payload_bytes, payload_digest, record_type and refers_to of every row.
+def plan_records(pages: DataFrame, few: int = FEW, hot: int = HOT) -> DataFrame:
+    """page_id, url, payload, payload_bytes, payload_digest, record_type and refers_to of every row.
 
     Equal payloads of LEAST bytes or more: rows with the smallest page_id are responses, the others revisit it. A null page_id is never
-    the smallest unless all are null, and then all are responses. Null html is empty. Repeated rows are each a record.
+    the smallest unless all are null, and then all are responses. Null html is empty. Repeated rows are each a record; an empty table
+    has none. Other columns aren't read, so their names can't clash.
+
+    The first page of each repeated payload is found over digests alone. If these are few they are broadcast and no html is shuffled;
+    else html meets the first pages by a shuffle, but for the payloads of over `hot` rows, whose first pages are broadcast.
     """
-    own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    own = own.withColumn("payload_bytes", F.octet_length("html").cast("long")).withColumn("payload_digest", F.sha2("html", 256))
+    own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
+    own = own.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha2("payload", 256))
     first = own.filter(F.col("payload_bytes") >= LEAST).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 and first is not null")
-    first = first.select(F.col("payload_digest").alias("of"), "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("part"))
-    own = own.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
-    out = own.join(first, (F.col("payload_digest") == F.col("of")) & (F.col("salt") == F.col("part")), "left")
+    first = cut(first, "firsts")
+    if first.count() <= few:
+        out = own.join(F.broadcast(first.drop("n")), "payload_digest", "left")
+    else:
+        often = F.broadcast(first.filter(F.col("n") > hot).drop("n"))
+        rest = own.join(often, "payload_digest", "left_anti").join(first.filter(F.col("n") <= hot).drop("n"), "payload_digest", "left")
+        out = own.join(often, "payload_digest").unionByName(rest)
     again = F.coalesce(F.col("first") != F.col("page_id"), F.col("first").isNotNull())
-    return out.select("page_id", "url", "html", "payload_bytes", "payload_digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first")).alias("refers_to"))
+    return out.select("page_id", "url", "payload", "payload_bytes", "payload_digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first")).alias("refers_to"))
 
 
 def record_id(page_id: int | None, digest: str) -> str:
@@ -67,32 +77,29 @@ def headers(page_id: int | None, url: str | None, size: int, digest: str, kind:
 
 
 def chunks(records: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
-    """The chunk rows of plan_records' rows; an archive is a task's part."""
+    """The rows of plan_records' records; an archive is a task's part."""
     schema = to_arrow_schema(T._parse_datatype_string(ROWS))
+    final = F.when(F.col("record_type") == "response", F.floor((F.greatest("payload_bytes", F.lit(1)) - 1) / CHUNK).cast("int")).otherwise(0)
+    parts = records.withColumn("final", final).withColumn("chunk_no", F.explode(F.sequence(F.lit(0), F.col("final"))))
+    data = F.when(F.col("record_type") == "response", F.substring("payload", F.col("chunk_no") * CHUNK + 1, F.lit(CHUNK))).otherwise(F.lit(b""))
+    parts = parts.select("page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "chunk_no", (F.col("chunk_no") == F.col("final")).alias("last"), data.alias("data"))
+    bounded_batches(records.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        archive, number, size = TaskContext.get().partitionId(), 0, 0
-        rows: list[tuple] = []
-        for batch in batches:
-            ids, urls, kinds, to = (batch.column(c).to_pylist() for c in (0, 1, 5, 6))
-            for page, url, html, n, digest, kind, first in zip(ids, urls, text_bytes(batch.column(2)), batch.column(3).to_pylist(), batch.column(4).to_pylist(), kinds, to, strict=True):
-                so_far = hashlib.sha256()
-                rows.append((archive, number, 0, headers(page, url, n, digest, kind, first, date), so_far.hexdigest()))
-                last = 0
-                for last, a in enumerate(range(0, n, CHUNK) if kind == "response" else (), 1):
-                    part = html[a : a + CHUNK]
-                    so_far.update(part)
-                    rows.append((archive, number, last, part, so_far.hexdigest()))
-                    size += len(part)
-                rows.append((archive, number, last + 1, b"\r\n\r\n", so_far.hexdigest()))
-                number += 1
-                if size > 1 << 22 or len(rows) > 2000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-                    rows, size = [], 0
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-
-    return records.mapInArrow(run, ROWS)
+        archive, number, so_far = TaskContext.get().partitionId(), 0, None
+        for batch in batches:  # a record's rows follow one another, in one batch or in several
+            rows: list[tuple] = []
+            for page, url, n, digest, kind, to, chunk, last, part in zip(*(batch.column(i).to_pylist() for i in range(9)), strict=True):
+                head = b""
+                if not chunk:
+                    so_far, head = hashlib.sha256(), headers(page, url, n, digest, kind, to, date)
+                so_far.update(part)
+                rows.append((archive, number, chunk, last, len(head), head + part + END * last, so_far.hexdigest()))
+                number += last
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    return parts.mapInArrow(run, ROWS)
 
 
 def write_archives(pages: DataFrame, path: str) -> None:
@@ -105,40 +112,40 @@ FOUND = "page_id bigint, payload_bytes bigint, payload_digest string, record_typ
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """FOUND of every record, from its headers; a response's length and digest are taken from its payload and checked against them.
 
-    Rows are dealt by record and sorted by chunk, then streamed: a task holds one batch of chunks.
+    A record of one row is read where it lies. Rows of longer records are dealt by record and sorted by chunk, for a file may be read by
+    several tasks; then they are streamed, so a task holds one batch of chunks.
     """
-    rows = spark.read.schema(ROWS).parquet(path).repartition("archive", "record_no").sortWithinPartitions("archive", "record_no", "chunk_no")
+    rows = spark.read.schema(ROWS).parquet(path)
+    alone = (F.col("chunk_no") == 0) & F.col("last")
+    long = rows.filter(~alone).repartition("archive", "record_no").sortWithinPartitions("archive", "record_no", "chunk_no")
     schema = to_arrow_schema(T._parse_datatype_string(FOUND))
+    bounded_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, fields, digest, size = None, {}, None, 0
-        out: list[tuple] = []
-
-        def close() -> None:
-            kind, said = fields[b"WARC-Type"].decode(), fields[b"WARC-Payload-Digest"].decode().removeprefix("sha256:")
-            n, page, first = int(fields[b"http Content-Length"]), fields.get(b"X-Page-Id"), fields.get(b"X-Refers-To-Page-Id")
-            if kind == "response" and (digest.hexdigest() != said or size != n):
-                raise ValueError(f"record {at}: the payload is not what its headers say")
-            out.append((page and int(page), n, said, kind, first and int(first)))
-
         for batch in batches:
-            for archive, record, chunk, data, so_far in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
+            out: list[tuple] = []
+            for archive, record, chunk, last, head, data, so_far in zip(*(batch.column(c).to_pylist() for c in range(7)), strict=True):
                 if chunk == 0:
                     at, digest, size = (archive, record), hashlib.sha256(), 0
-                    warc, http = data.split(b"\r\n\r\n")[:2]
+                    warc, http = data[:head].split(END)[:2]
                     fields = dict(x.split(b": ", 1) for x in warc.split(b"\r\n")[1:])
                     fields |= {b"http " + k: v for k, v in (x.split(b": ", 1) for x in http.split(b"\r\n")[1:])}
-                elif data == b"\r\n\r\n" and digest.hexdigest() == so_far:
-                    close()
-                else:
-                    digest.update(data)
-                    size += len(data)
-                    if digest.hexdigest() != so_far:
-                        raise ValueError(f"record {at}, chunk {chunk}: digest differs")
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * 5, schema, strict=True)], schema=schema)
-            out = []
-
-    return rows.mapInArrow(run, FOUND)
+                part = memoryview(data)[head : len(data) - len(END) * last]
+                digest.update(part)
+                size += len(part)
+                if digest.hexdigest() != so_far or (last and not data.endswith(END)):
+                    raise ValueError(f"record {at}, chunk {chunk}: digest or end differs")
+                if last:
+                    kind, said = fields[b"WARC-Type"].decode(), fields[b"WARC-Payload-Digest"].decode().removeprefix("sha256:")
+                    n, page, first = int(fields[b"http Content-Length"]), fields.get(b"X-Page-Id"), fields.get(b"X-Refers-To-Page-Id")
+                    if kind == "response" and (digest.hexdigest() != said or size != n):
+                        raise ValueError(f"record {at}: the payload is not what its headers say")
+                    out.append((page and int(page), n, said, kind, first and int(first)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+    return rows.filter(alone).mapInArrow(run, FOUND).union(long.mapInArrow(run, FOUND))
 
 
 def warc_digest(pages: DataFrame) -> DataFrame:

@@ -69,10 +69,11 @@ def texts(column: pa.Array) -> list[str]:
     return [b.decode("utf-8", "replace") for b in text_bytes(column)]
 
 
-def map_columns(df: DataFrame, read: list[str], keep: list[str], fields: str, make: Callable[[], Callable[[pa.RecordBatch], list]]) -> DataFrame:
+def map_columns(df: DataFrame, read: list[str], keep: list[str], fields: str, make: Callable[[], Callable[[pa.RecordBatch], list]], gather: int = 0) -> DataFrame:
     """df's columns `keep`, and after them `fields` (a DDL string), which make()(batch of the columns `read`) returns as one list or array each.
 
-    make runs once in each task, so what it loads serves all batches. A kept column with a name of `fields` is left out.
+    make runs once in each task, so what it loads serves all batches. A kept column with a name of `fields` is left out. With `gather`,
+    batches are put together until they have so many bytes.
     """
     new = T._parse_datatype_string(fields)
     keep = [c for c in keep if c not in new.names]
@@ -82,9 +83,20 @@ def map_columns(df: DataFrame, read: list[str], keep: list[str], fields: str, ma
     schema = T.StructType([df.schema[c] for c in keep] + list(new.fields))
     arrow = to_arrow_schema(new)
 
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if size >= gather:
+                yield pa.concat_batches(held) if len(held) > 1 else batch
+                held, size = [], 0
+        if held:
+            yield pa.concat_batches(held)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for batch in batches:
+        for batch in gathered(batches):
             if not batch.num_rows:
                 continue
             got = work(batch.select(read))

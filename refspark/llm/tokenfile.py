@@ -111,8 +111,8 @@ class Encoder:
     string of an added token, and all texts of a file with another pre-tokenizer or a normalizer, are encoded whole.
     """
 
-    #: Bytes of stretches in one call's string.
-    STRING = 10_000
+    #: Bytes of stretches in one string, and strings in one call: the library holds some hundred bytes for each id of a call.
+    STRING, STRINGS = 10_000, 32
 
     def __init__(self, file: str):
         from tokenizers import Tokenizer
@@ -126,7 +126,7 @@ class Encoder:
         self.bytes = np.fromiter((len(self.tokenizer.id_to_token(i) or "") for i in range(size)), np.int64, size)  # a letter of a byte-level token is a byte
 
     def _library(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(e.ids, np.uint32) for k in range(0, len(texts), self.STRINGS) for e in self.tokenizer.encode_batch_fast(texts[k : k + self.STRINGS], add_special_tokens=False)]
 
     def encode(self, texts: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and how many each has. texts: no nulls; what isn't UTF-8 is read as replacement characters."""

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import sentencepiece
 from sentencepiece import sentencepiece_model_pb2 as pb
 
@@ -39,9 +40,26 @@ def test_best_score_is_the_librarys():
         assert sum(i in v.byte.values() for i in ids.tolist()) == sum(i in v.byte.values() for i in theirs)
 
 
+def sequential(v, text):
+    """word() over each word of the marked text, one after another."""
+    return b"".join(v.word(w)[0] for w in p._WORD.findall(p.MARK + text.replace(" ", p.MARK))) if text else b""
+
+
+def test_words_together_as_one_by_one():
+    v = p.Vocabulary(FILE)
+    some = [*texts(5, 500), "a" * 63, "a" * 64, "b" * 65, "日本語" * 30, "", " ", "   ", "😀😀", "x  y", "\n \n"]
+    got, counts, scores = v.encode_all(pa.array([t.replace(p.MARK, " ").encode() for t in some], pa.large_binary()))
+    stop = np.cumsum(counts)
+    for t, a, b, score in zip(some, stop - counts, stop, scores, strict=True):
+        marked = p.MARK + t.replace(" ", p.MARK)
+        assert got[a:b].astype("<u4").tobytes() == sequential(v, t), t
+        assert score == (sum(v.word(w)[1] for w in p._WORD.findall(marked)) if t else 0)
+    assert v.decode_all(got, counts) == [t.replace(p.MARK, " ").encode() for t in some]
+
+
 def test_scan_is_exact_and_associative():
     v = p.Vocabulary(FILE)
-    for t in texts(2, 60) + ["a" * 300, "日本語" * 60, "x y " * 40]:
+    for t in filter(None, texts(2, 60) + ["a" * 300, "日本語" * 60, "x y " * 40, "in" * 90]):
         marked = p.MARK + t.replace(" ", p.MARK)
         whole = sum(v.word(w)[1] for w in p._WORD.findall(marked))
         for size in (1, 5, 16, 17, 50):
@@ -55,23 +73,31 @@ def test_scan_is_exact_and_associative():
             for m in ms[-2::-1]:
                 right = p.combine(m, right)
             assert right[0, 0] == whole
-            ids = np.frombuffer(b"".join(v.trace(*x, *s) for x, s in zip(parts, p.states_of(ms), strict=True)), "<u4")
-            assert v.decode(ids).decode() == t.replace("▁", " ")
-            scores = [v.score.get(v.piece[i], 0) for i in ids.tolist()]
-            unknown = sum(c not in v.score for c in marked)
-            assert sum(scores) + unknown * v.unknown == whole
+            before = [np.array(v._unit(0), np.int64)]
+            for m in ms:
+                before.append(p.through(before[-1], m))
+            leave, out = 0, b""
+            for x, b, after in zip(parts[::-1], before[-2::-1], before[:0:-1], strict=True):
+                out = v.trace(*x, b.tolist(), leave) + out
+                leave = v.entries(*x, b.tolist(), after)[leave]
+            assert leave == 0 and out == sequential(v, t)
 
 
-def test_digest(spark):
-    rows = list(enumerate([*texts(3, 40), None, "", "a" * 500, "the cat " * 100, " ".join(texts(4, 30))]))
-    docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, ids int")
+def test_digest_and_decode(spark):
+    rows = list(enumerate([*texts(3, 40), None, "", "a" * 500, "the cat " * 100, " ".join(texts(4, 30)), "in" * 3000, "日本" * 900, "same", "same"]))
+    docs = spark.createDataFrame([(i, t, 1, 2, "n", 3) for i, t in rows], "doc_id long, text string, piece_ids int, n_pieces int, __text string, __row int")
     v = p.Vocabulary(FILE)
-    whole = {r.doc_id: r for r in p.piece_digest(docs, FILE).collect()}
+    whole = {r.doc_id: r for r in p.piece_digest(docs.union(docs), FILE).collect()}
     for i, t in rows:
-        ids = v.encode(t or "")
+        ids = sequential(v, t or "")
         assert tuple(whole[i]) == (i, len(ids) // 4, zlib.crc32(ids), True)
-    cut = p.encode(docs, FILE, ["doc_id"], chunk=64, ids=True).collect()
-    assert len(cut) == len(rows) and all(r.round_trip for r in cut)
-    for r in cut:
-        assert r.n_pieces == len(r.piece_ids) and sum(v.score.get(v.piece[x], 0) for x in r.piece_ids) == sum(v.score.get(v.piece[x], 0) for x in np.frombuffer(v.encode(rows[r.doc_id][1] or ""), "<u4").tolist())
+    for chunk in (1, 64, 1000):
+        coded = p.encode(docs if chunk > 1 else docs.filter("doc_id < 20"), FILE, chunk=chunk, ids=True)
+        assert coded.columns == ["doc_id", "text", "__text", "__row", "n_pieces", "ids_crc32", "round_trip", "piece_ids"]
+        back = {r.doc_id: r.text for r in p.decode(coded, FILE, keep=["doc_id"]).collect()}
+        found = coded.collect()
+        assert len(found) == (len(rows) if chunk > 1 else 20) and all(r.round_trip for r in found)
+        for r in found:  # however a text is cut, its ids are the same
+            assert np.array(r.piece_ids, "<u4").tobytes() == sequential(v, rows[r.doc_id][1] or "") and r.n_pieces == len(r.piece_ids)
+            assert back[r.doc_id] == (rows[r.doc_id][1] or "").replace(p.MARK, " ")
     assert p.piece_digest(docs.limit(0), FILE).count() == 0

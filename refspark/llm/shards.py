@@ -1,9 +1,10 @@
 """Sharding by size-tiered compaction, in DataFrame functions only.
 
-Layout under a root: data/gen=G/shard=S/*.parquet, immutable, and manifest/vNNNNNNNN, one Parquet table for each version with a
-row for each live shard. Arrivals are appended as small shards. A compaction plans, on the manifest alone, which
-runs of similarly sized shards become one shard of about the target size, rewrites only those, and commits the next
-version by renaming a finished folder to the version's name, which fails if another writer was first.
+Layout under a root: data/__attempt=A/__gen=G/__shard=S/*.parquet, immutable; a write puts its shards in an attempt folder of its own, so
+what a writer that died left behind is never read, nor mixed with what its repetition writes. A version is a Parquet table with a row
+for each live shard, in manifest/table-*, and a small file manifest/vNNNNNNNN that names it. Arrivals are appended as small shards. A
+compaction plans, on the manifest alone, which runs of similarly sized shards become one shard of about the target size, and rewrites
+only those. Either commits the next version by moving a finished file to the version's name, which fails if another writer was first.
 """
 
 from __future__ import annotations
@@ -13,11 +14,14 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from .common import cut, file_system, new_folder
 
-MANIFEST = "gen int, shard bigint, rows bigint, bytes bigint"
+MANIFEST = "attempt string, gen int, shard bigint, rows bigint, bytes bigint"
+#: The folders' columns, and the manifest's for them.
+FOLDERS = {"__attempt": "attempt", "__gen": "gen", "__shard": "shard"}
 #: Shards are planned in slices of so many shard numbers, so a slice's plan is one small task and its map a small broadcast.
 SLICE = 100_000
 
@@ -31,20 +35,51 @@ def versions(spark: SparkSession, root: str) -> list[int]:
 
 
 def manifest(spark: SparkSession, root: str, version: int) -> DataFrame:
-    return spark.read.schema(MANIFEST).parquet(f"{root}/manifest/v{version:08d}")
+    fs, p = file_system(spark, f"{root}/manifest/v{version:08d}")
+    said = fs.open(p)
+    try:
+        name = said.readUTF()
+    finally:
+        said.close()
+    return spark.read.schema(MANIFEST).parquet(f"{root}/manifest/{name}")
 
 
 def commit(live: DataFrame, root: str, version: int) -> None:
-    """Publish live as this version. Readers see all of it or nothing; a version that exists is never replaced."""
-    spark = live.sparkSession
-    draft = f"{root}/manifest/draft-{uuid.uuid4().hex}"
+    """Publish live as this version. Readers see all of it or nothing; of several writers of a version one wins, and the others get an error."""
+    spark, name = live.sparkSession, f"table-{uuid.uuid4().hex}"
     columns = [F.col(c).cast(kind).alias(c) for c, kind in map(str.split, MANIFEST.split(", "))]
-    live.select(*columns).coalesce(1).write.option("compression", "zstd").parquet(draft)
-    fs, source = file_system(spark, draft)
-    _, target = file_system(spark, f"{root}/manifest/v{version:08d}")
-    if fs.exists(target) or not fs.rename(source, target):
-        fs.delete(source, True)
-        raise RuntimeError(f"version {version} of {root} has been committed by another writer")
+    live.select(*columns).coalesce(1).write.option("compression", "zstd").parquet(f"{root}/manifest/{name}")
+    fs, draft = file_system(spark, f"{root}/manifest/draft-{name}")
+    said = fs.create(draft, False)
+    said.writeUTF(name)
+    said.close()
+    hadoop, gateway = spark._jvm.org.apache.hadoop.fs, spark.sparkContext._gateway
+    kind = getattr(hadoop, "Options$Rename")
+    never = gateway.new_array(kind, 1)
+    never[0] = kind.NONE  # a file of the target's name is not replaced
+    context = hadoop.FileContext.getFileContext(fs.makeQualified(draft).toUri(), spark._jsc.hadoopConfiguration())
+    try:
+        context.rename(fs.makeQualified(draft), fs.makeQualified(hadoop.Path(f"{root}/manifest/v{version:08d}")), never)
+    except Exception as error:
+        fs.delete(draft, False)
+        fs.delete(hadoop.Path(f"{root}/manifest/{name}"), True)
+        raise RuntimeError(f"version {version} of {root} has been committed by another writer") from error
+
+
+def _write(rows: DataFrame, root: str) -> str:
+    """Rows with __gen and __shard, written as an attempt of their own; its name."""
+    attempt = f"a-{uuid.uuid4().hex}"
+    rows.write.option("compression", "zstd").partitionBy("__gen", "__shard").parquet(f"{root}/data/__attempt={attempt}")
+    return attempt
+
+
+def _load(spark: SparkSession, root: str, shards: DataFrame) -> DataFrame:
+    """The rows of these shards (attempt, gen, shard), and of no other: the driver lists their folders, one for each shard."""
+    found = shards.select("attempt", "gen", "shard").collect()
+    paths = [f"{root}/data/__attempt={a}/__gen={g}/__shard={s}" for a, g, s in found]
+    rows = spark.read.option("basePath", f"{root}/data").parquet(*paths)
+    kinds = {"__attempt": T.StringType(), "__gen": T.IntegerType(), "__shard": T.LongType()}
+    return rows.withColumns({c: F.col(c).cast(kind) for c, kind in kinds.items()})
 
 
 def text_size(text: str) -> Column:
@@ -55,16 +90,21 @@ def text_size(text: str) -> Column:
 def append(docs: DataFrame, root: str, arrival: Column, text: str = "text") -> int:
     """Add docs as generation-0 shards, one for each value of arrival (a long; null is -1), and commit; the new version.
 
-    No shuffle of texts: each task writes its own rows into their shards' folders. Shards are immutable: a number that is live already is refused.
+    No shuffle of texts: each task writes its own rows into their shards' folders. Shards are immutable: a number that is live already
+    is refused. Columns of docs named as FOLDERS are left out. An empty table commits a version without new shards.
     """
     spark = docs.sparkSession
     have = versions(spark, root)
-    own = docs.withColumn("gen", F.lit(0)).withColumn("shard", F.coalesce(arrival.cast("long"), F.lit(-1)))
-    if have and not own.join(manifest(spark, root, have[-1]).select("shard"), "shard", "left_semi").isEmpty():
-        raise ValueError("an arrival's number is taken")
-    own.write.mode("append").option("compression", "zstd").partitionBy("gen", "shard").parquet(f"{root}/data")
-    new = own.groupBy("gen", "shard").agg(F.count("*").alias("rows"), F.sum(text_size(text)).alias("bytes"))
-    commit(new.unionByName(manifest(spark, root, have[-1])) if have else new, root, (have or [0])[-1] + 1)
+    own = docs.drop(*FOLDERS).withColumns({"__gen": F.lit(0), "__shard": F.coalesce(arrival.cast("long"), F.lit(-1))})
+    at = f"{root}/data/__attempt={(attempt := _write(own, root))}"
+    written = spark.read.schema(own.schema).parquet(at)
+    new = written.groupBy(F.lit(attempt).alias("attempt"), F.col("__gen").alias("gen"), F.col("__shard").alias("shard")).agg(F.count("*").alias("rows"), F.sum(text_size(text)).alias("bytes"))
+    if have:
+        new, live = cut(new, "arrivals"), manifest(spark, root, have[-1])
+        if not new.join(live.select("shard"), "shard", "left_semi").isEmpty():
+            raise ValueError("an arrival's number is taken")
+        new = new.unionByName(live)
+    commit(new, root, (have or [0])[-1] + 1)
     return (have or [0])[-1] + 1
 
 
@@ -92,49 +132,69 @@ def plan_merges(live: DataFrame, target: int, base: int, fan_in: int = 4, rounds
     return now
 
 
-def compact(spark: SparkSession, root: str, target: int, base: int, fan_in: int = 4, rounds: int = 3, text: str = "text") -> int:
+def compact(spark: SparkSession, root: str, target: int, base: int, fan_in: int = 4, rounds: int = 3) -> int:
     """Plan, rewrite what is merged, and commit the next version; the version that is current then.
 
-    A merged shard's rows are shuffled to one task, which is at most about target bytes. Shards that no run takes are not read.
+    Merges are numbered densely, and a merge's rows go to the task of its number, so each task writes one shard of at most about target
+    bytes. Shards that no run takes are not read.
     """
     have = versions(spark, root)[-1]
     live = manifest(spark, root, have)
     plan = plan_merges(live, target, base, fan_in, rounds)
-    merged = cut(plan.withColumn("n", F.count("*").over(W.partitionBy("into"))).filter("n > 1").drop("n"), "merges")
+    merged = cut(plan.withColumn("n", F.count("*").over(W.partitionBy("into"))).filter("n > 1").drop("n").join(live.select("shard", "attempt"), "shard"), "merges")
     slices = [r[0] for r in merged.select(F.floor(F.col("into") / SLICE).alias("s")).distinct().orderBy("s").collect()]
     if not slices:
         return have
     gen = live.agg(F.max("gen")).first()[0] + 1
+    new = []
     for s in slices:
-        mine = merged.filter(F.floor(F.col("into") / SLICE) == s).select("gen", "shard", "into")
-        n = mine.select("into").distinct().count()
-        rows = spark.read.option("basePath", f"{root}/data").parquet(f"{root}/data").join(F.broadcast(mine), ["gen", "shard"])  # at most SLICE small rows
-        rows = rows.drop("gen", "shard").repartition(n, "into").withColumn("gen", F.lit(gen)).withColumnRenamed("into", "shard")
-        rows.write.mode("append").option("compression", "zstd").partitionBy("gen", "shard").parquet(f"{root}/data")
-    sizes = live.join(merged.select("gen", "shard", "into"), ["gen", "shard"])
-    new = sizes.groupBy(F.lit(gen).alias("gen"), F.col("into").alias("shard")).agg(F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes"))
-    commit(live.join(merged, ["gen", "shard"], "left_anti").unionByName(new), root, have + 1)
+        mine = merged.filter(F.floor(F.col("into") / SLICE) == s)
+        into = mine.groupBy("into").agg(F.count("*").alias("sources")).select("into", (F.row_number().over(W.orderBy("into")) - 1).alias("task"))  # at most SLICE numbers
+        n = into.count()
+        to = mine.join(into, "into").select(F.col("shard").alias("__shard"), F.col("gen").alias("__gen"), "into", "task")
+        rows = _load(spark, root, mine).join(F.broadcast(to), ["__gen", "__shard"])  # at most SLICE small rows
+        rows = rows.repartitionById(n, F.col("task")).drop("__attempt", "__gen", "__shard", "task").withColumns({"__gen": F.lit(gen), "__shard": F.col("into")}).drop("into")
+        attempt = _write(rows, root)
+        sizes = live.join(mine.select("shard", "into"), "shard")
+        new.append(sizes.groupBy(F.lit(attempt).alias("attempt"), F.lit(gen).alias("gen"), F.col("into").alias("shard")).agg(F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes")))
+    commit(reduce(DataFrame.unionByName, new, live.join(merged, "shard", "left_anti")), root, have + 1)
     return have + 1
 
 
+def vacuum(spark: SparkSession, root: str, keep: int = 1) -> int:
+    """Delete the data of shards that none of the last `keep` versions has, those of dead attempts too; how many shard folders went.
+
+    Not to be run while a writer is at work, whose shards no version has yet. It handles folder names, one for each shard.
+    """
+    known = {tuple(r) for v in versions(spark, root)[-keep:] for r in manifest(spark, root, v).select("attempt", "gen", "shard").collect()}
+    fs, data = file_system(spark, f"{root}/data")
+    gone = 0
+    for shard in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/data/*/*/*")) or []:
+        path = shard.getPath()
+        name = [p.split("=", 1)[-1] for p in path.toString().split("/")[-3:]]
+        if shard.isDirectory() and path.getName().startswith("__shard=") and (name[0], int(name[1]), int(name[2])) not in known:
+            fs.delete(path, True)
+            gone += 1
+    return gone
+
+
 def read(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
-    """The rows of a version's live shards, with gen and shard; other folders are not read, for both are partition columns."""
-    live = manifest(spark, root, versions(spark, root)[-1] if version is None else version)
-    return spark.read.option("basePath", f"{root}/data").parquet(f"{root}/data").join(live.select("gen", "shard"), ["gen", "shard"], "left_semi")
+    """The rows of a version's live shards, with __attempt, __gen and __shard; no other shard is read. A version without shards can't be read."""
+    return _load(spark, root, manifest(spark, root, versions(spark, root)[-1] if version is None else version))
 
 
 def sharding_digest(docs: DataFrame, rows_per_arrival: int = 1000, target: int = 64 << 20, base: int = 1 << 20) -> DataFrame:
     """doc_id, shard, merged and n_bytes (the text's) of every document, as the compacted version holds them.
 
-    Documents arrive by doc_id, rows_per_arrival ids at a time (a null id: arrival -1). Repeated rows stay repeated; an empty
-    table gives no rows.
+    Documents arrive by doc_id, rows_per_arrival ids at a time (a null id: arrival -1). Repeated rows stay repeated, null texts have no
+    bytes; an empty table gives no rows.
     """
     spark, root = docs.sparkSession, new_folder(docs.sparkSession, "shards")
-    taken = docs.drop("gen", "shard")
-    if taken.isEmpty():
-        return taken.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0).cast("long").alias("shard"), F.lit(False).alias("merged"), F.lit(0).cast("long").alias("n_bytes"))
-    append(taken, root, F.floor(F.col("doc_id") / rows_per_arrival))
-    return read(spark, root, compact(spark, root, target, base)).select("doc_id", F.col("shard").cast("long").alias("shard"), (F.col("gen") > 0).alias("merged"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
+    if docs.isEmpty():
+        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0).cast("long").alias("shard"), F.lit(False).alias("merged"), F.lit(0).cast("long").alias("n_bytes"))
+    append(docs, root, F.floor(F.col("doc_id") / rows_per_arrival))
+    rows = read(spark, root, compact(spark, root, target, base))
+    return rows.select("doc_id", F.col("__shard").alias("shard"), (F.col("__gen") > 0).alias("merged"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
 
 
 def digest_sql(rows_per_arrival: int = 1000, target: int = 64 << 20, base: int = 1 << 20, fan_in: int = 4, rounds: int = 3) -> str:

@@ -1,7 +1,7 @@
 """The training-corpus pipeline: five stages, each written as Parquet and read again by the next.
 
 A stage takes (spark, docs, sf_dir) and returns the documents that it keeps, with the columns of documents; the last adds
-the encoding. Rows whose doc_id is null can't be named as copies of others and pass the near-duplicate stage.
+the encoding. Null texts are empty texts to every stage, and null doc_ids are kept like any other.
 """
 
 from __future__ import annotations
@@ -33,11 +33,18 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word Jaccard 0.8 at least) the document with the smallest doc_id stays, once."""
+    """Of each group of near copies (five-word Jaccard 0.8 at least) one row stays.
+
+    It is that of the smallest doc_id, a null one last; of rows of one doc_id that of the least hash of its columns. Rows that are
+    equal in all columns are one. Rows of one doc_id with different texts are rows like any others.
+    """
     bounded_batches(spark)
-    named = docs.filter("doc_id is not null")
-    stay = jaccard.near_duplicates(named).filter("doc_id = component_id").select("doc_id").distinct()
-    return named.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    columns = [f"`{c}`" for c in docs.columns]
+    keyed = docs.select(F.struct(*columns).alias("__doc"), F.col("text").alias("__text"), F.col("doc_id").alias("__id"), F.xxhash64(*columns).alias("__hash"))
+    found = jaccard.near_duplicates(keyed, ["__id", "__hash"], "__text")
+    stays = found.groupBy("part").agg(F.min(F.struct(F.isnull("__id").alias("none"), "__id", "__hash")).alias("s")).select("s.*")
+    rows = keyed.join(stays.select(F.col("__id").alias("i"), F.col("__hash").alias("h")), F.expr("__hash = h and __id <=> i"), "left_semi")
+    return rows.dropDuplicates(["__hash", "__id"]).select("__doc.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,8 +1,10 @@
-"""Near-duplicate groups by exact Jaccard similarity of word shingles, by prefix filtering.
+"""SimHash near-duplicates held to an exact rule: word shingles of a Jaccard similarity of `over / under` at least.
 
-Each set of shingles is put in one fixed order, rare shingles first. Two sets of similarity s share a shingle among the first
-n - ceil(s n) + 1 of each, so only documents that share one there are compared, and each comparison is exact: no pair is missed.
-The order comes from the counts in a sample; another sample changes the number of comparisons, never the pairs.
+Operator 9's fingerprints, here of five-word shingles, and its multi-index search propose pairs. At a similarity of 0.8 fingerprints
+lie about ten bits apart, far beyond a small Hamming ball, so a prefix filter proposes the others: each set of shingles is put in one
+fixed order, rare shingles first; two sets of similarity s share a shingle among the first n - ceil(s n) + 1 of each, so only texts
+that share one there are compared. Every comparison is exact, and no pair is missed but by a collision of 64-bit hashes. The order
+comes from the counts in a sample; another sample changes the number of comparisons, never the pairs.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import cut, map_columns, text_bytes
-from .simhash import _LOWER, components
+from .simhash import _LOWER, components, links, majority
 
 #: Documents sampled for the order, and shingles remembered as common.
 SAMPLE, COMMON = 20_000, 200_000
@@ -83,11 +85,33 @@ def _bits(nodes: DataFrame, count: int) -> np.ndarray:
     return out
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, over: int = 4, under: int = 5, seed: int = 42) -> DataFrame:
-    """doc_id, node and component_id of every row of docs: the smallest doc_id reachable over pairs with Jaccard >= over / under.
+#: Members of a bucket that are ranked; the others share the rank after them. Members ranked in one task.
+RANKS, SALT = 64, 100_000
+#: Ranks whose members are compared with those after them, round by round.
+ROUNDS = ((1, 1), (2, 8), (9, RANKS), (RANKS + 1, RANKS + 1))
 
-    Texts without words are copies of each other. Each bucket of a shared shingle is first compared with one of its members; only
-    members outside the bucket's largest component by then are compared with the rest, so a large group of copies costs its size.
+
+def merged(label: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """node, label: the groups of `label` joined by edges (a, b) between their nodes or new ones."""
+    ends = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    if label is None:
+        known = ends.withColumn("label", F.col("node"))
+    else:
+        known = label.unionByName(ends.join(label, "node", "left_anti").withColumn("label", F.col("node")))
+    known = cut(known, "known")
+    x, y = known.select(F.col("node").alias("a"), F.col("label").alias("x")), known.select(F.col("node").alias("b"), F.col("label").alias("y"))
+    between = edges.join(x, "a").join(y, "b").filter("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    top = components(between).select(F.col("v").alias("label"), F.col("label").alias("top"))
+    return cut(known.join(top, "label", "left").select("node", F.coalesce("top", "label").alias("label")), "labels")
+
+
+def near_duplicates(docs: DataFrame, keep: list[str], text: str = "text", size: int = 5, over: int = 4, under: int = 5, seed: int = 42) -> DataFrame:
+    """The columns `keep` of every row of docs, node (its words' hash) and part: equal for rows linked by pairs of Jaccard >= over / under.
+
+    Null texts and texts without words are copies of each other. The members of a bucket of a shared shingle are ranked by how much they
+    share with others, so a group's model tends to come first; all are compared with the first, and in later rounds only members that
+    are in different groups by then, so a large group of copies costs its size and not its square. Repeated rows come out as often as
+    they came in; an empty table gives no rows.
     """
     spark = docs.sparkSession
     values, rank = common(docs, text, size, seed)
@@ -97,24 +121,35 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         v, r = fixed.value
 
         def work(batch):
-            nodes, counts, heads = [], [], []
+            nodes, prints, counts, heads = [], [], [], []
             for t in text_bytes(batch.column(text)):
                 words = words_of(t)
                 have = shingles(words, size, seed)
                 nodes.append(node_of(words, seed))
+                prints.append(majority(have.view(np.uint64)))
                 counts.append(len(have))
                 heads.append(prefix(have, v, r, over, under))
-            return [pa.array(nodes, pa.int64()), pa.array(counts, pa.int32()), heads]
+            return [pa.array(nodes, pa.int64()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(counts, pa.int32()), heads]
 
         return work
 
-    own = cut(map_columns(docs, [text], [doc_id], "node bigint, n int, head array<bigint>", first), "own")
-    nodes = cut(own.groupBy("node").agg(F.min(doc_id).alias("first")), "nodes")
-    rows = own.select("node", "n", F.posexplode("head").alias("pos", "h"))
-    bucket = W.partitionBy("h")
-    lead = F.min(F.struct("node", "n", "pos")).over(bucket)
-    shared = cut(rows.withColumns({"lead": lead, "last": F.max("node").over(bucket)}).filter(F.col("last") > F.col("lead.node")).drop("last").distinct(), "shared")
-    both = cut(shared.select("node").distinct(), "both")
+    own = cut(map_columns(docs, [text], keep, "node bigint, fp bigint, n int, head array<bigint>", first), "own")
+    nodes = cut(own.groupBy("node").agg(F.first("fp").alias("fp")), "nodes")
+    same = cut(nodes.groupBy("fp").agg(F.min("node").alias("lead")), "prints")
+    near = links(same.select("fp")).join(same.select(F.col("fp").alias("a"), F.col("lead").alias("x")), "a").join(same.select(F.col("fp").alias("b"), F.col("lead").alias("y")), "b")
+    near = near.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(nodes.join(same, "fp").filter("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")))
+    near = cut(near, "near")
+    rows = own.select("node", "n", F.posexplode("head").alias("pos", "h")).distinct()
+    sizes = rows.groupBy("h").agg(F.count("*").alias("k")).filter("k > 1")
+    rows = cut(rows.join(sizes, "h"), "rows")
+    degree = rows.groupBy("node").agg(F.sum("k").alias("degree"))
+    salt = F.pmod(F.xxhash64("node"), F.ceil(F.col("k") / SALT))  # a bucket is ranked in parts of about SALT members, then the parts' first ones
+    order = (F.desc("degree"), "node")
+    parts = cut(rows.join(degree, "node").withColumn("r", F.row_number().over(W.partitionBy("h", salt).orderBy(*order))), "ranked")
+    tops = parts.filter(F.col("r") <= RANKS).withColumn("place", F.least(F.lit(RANKS + 1), F.row_number().over(W.partitionBy("h").orderBy(*order))))
+    others = parts.filter(F.col("r") > RANKS).withColumn("place", F.lit(RANKS + 1))
+    shared = cut(tops.unionByName(others).select("h", "node", "n", "pos", "k", "place"), "shared")
+    both = cut(shared.select("node").union(near.select("a")).union(near.select("b")).distinct(), "both")
     bits = spark.sparkContext.broadcast(_bits(both, both.count()))
 
     def again():
@@ -133,11 +168,6 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     sets = map_columns(docs, [text], [], "node bigint, hs array<bigint>", again).filter("node is not null")
     sets = cut(sets.join(both, "node", "left_semi").groupBy("node").agg(F.first("hs").alias("hs")), "sets")
 
-    def possible(a: str, b: str):
-        """What sizes and places allow at the first shared shingle: over / under of the union at least."""
-        need = f"{over} * ({a}.n + {b}.n)"
-        return F.expr(f"{under} * least({a}.n, {b}.n) >= {over} * greatest({a}.n, {b}.n) and {over + under} * least({a}.n - {a}.pos, {b}.n - {b}.pos) >= {need}")
-
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
         x = sets.select(F.col("node").alias("a"), F.col("hs").alias("x"))
@@ -145,19 +175,20 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         j = pairs.join(x, "a").join(y, "b").withColumn("i", F.size(F.array_intersect("x", "y")))
         return cut(j.filter(F.col("i") * (over + under) >= over * (F.size("x") + F.size("y"))).select("a", "b"), "edges")
 
-    me = F.struct("node", "n", "pos").alias("me")
-    edges = verified(shared.filter("node <> lead.node").select(me, "lead").filter(possible("me", "lead")).select(F.col("me.node").alias("a"), F.col("lead.node").alias("b")))
-    label = components(edges)
-    placed = shared.join(label.select(F.col("v").alias("node"), "label"), "node", "left").select("h", "node", "n", "pos", F.coalesce("label", "node").alias("part"))
-    placed = cut(placed, "placed")
-    main = placed.groupBy("h", "part").agg(F.count("*").alias("k")).groupBy("h").agg(F.max(F.struct("k", "part")).alias("top"), F.count("*").alias("parts")).filter("parts > 1").select("h", F.col("top.part").alias("main"))
-    mixed = cut(placed.join(main, "h"), "mixed")
-    o, m = mixed.filter("part <> main").alias("o"), mixed.alias("m")
-    rest = o.join(m, F.expr("o.h = m.h and o.part <> m.part and (m.part = m.main or o.node < m.node)") & possible("o", "m"))
-    edges = edges.union(verified(rest.select(F.col("o.node").alias("a"), F.col("m.node").alias("b"))))
-    label = components(edges)
-    joined = label.join(nodes, label.v == nodes.node)
-    low = joined.groupBy("label").agg(F.min("first").alias("component_id"))
-    linked = cut(label.join(low, "label").select(F.col("v").alias("node"), "component_id"), "linked")
-    of = cut(nodes.join(linked, "node", "left").select("node", F.coalesce("component_id", "first").alias("component_id")), "groups")
-    return own.select(doc_id, "node").join(of, "node").select(doc_id, "node", "component_id")
+    label = merged(None, verified(near))
+    need = f"{over} * (l.n + m.n)"  # what sizes and places allow at the first shared shingle: over / under of the union at least
+    possible = F.expr(f"{under} * least(l.n, m.n) >= {over} * greatest(l.n, m.n) and {over + under} * least(l.n - l.pos, m.n - m.pos) >= {need}")
+    after = F.expr("l.h = m.h and l.part <> m.part and (l.place < m.place or l.place = m.place and l.node < m.node)")
+    for low, high in ROUNDS:
+        left = shared.filter(F.col("k") > low)
+        if left.isEmpty():
+            break
+        placed = left.join(label, "node", "left").withColumn("part", F.coalesce("label", "node")).drop("label")
+        mixed = placed.groupBy("h").agg((F.min("part") < F.max("part")).alias("mixed")).filter("mixed")
+        placed = cut(placed.join(mixed, "h"), "placed")
+        l, m = placed.filter(F.col("place").between(low, high)).alias("l"), placed.filter(F.col("place") >= low).alias("m")
+        new = verified(l.join(m, after & possible).select(F.col("l.node").alias("a"), F.col("m.node").alias("b")))
+        if not new.isEmpty():
+            label = merged(label, new)
+    of = cut(nodes.join(label, "node", "left").select("node", F.coalesce("label", "node").alias("part")), "groups")
+    return own.select(*keep, "node").join(of, "node").select(*keep, "node", "part")

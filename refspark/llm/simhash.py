@@ -31,12 +31,16 @@ def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
     n = max(1, len(words) - shingle + 1)
     start, stop = (stop - size + 1)[:n].tolist(), stop[-n:].tolist()
     h = xxhash.xxh64_intdigest
-    hashes = np.fromiter((h(joined[a:b], seed) for a, b in zip(start, stop, strict=True)), np.uint64, n)
+    return majority(np.fromiter((h(joined[a:b], seed) for a, b in zip(start, stop, strict=True)), np.uint64, n))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """64 bits; bit k is set if it is in over half of the hashes (unsigned 64 bits each)."""
     ones = np.zeros(64, np.int64)
-    for k in range(0, n, 1 << 14):  # 64 bytes a shingle at a time
+    for k in range(0, len(hashes), 1 << 14):  # 64 bytes a hash at a time
         part = hashes[k : k + (1 << 14)]
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:

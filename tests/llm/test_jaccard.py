@@ -28,9 +28,19 @@ def groups(rows, over=0.8):
     return {i: root(i) for i, _ in rows}
 
 
-@pytest.mark.parametrize("sample", [20_000, 5])
-def test_groups_against_brute_force(spark, monkeypatch, sample):
+def by_least(rows):
+    low = {}
+    for r in rows:
+        low[r.part] = min(low.get(r.part, r.doc_id), r.doc_id)
+    return {r.doc_id: low[r.part] for r in rows}
+
+
+@pytest.mark.parametrize("sample, salt, ranks", [(20_000, 100_000, 64), (5, 10, 3)])
+def test_groups_against_brute_force(spark, monkeypatch, sample, salt, ranks):
     monkeypatch.setattr(j, "SAMPLE", sample)
+    monkeypatch.setattr(j, "SALT", salt)
+    monkeypatch.setattr(j, "RANKS", ranks)
+    monkeypatch.setattr(j, "ROUNDS", ((1, 1), (2, 3), (4, ranks), (ranks + 1, ranks + 1)) if ranks > 3 else ((1, 1), (2, 3), (4, 4)))
     rng = random.Random(4)
     line = " ".join(f"line{k}" for k in range(12))
     texts = [None, "", " \n", "one", "ONE", "a b c d e", "a b c d f"]
@@ -47,7 +57,7 @@ def test_groups_against_brute_force(spark, monkeypatch, sample):
     rng.shuffle(texts)
     rows = [(1000 - 3 * i, t) for i, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    found = {r.doc_id: r.component_id for r in j.near_duplicates(docs).collect()}
+    found = by_least(j.near_duplicates(docs, ["doc_id"]).collect())
     want = groups(rows)
     assert found == want
     assert 20 < len(set(want.values())) < len(want)
@@ -61,3 +71,17 @@ def test_pipeline_stage_drops_copies_at_eight_tenths(spark):
     want = groups([(r.doc_id, r.text) for r in docs.collect()])
     assert want[177] == 1 and want[145] == 6  # similar by 0.83, 11 and 7 bits apart by three words
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, sf).collect()) == sorted(set(want.values()))
+
+
+def test_stage_decides_by_row(spark):
+    import corpus_pipeline
+
+    a, b = " ".join(f"a{k}" for k in range(30)), " ".join(f"b{k}" for k in range(30))
+    rows = [(1, a, "x"), (1, b, "x"), (2, a + " more", "x"), (None, b, "x"), (None, None, "x"), (None, "", "y"), (5, None, "x"), (7, "c d", "x"), (7, "c d", "x"), (None, "e f", "x"), (None, "e f", "x"), (9, "x y", "x"), (9, "X  y", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, node string").selectExpr("*", "1 as part", "2 as fp", "'q' as __hash")
+    got = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    kept = sorted(((r.doc_id, r.text) for r in got.collect()), key=str)
+    assert [k for k in kept if k[0] != 9] == sorted([(1, a), (1, b), (5, None), (7, "c d"), (None, "e f")], key=str)  # a text's copy goes, another text of its doc_id stays
+    assert len([k for k in kept if k[0] == 9]) == 1
+    assert corpus_pipeline.near_duplicates(spark, docs.limit(0), "").count() == 0

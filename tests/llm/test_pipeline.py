@@ -6,7 +6,7 @@ import corpus_pipeline as c
 from refspark.llm import pieces, quality
 from test_decontam import brute as contamination
 from test_secrets import brute as secret_spans
-from test_simhash import groups, plain
+from test_jaccard import groups
 
 SF = "/root/testdata/sf0.001"
 
@@ -22,7 +22,7 @@ def test_stages_against_brute_force(spark):
         if not quality.base_failed(n, repeated) and model.score(np.array([features]))[0] <= 0:
             kept[i] = t
     ids = sorted(kept)
-    kept = {i: kept[i] for i, g in zip(ids, groups(ids, [plain(kept[i]) for i in ids]), strict=True) if i == g}
+    kept = {i: kept[i] for i, g in groups([(i, kept[i]) for i in ids]).items() if i == g}
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     assert {i for i, *_, hit in contamination(list(kept.items()), items) if not hit} <= got.keys() <= kept.keys()
     left = [(i, r.text) for i, r in got.items()]
@@ -34,9 +34,8 @@ def test_stages_against_brute_force(spark):
         assert r.n_chars == len(r.text) and r.round_trip
         if i in clean and not secret_spans(kept[i]):
             assert r.text == kept[i]
-        if len(r.text) <= 1 << 15:
-            ids = v.encode(r.text)
-            assert r.ids_crc32 == zlib.crc32(ids) and r.piece_ids == np.frombuffer(ids, "<i4").tolist()
+        ids = v.encode(r.text)
+        assert r.ids_crc32 == zlib.crc32(ids) and r.piece_ids == np.frombuffer(ids, "<i4").tolist()
 
 
 def test_stages_keep_columns_and_stand_nulls(spark):

@@ -42,4 +42,9 @@ def _layout(k: int) -> str:
     return _page(choices[k % len(choices)])
 
 
-PAGES = tuple(_layout(k) for k in range(30))
+#: Pages of plain words without a tag are all content.
+PLAIN = (
+    "A page of plain words that nobody has marked up. It says all it has to say in one go, and a reader wants the whole of it.",
+    "Notes of the meeting: the bridge is shut until spring, the ferry runs every hour, and the council will vote again in March.",
+)
+PAGES = tuple(_layout(k) for k in range(30)) + PLAIN

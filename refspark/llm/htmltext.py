@@ -8,6 +8,7 @@ all pages of a batch at once. The model is trained from labelled pages; the text
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from dataclasses import dataclass, field
 from html import unescape
 
@@ -20,12 +21,12 @@ from .common import map_columns, texts
 
 #: Fixed values of HTML: elements without content, elements whose text isn't shown, elements that make blocks.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe noframes xmp".split())
-SUBTREE = frozenset("template svg math object canvas".split())
-FOREIGN = frozenset(("svg", "math"))
+RAW = frozenset("script style textarea title iframe noframes xmp".split())
+SUBTREE = frozenset("template svg object canvas".split())
+FOREIGN = frozenset(("svg",))
 #: What may stand in a head; anything else ends it.
 IN_HEAD = frozenset("html head base basefont bgsound link meta title script style noscript template".split())
-HIDDEN = frozenset("script style noscript template iframe svg math object canvas noframes head title textarea select option button datalist audio video".split())
+HIDDEN = frozenset("script style template iframe svg object canvas noframes head title textarea select option button datalist audio video".split())
 BLOCK = frozenset(
     "html body address article aside blockquote center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul legend caption".split()
@@ -55,7 +56,7 @@ _SUBTREE_TAG = {t: re.compile(rf"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s
 _PARTS = re.compile(r"[^a-zA-Z0-9]+|(?<=[a-z])(?=[A-Z])")
 _SPACE = re.compile(r"\s+")
 
-FEATURES = ("bias", *(f"is_{k}" for k in NAMES), *(f"tag_{k}" for k in sorted(set(TAGS.values()))), "heading", "paragraph", "item", "cell", "other_block", "hidden", "long", "medium", "short", "ends", "linked", "half_linked", "no_words", "early", "late")
+FEATURES = ("bias", *(f"is_{k}" for k in NAMES), *(f"tag_{k}" for k in sorted(set(TAGS.values()))), "heading", "paragraph", "item", "cell", "other_block", "hidden", "long", "medium", "short", "ends", "linked", "half_linked", "no_words", "early", "late", "alone")
 _AT = {f: k for k, f in enumerate(FEATURES)}
 
 
@@ -88,36 +89,48 @@ def parse(html: str) -> list[Node]:
 
     Tags left open end where HTML lets them: a block start ends a paragraph, an item an item, and the end of an outer element all
     within it. Broken or cut-off markup yields what came before it. A head ends at the first thing that can't be in one. An element
-    of SUBTREE without an end tag hides nothing.
+    of SUBTREE without an end tag hides nothing. Formulas, noscript and xmp are text like any other; drawings (svg, canvas) and
+    the stand-ins of embedded objects are not. The time grows with the page's length, however its elements nest.
     """
     nodes = [Node("html", -1, 0, "")]
     stack: list[tuple[str, int]] = [("html", 0)]  # open elements with the block each belongs to
-    order = pos = links = 0
+    where: dict[str, list[int]] = defaultdict(list)  # each tag's places in the stack
+    order = pos = links = covered = 0
     n = len(html)
     ends: dict[str, dict[int, int]] = {}
 
-    def text(raw: str) -> None:
+    def push(tag: str, block: int) -> None:
+        nonlocal links, covered
+        where[tag].append(len(stack))
+        stack.append((tag, block))
+        links += tag == "a"
+        covered += tag in HIDDEN
+
+    def cut_to(k: int) -> None:
+        nonlocal links, covered
+        while len(stack) > k:
+            tag, _ = stack.pop()
+            where[tag].pop()
+            links -= tag == "a"
+            covered -= tag in HIDDEN
+
+    def text(raw: str, decode: bool = True) -> None:
         nonlocal order
         if raw:
             if stack[-1][0] == "head" and raw.strip():
-                stack.pop()
+                cut_to(len(stack) - 1)
             node = nodes[stack[-1][1]]
-            if not any(t in HIDDEN for t, _ in stack):
+            if not covered:
                 order += 1
-                raw = unescape(raw)
+                raw = unescape(raw) if decode else raw
                 node.parts.append((order, raw))
                 if links:
                     node.linked += len(raw.strip())
 
     def close(tag: str, fence: frozenset[str] = frozenset()) -> None:
-        nonlocal links
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] == tag:
-                links -= sum(t == "a" for t, _ in stack[k:])
-                del stack[k:]
-                return
-            if stack[k][0] in fence:
-                return
+        at = where[tag]
+        if at and not any(where[t] and where[t][-1] > at[-1] for t in fence):
+            cut_to(at[-1])
 
     for m in _TOKEN.finditer(html):
         if m.start() < pos:
@@ -133,7 +146,7 @@ def parse(html: str) -> list[Node]:
             continue
         tag = tag.lower()
         if stack[-1][0] == "head" and tag not in IN_HEAD:
-            stack.pop()
+            cut_to(len(stack) - 1)
         if tag == "br" or tag == "hr" or tag == "wbr":
             if tag != "wbr":
                 text("\n")
@@ -145,7 +158,9 @@ def parse(html: str) -> list[Node]:
         attributes = m[3] or ""
         if tag in RAW:
             found = _RAW_END[tag].search(html, pos)
-            pos = found.end() if found else pos if tag in ("iframe", "noscript") else n
+            if tag == "xmp":  # shown as it stands
+                text(html[pos : found.start() if found else n], False)
+            pos = found.end() if found else pos if tag == "iframe" else n
             continue
         if tag in SUBTREE:
             if tag not in ends:
@@ -157,11 +172,9 @@ def parse(html: str) -> list[Node]:
             for t in CLOSES.get(tag, ()):
                 close(t, FENCE - {t, "td", "th"} if tag == "tr" else FENCE - {t})
             nodes.append(Node(tag, stack[-1][1], nodes[stack[-1][1]].depth + 1, attributes))
-            stack.append((tag, len(nodes) - 1))
+            push(tag, len(nodes) - 1)
         else:
-            if tag == "a":
-                links += 1
-            stack.append((tag, stack[-1][1]))
+            push(tag, stack[-1][1])
     text(html[pos:] if html[pos:] not in ("<", "</") else "")  # a page cut off before a tag's name
     return nodes
 
@@ -197,6 +210,7 @@ def own_features(nodes: list[Node]) -> np.ndarray:
             row[_AT["linked" if share > 0.9 else "half_linked"]] = share > 0.4
         at = k / len(nodes)
         row[_AT["early"]], row[_AT["late"]] = at < 0.1, at > 0.9
+        row[_AT["alone"]] = len(nodes) == 1
     return out
 
 
@@ -214,7 +228,7 @@ def propagate(model: Model, features: np.ndarray, parent: np.ndarray, depth: np.
     local = np.zeros((n, 2))
     local[:, 1] = features @ model.weights
     up, inside, above = np.zeros((n, 2)), local.copy(), np.zeros((n, 2))
-    levels = [np.flatnonzero(depth == d) for d in range(int(depth.max()) + 1)] if n else []
+    levels = np.split(np.argsort(depth, kind="stable"), np.cumsum(np.bincount(depth))[:-1]) if n else []
     for at in levels[:0:-1]:  # a message from each node to its parent
         up[at] = np.logaddexp(inside[at, None, 0] + model.edge[None, :, 0], inside[at, None, 1] + model.edge[None, :, 1])
         np.add.at(inside, parent[at], up[at])
@@ -268,7 +282,7 @@ def labelled_examples() -> list[tuple[list[Node], np.ndarray]]:
         own_features(nodes)
         label = np.zeros(len(nodes), np.int64)
         for k, node in enumerate(nodes):
-            label[k] = int(node.label) if node.label is not None else label[node.parent] if node.parent >= 0 else 0
+            label[k] = int(node.label) if node.label is not None else label[node.parent] if node.parent >= 0 else int(len(nodes) == 1)
             node.attributes = re.sub(r'data-label="\d"', "", node.attributes)
         out.append((nodes, label))
     return out
@@ -324,7 +338,8 @@ def _parted(nodes: list[Node], k: int, a: int, b: int) -> bool:
 def extract(pages: DataFrame, model: Model, keep: list[str] | None = None, html: str = "html") -> DataFrame:
     """pages (or its columns `keep`) with text and n_chars, without a shuffle.
 
-    Null, empty and textless pages have empty text. Whole pages are read, however long. White space inside a block becomes one space;
+    Null, empty and textless pages have empty text; a page of words without a tag is one block. Repeated rows are each extracted; an
+    empty table gives no rows. Whole pages are read, however long. White space inside a block becomes one space;
     blocks stand in page order with an empty line between them. Columns of pages with a result's name are replaced.
     """
     shared = pages.sparkSession.sparkContext.broadcast(model)

@@ -1,6 +1,7 @@
 """Toxicity by a classifier chain of linear models over hashed word features.
 
-Categories are predicted one after another. Each link is a logistic regression over the text's hashed words and word beginnings
+The labels only say toxic or not, so the categories are found: the toxic documents of the sample are parted into KINDS by the words that
+mark them as toxic (spherical k-means). Categories are predicted one after another, toxic itself last. Each link is a logistic regression over the text's hashed words and word beginnings
 and over the probabilities of all earlier categories; for training those are out-of-fold predictions, so a link learns
 from earlier probabilities such as it will meet.
 """
@@ -22,11 +23,8 @@ BITS = 18
 STARTS = (4, 5)
 #: Word characters as in decontamination: A-Z is folded; other ASCII but digits parts words.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if c <= 0x2F or 0x3A <= c <= 0x60 or 0x7B <= c <= 0x7F else c for c in range(256))
-#: Words whose presence in a text labelled toxic marks a category. The last link is the label itself.
-CATEGORIES = {
-    "insult": ("loser", "idiot", "moron", "clown", "fool", "stupid"),
-    "contempt": ("scum", "trash", "pathetic", "worthless", "disgusting"),
-}
+#: Categories that toxic documents are parted into.
+KINDS = 2
 
 
 class Hasher:
@@ -74,16 +72,52 @@ def log_odds(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
+def telling(features: np.ndarray, row: np.ndarray, n: int, y: np.ndarray) -> np.ndarray:
+    """The chi-squared statistic of each hashed feature against y (0 or 1), above 0 if it speaks for y, below if against."""
+    seen = np.bincount(features, minlength=1 << BITS).astype(float)
+    hits = np.bincount(features, y[row], 1 << BITS)
+    rate = y.mean()
+    return np.where(seen >= 3, np.sign(hits - seen * rate) * (hits - seen * rate) ** 2 / np.maximum(seen * rate * (1 - rate), 1e-9), 0)
+
+
+def toxic_kinds(rows: list[np.ndarray], toxic: np.ndarray, kinds: int = KINDS, most_features: int = 1000, steps: int = 20) -> np.ndarray:
+    """The kind, 0 to kinds - 1, of each toxic row and -1 of the others: spherical k-means over the features that speak most for toxic.
+
+    The first centre is the row with most of them, each further one the row least like those before; ties go to the earlier row.
+    """
+    out = np.full(len(rows), -1)
+    on = np.flatnonzero(toxic > 0)
+    if not len(on) or len(on) == len(rows):
+        out[on] = 0
+        return out
+    chi = telling(*flat(rows), len(rows), toxic)
+    chosen = np.sort(np.argsort(-chi, kind="stable")[:most_features])
+    chosen = chosen[chi[chosen] > 0]
+    x = np.zeros((len(on), len(chosen)), np.float32)
+    for k, i in enumerate(on):
+        own = np.intersect1d(chosen, rows[i])
+        x[k, np.searchsorted(chosen, own)] = np.sqrt(chi[own])
+    size = np.linalg.norm(x, axis=1)
+    x /= np.maximum(size, 1e-9)[:, None]
+    centres = x[[int(size.argmax())]]
+    while len(centres) < kinds:
+        centres = np.vstack((centres, x[int((x @ centres.T).max(1).argmin())]))
+    for _ in range(steps):
+        near = (x @ centres.T).argmax(1)
+        sums = np.stack([x[near == k].sum(0) for k in range(kinds)])
+        centres = sums / np.maximum(np.linalg.norm(sums, axis=1), 1e-9)[:, None]
+    out[on] = (x @ centres.T).argmax(1)
+    return out
+
+
 def fit_link(name: str, features: np.ndarray, row: np.ndarray, n: int, earlier: np.ndarray, y: np.ndarray, most_features: int = 2000, steps: int = 200, ridge: float = 1e-4, least_chi: float = 25.0) -> Link:
     """Logistic regression by Adam; of the features those with the greatest chi-squared statistics, at least least_chi."""
     weights = np.zeros(1 << BITS)
     if not n or y.min() == y.max():
         rate = (y.sum() + 0.5) / (n + 1)
         return Link(name, weights, np.zeros(earlier.shape[1]), float(np.log(rate / (1 - rate))))
-    seen = np.bincount(features, minlength=1 << BITS).astype(float)
-    hits = np.bincount(features, y[row], 1 << BITS)
     rate = y.mean()
-    chi = np.where(seen >= 3, (hits - seen * rate) ** 2 / np.maximum(seen * rate * (1 - rate), 1e-9), 0)
+    chi = np.abs(telling(features, row, n, y))
     chosen = np.sort(np.argsort(-chi, kind="stable")[:most_features])
     chosen = chosen[chi[chosen] > least_chi]
     place = np.full(1 << BITS, -1)
@@ -136,34 +170,31 @@ def predict_chain(chain: list[Link], rows: list[np.ndarray]) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", most_rows: int = 6000) -> list[Link]:
     """The chain, from at most most_rows labelled documents: those whose ids have the smallest hashes, and of these whole texts.
 
-    Labels with a null id or label are left out. The driver gets the sample's feature numbers, some kilobytes a document.
+    Labels with a null id or label are left out; repeated and contradicting ones are each a row, so their document has both. The driver
+    gets the sample's feature numbers, some kilobytes a document. Without labels every link is a constant.
     """
     known = labels.select(F.col(doc_id).alias("__id"), F.col("toxic").cast("int").alias("toxic")).filter("__id is not null and toxic is not null")
     sample = known.orderBy(F.xxhash64("__id", F.lit(29)), "__id", "toxic").limit(most_rows)
     own = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("text")).join(F.broadcast(sample), "__id")
-    marks = list(CATEGORIES.values())
 
     def make():
         hasher = Hasher()
 
-        def work(batch: pa.RecordBatch) -> list:
-            raw = text_bytes(batch.column("text"))
-            words = [set(t.translate(_FOLD).split()) for t in raw]
-            return [[hasher(t) for t in raw], [[any(x.encode() in w for x in mark) for mark in marks] for w in words]]
-
-        return work
+        return lambda batch: [[hasher(t) for t in text_bytes(batch.column("text"))]]
 
-    rows = map_columns(own, ["text"], ["__id", "toxic"], "features array<int>, marks array<boolean>", make).collect()
+    rows = map_columns(own, ["text"], ["__id", "toxic"], "features array<int>", make).collect()
     rows.sort(key=lambda r: (xxhash.xxh64_intdigest(str(r[0])), r[1], r[2]))
     toxic = np.array([float(r[1]) for r in rows])
-    y = {name: np.array([t * r[3][k] for r, t in zip(rows, toxic, strict=True)]) for k, name in enumerate(CATEGORIES)}
-    return fit_chain([np.array(r[2], np.int32) for r in rows], y | {"toxic": toxic})
+    features = [np.array(r[2], np.int32) for r in rows]
+    kind = toxic_kinds(features, toxic)
+    return fit_chain(features, {f"kind_{k + 1}": (kind == k).astype(float) for k in range(KINDS)} | {"toxic": toxic})
 
 
 def score(docs: DataFrame, chain: list[Link], keep: list[str] | None = None, text: str = "text", least: float = 0.3) -> DataFrame:
     """docs (or its columns `keep`) with p_<category> of every link and toxic (the last probability is `least` or more), without a shuffle.
 
-    Whole texts are read. Null and empty texts get the links' intercepts alone. Columns of docs with a result's name are replaced.
+    Whole texts are read, however long; repeated rows are each scored. Null and empty texts get the links' intercepts alone; an empty
+    table gives no rows. Columns of docs with a result's name are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(chain)
     fields = ", ".join(f"p_{link.name} double" for link in chain) + ", toxic boolean"

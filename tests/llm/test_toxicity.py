@@ -35,3 +35,43 @@ def test_held_out_accuracy(spark):
     print(n)
     assert n.get((1, True), 0) > 0.8 * sum(v for k, v in n.items() if k[0] == 1)
     assert n.get((0, False), 0) > 0.99 * sum(v for k, v in n.items() if k[0] == 0)
+
+
+def test_predictions_against_brute_force():
+    import math
+
+    rng = np.random.default_rng(2)
+    rows = [np.unique(rng.integers(0, 1 << t.BITS, rng.integers(0, 40))).astype(np.int32) for _ in range(200)]
+    chain = [t.Link(f"c{k}", rng.normal(0, 1, 1 << t.BITS), rng.normal(0, 1, k), float(rng.normal())) for k in range(3)]
+    got = t.predict_chain(chain, rows)
+    for row, p in zip(rows, got, strict=True):
+        before = []
+        for link, have in zip(chain, p, strict=True):
+            z = link.start + sum(link.weights[f] for f in row.tolist())
+            for w, q in zip(link.earlier.tolist(), before, strict=True):
+                q = min(max(q, 1e-3), 1 - 1e-3)
+                z += w * math.log(q / (1 - q))
+            before.append(1 / (1 + math.exp(-z)))
+            assert abs(before[-1] - have) < 1e-9
+
+
+def test_kinds_part_toxic_documents_by_their_words():
+    rng = np.random.default_rng(5)
+    rows, toxic, group = [], [], []
+    for k in range(400):
+        kind = k % 4  # 0 and 1: two ways to be toxic
+        own = set(rng.integers(100, 900, 20).tolist()) | (set(rng.integers(0, 8, 4).tolist()) if kind == 0 else set(rng.integers(20, 28, 4).tolist()) if kind == 1 else set())
+        rows.append(np.array(sorted(own), np.int32))
+        toxic.append(float(kind < 2))
+        group.append(kind)
+    kinds, group = t.toxic_kinds(rows, np.array(toxic)), np.array(group)
+    assert set(kinds[group > 1]) == {-1}
+    assert {len(set(kinds[group == k])) for k in (0, 1)} == {1} and kinds[group == 0][0] != kinds[group == 1][0]
+    assert t.toxic_kinds(rows, np.zeros(400)).max() == -1
+
+
+def test_repeated_rows_and_very_long_texts(spark):
+    docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (2, "w " * 400_000), (3, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (3, 1)], "doc_id long, toxic int")
+    got = sorted(map(tuple, t.toxicity_digest(docs, labels).collect()))
+    assert len(got) == 4 and got[0] == got[1]

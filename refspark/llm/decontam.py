@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import text_bytes
+from .common import bounded_batches, cut, text_bytes
 
 #: A-Z to a-z; what is no word byte to a space. Bytes from 0x80 are parts of word characters.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if c <= 0x2F or 0x3A <= c <= 0x60 or 0x7B <= c <= 0x7F else c for c in range(256))
@@ -295,21 +295,25 @@ def blocks(items: DataFrame, item_id: str, text: str, block_bytes: int) -> Itera
     yield held
 
 
-def find_contamination(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, shard_words: int = 1 << 20, block_bytes: int = 8 << 20, spans: bool = True, keep_text: bool = True) -> DataFrame:
+def find_contamination(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, shard_words: int = 1 << 20, block_bytes: int = 4 << 20, spans: bool = True, keep_text: bool = True) -> DataFrame:
     """docs, without a shuffle, and n_words, n_hit (words inside an occurrence), item_ids (sorted as strings) and spans (to remove; code points, end exclusive; empty unless `spans`).
 
     Null and empty texts have no words. Repeated documents are each searched. Without items, or with items without words,
     nothing is hit. An item whose id is null counts for hits and spans and is not listed; repeated items are one. A document
     longer than shard_words is a shard of its own. Columns of docs that have a result's name are replaced. The phrases are
-    broadcast in blocks of about block_bytes; more blocks are more passes within the same stage, each adding to the result.
+    broadcast in blocks of about block_bytes, one for each pass over docs; what a pass has found is written before the next, so a task
+    has one worker and one block at a time.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     out = docs.drop(*T._parse_datatype_string(RESULT).names, "__runs")
     parts = blocks(items, item_id, item_text, block_bytes)
     block = next(parts)
     while block is not None:
         then = next(parts, None)
         out = _search_block(out, text, spark.sparkContext.broadcast(Phrases(block, window)), shard_words, spans and then is None, then is None and not keep_text)
+        if then is not None:
+            out = cut(out, "pass")
         block = then
     return out.drop("__runs")
 

@@ -28,7 +28,7 @@ def predictive_regression(aligned: DataFrame, by: tuple[str, ...] = ()) -> DataF
 
 def signal_pnl(df: DataFrame, signal: Column, cost: float = 0.0005) -> DataFrame:
     """position = sign(signal), net = position x the next row's simple return, less cost where the position changes."""
-    ret = F.col("value") / F.lag("value").over(over()) - 1
+    ret = F.try_divide("value", F.lag("value").over(over())) - 1
     held = df.withColumn("__r", ret).withColumn("position", F.signum(signal))
     flip = F.col("position") != F.coalesce(F.lag("position").over(over()), F.lit(0.0))
     return held.withColumn("net", F.col("position") * F.lead("__r").over(over()) - F.when(flip, cost).otherwise(0.0)).filter("net is not null").drop("__r")
@@ -39,7 +39,7 @@ def vol_regime(df: DataFrame, window: int = 60, least: int = 120) -> DataFrame:
 
     A row's cut-offs need its whole history, so a series' cost grows with the square of its length: meant for daily series.
     """
-    r = df.withColumn("r", F.log(F.col("value") / F.lag("value").over(over())))
+    r = df.withColumn("r", F.log(F.try_divide("value", F.lag("value").over(over()))))
     v = r.withColumn("vol", full(window, F.stddev_samp("r"), "r")).filter("vol is not null")
     so_far = over().rowsBetween(W.unboundedPreceding, 0)
     c = v.withColumns({"n": F.count("vol").over(so_far), "cut": F.expr("percentile(vol, array(1e0 / 3, 2e0 / 3))").over(so_far)}).filter(F.col("n") >= least)

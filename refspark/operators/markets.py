@@ -10,9 +10,9 @@ from refspark.functions.normal import norm_cdf
 TAKER = 0.07
 
 
-def violations(df: DataFrame) -> DataFrame:
+def violations(df: DataFrame, underlying: str | None = None) -> DataFrame:
     """df with reasons: what breaks the bracket contract (an empty array is a good row)."""
-    rules = [("null_id", F.col("event_id").isNull()), ("null_time", F.col("decision_time").isNull() | F.col("close_time").isNull()), ("price_range", F.col("entry_price").isNull() | ~F.col("entry_price").between(0, 1)), ("outcome", F.col("outcome").isNull() | ~F.col("outcome").isin(0, 1)), ("close_before_decision", F.col("close_time") < F.col("decision_time"))]
+    rules = [("null_id", F.col("event_id").isNull()), *([("null_underlying", F.col(underlying).isNull())] if underlying else []), ("null_time", F.col("decision_time").isNull() | F.col("close_time").isNull()), ("price_range", F.col("entry_price").isNull() | ~F.col("entry_price").between(0, 1)), ("outcome", F.col("outcome").isNull() | ~F.col("outcome").isin(0, 1)), ("close_before_decision", F.col("close_time") < F.col("decision_time"))]
     return df.withColumn("reasons", F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in rules])))
 
 
@@ -30,8 +30,9 @@ def kelly_size(prob: Column, price: Column, fraction: float, cap: float) -> Colu
 
 
 def bracket_probability(mu: str, sigma: str, low: str, high: str) -> Column:
-    """Mass of a normal within [low, high]."""
-    return F.expr(f"greatest(0e0, least(1e0, {norm_cdf(f'(({high} - {mu}) / {sigma})')} - {norm_cdf(f'(({low} - {mu}) / {sigma})')}))")
+    """Mass of a normal within [low, high]; null, an error of the bracket's specification, unless sigma is above zero."""
+    z = lambda x: norm_cdf(f"try_divide({x} - {mu}, CASE WHEN {sigma} > 0 THEN {sigma} END)")
+    return F.expr(f"greatest(0e0, least(1e0, {z(high)} - {z(low)}))")
 
 
 def backtest(df: DataFrame, prob: str, least_ev: float = 0.0, most_price: float = 0.9, fraction: float = 0.25, cap: float = 0.1) -> DataFrame:

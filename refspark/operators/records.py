@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -101,20 +105,68 @@ def fingerprint(series: DataFrame) -> DataFrame:
     return month.groupBy("series_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "m", "h"))), ","), 256).alias("fingerprint"))
 
 
-def nearest_vectors(queries: DataFrame, corpus: DataFrame, block: int = 256) -> DataFrame:
+#: Queries held in memory by a pass over the corpus, and compared with a batch at a time.
+QUERY_BLOCK, QUERY_PART = 65_536, 1024
+
+
+def nearest_vectors(queries: DataFrame, corpus: DataFrame, block: int = QUERY_BLOCK) -> DataFrame:
     """vec_id, best_id, cosine, status of each query's nearest other vector: >= 0.92 duplicate, >= 0.75 review, else novel.
 
-    Queries stand in blocks of about `block` in one row each, and every block meets every row of the corpus; every task keeps one best row for each query.
+    Exact: queries come in blocks of about `block`, broadcast as one matrix; each task multiplies it with its own vectors, batch by batch,
+    keeps the best of each query and hands on one row for it. A vector of zeros or null is like none: its cosine is 0. Equal cosines go to
+    the smallest id. All vectors have one length.
     """
-    unit = lambda c: F.transform(c, lambda x: x / F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, y: a + y * y)))
-    doubles = F.col("embedding").cast("array<double>")
-    blocks = queries.count() // block + 1
-    q = queries.select("vec_id", unit(doubles).alias("v")).groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("b")).agg(F.collect_list(F.struct("vec_id", "v")).alias("qs"))
-    each = q.crossJoin(corpus.select(F.col("vec_id").alias("other"), unit(doubles).alias("u"))).select("other", "u", F.inline("qs")).filter("other <> vec_id")
-    dot = F.aggregate(F.zip_with("u", "v", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    best = each.select("vec_id", F.struct(F.round(dot, 9).alias("c"), (-F.col("other")).alias("o")).alias("s")).groupBy("vec_id").agg(F.max("s").alias("s"))
-    c = F.col("s.c")
-    return best.select("vec_id", (-F.col("s.o")).alias("best_id"), c.alias("cosine"), F.when(c >= 0.92, "duplicate").when(c >= 0.75, "review").otherwise("novel").alias("status"))
+    return _nearest(queries, corpus, block, 1).withColumn("status", F.when(F.col("cosine") >= 0.92, "duplicate").when(F.col("cosine") >= 0.75, "review").otherwise("novel")).select("vec_id", F.col("other").alias("best_id"), "cosine", "status")
+
+
+def vector_scores(queries: DataFrame, corpus: DataFrame, k: int = 10, block: int = QUERY_BLOCK) -> DataFrame:
+    """vec_id, other, cosine, rank of each query's k nearest other vectors with a cosine above 0; exact, as nearest_vectors."""
+    best = _nearest(queries, corpus, block, k).filter("cosine > 0")
+    return best.withColumn("rank", F.row_number().over(W.partitionBy("vec_id").orderBy(F.desc("cosine"), "other")))
+
+
+def _units(column: pa.Array) -> np.ndarray:
+    rows = [np.asarray(v, np.float64) if v is not None else None for v in column.to_pylist()]
+    wide = next((len(v) for v in rows if v is not None), 0)
+    x = np.stack([v if v is not None else np.zeros(wide) for v in rows]) if rows else np.zeros((0, 0))
+    size = np.sqrt((x * x).sum(1))
+    return np.divide(x, size[:, None], out=np.zeros_like(x), where=size[:, None] > 0)
+
+
+def _nearest(queries: DataFrame, corpus: DataFrame, block: int, k: int) -> DataFrame:
+    spark, fields = corpus.sparkSession, "vec_id bigint, other bigint, cosine double"
+    blocks = max(1, -(-queries.count() // block))
+    out = None
+    for b in range(blocks):
+        mine = queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).select("vec_id", F.col("embedding").cast("array<float>").alias("v")).toArrow().combine_chunks()
+        if not mine.num_rows:
+            continue
+        shared = spark.sparkContext.broadcast((np.array(mine.column("vec_id").to_pylist(), np.int64), _units(mine.column("v").combine_chunks())))
+
+        def score(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            names, q = shared.value
+            best = np.full((len(names), k), -np.inf)
+            whose = np.full((len(names), k), np.iinfo(np.int64).max)
+            for batch in batches:
+                ids = np.array(batch.column(0).to_pylist(), np.int64)
+                u = _units(batch.column(1))
+                for a in range(0, len(names), QUERY_PART):
+                    own = slice(a, a + QUERY_PART)
+                    c = np.round(q[own] @ u.T, 9)
+                    c[names[own, None] == ids[None]] = -np.inf
+                    both, of = np.hstack((best[own], c)), np.hstack((whose[own], np.broadcast_to(ids, c.shape)))
+                    top = np.lexsort((of, -both), axis=1)[:, :k]
+                    best[own], whose[own] = np.take_along_axis(both, top, 1), np.take_along_axis(of, top, 1)
+            on = best > -np.inf
+            row = np.nonzero(on)[0]
+            yield pa.RecordBatch.from_arrays([pa.array(names[row]), pa.array(whose[on]), pa.array(best[on])], names=["vec_id", "other", "cosine"])
+
+        part = corpus.filter("vec_id is not null").select("vec_id", F.col("embedding").cast("array<float>").alias("v")).mapInArrow(score, fields)
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return spark.createDataFrame([], fields)
+    ranked = out.withColumn("__k", F.row_number().over(W.partitionBy("vec_id").orderBy(F.desc("cosine"), "other")))
+    return ranked.filter(F.col("__k") <= k).drop("__k")
 
 
 def reciprocal_ranks(scores: DataFrame, k: int = 60) -> DataFrame:

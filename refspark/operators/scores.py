@@ -126,7 +126,7 @@ def tail_metrics(net: DataFrame) -> DataFrame:
 
 
 def turnover(net: DataFrame) -> DataFrame:
-    """series_id, turnover (mean absolute change of position; the first bar pays its own size) and traded (the sum)."""
+    """series_id, turnover (mean absolute change of position; the first bar pays its own size, a null position is none) and traded (the sum)."""
     before = F.lag("position").over(W.partitionBy("series_id").orderBy("seq"))
-    change = net.withColumn("step", F.abs(F.col("position") - F.coalesce(before, F.lit(0.0))))
+    change = net.withColumn("position", F.coalesce("position", F.lit(0.0))).withColumn("step", F.abs(F.col("position") - F.coalesce(before, F.lit(0.0))))
     return change.groupBy("series_id").agg(F.avg("step").alias("turnover"), F.sum("step").alias("traded"))

@@ -57,36 +57,42 @@ def full(n: int, agg: Column, value: str = "value", by=BY) -> Column:
 
 
 def features(df: DataFrame, n: int = 20) -> DataFrame:
-    """lag, delta, log return, rolling sum, mean, deviation and z-score of value."""
+    """lag, delta, log return, rolling sum, mean, deviation and z-score of value. A return over a value of zero is null."""
     prev = F.lag("value").over(over())
     mean, sd = full(n, F.avg("value")), full(n, F.stddev_samp("value"))
-    return df.withColumns({"lag_1": prev, "delta_1": F.col("value") - prev, "log_return": F.log(F.col("value") / prev), "sum_n": full(n, F.sum("value")), "mean_n": mean, "std_n": sd, "z_n": F.when(sd > 0, (F.col("value") - mean) / sd)})
+    return df.withColumns({"lag_1": prev, "delta_1": F.col("value") - prev, "log_return": F.log(F.try_divide("value", prev)), "sum_n": full(n, F.sum("value")), "mean_n": mean, "std_n": sd, "z_n": F.when(sd > 0, (F.col("value") - mean) / sd)})
 
 
 def benchmarks(df: DataFrame, ahead: int = 5) -> DataFrame:
     """expanding_mean and random_walk, both of rows before this one, and forward_vol: the population deviation of the next log returns."""
-    r = F.log(F.col("value") / F.lag("value").over(over()))
+    r = F.log(F.try_divide("value", F.lag("value").over(over())))
     out = df.withColumn("r", r).withColumns({"expanding_mean": F.avg("value").over(over().rowsBetween(W.unboundedPreceding, -1)), "random_walk": F.lag("value").over(over()), "forward_vol": F.stddev_pop("r").over(over().rowsBetween(1, ahead))})
     return out.drop("r")
 
 
 def regimes(df: DataFrame, n: int = 200) -> DataFrame:
-    """trend (above or below the trailing mean; null until n rows), part_of_week and month_end."""
+    """trend (above or below the trailing mean; null until n rows), part_of_week, day_name, month_end, and session (asia before 8 h,
+    europe before 16 h, us; null unless the series has a stamp off midnight)."""
     mean = full(n, F.avg("value"))
-    return df.withColumns({"trend": F.when(mean.isNotNull(), F.when(F.col("value") > mean, "above").otherwise("below")), "part_of_week": F.when(F.dayofweek("ts").isin(1, 7), "weekend").otherwise("weekday"), "month_end": F.last_day("ts")})
+    intraday = F.bool_or((F.hour("ts") != 0) | (F.minute("ts") != 0)).over(W.partitionBy("series_id"))
+    session = F.when(intraday, F.when(F.hour("ts") < 8, "asia").when(F.hour("ts") < 16, "europe").otherwise("us"))
+    return df.withColumns({"trend": F.when(mean.isNotNull(), F.when(F.col("value") > mean, "above").otherwise("below")), "part_of_week": F.when(F.dayofweek("ts").isin(1, 7), "weekend").otherwise("weekday"), "day_name": F.date_format("ts", "EEEE"), "session": session, "month_end": F.last_day("ts")})
 
 
 def equity_curve(df: DataFrame) -> DataFrame:
-    """equity: the product of 1 + simple returns up to each row."""
-    r = F.col("value") / F.lag("value").over(over())
+    """equity: the product of 1 + simple returns up to each row; a bar after a value of zero or null earns nothing."""
+    r = F.try_divide("value", F.lag("value").over(over()))
     return df.withColumn("step", F.coalesce(r, F.lit(1.0))).withColumn("equity", F.product("step").over(over().rowsBetween(W.unboundedPreceding, 0))).drop("step")
 
 
-def lagged_pnl(df: DataFrame, cost: float = 0.0005) -> DataFrame:
-    """net of holding sign(previous change) over each bar, less cost for each change of position."""
-    move = df.withColumn("change", F.col("value") / F.lag("value").over(over()) - 1)
+def lagged_pnl(df: DataFrame, cost: float = 0.0005, funding: str | None = None) -> DataFrame:
+    """net of holding sign(previous change) over each bar, less the bar's funding, and cost for each change of position.
+
+    Bars without a position or a change (at a series' start, after a value of zero) have no row.
+    """
+    move = df.withColumn("change", F.try_divide("value", F.lag("value").over(over())) - 1)
     held = move.withColumn("position", F.lag(F.signum("change")).over(over()))
-    return held.withColumn("cost", cost * F.abs(F.col("position") - F.coalesce(F.lag("position").over(over()), F.lit(0.0)))).withColumn("net", F.col("position") * F.col("change") - F.col("cost")).filter("net is not null")
+    return held.withColumn("cost", cost * F.abs(F.col("position") - F.coalesce(F.lag("position").over(over()), F.lit(0.0)))).withColumn("net", F.col("position") * (F.col("change") - (F.coalesce(F.col(funding), F.lit(0.0)) if funding else F.lit(0.0))) - F.col("cost")).filter("net is not null")
 
 
 def ols_single(df: DataFrame, x: str = "x", y: str = "y", by: tuple[str, ...] = ()) -> DataFrame:
@@ -98,18 +104,26 @@ def ols_single(df: DataFrame, x: str = "x", y: str = "y", by: tuple[str, ...] =
     return a.select(*by, "n", F.when(good, F.expr("c / vx")).alias("beta"), F.when(good, r).alias("r"), F.when(good, r * r).alias("r2"), F.when(good, r * F.sqrt((F.col("n") - 2) / F.greatest(F.lit(1e-12), 1 - r * r))).alias("t"))
 
 
-def align_lead(x: DataFrame, y: DataFrame, h: int) -> DataFrame:
-    """ts, x, y_h and target_time: y led by h rows of the union of both indexes; incomplete rows go, and then every h-th stays."""
-    j = x.join(y, "ts", "full_outer")
-    w = W.orderBy("ts")
+def align_lead(x: DataFrame, y: DataFrame, h: int, by: tuple[str, ...] = BY) -> DataFrame:
+    """by, ts, x, y_h and target_time: y led by h rows of the union of both indexes; incomplete rows go, and then every h-th stays.
+
+    All is by key, so that many claims are aligned at once, each in its own window.
+    """
+    j = x.join(y, [*by, "ts"], "full_outer")
+    w = W.partitionBy(*by).orderBy("ts")
     led = j.withColumns({"y_h": F.lead("y", h).over(w), "target_time": F.lead("ts", h).over(w)}).filter("x is not null and y_h is not null and target_time is not null")
-    return led.withColumn("k", F.row_number().over(w) - 1).filter(F.col("k") % h == 0).select("ts", "x", "y_h", "target_time")
+    return led.withColumn("k", F.row_number().over(w) - 1).filter(F.col("k") % h == 0).select(*by, "ts", "x", "y_h", "target_time")
+
 
+def asof(left: DataFrame, right: DataFrame, key: str, at: str, value: str, lag_days: int = 0, order: str | None = None) -> DataFrame:
+    """left with `value` of right's latest row at or before its time, by key: one shuffle of both sides and one window, no range join.
 
-def asof(left: DataFrame, right: DataFrame, key: str, at: str, value: str) -> DataFrame:
-    """left with `value` of right's latest row at or before its time, by key: one shuffle of both sides and one window, no range join."""
+    A row of right counts from lag_days after its time on. Of rows of one time the last by `order` counts (without it the largest value).
+    """
+    if lag_days:
+        right = right.withColumn(at, F.col(at) + F.expr(f"interval {lag_days} days"))
     rows = left.withColumns({"__side": F.lit(1), "__v": F.lit(None).cast(right.schema[value].dataType)}).unionByName(
-        right.select(key, at, F.lit(0).alias("__side"), F.col(value).alias("__v")).groupBy(key, at, "__side").agg(F.max("__v").alias("__v")), allowMissingColumns=True)
+        right.select(key, at, F.lit(0).alias("__side"), F.col(value).alias("__v"), *([order] if order else [])).groupBy(key, at, "__side").agg((F.max("__v") if order is None else F.max_by("__v", order)).alias("__v")), allowMissingColumns=True)
     w = W.partitionBy(key).orderBy(at, "__side").rowsBetween(W.unboundedPreceding, 0)
     return rows.withColumn(value, F.last("__v", ignorenulls=True).over(w)).filter("__side = 1").drop("__side", "__v")
 
@@ -140,8 +154,8 @@ def information_coefficient(panel: DataFrame, factor: str, ret: str) -> DataFram
 
 
 def liquidity_screen(panel: DataFrame, top: int, months: int = 3) -> DataFrame:
-    """ts, entity and median of the `top` entities by median dvol over the last `months` rows; ties by entity."""
-    w = W.partitionBy("entity").orderBy("ts").rowsBetween(-(months - 1), 0)
+    """ts, entity and median of the `top` entities by median dvol over the last `months` calendar months; ties by entity."""
+    w = W.partitionBy("entity").orderBy(F.year("ts") * 12 + F.month("ts")).rangeBetween(-(months - 1), 0)
     m = panel.withColumn("median", F.expr("percentile(dvol, 0.5)").over(w))
     return m.withColumn("k", F.row_number().over(W.partitionBy("ts").orderBy(F.desc("median"), "entity"))).filter(F.col("k") <= top).select("ts", "entity", "median", "k")
 
@@ -158,9 +172,18 @@ def resample_agg(df: DataFrame, tie: str, width: str = "day") -> DataFrame:
     return df.filter("value is not null").groupBy("series_id", F.date_trunc(width, "ts").alias("day")).agg(F.max_by("value", at).alias("last"), F.min_by("value", at).alias("first"), F.sum("value").alias("sum"), F.avg("value").alias("mean"), F.count("*").alias("count"), F.max("value").alias("max"), F.min("value").alias("min"))
 
 
-def rebalance_dates(df: DataFrame) -> DataFrame:
-    """The ends of the calendar months that have rows."""
-    return df.select(F.last_day("ts").cast("timestamp").alias("ts")).distinct()
+def rebalance_dates(df: DataFrame, rule: str = "M") -> DataFrame:
+    """The last days of the periods that have rows: D, W (to Sunday), M, kM (k months from January on), Q or Y."""
+    day = F.to_date("ts")
+    if rule == "D":
+        end = day
+    elif rule == "W":
+        end = F.date_add(F.date_trunc("week", day).cast("date"), 6)
+    else:
+        months = {"Q": 3, "Y": 12}.get(rule) or int(rule[:-1] or 1)
+        last = F.ceil((F.year(day) * 12 + F.month(day)) / months) * months - 1  # months since year 0, of the period's last month
+        end = F.last_day(F.make_date(F.floor(last / 12).cast("int"), (last % 12 + 1).cast("int"), F.lit(1)))
+    return df.select(end.cast("timestamp").alias("ts")).distinct()
 
 
 def funding_carry(df: DataFrame, cost: float = 0.0005) -> DataFrame:

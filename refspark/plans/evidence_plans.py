@@ -48,8 +48,8 @@ p AS (SELECT doc_id, n, term, count(*) AS tf FROM u GROUP BY ALL), f AS (SELECT
 s AS (SELECT query_id, doc_id, sum(idf * tf / sqrt(n)) AS score FROM p JOIN f USING (term) JOIN q USING (term) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s)
 SELECT query_id, doc_id, round(score, 5) AS score, rank FROM r WHERE rank <= 10""",
     "h15_injection_flags": f"SELECT page_id, concat_ws(',', {', '.join(f"CASE WHEN regexp_matches(html, '{p}') THEN '{n}' END" for n, p in e.INJECTIONS)}) AS flags FROM pages",
-    "h20_d29_failure_clusters": """WITH n AS (SELECT event_id, event_type, props, trim(regexp_replace(regexp_replace(regexp_replace(lower(props), '"[^"]*"', '<str>', 'g'), '[0-9]+(\\.[0-9]+)?', '<n>', 'g'), '\\s+', ' ', 'g')) AS m FROM events),
-s AS (SELECT *, substr(sha256(event_type || chr(0) || m), 1, 16) AS signature FROM n) SELECT signature, count(*) AS n, count(DISTINCT event_type) AS n_kinds, arg_min(props, event_id) AS example FROM s GROUP BY signature ORDER BY n DESC, signature LIMIT 20""",
+    "h20_d29_failure_clusters": """WITH n AS (SELECT event_id, event_type, props, trim(regexp_replace(regexp_replace(regexp_replace(lower(props), '"[^"]*"', '<q>', 'g'), '[-+]?[0-9]+(\\.[0-9]+)?', '<num>', 'g'), '\\s+', ' ', 'g')) AS m FROM events),
+s AS (SELECT *, substr(sha256(event_type || chr(0) || chr(0) || m), 1, 16) AS signature FROM n) SELECT signature, count(*) AS n, count(DISTINCT event_type) AS n_kinds, arg_min(props, event_id) AS example FROM s GROUP BY signature ORDER BY n DESC, signature LIMIT 20""",
     "h24_chain_breaks": """WITH s AS (SELECT user_id AS run, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events) SELECT run, count(*) AS events, min(seq) FILTER (event_id % 50 = 0) AS broken_seq FROM s GROUP BY run""",
     "a17_upsert_latest": """WITH o AS (SELECT o_custkey AS k, o_orderdate AS "at", o_orderkey % 3 = 0 AS new, max(o_orderkey) AS v FROM orders GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY "at" DESC, new DESC) AS n FROM o) SELECT k, "at", v FROM r WHERE n = 1""",
     "d5_cohort_denominator": "SELECT event_type, user_id, count(*) AS denominator, event_type || ':' || substr(sha256(CAST(user_id AS VARCHAR)), 1, 16) AS cohort_id FROM events GROUP BY ALL",

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from refspark.operators.evidence import normalize_failure
+from refspark.operators.evidence import failure_signature
 
 
 def stream_ohlc(ticks: DataFrame, tie: str, late: str = "1 day", width: str = "1 day") -> DataFrame:
@@ -22,7 +22,7 @@ def stream_ohlc(ticks: DataFrame, tie: str, late: str = "1 day", width: str = "1
 
 def stream_triage(traces: DataFrame, late: str = "7 days", width: str = "1 day") -> DataFrame:
     """day, signature and the count of failures so far: update mode. traces has ts, kind and reason."""
-    signature = F.substring(F.sha2(F.concat_ws("\0", "kind", normalize_failure(F.col("reason"))), 256), 1, 16)
+    signature = failure_signature(F.col("kind"), F.lit(""), F.col("reason"))
     return traces.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), signature.alias("signature")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("day"), "signature", "n")
 
 
@@ -32,7 +32,11 @@ def stream_new_records(records: DataFrame, key: str, at: str = "ts", late: str =
 
 
 def _folder(spark: SparkSession) -> str:
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-stream-")
+    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        at = tempfile.mkdtemp(prefix="spark-stream-")
     return f"{at.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 

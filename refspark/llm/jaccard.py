@@ -1,14 +1,14 @@
 """SimHash near-duplicates held to an exact rule: word shingles of a Jaccard similarity of `over / under` at least.
 
-Operator 9's fingerprints, here of five-word shingles, and its multi-index search propose pairs. At a similarity of 0.8 fingerprints
-lie about ten bits apart, far beyond a small Hamming ball, so a prefix filter proposes the others: each set of shingles is put in one
-fixed order, rare shingles first; two sets of similarity s share a shingle among the first n - ceil(s n) + 1 of each, so only texts
-that share one there are compared. Every comparison is exact, and no pair is missed but by a collision of 64-bit hashes. The order
-comes from the counts in a sample; another sample changes the number of comparisons, never the pairs.
+Operator 9's search proposes pairs, the rule decides. Fingerprints are of single distinct words here, not of shingles: a changed word
+changes five shingles and moves a shingle fingerprint five times as far. Multi-index hashing finds the pairs within `distance` bits: each
+fingerprint is looked up under all values of the small Hamming balls around its segments. Every pair found is compared whole.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -17,10 +17,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import cut, map_columns, text_bytes
-from .simhash import _LOWER, components, links, majority
+from .simhash import _LOWER, components, majority
 
-#: Documents sampled for the order, and shingles remembered as common.
-SAMPLE, COMMON = 20_000, 200_000
+#: A bucket of a segment with more members is searched in rounds; those of so many ranks lead a round of their own, round by round.
+HOT = 64
+ROUNDS = ((1, 1), (2, 8), (9, 64), (65, 1 << 40))
+#: Members ranked in one task.
+SALT = 100_000
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -46,35 +49,6 @@ def node_of(words: list[bytes], seed: int = 42) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def prefix(have: np.ndarray, values: np.ndarray, rank: np.ndarray, over: int, under: int) -> np.ndarray:
-    """The first n - ceil(n over / under) + 1 of have: those outside `values` (ascending) by value, then the others by rank."""
-    n = len(have)
-    if not n:
-        return have
-    keep = n + (-n * over // under) + 1
-    if len(values):
-        at = np.minimum(np.searchsorted(values, have), len(values) - 1)
-        known = values[at] == have
-        have = np.concatenate((have[~known], have[known][np.argsort(rank[at[known]], kind="stable")]))
-    return have[:keep]
-
-
-def common(docs: DataFrame, text: str, size: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles in three or more of SAMPLE documents, ascending, and each one's rank by that count."""
-    share = min(1.0, SAMPLE / max(1, docs.count()))
-
-    def make():
-        return lambda batch: [[shingles(words_of(t), size, seed) for t in text_bytes(batch.column(text))]]
-
-    sample = map_columns(docs.select(text).sample(share, 7), [text], [], "hs array<bigint>", make)
-    found = sample.select(F.explode("hs").alias("h")).groupBy("h").agg(F.count("*").alias("n")).filter("n > 2").orderBy(F.desc("n"), "h").limit(COMMON).toPandas()
-    values, n = found["h"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
-    up = np.argsort(values)
-    rank = np.empty(len(n), np.int64)
-    rank[np.lexsort((values, n))] = np.arange(len(n))
-    return values[up], rank[up]
-
-
 def _bits(nodes: DataFrame, count: int) -> np.ndarray:
     """One bit for each node by its low bits, 16 times as many bits as nodes, up to 16 MB: what isn't in it needn't be read again."""
     size = 1 << min(27, max(10, (16 * count).bit_length()))
@@ -85,12 +59,6 @@ def _bits(nodes: DataFrame, count: int) -> np.ndarray:
     return out
 
 
-#: Members of a bucket that are ranked; the others share the rank after them. Members ranked in one task.
-RANKS, SALT = 64, 100_000
-#: Ranks whose members are compared with those after them, round by round.
-ROUNDS = ((1, 1), (2, 8), (9, RANKS), (RANKS + 1, RANKS + 1))
-
-
 def merged(label: DataFrame | None, edges: DataFrame) -> DataFrame:
     """node, label: the groups of `label` joined by edges (a, b) between their nodes or new ones."""
     ends = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
@@ -105,51 +73,58 @@ def merged(label: DataFrame | None, edges: DataFrame) -> DataFrame:
     return cut(known.join(top, "label", "left").select("node", F.coalesce("top", "label").alias("label")), "labels")
 
 
-def near_duplicates(docs: DataFrame, keep: list[str], text: str = "text", size: int = 5, over: int = 4, under: int = 5, seed: int = 42) -> DataFrame:
-    """The columns `keep` of every row of docs, node (its words' hash) and part: equal for rows linked by pairs of Jaccard >= over / under.
+def near_duplicates(docs: DataFrame, keep: list[str], text: str = "text", size: int = 5, over: int = 4, under: int = 5, distance: int = 7, segments: int = 4, hot: int = HOT, seed: int = 42) -> DataFrame:
+    """The columns `keep` of every row of docs, node (its words' hash) and part: equal for rows linked by pairs of Jaccard >= over / under
+    whose word fingerprints are at most `distance` bits apart.
 
-    Null texts and texts without words are copies of each other. The members of a bucket of a shared shingle are ranked by how much they
-    share with others, so a group's model tends to come first; all are compared with the first, and in later rounds only members that
-    are in different groups by then, so a large group of copies costs its size and not its square. Repeated rows come out as often as
-    they came in; an empty table gives no rows.
+    Null texts and texts without words are copies of each other. In a bucket with over `hot` members these are ranked, all are compared with
+    the first, and in later rounds only members that are in different groups by then, so a large group of copies costs its size and not
+    its square. Repeated rows come out as often as they came in; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    values, rank = common(docs, text, size, seed)
-    fixed = spark.sparkContext.broadcast((values, rank))
 
     def first():
-        v, r = fixed.value
-
         def work(batch):
-            nodes, prints, counts, heads = [], [], [], []
+            nodes, prints = [], []
             for t in text_bytes(batch.column(text)):
                 words = words_of(t)
-                have = shingles(words, size, seed)
                 nodes.append(node_of(words, seed))
-                prints.append(majority(have.view(np.uint64)))
-                counts.append(len(have))
-                heads.append(prefix(have, v, r, over, under))
-            return [pa.array(nodes, pa.int64()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(counts, pa.int32()), heads]
+                prints.append(majority(np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in set(words)), np.uint64)))
+            return [pa.array(nodes, pa.int64()), pa.array(np.array(prints, np.uint64).view(np.int64))]
 
         return work
 
-    own = cut(map_columns(docs, [text], keep, "node bigint, fp bigint, n int, head array<bigint>", first), "own")
+    own = cut(map_columns(docs, [text], keep, "node bigint, fp bigint", first), "own")
     nodes = cut(own.groupBy("node").agg(F.first("fp").alias("fp")), "nodes")
-    same = cut(nodes.groupBy("fp").agg(F.min("node").alias("lead")), "prints")
-    near = links(same.select("fp")).join(same.select(F.col("fp").alias("a"), F.col("lead").alias("x")), "a").join(same.select(F.col("fp").alias("b"), F.col("lead").alias("y")), "b")
-    near = near.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(nodes.join(same, "fp").filter("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")))
-    near = cut(near, "near")
-    rows = own.select("node", "n", F.posexplode("head").alias("pos", "h")).distinct()
-    sizes = rows.groupBy("h").agg(F.count("*").alias("k")).filter("k > 1")
-    rows = cut(rows.join(sizes, "h"), "rows")
-    degree = rows.groupBy("node").agg(F.sum("k").alias("degree"))
-    salt = F.pmod(F.xxhash64("node"), F.ceil(F.col("k") / SALT))  # a bucket is ranked in parts of about SALT members, then the parts' first ones
-    order = (F.desc("degree"), "node")
-    parts = cut(rows.join(degree, "node").withColumn("r", F.row_number().over(W.partitionBy("h", salt).orderBy(*order))), "ranked")
-    tops = parts.filter(F.col("r") <= RANKS).withColumn("place", F.least(F.lit(RANKS + 1), F.row_number().over(W.partitionBy("h").orderBy(*order))))
-    others = parts.filter(F.col("r") > RANKS).withColumn("place", F.lit(RANKS + 1))
-    shared = cut(tops.unionByName(others).select("h", "node", "n", "pos", "k", "place"), "shared")
-    both = cut(shared.select("node").union(near.select("a")).union(near.select("b")).distinct(), "both")
+    width = 64 // segments
+    value = [F.shiftrightunsigned("fp", width * k).bitwiseAND((1 << width) - 1) for k in range(segments)]
+    masks = F.array(*[F.lit(sum(1 << i for i in c)).cast("long") for r in range(distance // segments + 1) for c in combinations(range(width), r)])
+
+    def ball(k: int, upward: bool):
+        every = F.transform(masks, lambda m: F.struct(F.lit(k).alias("s"), value[k].bitwiseXOR(m).alias("v"), (m == 0).alias("same")))
+        return F.filter(every, lambda x: x["v"] >= value[k]) if upward else every
+
+    def rows(upward: bool) -> DataFrame:
+        """node, fp, s, v, same: each node under the values of its segments' balls; upward, under those that aren't lower."""
+        return nodes.select("node", "fp", F.inline(F.concat(*[ball(k, upward) for k in range(segments)])))
+
+    members = nodes.select("node", "fp", F.inline(F.array(*[F.struct(F.lit(k).alias("s"), value[k].alias("v")) for k in range(segments)])))
+    large = cut(members.groupBy("s", "v").agg(F.count("*").alias("k")).filter(F.col("k") > hot), "hot-buckets")
+    near = F.bit_count(F.col("p.fp").bitwiseXOR(F.col("m.fp"))) <= distance
+    p, m = rows(upward=True).alias("p"), members.join(large, ["s", "v"], "left_anti").alias("m")
+    plain = p.join(m, F.expr("p.s = m.s and p.v = m.v and p.node <> m.node and (not p.same or p.node < m.node)") & near)
+    plain = cut(plain.select(F.least("p.node", "m.node").alias("a"), F.greatest("p.node", "m.node").alias("b")).distinct(), "plain")
+    crowded = None
+    if not large.isEmpty():
+        salt = F.pmod(F.xxhash64("node"), F.ceil(F.col("k") / SALT))
+        inside = rows(upward=False).join(large, ["s", "v"]).withColumn("r", F.row_number().over(W.partitionBy("s", "v", "same", salt).orderBy("node")))
+        inside = cut(inside, "inside")
+        tops = inside.filter("same").filter(F.col("r") <= ROUNDS[-1][0]).withColumn("place", F.row_number().over(W.partitionBy("s", "v").orderBy("node")))
+        last = F.lit(ROUNDS[-1][0])
+        crowded = tops.withColumn("place", F.least("place", last)).unionByName(inside.filter(~F.col("same") | (F.col("r") > last)).withColumn("place", last)).drop("r")
+        crowded = cut(crowded, "crowded")
+    both = plain.select(F.col("a").alias("node")).union(plain.select("b"))
+    both = cut((both if crowded is None else both.union(crowded.select("node"))).distinct(), "both")
     bits = spark.sparkContext.broadcast(_bits(both, both.count()))
 
     def again():
@@ -169,25 +144,22 @@ def near_duplicates(docs: DataFrame, keep: list[str], text: str = "text", size:
     sets = cut(sets.join(both, "node", "left_semi").groupBy("node").agg(F.first("hs").alias("hs")), "sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
         x = sets.select(F.col("node").alias("a"), F.col("hs").alias("x"))
         y = sets.select(F.col("node").alias("b"), F.col("hs").alias("y"))
         j = pairs.join(x, "a").join(y, "b").withColumn("i", F.size(F.array_intersect("x", "y")))
         return cut(j.filter(F.col("i") * (over + under) >= over * (F.size("x") + F.size("y"))).select("a", "b"), "edges")
 
-    label = merged(None, verified(near))
-    need = f"{over} * (l.n + m.n)"  # what sizes and places allow at the first shared shingle: over / under of the union at least
-    possible = F.expr(f"{under} * least(l.n, m.n) >= {over} * greatest(l.n, m.n) and {over + under} * least(l.n - l.pos, m.n - m.pos) >= {need}")
-    after = F.expr("l.h = m.h and l.part <> m.part and (l.place < m.place or l.place = m.place and l.node < m.node)")
-    for low, high in ROUNDS:
-        left = shared.filter(F.col("k") > low)
-        if left.isEmpty():
+    label = merged(None, verified(plain))
+    for low, high in ROUNDS if crowded is not None else ():
+        placed = crowded.join(label, "node", "left").withColumn("part", F.coalesce("label", "node")).drop("label")
+        mixed = placed.groupBy("s", "v").agg((F.min("part") < F.max("part")).alias("mixed")).filter("mixed")
+        placed = cut(placed.join(mixed, ["s", "v"]), "placed")
+        if placed.isEmpty():
             break
-        placed = left.join(label, "node", "left").withColumn("part", F.coalesce("label", "node")).drop("label")
-        mixed = placed.groupBy("h").agg((F.min("part") < F.max("part")).alias("mixed")).filter("mixed")
-        placed = cut(placed.join(mixed, "h"), "placed")
-        l, m = placed.filter(F.col("place").between(low, high)).alias("l"), placed.filter(F.col("place") >= low).alias("m")
-        new = verified(l.join(m, after & possible).select(F.col("l.node").alias("a"), F.col("m.node").alias("b")))
+        lead, m = placed.filter(F.col("same") & F.col("place").between(low, high)).alias("p"), placed.filter(F.col("place") >= low).alias("m")
+        after = F.expr("p.s = m.s and p.v = m.v and p.part <> m.part and (not m.same or p.place < m.place or p.place = m.place and p.node < m.node)")
+        pairs = lead.join(m, after & near).select(F.least("p.node", "m.node").alias("a"), F.greatest("p.node", "m.node").alias("b")).distinct()
+        new = verified(cut(pairs, "pairs"))
         if not new.isEmpty():
             label = merged(label, new)
     of = cut(nodes.join(label, "node", "left").select("node", F.coalesce("label", "node").alias("part")), "groups")

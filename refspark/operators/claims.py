@@ -156,8 +156,9 @@ def pool_series(net: DataFrame, by: str) -> DataFrame:
     return net.withColumn("__k", F.row_number().over(order)).withColumns({"series_id": F.col(by), "seq": F.col("__k")}).drop("__k")
 
 
-def walk_forward(frame: DataFrame, hold: int = 5, windows: int = 4, first: float = 0.3, cost: float = 0.0008) -> DataFrame:
-    """series_id, window, trades, mean, sharpe: each `hold`-th row of signal, fut_rv, iv traded, standardised on all rows before its window.
+def walk_forward(frame: DataFrame, hold: int = 5, windows: int = 4, first: float = 0.3, cost: float = 0.0008, rolling: bool = False) -> DataFrame:
+    """series_id, window, trades, mean, sharpe: each `hold`-th row of signal, fut_rv, iv traded, standardised on all rows before its window
+    (rolling: on the last `first` share of the series before it).
 
     Series with fewer than 3 trades a window have no rows.
     """
@@ -165,11 +166,24 @@ def walk_forward(frame: DataFrame, hold: int = 5, windows: int = 4, first: float
     rows = frame.filter("signal is not null and fut_rv is not null and iv is not null").withColumns({"k": F.row_number().over(w.orderBy("ts")) - 1, "n": F.count("*").over(w)})
     past = w.orderBy("ts").rowsBetween(W.unboundedPreceding, -1)
     rows = rows.withColumns({"mu": F.avg("signal").over(past), "sd": F.stddev_samp("signal").over(past)})
+    if rolling:  # by sums up to each row of the signal less its mean, so that little is lost in their differences
+        x = F.col("signal") - F.avg("signal").over(w)
+        rows = rows.withColumn("x", x).withColumns({"s1": F.coalesce(F.sum("x").over(past), F.lit(0.0)), "s2": F.coalesce(F.sum(F.col("x") * F.col("x")).over(past), F.lit(0.0)), "from": F.greatest(F.lit(0).cast("long"), F.col("k") - F.floor(F.col("n") * first))})
+        base = rows.select("series_id", F.col("k").alias("from"), F.col("s1").alias("b1"), F.col("s2").alias("b2"))
+        rows = rows.join(base, ["series_id", "from"]).withColumns({"m": F.col("k") - F.col("from"), "d1": F.col("s1") - F.col("b1"), "d2": F.col("s2") - F.col("b2")})
+        mean = F.expr("try_divide(d1, m)")
+        rows = rows.withColumns({"mu": F.col("signal") - F.col("x") + mean, "sd": F.expr("case when m > 1 then sqrt(greatest(0e0, (d2 - d1 * d1 / m) / (m - 1))) end")})
     entries = rows.filter((F.col("k") % hold == 0) & (F.col("k") < F.col("n") - hold) & (F.col("k") >= F.floor(F.col("n") * first)))
     entries = entries.withColumns({"entries": F.count("*").over(w), "window": F.ntile(windows).over(w.orderBy("ts"))}).filter(F.col("entries") >= 3 * windows)
     start = entries.groupBy("series_id", "window").agg(F.min_by(F.struct("k", "mu", "sd"), "k").alias("s"))
     z = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (F.col("signal") - F.col("s.mu")) / F.col("s.sd")))
     traded = entries.join(start, ["series_id", "window"]).filter("s.k >= 5 and s.sd > 0").withColumn("z", z)
     net = traded.withColumn("net", F.col("z") * (F.col("fut_rv") - F.col("iv")) - F.abs("z") * cost)
-    sharpe = F.when((F.count("*") >= 20) & (F.stddev_samp("net") > 0), F.avg("net") / F.stddev_samp("net") * (365 / hold) ** 0.5)
+    sharpe = F.when((F.count("*") >= 20) & (F.stddev_samp("net") > 0), F.try_divide(F.avg("net"), F.stddev_samp("net")) * (365 / hold) ** 0.5)
     return net.groupBy("series_id", "window").agg(F.count("*").alias("trades"), F.avg("net").alias("mean"), sharpe.alias("sharpe"))
+
+
+def walk_forward_consistent(windows: DataFrame) -> DataFrame:
+    """series_id, windows, consistent: whether every window of walk_forward that has a Sharpe ratio has it above zero; null if none has."""
+    ok = windows.filter("sharpe is not null")
+    return windows.groupBy("series_id").agg(F.count("*").alias("windows")).join(ok.groupBy("series_id").agg(F.bool_and(F.col("sharpe") > 0).alias("consistent")), "series_id", "left")

@@ -56,6 +56,36 @@ def full(n: int, agg: Column, value: str = "value", by=BY) -> Column:
     return F.when(F.count(value).over(w) == n, agg.over(w))
 
 
+def lagged(df: DataFrame, n: int = 1) -> DataFrame:
+    """df with lag_n, delta_n, log_return_n and pct_change of value over n rows; null over a value of zero."""
+    prev = F.lag("value", n).over(over())
+    ratio = F.try_divide("value", prev)
+    return df.withColumns({f"lag_{n}": prev, f"delta_{n}": F.col("value") - prev, f"log_return_{n}": F.log(ratio), "pct_change": ratio - 1})
+
+
+def check_granularity(df: DataFrame, expected: DataFrame) -> DataFrame:
+    """series_id, label, expected, ok: the frequency that a series' gaps show against the one declared for it; unknown is no mismatch."""
+    j = infer_bpy(df).join(expected, "series_id", "left")
+    return j.select("series_id", "label", "expected", ((F.col("label") == "unknown") | F.coalesce(F.col("label") == F.col("expected"), F.lit(True))).alias("ok"))
+
+
+def panel_coverage(panel: DataFrame, by: str) -> DataFrame:
+    """by, first, last, dates, entities, cells of panels (by, ts, entity, value)."""
+    return panel.filter("value is not null").groupBy(by).agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count_distinct("ts").alias("dates"), F.count_distinct("entity").alias("entities"), F.count("*").alias("cells"))
+
+
+def bracket_coverage(brackets: DataFrame, by: str) -> DataFrame:
+    """by, first, last (closing times), events, brackets."""
+    return brackets.groupBy(by).agg(F.min("close_time").alias("first"), F.max("close_time").alias("last"), F.count_distinct("event_id").alias("events"), F.count("*").alias("brackets"))
+
+
+def availability(df: DataFrame, start: str, end: str, least: int = 30) -> DataFrame:
+    """series_id, n, available, reason of every series of df within [start, end]: one that is too short is unavailable, and says so."""
+    inside = F.col("ts").between(F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp"))
+    g = df.groupBy("series_id").agg(F.count_if(inside).alias("n"))
+    return g.withColumns({"available": F.col("n") >= least, "reason": F.when(F.col("n") < least, F.concat(F.lit("data_unavailable: "), F.col("n").cast("string"), F.lit(f" of {least} observations")))})
+
+
 def features(df: DataFrame, n: int = 20) -> DataFrame:
     """lag, delta, log return, rolling sum, mean, deviation and z-score of value. A return over a value of zero is null."""
     prev = F.lag("value").over(over())

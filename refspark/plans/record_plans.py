@@ -67,7 +67,7 @@ QUERIES = {
     "c9_label_join": labelled,
     "c15_nearest_vectors": vectors,
     "c16_anti_known": anti,
-    "d16_check_granularity": lambda s, d: o.infer_bpy(views.price(s, d)).select("series_id", "label", F.col("label").isin("daily", "unknown").alias("ok")),
+    "d16_check_granularity": lambda s, d: o.check_granularity(views.price(s, d), views.price(s, d).selectExpr("series_id", "if(series_id = 'R', 'weekly', 'daily') expected").distinct()),
     "d32_failure_clusters": lambda s, d: r.failure_clusters(kills(s, d)),
     "d33_cross_domain_links": lambda s, d: r.cross_domain_links(kills(s, d)),
     "d40_fingerprint": lambda s, d: r.fingerprint(views.table(s, d, "events").filter("value is not null").selectExpr("event_type series_id", "ts", "value")),
@@ -88,7 +88,7 @@ SQL = {
     "c9_label_join": f"WITH {views.NET_SQL}, {views.PAIR_SQL}, l AS (SELECT CAST(ts AS DATE) AS day, CASE WHEN y > 150000 THEN 'high' ELSE 'low' END AS label FROM pair WHERE ts < TIMESTAMP '2001-01-01') SELECT coalesce(label, 'unknown') AS label, count(*) AS n, round(avg(net), 7) AS mean FROM net LEFT JOIN l ON l.day = CAST(net.ts AS DATE) GROUP BY ALL",
     "c15_nearest_vectors": "WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), p AS (SELECT q.vec_id, e.vec_id AS o, round(list_cosine_similarity(q.v, e.v), 9) AS c FROM e q JOIN e ON q.vec_id <> e.vec_id WHERE q.vec_id % 100 = 0), b AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY c DESC, o) AS k FROM p) SELECT vec_id, o AS best_id, CASE WHEN c >= 0.92 THEN 'duplicate' WHEN c >= 0.75 THEN 'review' ELSE 'novel' END AS status, round(c, 5) AS cosine FROM b WHERE k = 1",
     "c16_anti_known": "WITH e AS (SELECT event_id, user_id, md5(event_type || ':' || props || ':' || user_id % 10) AS receipt, user_id || ':' || event_type AS claim FROM events), n AS (SELECT * FROM e WHERE user_id >= 30 AND receipt NOT IN (SELECT receipt FROM e WHERE user_id < 30) AND claim NOT IN (SELECT claim FROM e WHERE user_id < 30)), a AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY receipt ORDER BY event_id) = 1) SELECT event_id FROM a QUALIFY row_number() OVER (PARTITION BY claim ORDER BY event_id) = 1",
-    "d16_check_granularity": f"SELECT series_id, label, label IN ('daily', 'unknown') AS ok FROM ({SERIES_SQL['d15_infer_bpy']})",
+    "d16_check_granularity": f"SELECT series_id, label, CASE WHEN series_id = 'R' THEN 'weekly' ELSE 'daily' END AS expected, label IN (CASE WHEN series_id = 'R' THEN 'weekly' ELSE 'daily' END, 'unknown') AS ok FROM ({SERIES_SQL['d15_infer_bpy']})",
     "d32_failure_clusters": f"WITH {_KILLS} SELECT reason, domain, count(*) AS n FROM k WHERE reason IS NOT NULL GROUP BY ALL HAVING count(*) >= 2",
     "d33_cross_domain_links": f"WITH {_KILLS}, b AS (SELECT reason, domain, count(*) AS n, min(id) AS id, row_number() OVER (PARTITION BY reason ORDER BY domain) AS r FROM k WHERE reason IS NOT NULL GROUP BY reason, domain) SELECT reason, count(*) AS domains, CAST(sum(n) AS BIGINT) AS total, array_to_string(list_sort(list(CAST(id AS VARCHAR)) FILTER (r <= 3)), ',') AS first FROM b GROUP BY reason HAVING count(*) >= 2",
     "d40_fingerprint": "WITH m AS (SELECT event_type AS series_id, strftime(ts, '%Y-%m') AS m, sha256(array_to_string(list_sort(list(CAST(floor(epoch(ts)) AS BIGINT) || ':' || CAST(round(value * 10000) AS BIGINT))), ',')) AS h FROM events WHERE value IS NOT NULL GROUP BY ALL) SELECT series_id, sha256(array_to_string(list_sort(list(m || '=' || h)), ',')) AS fingerprint FROM m GROUP BY series_id",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from refspark.functions.normal import norm_cdf
@@ -18,6 +20,10 @@ def ticks(s, d):
     return views.table(s, d, "events").selectExpr("event_type series_id", "ts", "value", "event_id")
 
 
+def _union(parts):
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 def _roll(agg: str, n: int = 20) -> str:
     w = f"(PARTITION BY series_id ORDER BY ts ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
     return f"CASE WHEN count(value) OVER {w} = {n} THEN {agg} OVER {w} END"
@@ -30,8 +36,8 @@ def asof_query(s, d):
 
 
 def align_query(s, d):
-    p = views.pair(s, d)
-    return rounded(o.align_lead(p.select("ts", "x"), p.select("ts", "y"), 5), "ts", "x", "target_time", y_h=4)
+    p = views.pairs(s, d)
+    return rounded(o.align_lead(p.drop("y"), p.drop("x"), 5), "series_id", "ts", "x", "target_time", y_h=4)
 
 
 def book_query(s, d):
@@ -76,12 +82,12 @@ SQL = {
     "d10_equity": f"WITH {views.PRICE_SQL} SELECT series_id, ts, round(value / first_value(value) OVER {_W}, 5) AS equity FROM price",
     "e16_lagged_pnl": f"WITH {views.PRICE_SQL}, c AS (SELECT *, value / lag(value) OVER {_W} - 1 AS change FROM price), h AS (SELECT *, lag(sign(change)) OVER {_W} AS position FROM c), k AS (SELECT *, position * change - 0.0005e0 * abs(position - coalesce(lag(position) OVER {_W}, 0)) AS net FROM h) SELECT series_id, ts, CAST(position AS DOUBLE) AS position, round(net, 6) AS net FROM k WHERE net IS NOT NULL",
     "d19_ols_single": f"WITH {views.PAIR_SQL} SELECT count(*) AS n, round(regr_slope(y, x), 4) AS beta, round(corr(y, x), 6) AS r, round(power(corr(y, x), 2), 6) AS r2, round(corr(y, x) * sqrt((count(*) - 2) / greatest(1e-12, 1 - power(corr(y, x), 2))), 5) AS t FROM pair",
-    "c2_c3_align_lead": f"WITH {views.PAIR_SQL}, l AS (SELECT ts, x, lead(y, 5) OVER (ORDER BY ts) AS y_h, lead(ts, 5) OVER (ORDER BY ts) AS target_time FROM pair), k AS (SELECT *, row_number() OVER (ORDER BY ts) - 1 AS k FROM l WHERE x IS NOT NULL AND y_h IS NOT NULL) SELECT ts, x, round(y_h, 4) AS y_h, target_time FROM k WHERE k % 5 = 0",
+    "c2_c3_align_lead": f"WITH {views.PAIRS_SQL}, l AS (SELECT series_id, ts, x, lead(y, 5) OVER {_W} AS y_h, lead(ts, 5) OVER {_W} AS target_time FROM pair), k AS (SELECT *, row_number() OVER {_W} - 1 AS k FROM l WHERE x IS NOT NULL AND y_h IS NOT NULL) SELECT series_id, ts, x, round(y_h, 4) AS y_h, target_time FROM k WHERE k % 5 = 0",
     "c4_asof": "WITH r AS (SELECT o_custkey AS entity, o_orderdate AS ts, max(o_totalprice) AS val FROM orders GROUP BY ALL), l AS (SELECT c_custkey AS entity, TIMESTAMP '1997-06-30' AS ts FROM customer) SELECT l.entity, l.ts, r.val FROM l ASOF LEFT JOIN r ON l.entity = r.entity AND l.ts >= r.ts",
     "e10_e12_cross_section": f"WITH {views.PANEL_SQL}, r AS (SELECT *, CASE WHEN ret IS NOT NULL THEN row_number() OVER (PARTITION BY ts, ret IS NOT NULL ORDER BY ret, entity) END AS k, count(ret) OVER (PARTITION BY ts) AS n, avg(ret) OVER (PARTITION BY ts) AS a, stddev_samp(ret) OVER (PARTITION BY ts) AS d FROM panel) SELECT ts, entity, CASE WHEN k IS NOT NULL THEN CAST(least(10, greatest(1, ceil(k * 10.0e0 / n))) AS INT) END AS bucket, round(k / n, 6) AS rank_pct, round(CASE WHEN n >= 2 AND d > 0 THEN (ret - a) / d END, 5) AS z FROM r",
     "f9_neutral_book": f"WITH {views.PANEL_SQL}, z AS (SELECT ts, ret, (characteristic - avg(characteristic) OVER (PARTITION BY ts)) / (stddev_pop(characteristic) OVER (PARTITION BY ts) + 1e-9) AS z FROM panel WHERE ret IS NOT NULL AND characteristic IS NOT NULL), w AS (SELECT *, z / nullif(sum(abs(z)) OVER (PARTITION BY ts), 0) AS w FROM z) SELECT ts, round(sum(w * ret), 6) AS port_return, round(sum(abs(w)), 6) AS gross FROM w GROUP BY ts",
     "d26_information_coefficient": f"WITH {views.PANEL_SQL}, c AS (SELECT ts, covar_pop(characteristic, ret) AS c, var_pop(characteristic) AS a, var_pop(ret) AS b FROM panel WHERE ret IS NOT NULL GROUP BY ts) SELECT count(*) AS dates, round(avg(c / sqrt(a * b)), 6) AS ic FROM c WHERE a > 0 AND b > 0",
-    "e15_liquidity_screen": f"WITH {views.PANEL_SQL}, m AS (SELECT ts, entity, quantile_cont(dvol, 0.5) OVER (PARTITION BY entity ORDER BY ts ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS med FROM panel), k AS (SELECT *, row_number() OVER (PARTITION BY ts ORDER BY med DESC, entity) AS k FROM m) SELECT ts, entity, k, round(med, 3) AS median FROM k WHERE k <= 5",
+    "e15_liquidity_screen": f"WITH {views.PANEL_SQL}, m AS (SELECT ts, entity, quantile_cont(dvol, 0.5) OVER (PARTITION BY entity ORDER BY year(ts) * 12 + month(ts) RANGE BETWEEN 2 PRECEDING AND CURRENT ROW) AS med FROM panel), k AS (SELECT *, row_number() OVER (PARTITION BY ts ORDER BY med DESC, entity) AS k FROM m) SELECT ts, entity, k, round(med, 3) AS median FROM k WHERE k <= 5",
     "a8_bracket_contract": f"WITH {_BR}, v AS (SELECT CASE WHEN close_time < decision_time THEN 'close_before_decision' END AS reason FROM bracket) SELECT reason, count(*) AS n FROM v GROUP BY reason",
     "b3_b6_fees_and_sizes": f"WITH {_BR} SELECT event_id, line, part, size, round(0.07e0 * {_PP} * (1 - {_PP}), 6) AS fee, round(0.07e0 * entry_price * (1 - entry_price), 6) AS taker, round({_K}, 6) AS kelly FROM bracket",
     "b7_bracket_probability": f"WITH {_BR}, g AS (SELECT event_id, max(mu) AS mu FROM bracket GROUP BY ALL) SELECT event_id, round({norm_cdf('(1e0 - mu)')} - {norm_cdf('(0e0 - mu)')}, 6) AS p FROM g",
@@ -89,12 +95,26 @@ SQL = {
 }
 
 QUERIES |= {
+    "a12_availability": lambda s, d: o.availability(ticks(s, d).withColumn("series_id", F.concat_ws("-", "series_id", F.col("event_id") % 40)), "2024-01-05", "2024-01-20"),
+    "a13_panel_coverage": lambda s, d: o.panel_coverage(views.table(s, d, "events").selectExpr("event_type panel", "to_date(ts) ts", "user_id entity", "value"), "panel"),
+    "a13_bracket_coverage": lambda s, d: o.bracket_coverage(views.bracket(s, d), "city"),
+    "e1_e2_lagged": lambda s, d: rounded(o.lagged(views.price(s, d), 3), "series_id", "ts", lag_3=4, delta_3=4, log_return_3=6, pct_change=6),
+    "e9_calendar_regimes": lambda s, d: o.regimes(ticks(s, d), 3).select("series_id", "event_id", "day_name", "session", "part_of_week"),
+    "e13_rebalance_rules": lambda s, d: _union([o.rebalance_dates(views.price(s, d), rule).select(F.lit(rule).alias("rule"), "ts") for rule in ("D", "W", "M", "2M", "Q", "Y")]),
     "a12_clip_window": lambda s, d: o.clip_window(ticks(s, d), "2024-01-05", "2024-01-20"),
     "d18_resample_agg": lambda s, d: rounded(o.resample_agg(ticks(s, d), "event_id"), "series_id", "day", "last", "first", "count", "max", "min", sum=4, mean=5),
     "e13_rebalance_dates": lambda s, d: o.rebalance_dates(views.price(s, d)),
     "e17_funding_carry": lambda s, d: rounded(o.funding_carry(views.price(s, d).withColumn("value", F.col("value") / 30000 - 1)), "series_id", "ts", position=1, net=6),
 }
 SQL |= {
+    "a12_availability": f"WITH {_TICKS}, g AS (SELECT series_id || '-' || (event_id % 40) AS series_id, count(*) FILTER (ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20') AS n FROM ticks GROUP BY ALL) SELECT series_id, n, n >= 30 AS available, CASE WHEN n < 30 THEN 'data_unavailable: ' || n || ' of 30 observations' END AS reason FROM g",
+    "a13_panel_coverage": "SELECT event_type AS panel, min(CAST(ts AS DATE)) AS first, max(CAST(ts AS DATE)) AS last, count(DISTINCT CAST(ts AS DATE)) AS dates, count(DISTINCT user_id) AS entities, count(*) AS cells FROM events WHERE value IS NOT NULL GROUP BY ALL",
+    "a13_bracket_coverage": f"WITH {_BR} SELECT city, min(close_time) AS first, max(close_time) AS last, count(DISTINCT event_id) AS events, count(*) AS brackets FROM bracket GROUP BY ALL",
+    "e1_e2_lagged": f"WITH {views.PRICE_SQL}, p AS (SELECT *, lag(value, 3) OVER {_W} AS p FROM price) SELECT series_id, ts, round(p, 4) AS lag_3, round(value - p, 4) AS delta_3, round(ln(value / p), 6) AS log_return_3, round(value / p - 1, 6) AS pct_change FROM p",
+    "e9_calendar_regimes": f"WITH {_TICKS} SELECT series_id, event_id, dayname(ts) AS day_name, CASE WHEN hour(ts) < 8 THEN 'asia' WHEN hour(ts) < 16 THEN 'europe' ELSE 'us' END AS session, CASE WHEN dayofweek(ts) IN (0, 6) THEN 'weekend' ELSE 'weekday' END AS part_of_week FROM ticks",
+    "e13_rebalance_rules": f"""WITH {views.PRICE_SQL}, r AS (SELECT 'D' AS rule, CAST(ts AS DATE) AS d FROM price UNION ALL SELECT 'W', CAST(date_trunc('week', ts) AS DATE) + 6 FROM price UNION ALL SELECT 'M', last_day(ts) FROM price
+  UNION ALL SELECT '2M', last_day(make_date(year(ts), CAST(ceil(month(ts) / 2.0) * 2 AS INT), 1)) FROM price UNION ALL SELECT 'Q', last_day(make_date(year(ts), CAST(ceil(month(ts) / 3.0) * 3 AS INT), 1)) FROM price UNION ALL SELECT 'Y', make_date(year(ts), 12, 31) FROM price)
+SELECT DISTINCT rule, CAST(d AS TIMESTAMP) AS ts FROM r""",
     "a12_clip_window": f"WITH {_TICKS}, c AS (SELECT *, count(*) OVER (PARTITION BY series_id) AS n FROM ticks WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20') SELECT series_id, ts, value, event_id FROM c WHERE n >= 30",
     "d18_resample_agg": f"WITH {_TICKS} SELECT series_id, CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, arg_max(value, (ts, event_id)) AS last, arg_min(value, (ts, event_id)) AS first, count(*) AS count, max(value) AS max, min(value) AS min, round(sum(value), 4) AS sum, round(avg(value), 5) AS mean FROM ticks WHERE value IS NOT NULL GROUP BY ALL",
     "e13_rebalance_dates": "SELECT DISTINCT CAST(last_day(l_shipdate) AS TIMESTAMP) AS ts FROM lineitem",

@@ -16,6 +16,21 @@ def sql_functions(s, d):
     return views.bracket(s, d).selectExpr("event_id", "line", "part", "size", "round(fee_frac(entry_price, 0.07D, 1D), 6) fee", "round(kelly_size(0.6D, entry_price, 0.25D, 0.1D), 6) kelly", "round(normal_cdf(mu), 6) phi")
 
 
+def factor_texts(s, d):
+    """Monthly means of each priority's orders as a text of factor blocks, written and read again."""
+    m = views.table(s, d, "orders").groupBy("o_orderpriority", F.date_format("o_orderdate", "yyyyMM").alias("m")).agg(F.round(F.avg("o_totalprice") / 1000, 2).alias("a"), F.round(F.max("o_totalprice") / 1000, 2).alias("b"))
+    lines = m.groupBy("o_orderpriority").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(", ", "m", F.format_string("%.2f", "a"), F.when(F.col("m").endswith("01"), "-99.99").otherwise(F.format_string("%.2f", "b"))))), "\n").alias("rows"))
+    at = jobs.folder(s)
+    lines.select(F.concat(F.lit("Some words\n\n,Mean,Most\n"), "rows", F.lit("\n")).alias("value")).write.text(at)
+    return t.factor_blocks(s, at).groupBy("ts", "name").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
+
+
+def inferred(s, d):
+    """A panel whose date column is found by its content; the years beside it are none."""
+    rows = views.table(s, d, "events").selectExpr("year(ts) y", "cast(ts as string) stamp", "event_type ticker", "value", "event_id")
+    return t.load_panel(rows, order="event_id")
+
+
 def market(s, d):
     b = views.bracket(s, d)
     return b.selectExpr("concat_ws('-', event_id, line, part) ticker", "city", "close_time close_date", "entry_price p_close", "outcome", "volume", "2 * volume open_interest", "entry_price <= 0.35D is_tail")
@@ -37,6 +52,9 @@ def new_records(s, d):
 
 
 QUERIES = {
+    "a1_read_table": lambda s, d: t.read_table(s, f"{d}/events.parquet").groupBy("event_type").agg(F.count("*").alias("n"), F.max("event_id").alias("last")),
+    "a3_infer_date": inferred,
+    "a15_factor_blocks": factor_texts,
     "a2_load_panel": lambda s, d: t.load_panel(views.table(s, d, "events"), "ts", "event_type", "value", "event_id"),
     "a5_panel_contract": lambda s, d: t.panel_contract(views.panel(s, d), "ret")[1],
     "a6_event_calendar": lambda s, d: t.event_calendar(views.table(s, d, "orders").filter("o_orderpriority = '1-URGENT'").select(F.to_date("o_orderdate").alias("day")), "day"),
@@ -53,6 +71,12 @@ _PP = "least(greatest(entry_price, 1e-4), 1 - 1e-4)"
 _BR = views.BRACKET_SQL
 
 SQL = {
+    "a1_read_table": "SELECT event_type, count(*) AS n, max(event_id) AS last FROM events GROUP BY ALL",
+    "a3_infer_date": "SELECT ts, event_type AS entity, arg_max(value, event_id) AS value FROM events GROUP BY ALL",
+    "a15_factor_blocks": """WITH m AS (SELECT o_orderpriority, last_day(o_orderdate) AS d, month(o_orderdate) = 1 AS jan, round(avg(o_totalprice) / 1000, 2) AS a, round(max(o_totalprice) / 1000, 2) AS b FROM orders GROUP BY ALL),
+u AS (SELECT d, 'Mean' AS name, a / 100 AS v FROM m UNION ALL SELECT d, 'Most', b / 100 FROM m WHERE NOT jan) SELECT CAST(d AS TIMESTAMP) AS ts, name, count(*) AS n, round(sum(v), 6) AS total FROM u GROUP BY ALL""",
+    "s2_stream_triage": """SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, substr(sha256(event_type || chr(0) || chr(0) || trim(regexp_replace(regexp_replace(regexp_replace(lower(props), '"[^"]*"', '<q>', 'g'), '[-+]?[0-9]+(\\.[0-9]+)?', '<num>', 'g'), '\\s+', ' ', 'g'))), 1, 16) AS signature, count(*) AS n
+FROM events GROUP BY ALL""",
     "a2_load_panel": "SELECT ts, event_type AS entity, arg_max(value, event_id) AS value FROM events GROUP BY ALL",
     "a5_panel_contract": f"WITH {views.PANEL_SQL}, c AS (SELECT entity, ts, count(*) AS n, count(ret) AS v FROM panel GROUP BY ALL), e AS (SELECT entity, count(*) FILTER (n > 1) AS d, sum(v) AS v FROM c GROUP BY ALL) SELECT CAST(sum(d) AS BIGINT) AS duplicates, count(*) FILTER (v = 0) AS empty_entities, count(*) AS entities FROM e",
     "a6_event_calendar": "SELECT DISTINCT CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) AS event_ts FROM orders WHERE o_orderpriority = '1-URGENT'",

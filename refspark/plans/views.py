@@ -12,6 +12,7 @@ NET_SQL = """net AS (SELECT l_suppkey AS series_id, n_name AS family, l_shipdate
   FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey)"""
 PRICE_SQL = """price AS (SELECT l_returnflag AS series_id, CAST(date_trunc('day', l_shipdate) AS TIMESTAMP) AS ts, avg(l_extendedprice) AS value FROM lineitem GROUP BY ALL)"""
 PAIR_SQL = """pair AS (SELECT CAST(date_trunc('day', o_orderdate) AS TIMESTAMP) AS ts, CAST(count(*) AS DOUBLE) AS x, avg(o_totalprice) AS y FROM orders GROUP BY ALL)"""
+PAIRS_SQL = """pair AS (SELECT o_orderpriority AS series_id, CAST(date_trunc('day', o_orderdate) AS TIMESTAMP) AS ts, CAST(count(*) AS DOUBLE) AS x, avg(o_totalprice) AS y FROM orders GROUP BY ALL)"""
 PANEL_SQL = """month AS (SELECT CAST(last_day(l_shipdate) AS TIMESTAMP) AS ts, l_suppkey AS entity, sum(l_extendedprice) AS dvol, avg(l_discount) AS characteristic FROM lineitem GROUP BY ALL),
 panel AS (SELECT *, ln(dvol / lag(dvol) OVER (PARTITION BY entity ORDER BY ts)) AS ret FROM month)"""
 BRACKET_SQL = """bracket AS (SELECT l_orderkey AS event_id, l_linenumber AS line, l_partkey AS part, l_extendedprice AS size, l_suppkey AS city, o_orderdate AS decision_time, l_shipdate AS close_time,
@@ -38,6 +39,12 @@ def pair(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").groupBy(F.date_trunc("day", "o_orderdate").alias("ts")).agg(F.count("*").cast("double").alias("x"), F.avg("o_totalprice").alias("y"))
 
 
+def pairs(spark: SparkSession, d: str) -> DataFrame:
+    """pair, for each priority of orders."""
+    g = table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("series_id"), F.date_trunc("day", "o_orderdate").alias("ts"))
+    return g.agg(F.count("*").cast("double").alias("x"), F.avg("o_totalprice").alias("y"))
+
+
 def panel(spark: SparkSession, d: str) -> DataFrame:
     m = table(spark, d, "lineitem").groupBy(F.last_day("l_shipdate").cast("timestamp").alias("ts"), F.col("l_suppkey").alias("entity")).agg(F.sum("l_extendedprice").alias("dvol"), F.avg("l_discount").alias("characteristic"))
     return m.withColumn("ret", F.log(F.col("dvol") / F.lag("dvol").over(W.partitionBy("entity").orderBy("ts"))))

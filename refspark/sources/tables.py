@@ -34,8 +34,8 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def infer_date_column(df: DataFrame, least: float = 0.8) -> str | None:
-    """The first column at least that share of whose rows parses as a time: one pass over all columns, one row back."""
-    shares = df.agg(*[F.avg(F.expr(f"int(try_to_timestamp(cast(`{c}` as string)) is not null)")).alias(f"c{i}") for i, c in enumerate(df.columns)]).first()
+    """The first column at least that share of whose rows parses as a time: one pass over all columns, one row back. Plain years and other short numbers are no times."""
+    shares = df.agg(*[F.avg(F.expr(f"int(try_to_timestamp(cast(`{c}` as string)) is not null and not cast(`{c}` as string) rlike '^[0-9]{{1,7}}$')")).alias(f"c{i}") for i, c in enumerate(df.columns)]).first()
     return next((c for c, share in zip(df.columns, shares, strict=True) if (share or 0) >= least), None)
 
 

@@ -31,7 +31,8 @@ def stream_new_records(records: DataFrame, key: str, at: str = "ts", late: str =
     return records.withWatermark(at, late).dropDuplicatesWithinWatermark([key])
 
 
-def _folder(spark: SparkSession) -> str:
+def folder(spark: SparkSession) -> str:
+    """A new path in the folder that driver and executors share: spark.checkpoint.dir; unset, a local session gets a temporary one and a cluster an error."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not at:
         if not spark.sparkContext.master.startswith("local"):
@@ -45,7 +46,7 @@ def run_available(stream: DataFrame, mode: str = "append", keys: tuple[str, ...]
 
     Every batch goes to a folder of its own number, overwritten where a batch is run again, so a restart neither loses nor doubles rows.
     """
-    spark, at = stream.sparkSession, _folder(stream.sparkSession)
+    spark, at = stream.sparkSession, folder(stream.sparkSession)
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{at}/rows/batch={number}")

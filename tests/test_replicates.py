@@ -1,61 +1,102 @@
-"""The registered bootstrap and permutation test against brute force with 2,000 replicates."""
-
-from hashlib import md5
-from math import floor, sqrt
+"""The resampling gates against brute force with their own draws, replicate by replicate."""
 
 import numpy as np
 import pytest
 
-from refspark.plans import registry
+from refspark.operators import gates as g
+
+rng = np.random.default_rng(3)
+NET = {1: rng.normal(0.4, 1, 120), 2: rng.normal(0, 1, 90), "thin": rng.normal(0, 1, 9)}
+NET[2] -= NET[2].mean() - 0.01
+SIDE = {k: np.sign(rng.normal(0, 1, len(x))) for k, x in NET.items()}
 
-REPS = 2000
 
+@pytest.fixture(scope="module")
+def rows(spark):
+    out = [(str(s), k, float(x), float(SIDE[s][k]), float(x * SIDE[s][k])) for s, xs in NET.items() for k, x in enumerate(xs)]
+    out += [("1", 900, None, None, None), ("1", 901, float("nan"), 0.0, None), ("lone", 0, 1.0, 1.0, 1.0), ("flat", 0, 0.0, 0.0, 0.0)]
+    return spark.createDataFrame(out, "series_id string, seq long, net double, position double, payoff double").selectExpr("*", "timestamp'2024-01-01' + make_interval(0, 0, 0, int(seq)) ts", "net as ret").repartition(3)
 
-def draw(*what):
-    return int(md5(":".join(map(str, what)).encode()).hexdigest()[:8], 16)
 
+def test_stationary_blocks_follow_their_rule():
+    at = g.stationary(np.random.default_rng(1), 50, 7, 400)
+    follows = at[:, 1:] == (at[:, :-1] + 1) % 50
+    assert at.min() == 0 and at.max() == 49 and abs(follows.mean() - (1 - 1 / 7 + 1 / 350)) < 0.01
+    assert abs(np.bincount(at.ravel(), minlength=50).std() / 400) < 0.2
 
-@pytest.fixture(scope="module")
-def tables(spark, tmp_path_factory):
-    at = str(tmp_path_factory.mktemp("small"))
-    rng = np.random.default_rng(3)
-    rows = []
-    for k in range(40):
-        high = bool(rng.random() < 0.5)
-        rows.append((1, k, 0.09 if high else 0.01, 0.08 if high else 0.0))  # position follows payoff
-        rows.append((2, k, float(rng.integers(0, 11)) / 100, float(rng.integers(0, 9)) / 100))
-    lines = spark.createDataFrame(rows, "l_suppkey long, l_orderkey long, l_discount double, l_tax double")
-    lines.selectExpr("*", "timestamp'2020-01-01' + make_interval(0, 0, 0, int(l_orderkey)) l_shipdate", "1L l_linenumber", "1L l_partkey", "1.0D l_extendedprice").write.parquet(f"{at}/lineitem.parquet")
-    spark.createDataFrame([(1, 1), (2, 1)], "s_suppkey long, s_nationkey long").write.parquet(f"{at}/supplier.parquet")
-    spark.createDataFrame([(1, "A")], "n_nationkey long, n_name string").write.parquet(f"{at}/nation.parquet")
-    series = {s: [(d, t) for i, _, d, t in rows if i == s] for s in (1, 2)}
-    return at, series
-
-
-def test_block_bootstrap(spark, tables):
-    at, series = tables
-    got = {r.series_id: r for r in registry.queries()["g1_block_bootstrap"](spark, at).collect()}
-    for s, rows in series.items():
-        net, n, means = [(d - 0.048) / 10 for d, _ in rows], len(rows), []
-        for rep in range(1, REPS + 1):
-            total = 0
-            for k in range(n):
-                fresh = k == 0 or draw("b", s, rep, k) % floor(sqrt(n)) == 0
-                place = draw("s", s, rep, k) % n if fresh else (place + 1) % n
-                total += net[place]
-            means.append(total / n)
-        assert got[s].edge_lo == pytest.approx(np.percentile(means, 5), abs=2e-7)
-        assert got[s].edge_hi == pytest.approx(np.percentile(means, 95), abs=2e-7)
-        assert got[s].p_positive == pytest.approx(np.mean(np.array(means) > 1e-12), abs=2e-5)
-
-
-def test_permutation_test(spark, tables):
-    at, series = tables
-    got = {r.series_id: r for r in registry.queries()["g2_permutation_test"](spark, at).collect()}
-    for s, rows in series.items():
-        position, payoff = np.sign([t - 0.04 for _, t in rows]), np.array([d - 0.05 for d, _ in rows])
-        n, seen = len(rows), np.mean(position * payoff)
-        nulls = [np.mean(position * payoff[sorted(range(n), key=lambda k: (draw("p", s, rep, k), k))]) for rep in range(1, REPS + 1)]
-        assert got[s].observed == pytest.approx(seen, abs=2e-7)
-        assert got[s].p == pytest.approx((1 + sum(m >= seen - 1e-12 for m in nulls)) / (REPS + 1), abs=2e-5)
-    assert got[1].p < 1 / 41
+
+def test_block_bootstrap(rows):
+    got = {r.series_id: r for r in g.block_bootstrap(rows, 300).collect()}
+    assert got.keys() == {"1", "2"}
+    for s in (1, 2):
+        x, means, downs, sharpes = NET[s], [], [], []
+        for places in g.stationary(g.generator(str(s), "bootstrap"), len(x), round(len(x) ** 0.5), 300).tolist():
+            drawn = [x[i] for i in places]
+            means.append(sum(drawn) / len(drawn))
+            sharpes.append(means[-1] / np.std(drawn, ddof=1) * 252**0.5)
+            total, peak, down = 0.0, -np.inf, 0.0
+            for v in drawn:
+                total += v
+                peak = max(peak, total)
+                down = max(down, peak - total)
+            downs.append(down)
+        r = got[str(s)]
+        assert [r.edge_lo, r.edge_hi] == pytest.approx(np.percentile(means, [5, 95]))
+        assert [r.sharpe_lo, r.sharpe_hi] == pytest.approx(np.percentile(sharpes, [5, 95]))
+        assert (r.drawdown_median, r.drawdown_p95) == pytest.approx((np.median(downs), np.percentile(downs, 95)))
+        assert r.p_positive == pytest.approx(np.mean(np.array(means) > 0)) and r.includes_zero == (r.edge_lo <= 0 <= r.edge_hi)
+    assert not got["1"].includes_zero and got["2"].includes_zero
+
+
+def test_permutation_test(rows):
+    got = {r.series_id: r for r in g.permutation_test(rows, 300).collect()}
+    for s in (1, 2):
+        side, pay = SIDE[s], NET[s] * SIDE[s]
+        seen = float((side * pay).mean())
+        null = [float((p * side).mean()) for p in g.generator(str(s), "permutation").permuted(np.broadcast_to(pay, (300, len(pay))), axis=1)]
+        assert got[str(s)].observed == pytest.approx(seen)
+        assert got[str(s)].p == pytest.approx((1 + sum(m >= seen - 1e-12 for m in null)) / 301)
+    assert g.permutation_test(rows.limit(0), 10).count() == 0
+
+
+def test_capacity_and_costs(rows, spark):
+    got = {r.series_id: r for r in g.capacity_ci(rows, 200).collect()}
+    x, side = NET[1], SIDE[1]
+    turn = np.abs(np.diff(side)).sum() / len(x)
+    means = [x[p].mean() for p in g.stationary(g.generator("1", "capacity"), len(x), round(len(x) ** 0.5), 200)]
+    caps = [m * 252 / (turn * 252 * 25 / 1e4 / 1e6) for m in means if m > 0]
+    assert (got["1"].capacity_lo, got["1"].capacity_hi) == pytest.approx([round(v, -3) for v in np.percentile(caps, [5, 95])])
+    assert got["1"].p_positive == pytest.approx(len(caps) / 200, abs=1e-3) and got["2"].conditional
+    bench = spark.createDataFrame([("1", 0.0), ("2", 0.0)], "series_id string, bench double")
+    strong = rows.withColumn("net", rows.net + 3)
+    assert {r.series_id: r.breakeven for r in g.cost_sensitivity(strong, bench, 0.001).collect()} == {"1": None, "2": None}
+    assert {r.breakeven for r in g.cost_sensitivity(rows.withColumn("net", rows.net - 3), bench, 0.001).collect()} == {0.001}
+    thin = g.cost_sensitivity(rows.withColumn("net", rows.net + 3), bench, 2.0).filter("breakeven is not null").collect()
+    assert thin and all(r.margin == pytest.approx(r.breakeven / 2.0) for r in thin)
+
+
+def test_sign_flips(rows):
+    got = {(r.series_id, r.block): r for r in g.sign_flip_null(rows, (1, 6), 200).collect()}
+    x = NET[2]
+    for block in (1, 6):
+        signs = g.generator("2", f"flip{block}").integers(0, 2, (200, -(-len(x) // block))) * 2.0 - 1
+        means = []
+        for row in signs.tolist():
+            flipped = [v * row[k // block] for k, v in enumerate(x.tolist())]
+            means.append(np.mean([np.sign(a) * b for a, b in zip(flipped, flipped[1:], strict=False)]))
+        assert got["2", block].mean == pytest.approx(np.mean(means)) and got["2", block].p95 == pytest.approx(np.percentile(means, 95))
+
+
+def test_regime_gate_finds_the_planted_regime(spark):
+    r = np.random.default_rng(9)
+    out = []
+    for k in range(210):
+        weekend = k % 7 in (5, 6)
+        out.append(("week", k, float(r.normal(3 if weekend else 0, 0.5))))
+        out.append(("even", k, float(r.normal(1, 0.5))))
+    df = spark.createDataFrame(out, "series_id string, seq long, net double").selectExpr("*", "timestamp'2024-01-01' + make_interval(0, 0, 0, int(seq)) ts")
+    got = {(x.series_id, x.scheme): x for x in g.regime_gate(df).collect()}
+    assert got["week", "part_of_week"].fragile and got["week", "part_of_week"].best == "weekend" and got["week", "part_of_week"].p < 0.05
+    assert not got["even", "part_of_week"].fragile
+    exempt = {(x.series_id, x.scheme): x.fragile for x in g.regime_gate(df, declared="part_of_week=weekend").collect()}
+    assert not exempt["week", "part_of_week"]

@@ -19,8 +19,7 @@ from pyspark.sql import functions as F
 from .common import cut, map_columns, text_bytes
 from .simhash import _LOWER, components, majority
 
-#: A bucket of a segment with more members is searched in rounds; those of so many ranks lead a round of their own, round by round.
-HOT = 64
+#: Members of a chain of near fingerprints whose ranks lead a round of comparisons of their own, round by round; the last takes all others.
 ROUNDS = ((1, 1), (2, 8), (9, 64), (65, 1 << 40))
 #: Members ranked in one task.
 SALT = 100_000
@@ -73,13 +72,14 @@ def merged(label: DataFrame | None, edges: DataFrame) -> DataFrame:
     return cut(known.join(top, "label", "left").select("node", F.coalesce("top", "label").alias("label")), "labels")
 
 
-def near_duplicates(docs: DataFrame, keep: list[str], text: str = "text", size: int = 5, over: int = 4, under: int = 5, distance: int = 7, segments: int = 4, hot: int = HOT, seed: int = 42) -> DataFrame:
+def near_duplicates(docs: DataFrame, keep: list[str], text: str = "text", size: int = 5, over: int = 4, under: int = 5, distance: int = 7, segments: int = 4, seed: int = 42) -> DataFrame:
     """The columns `keep` of every row of docs, node (its words' hash) and part: equal for rows linked by pairs of Jaccard >= over / under
     whose word fingerprints are at most `distance` bits apart.
 
-    Null texts and texts without words are copies of each other. In a bucket with over `hot` members these are ranked, all are compared with
-    the first, and in later rounds only members that are in different groups by then, so a large group of copies costs its size and not
-    its square. Repeated rows come out as often as they came in; an empty table gives no rows.
+    Null texts and texts without words are copies of each other. First fingerprints are chained: those that share a segment are held
+    against the least of them, and then the balls around segments are searched for pairs that aren't in one chain yet, so a large group of
+    copies makes as many links as it has members. Texts are compared within a chain: all with the first of it, and in later rounds only
+    those that are in different groups by then. Repeated rows come out as often as they came in; an empty table gives no rows.
     """
     spark = docs.sparkSession
 
@@ -100,32 +100,29 @@ def near_duplicates(docs: DataFrame, keep: list[str], text: str = "text", size:
     value = [F.shiftrightunsigned("fp", width * k).bitwiseAND((1 << width) - 1) for k in range(segments)]
     masks = F.array(*[F.lit(sum(1 << i for i in c)).cast("long") for r in range(distance // segments + 1) for c in combinations(range(width), r)])
 
-    def ball(k: int, upward: bool):
+    def ball(k: int):
+        """The values within the radius of segment k that aren't lower: of two values, the lower finds the higher."""
         every = F.transform(masks, lambda m: F.struct(F.lit(k).alias("s"), value[k].bitwiseXOR(m).alias("v"), (m == 0).alias("same")))
-        return F.filter(every, lambda x: x["v"] >= value[k]) if upward else every
-
-    def rows(upward: bool) -> DataFrame:
-        """node, fp, s, v, same: each node under the values of its segments' balls; upward, under those that aren't lower."""
-        return nodes.select("node", "fp", F.inline(F.concat(*[ball(k, upward) for k in range(segments)])))
-
-    members = nodes.select("node", "fp", F.inline(F.array(*[F.struct(F.lit(k).alias("s"), value[k].alias("v")) for k in range(segments)])))
-    large = cut(members.groupBy("s", "v").agg(F.count("*").alias("k")).filter(F.col("k") > hot), "hot-buckets")
-    near = F.bit_count(F.col("p.fp").bitwiseXOR(F.col("m.fp"))) <= distance
-    p, m = rows(upward=True).alias("p"), members.join(large, ["s", "v"], "left_anti").alias("m")
-    plain = p.join(m, F.expr("p.s = m.s and p.v = m.v and p.node <> m.node and (not p.same or p.node < m.node)") & near)
-    plain = cut(plain.select(F.least("p.node", "m.node").alias("a"), F.greatest("p.node", "m.node").alias("b")).distinct(), "plain")
-    crowded = None
-    if not large.isEmpty():
-        salt = F.pmod(F.xxhash64("node"), F.ceil(F.col("k") / SALT))
-        inside = rows(upward=False).join(large, ["s", "v"]).withColumn("r", F.row_number().over(W.partitionBy("s", "v", "same", salt).orderBy("node")))
-        inside = cut(inside, "inside")
-        tops = inside.filter("same").filter(F.col("r") <= ROUNDS[-1][0]).withColumn("place", F.row_number().over(W.partitionBy("s", "v").orderBy("node")))
-        last = F.lit(ROUNDS[-1][0])
-        crowded = tops.withColumn("place", F.least("place", last)).unionByName(inside.filter(~F.col("same") | (F.col("r") > last)).withColumn("place", last)).drop("r")
-        crowded = cut(crowded, "crowded")
-    both = plain.select(F.col("a").alias("node")).union(plain.select("b"))
-    both = cut((both if crowded is None else both.union(crowded.select("node"))).distinct(), "both")
-    bits = spark.sparkContext.broadcast(_bits(both, both.count()))
+        return F.filter(every, lambda x: x["v"] >= value[k])
+
+    def chained(label: DataFrame | None) -> DataFrame:
+        return nodes.withColumn("part", F.col("node")) if label is None else nodes.join(label, "node", "left").select("node", "fp", F.coalesce("label", "node").alias("part"))
+
+    def near(x: str, y: str):
+        return F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= distance
+
+    exact = F.array(*[F.struct(F.lit(k).alias("s"), value[k].alias("v")) for k in range(segments)])
+    members = nodes.select("node", "fp", F.inline(exact))
+    lead = members.groupBy("s", "v").agg(F.min(F.struct("node", "fp")).alias("lead"), F.count("*").alias("k")).filter("k > 1")
+    star = members.join(lead, ["s", "v"]).filter((F.col("node") != F.col("lead.node")) & near("fp", "lead.fp"))
+    chain = merged(None, cut(star.select(F.col("lead.node").alias("a"), F.col("node").alias("b")).distinct(), "star"))
+    placed = cut(chained(chain), "chained")
+    p = placed.select("node", "fp", "part", F.inline(F.concat(*[ball(k) for k in range(segments)]))).alias("p")
+    m = placed.select("node", "fp", "part", F.inline(exact)).alias("m")
+    found = p.join(m, F.expr("p.s = m.s and p.v = m.v and p.part <> m.part and (not p.same or p.node < m.node)") & near("p.fp", "m.fp"))
+    chain = merged(chain, cut(found.select(F.least("p.node", "m.node").alias("a"), F.greatest("p.node", "m.node").alias("b")).distinct(), "found"))
+    members = cut(nodes.join(chain, "node").select("node", "fp", F.col("label").alias("chain")), "members")
+    bits = spark.sparkContext.broadcast(_bits(members, members.count()))
 
     def again():
         mask, known = len(bits.value) * 8 - 1, bits.value
@@ -141,7 +138,7 @@ def near_duplicates(docs: DataFrame, keep: list[str], text: str = "text", size:
         return work
 
     sets = map_columns(docs, [text], [], "node bigint, hs array<bigint>", again).filter("node is not null")
-    sets = cut(sets.join(both, "node", "left_semi").groupBy("node").agg(F.first("hs").alias("hs")), "sets")
+    sets = cut(sets.join(members.select("node"), "node", "left_semi").groupBy("node").agg(F.first("hs").alias("hs")), "sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
         x = sets.select(F.col("node").alias("a"), F.col("hs").alias("x"))
@@ -149,18 +146,24 @@ def near_duplicates(docs: DataFrame, keep: list[str], text: str = "text", size:
         j = pairs.join(x, "a").join(y, "b").withColumn("i", F.size(F.array_intersect("x", "y")))
         return cut(j.filter(F.col("i") * (over + under) >= over * (F.size("x") + F.size("y"))).select("a", "b"), "edges")
 
-    label = merged(None, verified(plain))
-    for low, high in ROUNDS if crowded is not None else ():
-        placed = crowded.join(label, "node", "left").withColumn("part", F.coalesce("label", "node")).drop("label")
-        mixed = placed.groupBy("s", "v").agg((F.min("part") < F.max("part")).alias("mixed")).filter("mixed")
-        placed = cut(placed.join(mixed, ["s", "v"]), "placed")
-        if placed.isEmpty():
+    sizes = members.groupBy("chain").agg(F.count("*").alias("k"))
+    salt = F.pmod(F.xxhash64("node"), F.ceil(F.col("k") / SALT))
+    ranked = cut(members.join(sizes, "chain").withColumn("r", F.row_number().over(W.partitionBy("chain", salt).orderBy("node"))), "ranked")
+    last = ROUNDS[-1][0]
+    tops = ranked.filter(F.col("r") < last).withColumn("place", F.least(F.lit(last), F.row_number().over(W.partitionBy("chain").orderBy("node"))))
+    ranked = cut(tops.unionByName(ranked.filter(F.col("r") >= last).withColumn("place", F.lit(last))).drop("r"), "places")
+    label = None
+    for low, high in ROUNDS:
+        parts = ranked.filter(F.col("k") > low).withColumn("part", F.col("node")) if label is None else ranked.filter(F.col("k") > low).join(label, "node", "left").withColumn("part", F.coalesce("label", "node")).drop("label")
+        mixed = parts.groupBy("chain").agg((F.min("part") < F.max("part")).alias("mixed")).filter("mixed")
+        parts = cut(parts.join(mixed, "chain"), "parts")
+        if parts.isEmpty():
             break
-        lead, m = placed.filter(F.col("same") & F.col("place").between(low, high)).alias("p"), placed.filter(F.col("place") >= low).alias("m")
-        after = F.expr("p.s = m.s and p.v = m.v and p.part <> m.part and (not m.same or p.place < m.place or p.place = m.place and p.node < m.node)")
-        pairs = lead.join(m, after & near).select(F.least("p.node", "m.node").alias("a"), F.greatest("p.node", "m.node").alias("b")).distinct()
-        new = verified(cut(pairs, "pairs"))
+        x, y = parts.filter(F.col("place").between(low, high)).alias("x"), parts.filter(F.col("place") >= low).alias("y")
+        pairs = x.join(y, F.expr("x.chain = y.chain and x.part <> y.part and (x.place < y.place or x.place = y.place and x.node < y.node)") & near("x.fp", "y.fp"))
+        new = verified(cut(pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")), "pairs"))
         if not new.isEmpty():
             label = merged(label, new)
+    label = label if label is not None else members.select("node", F.col("node").alias("label"))
     of = cut(nodes.join(label, "node", "left").select("node", F.coalesce("label", "node").alias("part")), "groups")
     return own.select(*keep, "node").join(of, "node").select(*keep, "node", "part")

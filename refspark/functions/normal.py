@@ -12,10 +12,10 @@ PPF_D = (0.007784695709041462, 0.3224671290700398, 2.445134137142996, 3.75440866
 
 
 def _polynomial(coefficients: tuple[float, ...], x: str) -> str:
-    out = f"{coefficients[0]!r}D"
+    out = f"{coefficients[0]!r}e0"
     for c in coefficients[1:]:
-        out = f"({out} * {x} + {c!r}D)"
-    return out.replace("D", "e0")
+        out = f"({out} * {x} + {c!r}e0)"
+    return out
 
 
 def norm_cdf(x: str) -> str:

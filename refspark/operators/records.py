@@ -77,7 +77,7 @@ def open_requests(requests: DataFrame) -> DataFrame:
 
 
 def failure_clusters(records: DataFrame, least: int = 2) -> DataFrame:
-    """reason, domain, n of kills; `least` at least."""
+    """reason, domain, n of structural kills; `least` at least. records holds those alone: no verdict for want of power or of data."""
     return records.filter("reason is not null").groupBy("reason", "domain").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
 
 
@@ -100,7 +100,8 @@ def anti_known(new: DataFrame, seen: DataFrame, keys: tuple[str, ...], order: st
 
 def fingerprint(series: DataFrame) -> DataFrame:
     """series_id, fingerprint: a hash of months' hashes of (second, value in ten-thousandths); a group is a month of a series."""
-    line = F.concat_ws(":", F.unix_timestamp("ts"), F.round(F.col("value") * 10000).cast("long"))
+    finite = F.when(~F.isnan("value") & (F.abs("value") < 1e14), F.round(F.col("value") * 10000).cast("long").cast("string")).otherwise(F.col("value").cast("string"))
+    line = F.concat_ws(":", F.unix_timestamp("ts"), finite)
     month = series.groupBy("series_id", F.date_format("ts", "yyyy-MM").alias("m")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), ","), 256).alias("h"))
     return month.groupBy("series_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "m", "h"))), ","), 256).alias("fingerprint"))
 
@@ -114,7 +115,7 @@ def nearest_vectors(queries: DataFrame, corpus: DataFrame, block: int = QUERY_BL
 
     Exact: queries come in blocks of about `block`, broadcast as one matrix; each task multiplies it with its own vectors, batch by batch,
     keeps the best of each query and hands on one row for it. A vector of zeros or null is like none: its cosine is 0. Equal cosines go to
-    the smallest id. All vectors have one length.
+    the smallest id. Vectors have the queries' length; one of another length is like a null.
     """
     return _nearest(queries, corpus, block, 1).withColumn("status", F.when(F.col("cosine") >= 0.92, "duplicate").when(F.col("cosine") >= 0.75, "review").otherwise("novel")).select("vec_id", F.col("other").alias("best_id"), "cosine", "status")
 
@@ -125,9 +126,9 @@ def vector_scores(queries: DataFrame, corpus: DataFrame, k: int = 10, block: int
     return best.withColumn("rank", F.row_number().over(W.partitionBy("vec_id").orderBy(F.desc("cosine"), "other")))
 
 
-def _units(column: pa.Array) -> np.ndarray:
-    rows = [np.asarray(v, np.float64) if v is not None else None for v in column.to_pylist()]
-    wide = next((len(v) for v in rows if v is not None), 0)
+def _units(column: pa.Array, wide: int) -> np.ndarray:
+    """Each vector by its length, in float64; null, empty and zero ones are zeros."""
+    rows = [np.asarray(v, np.float64) if v is not None and len(v) == wide else None for v in column.to_pylist()]
     x = np.stack([v if v is not None else np.zeros(wide) for v in rows]) if rows else np.zeros((0, 0))
     size = np.sqrt((x * x).sum(1))
     return np.divide(x, size[:, None], out=np.zeros_like(x), where=size[:, None] > 0)
@@ -138,10 +139,11 @@ def _nearest(queries: DataFrame, corpus: DataFrame, block: int, k: int) -> DataF
     blocks = max(1, -(-queries.count() // block))
     out = None
     for b in range(blocks):
-        mine = queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).select("vec_id", F.col("embedding").cast("array<float>").alias("v")).toArrow().combine_chunks()
+        mine = queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).select("vec_id", F.col("embedding").cast("array<double>").alias("v")).toArrow().combine_chunks()
         if not mine.num_rows:
             continue
-        shared = spark.sparkContext.broadcast((np.array(mine.column("vec_id").to_pylist(), np.int64), _units(mine.column("v").combine_chunks())))
+        wide = max((len(v) for v in mine.column("v").to_pylist() if v is not None), default=0)
+        shared = spark.sparkContext.broadcast((np.array(mine.column("vec_id").to_pylist(), np.int64), _units(mine.column("v").combine_chunks(), wide)))
 
         def score(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             names, q = shared.value
@@ -149,7 +151,7 @@ def _nearest(queries: DataFrame, corpus: DataFrame, block: int, k: int) -> DataF
             whose = np.full((len(names), k), np.iinfo(np.int64).max)
             for batch in batches:
                 ids = np.array(batch.column(0).to_pylist(), np.int64)
-                u = _units(batch.column(1))
+                u = _units(batch.column(1), q.shape[1])
                 for a in range(0, len(names), QUERY_PART):
                     own = slice(a, a + QUERY_PART)
                     c = np.round(q[own] @ u.T, 9)
@@ -161,7 +163,7 @@ def _nearest(queries: DataFrame, corpus: DataFrame, block: int, k: int) -> DataF
             row = np.nonzero(on)[0]
             yield pa.RecordBatch.from_arrays([pa.array(names[row]), pa.array(whose[on]), pa.array(best[on])], names=["vec_id", "other", "cosine"])
 
-        part = corpus.filter("vec_id is not null").select("vec_id", F.col("embedding").cast("array<float>").alias("v")).mapInArrow(score, fields)
+        part = corpus.filter("vec_id is not null").select("vec_id", F.col("embedding").cast("array<double>").alias("v")).mapInArrow(score, fields)
         out = part if out is None else out.unionByName(part)
     if out is None:
         return spark.createDataFrame([], fields)

@@ -51,25 +51,46 @@ def deflation_benchmark(trials: str, variance: str) -> str:
     return f"(CASE WHEN {trials} >= 2 AND {variance} > 0 THEN sqrt({variance}) * ({1 - EULER} * {e1} + {EULER} * {e2}) ELSE 0e0 END)"
 
 
+def fold(seq: Column, seen: Column) -> Column:
+    """1 to 3: the third of the first `seen` rows that a row is in; the first thirds take what is over."""
+    base, over = F.floor(seen / 3), seen % 3
+    head = over * (base + 1)
+    return F.when(seq <= head, F.ceil(F.try_divide(seq, base + 1))).otherwise(over + F.ceil(F.try_divide(seq - head, base))).cast("int")
+
+
+def _fold_moments() -> list[Column]:
+    """Aggregates of part's rows that the folds' t are made of."""
+    seen = F.floor(F.col("n") * (0.5 + 0.3))
+    of = lambda k: F.when((F.col("part") != "holdout") & (fold(F.col("seq"), seen) == k), F.col("net"))
+    out = [F.count(F.when(F.col("part") != "holdout", F.col("net"))).alias("seen")]
+    for k in (1, 2, 3):
+        out += [F.count(of(k)).alias(f"__k{k}"), F.avg(of(k)).alias(f"__m{k}"), F.stddev_samp(of(k)).alias(f"__s{k}")]
+    return out
+
+
+def _fold_columns(df: DataFrame) -> DataFrame:
+    """df, aggregated by _fold_moments, with fold_1..3, min_fold_t and consistent."""
+    df = df.withColumns({f"fold_{k}": F.expr(f"CASE WHEN seen >= 30 AND __k{k} >= 5 AND __s{k} > 0 THEN round(__m{k} / (__s{k} / sqrt(__k{k})), 3) END") for k in (1, 2, 3)})
+    up = F.expr("coalesce(fold_1 > 0 AND fold_2 > 0 AND fold_3 > 0, false)")
+    return df.withColumns({"min_fold_t": F.least("fold_1", "fold_2", "fold_3"), "consistent": up}).drop(*[f"__{c}{k}" for c in "kms" for k in (1, 2, 3)])
+
+
 def three_fold(net: DataFrame) -> DataFrame:
     """series_id, fold_1..3 (t of each third of the rows before the holdout), min_fold_t and consistent (three folds, all above 0)."""
-    seen = part(net).filter("part <> 'holdout'").withColumn("fold", F.ntile(3).over(W.partitionBy("series_id").orderBy("seq")))
-    t = seen.groupBy("series_id", "fold").agg(F.count("net").alias("k"), F.avg("net").alias("m"), F.stddev_samp("net").alias("s")).withColumn("t", F.expr("CASE WHEN k >= 5 AND s > 0 THEN round(m / (s / sqrt(k)), 3) END"))
-    one = lambda k: F.max(F.when(F.col("fold") == k, F.col("t"))).alias(f"fold_{k}")
-    out = t.groupBy("series_id").agg(F.sum("k").alias("seen"), one(1), one(2), one(3), F.min("t").alias("min_fold_t"), F.count(F.when(F.col("t") > 0, 1)).alias("up"))
-    few = F.col("seen") < 30
-    return out.select("series_id", *[F.when(~few, F.col(f"fold_{k}")).alias(f"fold_{k}") for k in (1, 2, 3)], F.when(~few, F.col("min_fold_t")).alias("min_fold_t"), (~few & (F.col("up") == 3)).alias("consistent"))
+    out = _fold_columns(part(net).filter("part <> 'holdout'").groupBy("series_id").agg(*_fold_moments()))
+    return out.select("series_id", "fold_1", "fold_2", "fold_3", "min_fold_t", "consistent")
 
 
 def score_split(net: DataFrame, bpy: float = 252.0) -> DataFrame:
-    """series_id, family, n, n_oos and the parts' scores; dsr waits for the ledger."""
+    """series_id, family, n, n_oos, the parts' scores, and three_fold's columns, in one aggregation; dsr waits for the ledger."""
     of = lambda p: F.when(F.col("part") == p, F.col("net"))
-    s = part(net).groupBy("series_id", "family").agg(F.max("n").alias("n"), *moments(of("oos"), "o_"), *moments(of("is"), "i_"), *moments(F.col("net"), "f_"), *moments(of("holdout"), "h_"), F.sum("net").alias("total"), F.avg(F.when(F.col("part") != "holdout", F.col("net"))).alias("seen_mean"))
-    b = str(bpy)
+    s = part(net).groupBy("series_id", "family").agg(F.max("n").alias("n"), *moments(of("oos"), "o_"), *moments(of("is"), "i_"), *moments(F.col("net"), "f_"), *moments(of("holdout"), "h_"), F.sum("net").alias("total"), F.avg(F.when(F.col("part") != "holdout", F.col("net"))).alias("seen_mean"), *_fold_moments())
+    s, b = _fold_columns(s), str(bpy)
     return s.withColumns({
         "n_oos": F.col("o_k"), "oos_sharpe": sharpe("o_k", "o_mean", "o_sd", b), "is_sharpe": sharpe("i_k", "i_mean", "i_sd", b), "full_sharpe": sharpe("f_k", "f_mean", "f_sd", b),
         "per_trade_sharpe": F.expr("CASE WHEN o_sd > 0 THEN o_mean / o_sd END"), "edge_t": F.expr("CASE WHEN o_sd > 0 THEN o_mean / (o_sd / sqrt(o_k)) END"),
         "psr": psr("o_"), "ann_ret": F.col("seen_mean") * bpy, "holdout_sharpe": sharpe("h_k", "h_mean", "h_sd", b), "holdout_psr": psr("h_"),
+        "status": F.when(F.col("n") < LEAST_OOS, "insufficient_trades").otherwise("scored"),
     })
 
 
@@ -106,9 +127,7 @@ def verdict(scored: DataFrame) -> DataFrame:
 def referee(net: DataFrame) -> DataFrame:
     """One verdict row for each series of net."""
     scored = trial_stats(score_split(net)).withColumn("bench", F.expr(deflation_benchmark("n_trials", "sr_variance")))
-    scored = scored.withColumn("dsr", psr("o_", "bench")).join(three_fold(net), "series_id", "left")
-    scored = scored.withColumn("consistent", F.coalesce("consistent", F.lit(False)))  # a series of one row is all holdout
-    return verdict(scored.withColumns(power("n_oos")))
+    return verdict(scored.withColumn("dsr", psr("o_", "bench")).withColumns(power("n_oos")))
 
 
 def max_drawdown(net: DataFrame) -> DataFrame:
@@ -118,11 +137,22 @@ def max_drawdown(net: DataFrame) -> DataFrame:
 
 
 def tail_metrics(net: DataFrame) -> DataFrame:
-    """series_id, skew (population), cvar_5 and cvar_95 (means of the ceil(5 %) worst and best), tail_ratio, and extremes."""
+    """series_id, n, skew (population; null for under 20 rows or a nearly constant series), cvar_5 and cvar_95 (means of the ceil(5 %) worst and
+    best), tail_ratio, the extremes, worst_vs_typical (the largest loss over the 95th percentile of gains) and asymmetric (small gains against
+    large losses: skew <= -0.5 with a tail ratio of 3, or skew <= -3 from 40 rows on). Rows that aren't finite are left out; one sort of a series."""
     w = W.partitionBy("series_id")
-    r = net.withColumns({"up": F.row_number().over(w.orderBy(F.asc("net"), "seq")), "down": F.row_number().over(w.orderBy(F.desc("net"), "seq")), "n": F.count("*").over(w)}).withColumn("k", F.greatest(F.lit(1), F.ceil(F.col("n") * 0.05)))
-    out = r.groupBy("series_id").agg(F.max("n").alias("n"), F.skewness("net").alias("skew"), F.avg(F.when(F.col("up") <= F.col("k"), F.col("net"))).alias("cvar_5"), F.avg(F.when(F.col("down") <= F.col("k"), F.col("net"))).alias("cvar_95"), F.min("net").alias("max_loss"), F.max("net").alias("max_gain"))
-    return out.withColumn("tail_ratio", F.expr("CASE WHEN cvar_95 > 0 THEN abs(cvar_5) / cvar_95 END"))
+    ok = net.filter("net is not null and not isnan(net) and abs(net) < double('infinity')")
+    r = ok.withColumns({"up": F.row_number().over(w.orderBy("net", "seq")), "n": F.count("*").over(w)}).withColumn("k", F.greatest(F.lit(1), F.ceil(F.col("n") * 0.05)))
+    worst, best = F.col("up") <= F.col("k"), F.col("up") > F.col("n") - F.col("k")
+    out = r.groupBy("series_id").agg(
+        F.max("n").alias("n"), F.skewness("net").alias("g"), F.stddev_pop("net").alias("sd"), F.avg("net").alias("mu"), F.avg(F.when(worst, F.col("net"))).alias("cvar_5"), F.avg(F.when(best, F.col("net"))).alias("cvar_95"),
+        F.min("net").alias("max_loss"), F.max("net").alias("max_gain"), F.expr("percentile(net, 0.95) filter (where net > 0)").alias("gain"),
+    )
+    scale = F.greatest(F.abs("mu"), F.abs("max_loss"), F.abs("max_gain"), F.lit(1e-12))
+    out = out.withColumn("skew", F.when((F.col("n") >= 20) & (F.col("sd") > 0) & (F.col("sd") >= 1e-9 * scale), F.col("g")))
+    out = out.withColumns({"tail_ratio": F.expr("CASE WHEN cvar_95 > 0 THEN abs(cvar_5) / cvar_95 END"), "worst_vs_typical": F.expr("CASE WHEN gain > 0 THEN abs(max_loss) / gain END")})
+    asymmetric = F.expr("coalesce(skew <= -3.0 and n >= 40, false) or coalesce(skew <= -0.5 and tail_ratio >= 3.0, false)")
+    return out.withColumn("asymmetric", asymmetric).drop("g", "sd", "mu", "gain")
 
 
 def turnover(net: DataFrame) -> DataFrame:

@@ -29,12 +29,6 @@ def fold_power(sizes: list[str]) -> Column:
     return F.expr(f"CASE WHEN {' AND '.join(f'{n} >= 5' for n in sizes)} THEN {power} END")
 
 
-def tail_asymmetric(tail: DataFrame) -> Column:
-    """Small gains against large losses: skewed at most -0.5 with worst losses three times the best gains, or skewed at most -3 with 40 rows or more."""
-    del tail
-    return F.expr("coalesce(skew <= -0.5 and tail_ratio >= 3.0, false) or coalesce(skew <= -3.0 and n >= 40, false)")
-
-
 def decide(scored: DataFrame, cost_gate: bool = False) -> DataFrame:
     """scored with verdict, kill_reason and reasons (an array, in the order in which they were found).
 

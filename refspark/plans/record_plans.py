@@ -14,7 +14,7 @@ from refspark.plans.series_plans import SQL as SERIES_SQL
 
 def kills(s, d):
     net = views.net(s, d)
-    return scores.referee(net).select(F.col("series_id").alias("id"), F.col("kill_reason").alias("reason"), F.col("family").alias("domain"))
+    return scores.referee(net).filter("verdict = 'kill'").select(F.col("series_id").alias("id"), F.col("kill_reason").alias("reason"), F.col("family").alias("domain"))
 
 
 def trials(s, d):
@@ -78,7 +78,7 @@ QUERIES = {
     "h31_unprocessed": new_sources,
 }
 _DEC = "dec AS (SELECT o_custkey AS claim_id, o_orderpriority AS source, o_orderstatus AS run_id, o_orderdate AS t, o_orderkey AS seq, CASE WHEN o_totalprice > 100000 THEN 'kill' ELSE 'watch' END AS verdict, o_orderstatus = 'O' AS open FROM orders)"
-_KILLS = f"k AS (SELECT series_id AS id, kill_reason AS reason, n_name AS domain FROM ({SQL_SLICE}) JOIN supplier ON s_suppkey = series_id JOIN nation ON n_nationkey = s_nationkey)"
+_KILLS = f"k AS (SELECT series_id AS id, kill_reason AS reason, n_name AS domain FROM ({SQL_SLICE}) JOIN supplier ON s_suppkey = series_id JOIN nation ON n_nationkey = s_nationkey WHERE verdict = 'kill')"
 _CASES = " ".join(f"WHEN {' OR '.join(f'''contains(t, '{w}')''' for w in words)} THEN '{name}'" for name, words in r.DOMAINS)
 SQL = {
     "a18_register_trials": "WITH g AS (SELECT o_custkey AS strategy, o_orderkey % 2 AS half, count(*) AS n, max(o_totalprice) > 300000 AS scored FROM orders GROUP BY ALL), o AS (SELECT * FROM g WHERE half = 0), n AS (SELECT * FROM g WHERE half = 1) SELECT coalesce(o.strategy, n.strategy) AS strategy, CASE WHEN o.scored THEN o.n ELSE greatest(o.n, n.n) END AS denominator, coalesce(o.scored, false) AS scored FROM o FULL JOIN n ON o.strategy = n.strategy",

@@ -52,7 +52,7 @@ QUERIES = {
     "d6_score_split": lambda s, d: rounded(scores.score_split(views.net(s, d)), "series_id", "n", "n_oos", oos_sharpe=6, is_sharpe=6, per_trade_sharpe=6, edge_t=6, psr=6, ann_ret=6),
     "d7_three_fold": lambda s, d: scores.three_fold(views.net(s, d)),
     "d9_max_drawdown": lambda s, d: rounded(scores.max_drawdown(views.net(s, d)), "series_id", max_drawdown=6),
-    "d8_tail_metrics": lambda s, d: rounded(scores.tail_metrics(views.net(s, d)), "series_id", "n", skew=6, cvar_5=6, cvar_95=6, tail_ratio=6, max_loss=6, max_gain=6),
+    "d8_tail_metrics": lambda s, d: rounded(scores.tail_metrics(views.net(s, d)), "series_id", "n", "asymmetric", worst_vs_typical=6, skew=6, cvar_5=6, cvar_95=6, tail_ratio=6, max_loss=6, max_gain=6),
     "d11_turnover": lambda s, d: rounded(scores.turnover(views.net(s, d)), "series_id", turnover=6, traded=6),
     "g13_holdout": lambda s, d: rounded(scores.score_split(views.net(s, d)), "series_id", holdout_sharpe=6, holdout_psr=6),
     "g12_power": lambda s, d: rounded(scores.part(views.net(s, d)).filter("part = 'oos'").groupBy("series_id").agg(F.count("*").alias("n_oos")).withColumns(scores.power("n_oos")), "series_id", "n_oos", "sufficient", "needed_bars", mde=6, mde_annual=6),
@@ -63,7 +63,7 @@ SQL = {
     "d6_score_split": f"WITH {_PART}, {_SCORES} SELECT series_id, n, k AS n_oos, round(CASE WHEN k >= 20 AND sd > 0 THEN m / sd * sqrt(252) END, 6) AS oos_sharpe, round(CASE WHEN ik >= 20 AND isd > 0 THEN im / isd * sqrt(252) END, 6) AS is_sharpe, round(CASE WHEN sd > 0 THEN m / sd END, 6) AS per_trade_sharpe, round(CASE WHEN sd > 0 THEN m / (sd / sqrt(k)) END, 6) AS edge_t, round({_psr('k', 'm', 'sd', 'g3', '(g4)')}, 6) AS psr, round(seen_mean * 252, 6) AS ann_ret FROM s",
     "d7_three_fold": f"WITH {_PART}, {_FOLDS} SELECT * FROM folds",
     "d9_max_drawdown": f"WITH {views.NET_SQL}, e AS (SELECT *, sum(net) OVER (PARTITION BY series_id ORDER BY seq) AS eq FROM net), f AS (SELECT *, max(eq) OVER (PARTITION BY series_id ORDER BY seq) - eq AS down FROM e) SELECT series_id, round(max(down), 6) AS max_drawdown FROM f GROUP BY ALL",
-    "d8_tail_metrics": f"WITH {views.NET_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY net, seq) AS up, row_number() OVER (PARTITION BY series_id ORDER BY net DESC, seq) AS down, count(*) OVER (PARTITION BY series_id) AS n, avg(net) OVER (PARTITION BY series_id) AS mu FROM net), a AS (SELECT series_id, max(n) AS n, avg(power(net - mu, 3)) / power(avg(power(net - mu, 2)), 1.5) AS skew, avg(net) FILTER (up <= greatest(1, ceil(n * 0.05e0))) AS lo, avg(net) FILTER (down <= greatest(1, ceil(n * 0.05e0))) AS hi, min(net) AS max_loss, max(net) AS max_gain FROM r GROUP BY series_id) SELECT series_id, n, round(skew, 6) AS skew, round(lo, 6) AS cvar_5, round(hi, 6) AS cvar_95, round(CASE WHEN hi > 0 THEN abs(lo) / hi END, 6) AS tail_ratio, round(max_loss, 6) AS max_loss, round(max_gain, 6) AS max_gain FROM a",
+    "d8_tail_metrics": f"WITH {views.NET_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY net, seq) AS up, row_number() OVER (PARTITION BY series_id ORDER BY net DESC, seq) AS down, count(*) OVER (PARTITION BY series_id) AS n, avg(net) OVER (PARTITION BY series_id) AS mu FROM net), a AS (SELECT series_id, max(n) AS n, avg(power(net - mu, 3)) / power(avg(power(net - mu, 2)), 1.5) AS skew, avg(net) FILTER (up <= greatest(1, ceil(n * 0.05e0))) AS lo, avg(net) FILTER (down <= greatest(1, ceil(n * 0.05e0))) AS hi, min(net) AS max_loss, max(net) AS max_gain, quantile_cont(net, 0.95) FILTER (net > 0) AS gain FROM r GROUP BY series_id) SELECT series_id, n, coalesce((skew <= -3 AND n >= 40) OR (skew <= -0.5 AND hi > 0 AND abs(lo) / hi >= 3), false) AS asymmetric, round(CASE WHEN gain > 0 THEN abs(max_loss) / gain END, 6) AS worst_vs_typical, round(skew, 6) AS skew, round(lo, 6) AS cvar_5, round(hi, 6) AS cvar_95, round(CASE WHEN hi > 0 THEN abs(lo) / hi END, 6) AS tail_ratio, round(max_loss, 6) AS max_loss, round(max_gain, 6) AS max_gain FROM a",
     "d11_turnover": f"WITH {views.NET_SQL}, t AS (SELECT series_id, abs(position - coalesce(lag(position) OVER (PARTITION BY series_id ORDER BY seq), 0)) AS step FROM net) SELECT series_id, round(avg(step), 6) AS turnover, round(sum(step), 6) AS traded FROM t GROUP BY ALL",
     "g13_holdout": f"WITH {_PART}, {_SCORES} SELECT series_id, round(CASE WHEN hk >= 20 AND hs > 0 THEN hm / hs * sqrt(252) END, 6) AS holdout_sharpe, round({_psr('hk', 'hm', 'hs', 'h3', '(h4)')}, 6) AS holdout_psr FROM s",
     "g12_power": f"WITH {_PART} SELECT series_id, count(*) AS n_oos, 1.645 / sqrt(count(*)) <= 0.05 AS sufficient, CAST(1083 AS BIGINT) AS needed_bars, round(1.645 / sqrt(count(*)), 6) AS mde, round(1.645 / sqrt(count(*)) * sqrt(252), 6) AS mde_annual FROM p WHERE part = 'oos' GROUP BY series_id",

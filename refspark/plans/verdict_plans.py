@@ -47,7 +47,7 @@ def full_gates(s, d):
     perm = g.permutation_test(n, 2000).select("series_id", F.col("p").alias("permutation_p"))
     regime = g.regime_gate(n).groupBy("series_id").agg(F.bool_or("fragile").alias("regime_fragile"))
     over = g.cpcv(n).select("series_id", F.col("overfit").alias("cpcv_overfit"))
-    tail = scores.tail_metrics(n).withColumn("tail_asymmetric", v.tail_asymmetric(n)).select("series_id", "tail_asymmetric")
+    tail = scores.tail_metrics(n).select("series_id", F.col("asymmetric").alias("tail_asymmetric"))
     odd = n.groupBy("series_id").agg(F.avg("net").alias("m"), F.stddev_samp("net").alias("sd"))
     j = base.join(odd, "series_id").withColumn("implausible", reserve.implausible(F.col("oos_sharpe"), F.col("m"), F.col("sd")))
     for t in (boot, perm, regime, over, tail):

@@ -93,11 +93,16 @@ def form_factor(panel: DataFrame, signal: str, ret: str, buckets: int = 10, hold
     return legs.groupBy("ts").agg(F.avg(F.col("high") - F.col("low")).alias("net")), members.drop("cohort")
 
 
-def forecast_skill(df: DataFrame, forecast: Column, h: int = 1) -> DataFrame:
-    """series_id, ts, net: (benchmark - value)^2 - (forecast - value)^2, the benchmark being the mean of all rows before; each h-th row."""
-    b = F.avg("value").over(over().rowsBetween(W.unboundedPreceding, -1))
+def forecast_skill(df: DataFrame, forecast: Column, h: int = 1, benchmark: str = "expanding_mean", least: int = 1) -> DataFrame:
+    """series_id, ts, net: (benchmark - value)^2 - (forecast - value)^2; each h-th row, of series that have `least` such rows.
+
+    The benchmark is the mean of all rows before (expanding_mean) or the row before (random_walk).
+    """
+    b = F.avg("value").over(over().rowsBetween(W.unboundedPreceding, -1)) if benchmark == "expanding_mean" else F.lag("value").over(over())
     out = df.withColumns({"f": forecast, "b": b}).filter("f is not null and b is not null and value is not null")
-    return out.withColumn("k", F.row_number().over(over()) - 1).filter(F.col("k") % h == 0).select("series_id", "ts", F.expr("(b - value) * (b - value) - (f - value) * (f - value)").alias("net"))
+    out = out.withColumn("k", F.row_number().over(over()) - 1).filter(F.col("k") % h == 0)
+    out = out.withColumn("n", F.count("*").over(W.partitionBy("series_id"))).filter(F.col("n") >= least)
+    return out.select("series_id", "ts", F.expr("(b - value) * (b - value) - (f - value) * (f - value)").alias("net"))
 
 
 def two_factor(df: DataFrame, y: str, a: str, b: str, by: tuple[str, ...]) -> DataFrame:
@@ -205,3 +210,10 @@ def walk_forward_consistent(windows: DataFrame) -> DataFrame:
     """series_id, windows, consistent: whether every window of walk_forward that has a Sharpe ratio has it above zero; null if none has."""
     ok = windows.filter("sharpe is not null")
     return windows.groupBy("series_id").agg(F.count("*").alias("windows")).join(ok.groupBy("series_id").agg(F.bool_and(F.col("sharpe") > 0).alias("consistent")), "series_id", "left")
+
+
+def tail_positions(trades: DataFrame, capacity_frac: float = 0.1, notional: float = 1000.0, least_interest: float = 0.0) -> DataFrame:
+    """day, city, position: the part of the notional that tail_fade holds in each city's brackets, without caps on pairs."""
+    ok = trades.filter(F.expr("is_tail and volume > 0")).filter(F.col("open_interest") >= least_interest)
+    size = capacity_frac * F.least("volume", "open_interest")
+    return ok.groupBy(F.date_trunc("day", "close_time").alias("day"), "city").agg((F.sum(size) / notional).alias("position"))

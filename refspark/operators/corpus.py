@@ -66,6 +66,16 @@ FOLDS = {
 LONG_FOLDS = {"…": "...", "→": "->", "⇒": "->", "⟶": "->"}
 FILLER = ("usd", "close", "px", "last", "value", "series", "the", "rate")
 CONTEXT_CAP = 1200
+# Words that name no series, words too common to name one alone, and the tickers of assets that prose spells out.
+PROSE_STOP = ("a", "an", "and", "as", "at", "by", "daily", "for", "from", "in", "index", "of", "on", "signal", "the", "to", "with")
+GENERIC = ("abs", "change", "delta", "funding", "native", "perp", "price", "prices", "prob", "probability", "ret", "return", "returns", "rv", "signal", "spot", "vol", "volume")
+TICKERS = {
+    "bitcoin": "btc", "ethereum": "eth", "solana": "sol", "ripple": "xrp", "dogecoin": "doge", "cardano": "ada",
+    "chainlink": "link", "binance": "bnb", "polkadot": "dot", "avalanche": "avax", "litecoin": "ltc", "polygon": "matic",
+}
+# Classes of candidates, and those that can be tested now.
+CANDIDATE_CLASSES = ("testable_now", "testable_with_new_module", "requires_data_acquisition", "conceptual_only")
+TESTABLE = CANDIDATE_CLASSES[:2]
 
 
 def _any(text: Column, words: tuple[str, ...]) -> Column:
@@ -395,3 +405,60 @@ def similar_statements(records: DataFrame, least: float = 0.6, top: int = 50, ba
     right = sets.select(F.col("id").alias("b"), F.col("w").alias("bw"), F.col("verdict").alias("b_verdict"))
     j = pairs.join(left, "a").join(right, "b").withColumn("similarity", F.size(F.array_intersect("aw", "bw")) / F.size(F.array_union("aw", "bw")))
     return j.filter(F.col("similarity") >= least).select("a", "b", "similarity", "a_verdict", "b_verdict").orderBy(F.desc("similarity"), "a", "b").limit(top)
+
+
+def prose_tokens(text: Column) -> Column:
+    """The words of a text that may name a series, each asset's name followed by its ticker."""
+    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda w: (w != "") & ~w.isin(*PROSE_STOP))
+    ticker = lambda w: _table(TICKERS)[w]
+    return F.flatten(F.transform(words, lambda w: F.when(ticker(w).isNull(), F.array(w)).otherwise(F.array(w, ticker(w)))))
+
+
+def resolve_series(prose: DataFrame, catalog: DataFrame) -> DataFrame:
+    """id, series, score, full: the catalogue's series whose words a text covers best; null if it covers under half of them, or one word only.
+
+    A word covers another if one begins with the other, three letters at least; each word of the text covers one of a name, in order. Ties go
+    to more distinct words of the text, then to the later name. One word is enough for a name of one word that isn't generic. A text meets only
+    names that share the first three letters of a word with it. prose: id, text; catalog: name.
+    """
+    names = catalog.filter(F.trim("name") != "").select("name").distinct().select("name", prose_tokens(F.col("name")).alias("n")).filter("size(n) > 0")
+    texts = prose.select("id", prose_tokens(F.col("text")).alias("d"))
+    heads = lambda c: F.explode(F.array_distinct(F.transform(F.filter(c, lambda w: F.length(w) >= 3), lambda w: F.substring(w, 1, 3))))
+    pairs = texts.select("id", heads("d").alias("h")).join(names.select("name", heads("n").alias("h")), "h").select("id", "name").distinct()
+    j = pairs.join(texts, "id").join(names, "name")
+    covers = lambda a, b: (F.length(a) >= 3) & (F.length(b) >= 3) & (a.startswith(b) | b.startswith(a))
+
+    def step(used: Column, word: Column) -> Column:
+        free = F.filter(F.sequence(F.lit(0), F.size("d") - 1), lambda i: ~F.array_contains(used, i) & covers(word, F.get("d", i)))
+        return F.when(F.size(free) > 0, F.concat(used, F.slice(free, 1, 1))).otherwise(used)
+
+    j = j.withColumn("used", F.aggregate("n", F.array().cast("array<int>"), step))
+    j = j.withColumns({"score": F.size("used") / F.size("n"), "words": F.size(F.array_distinct(F.transform("used", lambda i: F.get("d", i)))), "k": F.size("n"), "one": F.get("n", F.lit(0))})
+    best = j.groupBy("id").agg(F.max(F.struct("score", "words", "name", "k", "one")).alias("b"))
+    alone = (F.col("b.k") == 1) & (F.col("b.score") == 1.0) & (F.length("b.one") >= 3) & ~F.col("b.one").isin(*GENERIC)
+    ok = (F.col("b.score") >= 0.5) & ((F.col("b.words") >= 2) | alone)
+    found = best.select("id", F.when(ok, F.col("b.name")).alias("series"), F.when(ok, F.col("b.score")).alias("score"), F.when(ok, F.col("b.score") == 1.0).alias("full"))
+    return prose.select("id").join(found, "id", "left")
+
+
+def admit_candidates(candidates: DataFrame, nodes: DataFrame, catalog: DataFrame) -> DataFrame:
+    """run, candidate, candidate_class, reasons, admitted: generated claims that may be tested, and why the others may not.
+
+    candidates: run, candidate (in order), statement, candidate_class, cites (node ids), params (a map of name to text), grid (names), inputs
+    (series). A statement that a run has made before, in any case and spacing, is its duplicate. nodes: node_id of what may be cited; catalog: name.
+    """
+    none = F.array().cast("array<string>")
+    said = F.lower(F.trim(F.regexp_replace(F.coalesce("statement", F.lit("")), r"\s+", " ")))
+    kind = F.when(F.col("candidate_class").isin(*CANDIDATE_CLASSES), F.col("candidate_class")).otherwise("conceptual_only")
+    c = candidates.withColumns({"candidate_class": kind, "__again": F.row_number().over(W.partitionBy("run", said).orderBy("candidate")) > 1, "__empty": said == ""})
+    cited = c.select("run", "candidate", F.explode("cites").alias("node_id")).join(nodes.select("node_id").distinct(), "node_id", "left_semi").select("run", "candidate").distinct().withColumn("__grounded", F.lit(True))
+    unknown = c.select("run", "candidate", F.explode("inputs").alias("name")).join(catalog.select("name").distinct(), "name", "left_anti").select("run", "candidate").distinct().withColumn("__unknown", F.lit(True))
+    j = c.join(cited, ["run", "candidate"], "left").join(unknown, ["run", "candidate"], "left")
+    number = F.forall(F.map_values("params"), lambda v: v.rlike(r"^\s*[-+]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][-+]?[0-9]+)?\s*$"))
+    outside = F.size(F.array_except(F.coalesce("grid", none), F.coalesce(F.map_keys("params"), none))) > 0
+    flaws = [
+        (F.col("__again"), "duplicate_in_run"), (~F.col("candidate_class").isin(*TESTABLE), "not_testable"), (F.col("__empty"), "missing_statement"), (F.col("__grounded").isNull(), "ungrounded"),
+        (~F.coalesce(number, F.lit(True)), "params_not_numeric"), (outside, "grid_outside_params"), (F.col("__unknown").isNotNull(), "unknown_series"),
+    ]
+    reasons = F.array_compact(F.array(*[F.when(when, F.lit(name)) for when, name in flaws]))
+    return j.select("run", "candidate", "candidate_class", reasons.alias("reasons"), (F.size(reasons) == 0).alias("admitted"))

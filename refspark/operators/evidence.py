@@ -153,6 +153,15 @@ def injection_flags(text: Column) -> Column:
     return F.array_compact(F.array(*[F.when(text.rlike(p), F.lit(n)) for n, p in INJECTIONS]))
 
 
+def cohort_denominators(claims: DataFrame) -> DataFrame:
+    """source, family, cohort_id, denominator: the claims of a source in a family that are ready to be run; 1 for a single preregistered one.
+
+    claims: source, family, ready, single.
+    """
+    g = claims.filter("ready").groupBy("source", "family").agg(F.count("*").alias("n"), F.bool_and("single").alias("single"))
+    return g.select("source", "family", F.concat_ws(":", F.col("source"), F.substring(F.sha2(F.col("family").cast("string"), 256), 1, 16)).alias("cohort_id"), F.when(F.col("single") & (F.col("n") == 1), 1).otherwise(F.col("n")).alias("denominator"))
+
+
 def family_counts(df: DataFrame, source: str, family: str) -> DataFrame:
     """source, family, cohort_id and denominator: how many trials a source has registered in a family."""
     return df.groupBy(source, family).agg(F.count("*").alias("denominator")).withColumn("cohort_id", F.concat_ws(":", F.col(source), F.substring(F.sha2(F.col(family).cast("string"), 256), 1, 16)))

@@ -190,3 +190,15 @@ def graph_expand(seeds: DataFrame, edges: DataFrame, hops: int = 2) -> DataFrame
 def unprocessed(sources: DataFrame, seen: DataFrame) -> DataFrame:
     """Sources whose content hash isn't among those seen."""
     return sources.withColumn("hash", F.sha2(F.coalesce("text", F.lit("")), 256)).join(seen.select("hash").distinct(), "hash", "left_anti")
+
+
+def fused_ranks(vector: DataFrame, lexical: DataFrame, k: int = 60) -> DataFrame:
+    """query_id, id, score: the sum over both searches of 1 / (k + rank); a document's words count only if its vector wasn't found.
+
+    vector, lexical: query_id, id, score, the best of each query.
+    """
+    def ranked(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("r", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))).select("query_id", "id", (1.0 / (k + F.col("r"))).alias("score"))
+
+    words = ranked(lexical).join(vector.select("query_id", "id"), ["query_id", "id"], "left_anti")
+    return ranked(vector).unionByName(words).groupBy("query_id", "id").agg(F.sum("score").alias("score"))

@@ -222,3 +222,20 @@ def funding_carry(df: DataFrame, cost: float = 0.0005) -> DataFrame:
     held = df.withColumn("position", sign)
     before = F.lag("position").over(over())
     return held.withColumn("net", F.col("position") * F.col("value") - F.when(F.col("position") != F.coalesce(before, F.lit(0.0)), cost).otherwise(0.0)).filter("net is not null")
+
+
+def neutral_books(rows: DataFrame) -> DataFrame:
+    """factor, ts, port_return, gross of many factors at once: dollar_neutral_book by (factor, ts). rows: factor, ts, entity, value, ret."""
+    by = W.partitionBy("factor", "ts")
+    ok = rows.filter(F.col("value").isNotNull() & F.col("ret").isNotNull())
+    z = ok.withColumn("z", (F.col("value") - F.avg("value").over(by)) / (F.stddev_pop("value").over(by) + 1e-9))
+    w = z.withColumn("w", F.try_divide("z", F.sum(F.abs("z")).over(by)))
+    return w.groupBy("factor", "ts").agg(F.sum(F.col("w") * F.col("ret")).alias("port_return"), F.sum(F.abs("w")).alias("gross"))
+
+
+def ranked_coefficients(rows: DataFrame, top: int = 10) -> DataFrame:
+    """factor, dates, ic, rank of the `top` factors by the mean over dates of their correlation with ret; ties by name. rows as neutral_books."""
+    ok = rows.filter(F.col("value").isNotNull() & F.col("ret").isNotNull())
+    c = ok.groupBy("factor", "ts").agg(F.covar_pop("value", "ret").alias("c"), F.var_pop("value").alias("a"), F.var_pop("ret").alias("b")).filter("a > 0 and b > 0")
+    g = c.groupBy("factor").agg(F.count("*").alias("dates"), F.avg(F.expr("c / sqrt(a * b)")).alias("ic"))
+    return g.withColumn("rank", F.row_number().over(W.orderBy(F.desc(F.round("ic", 12)), "factor"))).filter(F.col("rank") <= top)  # one row a factor

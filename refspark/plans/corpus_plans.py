@@ -143,7 +143,25 @@ def audit(s, d):
     return c.audit_summary(views.table(s, d, "events").selectExpr("user_id run", "if(event_type = 'error', null, if(event_type = 'click', 'gate_outcome', if(event_type = 'view', 'exit', 'start'))) event", "if(event_id % 9 = 0, null, event_type) stage", "if(event_id % 5 = 0, 'x', cast(event_id % 1000 as string)) duration_ms"))
 
 
+def prose(s, d):
+    """Sentences about suppliers' series; a name's words stand in the text whole, begun, or not at all."""
+    t = views.table(s, d, "supplier").selectExpr("s_suppkey id", f"{_pick(('The daily volatility of acme', 'vola and accounts of acmeK', 'nothing at all', 'Bitcoin'), 's_suppkey')} text").selectExpr("id", "replace(text, 'K', string(id)) text")
+    names = views.table(s, d, "supplier").selectExpr("explode(array(concat('acme', s_suppkey, '_volatility_account'), 'acme_volatility', 'btc', 'price')) name")
+    return c.resolve_series(t, names).select("id", "series", F.round("score", 6).alias("score"), "full")
+
+
+def admitted(s, d):
+    cand = views.table(s, d, "orders").selectExpr(
+        "o_custkey run", "o_orderkey candidate", f"concat('Claim  ', {_pick(('a', 'B', 'b'), 'o_orderkey')}, ' ') statement",
+        f"{_pick(('testable_now', 'odd', 'testable_with_new_module'), 'o_orderkey % 7')} candidate_class", "array(string(o_custkey), 'x') cites", "map('w', if(o_orderkey % 5 = 0, 'ten', '10'), 'h', '1e-3') params", "if(o_orderkey % 11 = 0, array('w', 'z'), array('w')) grid", "array(o_orderpriority) inputs")
+    nodes = views.table(s, d, "customer").filter("c_custkey % 4 > 0").selectExpr("string(c_custkey) node_id")
+    catalog = views.table(s, d, "orders").filter("o_orderpriority not like '5%'").selectExpr("o_orderpriority name").distinct()
+    return c.admit_candidates(cand, nodes, catalog).withColumn("reasons", F.array_join("reasons", ","))
+
+
 QUERIES = {
+    "c11_resolve_series": prose,
+    "h28_admit_candidates": admitted,
     "c12_resolve_alias": aliases,
     "c13_span_grounded": grounded,
     "c14_similar_statements": lambda s, d: rounded(c.similar_statements(views.table(s, d, "documents").selectExpr("doc_id id", "text statement", "lang verdict")), "a", "b", "a_verdict", "b_verdict", similarity=6),
@@ -187,6 +205,10 @@ f1 AS (SELECT concept_id, direction, year, domain, family, min(grain) AS grain F
 fam AS (SELECT family, direction, ([ 'specific', 'components', 'component'])[min(grain) + 1] AS granularity, count(*) AS support, avg(pow(0.5, greatest(0, 2026 - year) / 4.0)) AS confidence, array_to_string(list_sort(list(DISTINCT domain)), ',') AS domains FROM f1 GROUP BY ALL HAVING count(*) >= 20)"""
 _T = f"""t AS (SELECT o_orderkey, {_duck([x for _, x, _ in PHRASES], 'o_orderkey')} AS domain, {_duck([x for _, x in SINGLES], 'o_custkey')} AS single, CASE WHEN o_orderkey % 10 = 0 THEN 'carry+trend::regime_blend' ELSE {_duck([x for _, _, x in PHRASES], 'o_orderkey')} END AS family, {_duck(KINDS, 'o_orderkey')} AS kind FROM orders)"""
 SQL = {
+    "c11_resolve_series": """SELECT s_suppkey AS id, CASE s_suppkey % 4 WHEN 0 THEN 'acme_volatility' WHEN 1 THEN 'acme' || s_suppkey || '_volatility_account' WHEN 3 THEN 'btc' END AS series, CASE WHEN s_suppkey % 4 <> 2 THEN 1e0 END AS score, CASE WHEN s_suppkey % 4 <> 2 THEN true END AS "full" FROM supplier""",
+    "h28_admit_candidates": """WITH c AS (SELECT o_custkey AS run, o_orderkey AS candidate, CASE WHEN o_orderkey % 3 = 0 THEN 'a' ELSE 'b' END AS st, (['testable_now', 'conceptual_only', 'testable_with_new_module'])[CAST(o_orderkey % 7 % 3 AS INT) + 1] AS candidate_class, * FROM orders),
+r AS (SELECT *, concat_ws(',', CASE WHEN row_number() OVER (PARTITION BY run, st ORDER BY candidate) > 1 THEN 'duplicate_in_run' END, CASE WHEN candidate_class = 'conceptual_only' THEN 'not_testable' END, CASE WHEN o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 4 > 0) THEN 'ungrounded' END,
+  CASE WHEN o_orderkey % 5 = 0 THEN 'params_not_numeric' END, CASE WHEN o_orderkey % 11 = 0 THEN 'grid_outside_params' END, CASE WHEN o_orderpriority LIKE '5%' THEN 'unknown_series' END) AS reasons FROM c) SELECT run, candidate, candidate_class, reasons, reasons = '' AS admitted FROM r""",
     "c12_resolve_alias": "SELECT s_suppkey, CASE WHEN s_suppkey % 5 <> 0 AND s_suppkey % 4 <> 2 THEN 'sup' || s_suppkey || '_spot_daily' END AS key FROM supplier",
     "c13_span_grounded": "SELECT item_id, kind, kind IN ('whole', 'parts') AS grounded FROM benchmark, (VALUES ('whole'), ('parts'), ('changed'), ('empty')) AS v(kind) WHERE len(regexp_split_to_array(trim(text), ' +')) >= 12",
     "c20_dependency_safe": f"WITH RECURSIVE {_NODES}, {_SAFE} SELECT node_id, node_id NOT IN (SELECT node_id FROM bad) AS safe FROM n WHERE source_type IS NULL",

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from refspark.operators import claims as c
+from refspark.operators import evidence as e
 from refspark.operators import executors as x
 from refspark.operators import gates as g
 from refspark.operators import markets as m
+from refspark.operators import records as r
+from refspark.operators import series as o
 from refspark.plans import views
 from refspark.plans.claim_plans import WINDOWS, factors
 from refspark.plans.score_plans import SQL_SLICE, rounded
@@ -69,14 +73,14 @@ def windows(s, d):
 
 
 def candidates(s, d):
-    r, e = windows(s, d)
-    return rounded(x.event_candidates(r, e, (-1, 3), 20), "series_id", "event_ts", "start", "flaw", car=6)
+    ret, ev = windows(s, d)
+    return rounded(x.event_candidates(ret, ev, (-1, 3), 20), "series_id", "event_ts", "start", "flaw", car=6)
 
 
 def study(s, d):
-    r, e = windows(s, d)
-    market = r.groupBy("ts").agg(F.avg("ret").alias("market"))
-    return rounded(x.event_study(r.join(market, "ts"), e, (-1, 3), 20, "market"), "series_id", "event_ts", "skipped", car=6)
+    ret, ev = windows(s, d)
+    market = ret.groupBy("ts").agg(F.avg("ret").alias("market"))
+    return rounded(x.event_study(ret.join(market, "ts"), ev, (-1, 3), 20, "market"), "series_id", "event_ts", "skipped", car=6)
 
 
 def bracket_prices(s, d):
@@ -88,7 +92,45 @@ def scopes(s, d):
     return x.verdict_shares(x.search_scopes(views.net(s, d)), "scope").select("scope", "verdict", "n", F.round("share", 6).alias("share"), F.round("survivors", 6).alias("survivors"))
 
 
+def many_factors(s, d):
+    return views.panel(s, d).selectExpr("ts", "entity", "ret", "stack(3, 'discount', characteristic, 'volume', ln(dvol), 'name', cast(entity % 17 as double)) as (factor, value)")
+
+
+def skill(s, d):
+    return rounded(c.forecast_skill(views.price(s, d), F.avg("value").over(o.over().rowsBetween(-5, -1)), 3, "random_walk", 20), "series_id", "ts", net=1)
+
+
+def exposures(s, d):
+    fit = x.ols_multi(factors(s, d), "net", ("a", "b"))
+    out = c.exposure_decomposition(fit.filter("n >= 10 and alpha is not null").withColumn("intercept", F.col("alpha")))
+    return rounded(out, "series_id", "n", "survives", intercept=6, share=4)
+
+
+def cohorts(s, d):
+    claims = views.table(s, d, "orders").selectExpr("o_custkey source", "o_orderpriority family", "o_orderstatus <> 'P' ready", "o_orderkey % 2 = 0 single")
+    return e.cohort_denominators(claims)
+
+
+def fused(s, d):
+    near = views.table(s, d, "orders").filter("o_orderkey % 3 = 0").selectExpr("o_custkey query_id", "o_orderkey id", "o_totalprice score")
+    words = views.table(s, d, "orders").filter("o_orderkey % 2 = 0").selectExpr("o_custkey query_id", "o_orderkey id", "-o_totalprice score")
+    return rounded(r.fused_ranks(near, words), "query_id", "id", score=8)
+
+
+def city_positions(s, d):
+    b = views.bracket(s, d).selectExpr("*", "2 * volume open_interest", "entry_price <= 0.35e0 is_tail")
+    return rounded(c.tail_positions(b), "day", "city", position=6)
+
+
 QUERIES = {
+    "a8_underlying": lambda s, d: m.violations(views.bracket(s, d).withColumn("underlying", F.expr("if(event_id % 5 = 0, null, mu)")), "underlying").select(F.explode_outer("reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("n")),
+    "d5_cohorts": cohorts,
+    "d22_exposures": exposures,
+    "d26_ranked_coefficients": lambda s, d: rounded(o.ranked_coefficients(many_factors(s, d), 3), "factor", "dates", "rank", ic=6),
+    "f6_random_walk_skill": skill,
+    "f8_city_positions": city_positions,
+    "f9_neutral_books": lambda s, d: rounded(o.neutral_books(many_factors(s, d)), "factor", "ts", port_return=6, gross=6),
+    "h4_fused_ranks": fused,
     "c1_align_inner": lambda s, d: rounded(x.align_inner(long_pairs(s, d), ("x", "y", "z")), "claim", "ts", x=1, y=3, z=3),
     "c5_c7_known_at": lambda s, d: rounded(x.known_at(panel_signal(s, d), months(s, d).selectExpr("rb + interval 10 days rb"), "signal"), "rb", "entity", signal=6),
     "c6_holding_window": lambda s, d: x.holding_window(panel_returns(s, d), months(s, d), 3).groupBy("rb").agg(F.count("*").alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last")),
@@ -122,7 +164,22 @@ k AS (SELECT *, row_number() OVER {_W}) - 1 AS k, count(*) OVER (PARTITION BY se
 p AS (SELECT s.series_id, event_ts, (SELECT count(*) FROM ret r WHERE r.series_id = s.series_id AND r.ts < event_ts) - 1 AS start FROM (SELECT DISTINCT series_id FROM ret) s, ev),
 z AS (SELECT p.*, (SELECT max(n) FROM k WHERE k.series_id = p.series_id) AS n, (SELECT count(ret) FROM k WHERE k.series_id = p.series_id AND k.k BETWEEN start - 20 AND start - 1) AS e_n, (SELECT avg(ret) FROM k WHERE k.series_id = p.series_id AND k.k BETWEEN start - 20 AND start - 1) AS e_mean,
   (SELECT count(ret) FROM k WHERE k.series_id = p.series_id AND k.k BETWEEN start AND start + 4) AS v_n, (SELECT sum(ret) FROM k WHERE k.series_id = p.series_id AND k.k BETWEEN start AND start + 4) AS v_sum FROM p)"""
+_MANY = f"""{views.PANEL_SQL}, f AS (SELECT ts, entity, ret, 'discount' AS factor, characteristic AS value FROM panel UNION ALL SELECT ts, entity, ret, 'volume', ln(dvol) FROM panel UNION ALL SELECT ts, entity, ret, 'name', CAST(entity % 17 AS DOUBLE) FROM panel), ok AS (SELECT * FROM f WHERE value IS NOT NULL AND ret IS NOT NULL)"""
 SQL = {
+    "a8_underlying": f"""WITH {views.BRACKET_SQL} SELECT reason, count(*) AS n FROM (SELECT unnest(CASE WHEN event_id % 5 = 0 AND close_time < decision_time THEN ['null_underlying', 'close_before_decision'] WHEN event_id % 5 = 0 THEN ['null_underlying'] WHEN close_time < decision_time THEN ['close_before_decision'] ELSE [NULL] END) AS reason FROM bracket) GROUP BY reason""",
+    "d5_cohorts": """SELECT o_custkey AS source, o_orderpriority AS family, o_custkey || ':' || substr(sha256(o_orderpriority), 1, 16) AS cohort_id, CASE WHEN bool_and(o_orderkey % 2 = 0) AND count(*) = 1 THEN 1 ELSE count(*) END AS denominator FROM orders WHERE o_orderstatus <> 'P' GROUP BY ALL""",
+    "d22_exposures": f"""WITH {_FACT}, {_FIT.format(src='fact')}, q AS (SELECT *, my - ba * ma - bb * mb AS a FROM fit WHERE n >= 10), h AS (SELECT *, CASE WHEN my > 1e-12 THEN a / my ELSE 0 END AS share FROM q)
+SELECT series_id, n, a > 0 AND share >= 0.5 AS survives, round(a, 6) AS intercept, round(share, 4) AS share FROM h""",
+    "d26_ranked_coefficients": f"""WITH {_MANY}, c AS (SELECT factor, ts, covar_pop(value, ret) / sqrt(var_pop(value) * var_pop(ret)) AS ic FROM ok GROUP BY ALL HAVING var_pop(value) > 0 AND var_pop(ret) > 0), g AS (SELECT factor, count(*) AS dates, avg(ic) AS ic FROM c GROUP BY ALL)
+SELECT factor, dates, round(ic, 6) AS ic, row_number() OVER (ORDER BY round(ic, 12) DESC, factor) AS rank FROM g""",
+    "f6_random_walk_skill": f"""WITH {views.PRICE_SQL}, f AS (SELECT *, avg(value) OVER (PARTITION BY series_id ORDER BY ts ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS f, lag(value) OVER {_W}) AS b FROM price), k AS (SELECT *, row_number() OVER {_W}) - 1 AS k FROM f WHERE f IS NOT NULL AND b IS NOT NULL),
+n AS (SELECT *, count(*) OVER (PARTITION BY series_id) AS n FROM k WHERE k % 3 = 0) SELECT series_id, ts, round((b - value) * (b - value) - (f - value) * (f - value), 1) AS net FROM n WHERE n >= 20""",
+    "f8_city_positions": f"""WITH {views.BRACKET_SQL} SELECT CAST(date_trunc('day', close_time) AS TIMESTAMP) AS day, city, round(sum(0.1e0 * least(volume, 2 * volume)) / 1000, 6) AS position FROM bracket WHERE entry_price <= 0.35e0 AND volume > 0 GROUP BY ALL""",
+    "f9_neutral_books": f"""WITH {_MANY}, z AS (SELECT *, (value - avg(value) OVER p) / (stddev_pop(value) OVER p + 1e-9) AS z FROM ok WINDOW p AS (PARTITION BY factor, ts)), w AS (SELECT *, z / nullif(sum(abs(z)) OVER (PARTITION BY factor, ts), 0) AS w FROM z)
+SELECT factor, ts, round(sum(w * ret), 6) AS port_return, round(sum(abs(w)), 6) AS gross FROM w GROUP BY ALL""",
+    "h4_fused_ranks": """WITH v AS (SELECT o_custkey AS q, o_orderkey AS id, 1.0 / (60 + row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey)) AS s FROM orders WHERE o_orderkey % 3 = 0),
+l AS (SELECT o_custkey AS q, o_orderkey AS id, 1.0 / (60 + row_number() OVER (PARTITION BY o_custkey ORDER BY -o_totalprice DESC, o_orderkey)) AS s FROM orders WHERE o_orderkey % 2 = 0)
+SELECT q AS query_id, id, round(sum(s), 8) AS score FROM (SELECT * FROM v UNION ALL SELECT * FROM l WHERE (q, id) NOT IN (SELECT (q, id) FROM v)) GROUP BY q, id""",
     "c1_align_inner": """SELECT claim, ts, round(x, 1) AS x, round(y, 3) AS y, round(z, 3) AS z FROM (SELECT o_orderpriority AS claim, CAST(date_trunc('day', o_orderdate) AS TIMESTAMP) AS ts, CAST(count(*) AS DOUBLE) AS x, avg(o_totalprice) AS y,
   max(o_totalprice) FILTER (o_orderstatus = 'F') AS z FROM orders GROUP BY ALL) WHERE z IS NOT NULL""",
     "c5_c7_known_at": f"WITH {_PANEL}, dates AS (SELECT DISTINCT ts + INTERVAL 10 DAY AS rb FROM panel) SELECT rb, entity, round(signal, 6) AS signal FROM dates, sig WHERE sig.ts = (SELECT max(t.ts) FROM sig t WHERE t.ts <= rb) AND signal IS NOT NULL",

@@ -60,6 +60,8 @@ QUERIES = {
     "a6_event_calendar": lambda s, d: t.event_calendar(views.table(s, d, "orders").filter("o_orderpriority = '1-URGENT'").select(F.to_date("o_orderdate").alias("day")), "day"),
     "a7_coerce_market": lambda s, d: t.coerce_tail_market(market(s, d)).select("event_id", "close_time", "strike_low", "strike_high", F.round("entry_price", 6).alias("entry_price"), "outcome", "underlying.city", "underlying.is_tail"),
     "a9_lookahead": lambda s, d: t.lookahead(views.bracket(s, d).withColumn("asof_time", F.col("close_time")), "event_id"),
+    "a5_panel": lambda s, d: t.checked_kind(t.panel_contract(views.panel(s, d), "ret")[0], "return").select("ts", "entity", "kind", F.round("ret", 6).alias("ret")),
+    "a9_reject_lookahead": lambda s, d: t.reject_lookahead(views.bracket(s, d).withColumn("asof_time", F.expr("decision_time + make_interval(0, 0, 0, int(if(city % 3 = 0 and event_id % 7 = 0, 1, -1)))")), "city").groupBy("city").agg(F.count("*").alias("n")),
     "a10_parse_underlying": lambda s, d: views.table(s, d, "events").select("event_id", t.parse_underlying(F.col("props"), "k long")["k"].alias("k")),
     "u4_sql_functions": sql_functions,
     "s1_stream_ohlc": ohlc,
@@ -82,6 +84,8 @@ FROM events GROUP BY ALL""",
     "a6_event_calendar": "SELECT DISTINCT CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) AS event_ts FROM orders WHERE o_orderpriority = '1-URGENT'",
     "a7_coerce_market": f"WITH {_BR} SELECT concat_ws('-', event_id, line, part) AS event_id, close_time, 0e0 AS strike_low, 1e0 AS strike_high, round(entry_price, 6) AS entry_price, outcome, city, entry_price <= 0.35e0 AS is_tail FROM bracket",
     "a9_lookahead": f"WITH {_BR} SELECT event_id, CASE WHEN bool_or(close_time > decision_time) THEN 'rejected' ELSE 'verified' END AS status FROM bracket GROUP BY event_id",
+    "a5_panel": f"WITH {views.PANEL_SQL} SELECT ts, entity, 'return' AS kind, round(ret, 6) AS ret FROM panel WHERE entity IN (SELECT entity FROM panel WHERE ret IS NOT NULL)",
+    "a9_reject_lookahead": f"WITH {_BR} SELECT city, count(*) AS n FROM bracket WHERE city NOT IN (SELECT city FROM bracket WHERE city % 3 = 0 AND event_id % 7 = 0) GROUP BY city",
     "a10_parse_underlying": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events",
     "u4_sql_functions": f"WITH {_BR} SELECT event_id, line, part, size, round(0.07e0 * {_PP} * (1 - {_PP}), 6) AS fee, round({_K}, 6) AS kelly, round({norm_cdf('mu')}, 6) AS phi FROM bracket",
     "s1_stream_ohlc": "WITH b AS (SELECT event_type AS series_id, CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close FROM events WHERE value IS NOT NULL GROUP BY ALL) SELECT * FROM b WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events WHERE value IS NOT NULL)",

@@ -66,6 +66,19 @@ def panel_contract(panel: DataFrame, value: str) -> tuple[DataFrame, DataFrame]:
     return kept, counts.agg(F.sum("d").alias("duplicates"), F.sum(F.expr("int(v = 0)")).cast("long").alias("empty_entities"), F.count("*").alias("entities"))
 
 
+def checked_kind(panel: DataFrame, kind: str) -> DataFrame:
+    """The panel with its kind: return, price or characteristic; any other is refused."""
+    if kind not in ("return", "price", "characteristic"):
+        raise ValueError(f"spec_error: a panel can't be of kind {kind!r}")
+    return panel.withColumn("kind", F.lit(kind))
+
+
+def reject_lookahead(df: DataFrame, by: str, decision: str = "decision_time") -> DataFrame:
+    """df without the tables (values of `by`) of which any row knows something later than its decision."""
+    bad = lookahead(df, by, decision).filter("status = 'rejected'").select(by)
+    return df.join(bad, by, "left_anti")
+
+
 def event_calendar(df: DataFrame, at: str) -> DataFrame:
     """The distinct times of a calendar; unparseable and null ones go."""
     return df.select(F.expr(f"try_to_timestamp(cast(`{at}` as string))").alias("event_ts")).filter("event_ts is not null").distinct()

@@ -105,6 +105,37 @@ def trial_stats(scores: DataFrame, least: int = 10) -> DataFrame:
     return own.withColumn("n_trials", F.greatest("trials", F.lit(least))).withColumn("sr_variance", F.expr("CASE WHEN c >= 3 THEN greatest(0e0, (s2 - s1 * s1 / c) / (c - 1)) ELSE 0.01e0 END")).drop("trials", "c", "s1", "s2")
 
 
+# The least trials of an outside claim, the prior variance of Sharpe ratios and its weight, and the caps of a cohort and of a grid.
+LEAST_TRIALS, PRIOR_VARIANCE, PRIOR_WEIGHT, MOST_COHORT, MOST_GRID = 10, 0.01, 3, 1_000_000, 10_000
+
+
+def ledger_stats(ledger: DataFrame, claims: DataFrame) -> DataFrame:
+    """strategy, n_trials, sr_variance of each claim, by the ledger of its family.
+
+    ledger: strategy, family, cohort, denominator, per_trade_sharpe, at; of a strategy's rows in a family the last counts. claims: strategy, family,
+    cohort (null for none), generated, single (one preregistered test of a provided series), registered, grid. The number of trials is the largest
+    of the family's strategies with this one, the sum of its cohorts' largest denominators, what the claim registered, its grid, and 10 for outside
+    claims. The variance leaves out the claim's own cohort, by subtracting its sums from the family's, and is blended with the prior's.
+    """
+    last = ledger.groupBy("family", "strategy").agg(F.max_by(F.struct("cohort", "denominator", "per_trade_sharpe"), "at").alias("r")).select("family", "strategy", "r.*")
+    x = F.col("per_trade_sharpe")
+    sums = lambda p: [F.count(x).alias(f"{p}c"), F.coalesce(F.sum(x), F.lit(0.0)).alias(f"{p}s"), F.coalesce(F.sum(x * x), F.lit(0.0)).alias(f"{p}q")]
+    family = last.groupBy("family").agg(F.count("*").alias("trials"), *sums("f_"))
+    cohort = last.filter("cohort is not null").groupBy("family", "cohort").agg(F.max(F.least(F.coalesce("denominator", F.lit(0)), F.lit(MOST_COHORT))).alias("declared"), *sums("c_"))
+    declared = cohort.groupBy("family").agg(F.sum("declared").alias("declared"))
+    known = last.select("family", "strategy", F.lit(0).alias("new"))
+    j = claims.join(family, "family", "left").join(declared, "family", "left").join(cohort.drop("declared"), ["family", "cohort"], "left").join(known, ["family", "strategy"], "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    single = F.coalesce("single", F.lit(False))
+    floor = F.when(single | F.coalesce("generated", F.lit(False)), 1).otherwise(LEAST_TRIALS)
+    grid = F.when(single, 1).otherwise(F.least(F.lit(MOST_GRID), F.greatest(F.lit(1), zero("grid"))))
+    n = F.greatest(F.lit(1), zero("trials") + F.coalesce("new", F.lit(1)), zero("declared"), zero("registered"), floor, grid)
+    j = j.withColumns({"n_trials": n.cast("long"), "c": zero("f_c") - zero("c_c"), "s": zero("f_s") - zero("c_s"), "q": zero("f_q") - zero("c_q")})
+    raw = F.expr("case when c > 1 then greatest(0e0, (q - s * s / c) / (c - 1)) else 0e0 end")
+    blend = F.when(F.col("c") < PRIOR_WEIGHT, F.greatest(raw, F.lit(PRIOR_VARIANCE))).otherwise((F.col("c") * raw + PRIOR_WEIGHT * PRIOR_VARIANCE) / (F.col("c") + PRIOR_WEIGHT))
+    return j.select("strategy", "n_trials", blend.alias("sr_variance"))
+
+
 def power(n_oos: str, bpy: str = "252") -> dict[str, Column]:
     """Smallest detectable effect per bar and a year, and whether it is within the floor."""
     mde = f"({Z} / nullif(sqrt({n_oos}), 0))"

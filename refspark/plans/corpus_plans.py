@@ -205,7 +205,7 @@ f1 AS (SELECT concept_id, direction, year, domain, family, min(grain) AS grain F
 fam AS (SELECT family, direction, ([ 'specific', 'components', 'component'])[min(grain) + 1] AS granularity, count(*) AS support, avg(pow(0.5, greatest(0, 2026 - year) / 4.0)) AS confidence, array_to_string(list_sort(list(DISTINCT domain)), ',') AS domains FROM f1 GROUP BY ALL HAVING count(*) >= 20)"""
 _T = f"""t AS (SELECT o_orderkey, {_duck([x for _, x, _ in PHRASES], 'o_orderkey')} AS domain, {_duck([x for _, x in SINGLES], 'o_custkey')} AS single, CASE WHEN o_orderkey % 10 = 0 THEN 'carry+trend::regime_blend' ELSE {_duck([x for _, _, x in PHRASES], 'o_orderkey')} END AS family, {_duck(KINDS, 'o_orderkey')} AS kind FROM orders)"""
 SQL = {
-    "c11_resolve_series": """SELECT s_suppkey AS id, CASE s_suppkey % 4 WHEN 0 THEN 'acme_volatility' WHEN 1 THEN 'acme' || s_suppkey || '_volatility_account' WHEN 3 THEN 'btc' END AS series, CASE WHEN s_suppkey % 4 <> 2 THEN 1e0 END AS score, CASE WHEN s_suppkey % 4 <> 2 THEN true END AS "full" FROM supplier""",
+    "c11_resolve_series": """SELECT s_suppkey AS id, CASE s_suppkey % 4 WHEN 0 THEN 'acme_volatility' WHEN 1 THEN 'acme' || substr(CAST(s_suppkey AS VARCHAR), 1, 1) || '_volatility_account' WHEN 3 THEN 'btc' END AS series, CASE WHEN s_suppkey % 4 <> 2 THEN 1e0 END AS score, CASE WHEN s_suppkey % 4 <> 2 THEN true END AS "full" FROM supplier""",
     "h28_admit_candidates": """WITH c AS (SELECT o_custkey AS run, o_orderkey AS candidate, CASE WHEN o_orderkey % 3 = 0 THEN 'a' ELSE 'b' END AS st, (['testable_now', 'conceptual_only', 'testable_with_new_module'])[CAST(o_orderkey % 7 % 3 AS INT) + 1] AS candidate_class, * FROM orders),
 r AS (SELECT *, concat_ws(',', CASE WHEN row_number() OVER (PARTITION BY run, st ORDER BY candidate) > 1 THEN 'duplicate_in_run' END, CASE WHEN candidate_class = 'conceptual_only' THEN 'not_testable' END, CASE WHEN o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 4 > 0) THEN 'ungrounded' END,
   CASE WHEN o_orderkey % 5 = 0 THEN 'params_not_numeric' END, CASE WHEN o_orderkey % 11 = 0 THEN 'grid_outside_params' END, CASE WHEN o_orderpriority LIKE '5%' THEN 'unknown_series' END) AS reasons FROM c) SELECT run, candidate, candidate_class, reasons, reasons = '' AS admitted FROM r""",

@@ -47,7 +47,15 @@ w AS (SELECT *, CASE WHEN k < 30 THEN 'insufficient_data' WHEN NOT coalesce(cons
 SELECT series_id, k AS n_oos, CASE WHEN weak AND r0 IN ('no_oos_edge', 'low_edge_t') THEN 'underpowered' ELSE v0 END AS verdict, CASE WHEN weak AND r0 IN ('no_oos_edge', 'low_edge_t') THEN 'below_detection_floor' ELSE r0 END AS kill_reason,
  CAST(n_trials AS BIGINT) AS n_trials, round(psr, 6) AS psr, round(dsr, 6) AS dsr, round(edge_t, 6) AS edge_t FROM w"""
 
+def ledger(spark, d):
+    o = views.table(spark, d, "orders")
+    rows = o.selectExpr("o_custkey strategy", "o_orderpriority family", "if(o_custkey % 5 = 4, null, o_custkey % 5) cohort", "o_orderkey % 40 denominator", "if(o_orderkey % 6 = 0, null, o_totalprice / 500000 - 0.3e0) per_trade_sharpe", "o_orderkey at")
+    claims = views.table(spark, d, "customer").selectExpr("c_custkey strategy", "element_at(array('1-URGENT', '2-HIGH', '3-MEDIUM', '5-LOW', 'none'), int(c_custkey % 5) + 1) family", "if(c_custkey % 3 = 0, null, c_custkey % 7) cohort", "c_custkey % 4 = 0 generated", "c_custkey % 8 = 0 single", "c_custkey % 300 registered", "c_custkey * 40 grid")
+    return rounded(scores.ledger_stats(rows, claims), "strategy", "n_trials", sr_variance=8)
+
+
 QUERIES = {
+    "d4_ledger_stats": ledger,
     "minimum_slice": minimum_slice,
     "d6_score_split": lambda s, d: rounded(scores.score_split(views.net(s, d)), "series_id", "n", "n_oos", oos_sharpe=6, is_sharpe=6, per_trade_sharpe=6, edge_t=6, psr=6, ann_ret=6),
     "d7_three_fold": lambda s, d: scores.three_fold(views.net(s, d)),
@@ -61,6 +69,13 @@ QUERIES = {
 SQL = {
     "minimum_slice": SQL_SLICE,
     "d6_score_split": f"WITH {_PART}, {_SCORES} SELECT series_id, n, k AS n_oos, round(CASE WHEN k >= 20 AND sd > 0 THEN m / sd * sqrt(252) END, 6) AS oos_sharpe, round(CASE WHEN ik >= 20 AND isd > 0 THEN im / isd * sqrt(252) END, 6) AS is_sharpe, round(CASE WHEN sd > 0 THEN m / sd END, 6) AS per_trade_sharpe, round(CASE WHEN sd > 0 THEN m / (sd / sqrt(k)) END, 6) AS edge_t, round({_psr('k', 'm', 'sd', 'g3', '(g4)')}, 6) AS psr, round(seen_mean * 252, 6) AS ann_ret FROM s",
+    "d4_ledger_stats": """WITH l AS (SELECT o_custkey AS strategy, o_orderpriority AS family, CASE WHEN o_custkey % 5 <> 4 THEN o_custkey % 5 END AS cohort, o_orderkey % 40 AS den, CASE WHEN o_orderkey % 6 <> 0 THEN o_totalprice / 500000 - 0.3e0 END AS x
+  FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderkey DESC) = 1),
+c AS (SELECT c_custkey AS strategy, (['1-URGENT', '2-HIGH', '3-MEDIUM', '5-LOW', 'none'])[CAST(c_custkey % 5 AS INT) + 1] AS family, CASE WHEN c_custkey % 3 <> 0 THEN c_custkey % 7 END AS cohort, c_custkey % 4 = 0 AS generated, c_custkey % 8 = 0 AS single, c_custkey % 300 AS registered, c_custkey * 40 AS grid FROM customer),
+d AS (SELECT family, sum(m) AS declared FROM (SELECT family, cohort, max(den) AS m FROM l WHERE cohort IS NOT NULL GROUP BY ALL) GROUP BY family), t AS (SELECT family, count(*) AS n FROM l GROUP BY family),
+v AS (SELECT c.strategy, count(x) AS k, coalesce(var_samp(x), 0) AS var FROM c LEFT JOIN l ON l.family = c.family AND (c.cohort IS NULL OR l.cohort IS DISTINCT FROM c.cohort) GROUP BY c.strategy)
+SELECT c.strategy, CAST(greatest(1, coalesce(t.n, 0) + CASE WHEN EXISTS (SELECT 1 FROM l WHERE l.family = c.family AND l.strategy = c.strategy) THEN 0 ELSE 1 END, coalesce(declared, 0), registered, CASE WHEN single OR generated THEN 1 ELSE 10 END, CASE WHEN single THEN 1 ELSE least(10000, greatest(1, grid)) END) AS BIGINT) AS n_trials,
+  round(CASE WHEN k < 3 THEN greatest(var, 0.01) ELSE (k * var + 0.03) / (k + 3) END, 8) AS sr_variance FROM c LEFT JOIN t USING (family) LEFT JOIN d USING (family) JOIN v ON v.strategy = c.strategy""",
     "d7_three_fold": f"WITH {_PART}, {_FOLDS} SELECT * FROM folds",
     "d9_max_drawdown": f"WITH {views.NET_SQL}, e AS (SELECT *, sum(net) OVER (PARTITION BY series_id ORDER BY seq) AS eq FROM net), f AS (SELECT *, max(eq) OVER (PARTITION BY series_id ORDER BY seq) - eq AS down FROM e) SELECT series_id, round(max(down), 6) AS max_drawdown FROM f GROUP BY ALL",
     "d8_tail_metrics": f"WITH {views.NET_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY net, seq) AS up, row_number() OVER (PARTITION BY series_id ORDER BY net DESC, seq) AS down, count(*) OVER (PARTITION BY series_id) AS n, avg(net) OVER (PARTITION BY series_id) AS mu FROM net), a AS (SELECT series_id, max(n) AS n, avg(power(net - mu, 3)) / power(avg(power(net - mu, 2)), 1.5) AS skew, avg(net) FILTER (up <= greatest(1, ceil(n * 0.05e0))) AS lo, avg(net) FILTER (down <= greatest(1, ceil(n * 0.05e0))) AS hi, min(net) AS max_loss, max(net) AS max_gain, quantile_cont(net, 0.95) FILTER (net > 0) AS gain FROM r GROUP BY series_id) SELECT series_id, n, coalesce((skew <= -3 AND n >= 40) OR (skew <= -0.5 AND hi > 0 AND abs(lo) / hi >= 3), false) AS asymmetric, round(CASE WHEN gain > 0 THEN abs(max_loss) / gain END, 6) AS worst_vs_typical, round(skew, 6) AS skew, round(lo, 6) AS cvar_5, round(hi, 6) AS cvar_95, round(CASE WHEN hi > 0 THEN abs(lo) / hi END, 6) AS tail_ratio, round(max_loss, 6) AS max_loss, round(max_gain, 6) AS max_gain FROM a",

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from refspark.shared import checkpointed
+
 # Spellings of methods and components, and the words of a text that name a component.
 METHOD_ALIASES = {
     "single": "single", "standalone": "single", "regime": "regime_blend", "regime_blend": "regime_blend", "regime_blends": "regime_blend", "regime-blend": "regime_blend",
@@ -256,7 +258,7 @@ def principles(kills: DataFrame, least: int = 3, year: int = 2026, half_life: fl
     exact = rows(by_family, "exact")
     left = by_family.join(exact.select("label", "kill_reason"), ["label", "kill_reason"], "left_anti").withColumn("label", F.col("method"))
     methods = rows(left, "method")
-    left = left.join(methods.select("label", "kill_reason"), ["label", "kill_reason"], "left_anti").select("claim_id", "kill_reason", "year", "components").checkpoint()
+    left = checkpointed(left.join(methods.select("label", "kill_reason"), ["label", "kill_reason"], "left_anti").select("claim_id", "kill_reason", "year", "components"))
     out = exact.unionByName(methods).unionByName(rows(one.filter("components is null or method is null").withColumn("label", F.col("domain")), "domain"))
     while True:
         each = left.select("claim_id", "kill_reason", "year", F.explode(F.array_distinct("components")).alias("label"))
@@ -265,7 +267,7 @@ def principles(kills: DataFrame, least: int = 3, year: int = 2026, half_life: fl
             return out
         top = sizes[0]
         out = out.unionByName(left.sparkSession.createDataFrame([tuple(top)], out.schema))
-        left = left.filter(~((F.col("kill_reason") == top.kill_reason) & F.array_contains("components", top.label))).checkpoint()
+        left = checkpointed(left.filter(~((F.col("kill_reason") == top.kill_reason) & F.array_contains("components", top.label))))
 
 
 def contrastive(records: DataFrame, least_kills: int = 3, least_survivors: int = 2) -> DataFrame:
@@ -289,12 +291,12 @@ def dependency_safe(nodes: DataFrame, links: DataFrame) -> DataFrame:
     from refspark.operators.reserve import UNANCHORED
 
     edges = links.join(nodes.filter("source_type is null").select("node_id"), "node_id", "left_semi").select("node_id", "rests_on").distinct()
-    bad = nodes.filter(F.lower("source_type").isin(*UNANCHORED)).select("node_id").distinct().checkpoint()
+    bad = checkpointed(nodes.filter(F.lower("source_type").isin(*UNANCHORED)).select("node_id").distinct())
     new = bad
     while not new.isEmpty():
         up = edges.join(new.select(F.col("node_id").alias("rests_on")), "rests_on", "left_semi").select("node_id").distinct()
-        new = up.join(bad, "node_id", "left_anti").checkpoint()
-        bad = bad.unionByName(new).checkpoint()
+        new = checkpointed(up.join(bad, "node_id", "left_anti"))
+        bad = checkpointed(bad.unionByName(new))
     aggregates = nodes.filter("source_type is null").select("node_id")
     return aggregates.join(bad.withColumn("bad", F.lit(True)), "node_id", "left").select("node_id", F.col("bad").isNull().alias("safe"))
 

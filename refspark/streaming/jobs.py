@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from refspark.operators.evidence import failure_signature
+from refspark.shared import folder
 
 
 def stream_ohlc(ticks: DataFrame, tie: str, late: str = "1 day", width: str = "1 day") -> DataFrame:
@@ -31,16 +29,6 @@ def stream_new_records(records: DataFrame, key: str, at: str = "ts", late: str =
     return records.withWatermark(at, late).dropDuplicatesWithinWatermark([key])
 
 
-def folder(spark: SparkSession) -> str:
-    """A new path in the folder that driver and executors share: spark.checkpoint.dir; unset, a local session gets a temporary one and a cluster an error."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        at = tempfile.mkdtemp(prefix="spark-stream-")
-    return f"{at.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def run_available(stream: DataFrame, mode: str = "append", keys: tuple[str, ...] = ()) -> DataFrame:
     """Run the stream over what has arrived, and return its rows; in update mode the latest row of each of `keys`.
 

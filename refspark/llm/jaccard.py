@@ -7,6 +7,7 @@ fingerprint is looked up under all values of the small Hamming balls around its
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -78,8 +79,8 @@ def near_duplicates(docs: DataFrame, keep: list[str], text: str = "text", size:
 
     Null texts and texts without words are copies of each other. First fingerprints are chained: those that share a segment are held
     against the least of them, and then the balls around segments are searched for pairs that aren't in one chain yet, so a large group of
-    copies makes as many links as it has members. Texts are compared within a chain: all with the first of it, and in later rounds only
-    those that are in different groups by then. Repeated rows come out as often as they came in; an empty table gives no rows.
+    copies makes as many links as it has members. Texts are compared within a chain: all with the one nearest to its middle, and in later
+    rounds only those that are in different groups by then. Repeated rows come out as often as they came in; an empty table gives no rows.
     """
     spark = docs.sparkSession
 
@@ -146,12 +147,16 @@ def near_duplicates(docs: DataFrame, keep: list[str], text: str = "text", size:
         j = pairs.join(x, "a").join(y, "b").withColumn("i", F.size(F.array_intersect("x", "y")))
         return cut(j.filter(F.col("i") * (over + under) >= over * (F.size("x") + F.size("y"))).select("a", "b"), "edges")
 
-    sizes = members.groupBy("chain").agg(F.count("*").alias("k"))
+    ones = [F.sum(F.shiftrightunsigned("fp", i).bitwiseAND(1)).alias(f"b{i}") for i in range(64)]
+    middle = reduce(lambda x, y: x.bitwiseOR(y), [F.when(2 * F.col(f"b{i}") > F.col("k"), F.lit(1 << i if i < 63 else -(1 << 63))).otherwise(0).cast("long") for i in range(64)])
+    chains = cut(members.groupBy("chain").agg(F.count("*").alias("k"), *ones).select("chain", "k", middle.alias("middle")), "chains")
+    far = F.bit_count(F.col("fp").bitwiseXOR(F.col("middle")))  # what all others were copied from lies in their middle
     salt = F.pmod(F.xxhash64("node"), F.ceil(F.col("k") / SALT))
-    ranked = cut(members.join(sizes, "chain").withColumn("r", F.row_number().over(W.partitionBy("chain", salt).orderBy("node"))), "ranked")
+    ranked = members.join(chains, "chain").withColumn("far", far)
+    ranked = cut(ranked.withColumn("r", F.row_number().over(W.partitionBy("chain", salt).orderBy("far", "node"))), "ranked")
     last = ROUNDS[-1][0]
-    tops = ranked.filter(F.col("r") < last).withColumn("place", F.least(F.lit(last), F.row_number().over(W.partitionBy("chain").orderBy("node"))))
-    ranked = cut(tops.unionByName(ranked.filter(F.col("r") >= last).withColumn("place", F.lit(last))).drop("r"), "places")
+    tops = ranked.filter(F.col("r") < last).withColumn("place", F.least(F.lit(last), F.row_number().over(W.partitionBy("chain").orderBy("far", "node"))))
+    ranked = cut(tops.unionByName(ranked.filter(F.col("r") >= last).withColumn("place", F.lit(last))).drop("r", "far", "middle"), "places")
     label = None
     for low, high in ROUNDS:
         parts = ranked.filter(F.col("k") > low).withColumn("part", F.col("node")) if label is None else ranked.filter(F.col("k") > low).join(label, "node", "left").withColumn("part", F.coalesce("label", "node")).drop("label")

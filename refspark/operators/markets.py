@@ -12,7 +12,15 @@ TAKER = 0.07
 
 def violations(df: DataFrame, underlying: str | None = None) -> DataFrame:
     """df with reasons: what breaks the bracket contract (an empty array is a good row)."""
-    rules = [("null_id", F.col("event_id").isNull()), *([("null_underlying", F.col(underlying).isNull())] if underlying else []), ("null_time", F.col("decision_time").isNull() | F.col("close_time").isNull()), ("price_range", F.col("entry_price").isNull() | ~F.col("entry_price").between(0, 1)), ("outcome", F.col("outcome").isNull() | ~F.col("outcome").isin(0, 1)), ("close_before_decision", F.col("close_time") < F.col("decision_time"))]
+    price, outcome = F.col("entry_price"), F.col("outcome")
+    rules = [
+        ("null_id", F.col("event_id").isNull()),
+        *([("null_underlying", F.col(underlying).isNull())] if underlying else []),
+        ("null_time", F.col("decision_time").isNull() | F.col("close_time").isNull()),
+        ("price_range", price.isNull() | ~price.between(0, 1)),
+        ("outcome", outcome.isNull() | ~outcome.isin(0, 1)),
+        ("close_before_decision", F.col("close_time") < F.col("decision_time")),
+    ]
     return df.withColumn("reasons", F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in rules])))
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import bounded_batches
 from .decontam import contamination_digest
 from .htmltext import html_digest
+from .packing import packing_digest
+from .periodic import run_digest
 from .pieces import piece_digest
 from .quality import quality_digest
 from .secrets import secret_digest
@@ -18,6 +20,7 @@ from .simhash import near_duplicate_digest
 from .tokenfile import token_digest
 from .toxicity import toxicity_digest
 from .warc import warc_digest
+from .whitening import whitening_digest
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +68,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digest(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening_digest(table(spark, sf_dir, "embeddings"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 

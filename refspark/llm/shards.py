@@ -22,7 +22,7 @@ from .common import cut, file_system, new_folder
 MANIFEST = "attempt string, gen int, shard bigint, rows bigint, bytes bigint"
 #: The folders' columns, and the manifest's for them.
 FOLDERS = {"__attempt": "attempt", "__gen": "gen", "__shard": "shard"}
-#: Shards are planned in slices of so many shard numbers, so a slice's plan is one small task and its map a small broadcast.
+#: Shards are summed up and rewritten in slices of so many shard numbers, so a task has few of them. Where slices end changes no plan.
 SLICE = 100_000
 
 
@@ -117,16 +117,18 @@ def plan_merges(live: DataFrame, target: int, base: int, fan_in: int = 4, rounds
     """gen, shard and into (the merged shard's number, the smallest of its sources') of each live shard; a shard that stays has into = shard.
 
     Each round looks at shards below half the target. Within a tier of sizes, in order of number, runs whose earlier members' sizes sum
-    to less than a multiple of the target go together, if the run has fan_in members or more. The next round sees the merged sizes.
+    to less than a multiple of the target go together, if the run has fan_in members or more. The next round sees the merged sizes. Sizes
+    are summed up within slices, and the slices' sums, a row for each, before them.
     """
     now = live.select("gen", "shard", F.col("shard").alias("into"), "bytes")
-    slice_ = F.floor(F.col("into") / SLICE)
     for _ in range(rounds):
         groups = now.groupBy("into").agg(F.sum("bytes").alias("size")).filter(F.col("size") < target / 2)
-        run = W.partitionBy(slice_, tier(F.col("size"), base, fan_in)).orderBy("into")
-        group = F.floor((F.sum("size").over(run) - F.col("size")) / target)
-        placed = groups.select("into", slice_.alias("s"), tier(F.col("size"), base, fan_in).alias("t"), group.alias("g"))
-        same = W.partitionBy("s", "t", "g")
+        groups = cut(groups.select("into", "size", F.floor(F.col("into") / SLICE).alias("s"), tier(F.col("size"), base, fan_in).alias("t")), "tiers")
+        total = groups.groupBy("t", "s").agg(F.sum("size").alias("total"))
+        before = total.select("t", "s", (F.sum("total").over(W.partitionBy("t").orderBy("s")) - F.col("total")).alias("before"))
+        run = F.sum("size").over(W.partitionBy("s", "t").orderBy("into")) - F.col("size")
+        placed = groups.withColumn("run", run).join(before, ["t", "s"]).select("into", "t", F.floor((F.col("before") + F.col("run")) / target).alias("g"))
+        same = W.partitionBy("t", "g")
         moved = placed.select("into", F.min("into").over(same).alias("to"), F.count("*").over(same).alias("n")).filter(F.col("n") >= fan_in)
         now = cut(now.join(moved, "into", "left").select("gen", "shard", F.coalesce("to", "into").alias("into"), "bytes"), "plan")
     return now
@@ -152,7 +154,8 @@ def compact(spark: SparkSession, root: str, target: int, base: int, fan_in: int
         into = mine.groupBy("into").agg(F.count("*").alias("sources")).select("into", (F.row_number().over(W.orderBy("into")) - 1).alias("task"))  # at most SLICE numbers
         n = into.count()
         to = mine.join(into, "into").select(F.col("shard").alias("__shard"), F.col("gen").alias("__gen"), "into", "task")
-        rows = _load(spark, root, mine).join(F.broadcast(to), ["__gen", "__shard"])  # at most SLICE small rows
+        small = to.count() <= 2 * SLICE  # a merge's sources may go on in the next slice
+        rows = _load(spark, root, mine).join(F.broadcast(to) if small else to, ["__gen", "__shard"])
         rows = rows.repartitionById(n, F.col("task")).drop("__attempt", "__gen", "__shard", "task").withColumns({"__gen": F.lit(gen), "__shard": F.col("into")}).drop("into")
         attempt = _write(rows, root)
         sizes = live.join(mine.select("shard", "into"), "shard")
@@ -198,7 +201,7 @@ def sharding_digest(docs: DataFrame, rows_per_arrival: int = 1000, target: int =
 
 
 def digest_sql(rows_per_arrival: int = 1000, target: int = 64 << 20, base: int = 1 << 20, fan_in: int = 4, rounds: int = 3) -> str:
-    """sharding_digest as DuckDB SQL, for doc_ids up to SLICE arrivals."""
+    """sharding_digest as DuckDB SQL."""
     t = "CASE " + " ".join(f"WHEN size >= {base * fan_in**k} THEN {k + 1}" for k in range(11, -1, -1)) + " ELSE 0 END"
     steps = [f"d AS (SELECT doc_id, coalesce(CAST(floor(doc_id / {rows_per_arrival}) AS BIGINT), -1) AS arrival, CAST(coalesce(strlen(text), 0) AS BIGINT) AS n_bytes FROM documents)", "m0 AS (SELECT arrival AS shard, arrival AS into_, sum(n_bytes + 8) AS bytes FROM d GROUP BY ALL)"]
     for k in range(rounds):

@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 from refspark.llm import shards as s
 
 
-def test_digest_against_sql(spark, tmp_path):
+@pytest.mark.parametrize("slice_", [100_000, 7, 1])
+def test_digest_against_sql(spark, monkeypatch, slice_):
+    monkeypatch.setattr(s, "SLICE", slice_)
     rows = [(i, "é" * (i * 37 % 400) if i % 11 else None, 1) for i in range(3000)] + [(None, "x", 1), (5, "again", 2), (5, "again", 2)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, shard int").repartition(6)
     got = sorted(map(tuple, s.sharding_digest(docs, 20, 100_000, 2000).collect()), key=str)

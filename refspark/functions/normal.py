@@ -19,19 +19,19 @@ def _polynomial(coefficients: tuple[float, ...], x: str) -> str:
 
 
 def norm_cdf(x: str) -> str:
-    """P(Z <= x); x within +-37, beyond that 0 or 1."""
+    """P(Z <= x); x within +-37, beyond that 0 or 1. Null for null and NaN."""
     z = f"least(abs({x}), 37.0e0)"
     tail = f"exp(-{z} * {z} / 2) * {_polynomial(CDF_TOP, z)} / {_polynomial(CDF_LOW, z)}"
     far = f"exp(-{z} * {z} / 2) / ({z} + 1 / ({z} + 2 / ({z} + 3 / ({z} + 4 / ({z} + 0.65e0))))) / 2.506628274631e0"
-    return f"(CASE WHEN ({x}) IS NULL THEN NULL WHEN ({x}) > 0 THEN 1 - (CASE WHEN {z} < 7.07106781186547e0 THEN {tail} ELSE {far} END) ELSE (CASE WHEN {z} < 7.07106781186547e0 THEN {tail} ELSE {far} END) END)"
+    return f"(CASE WHEN ({x}) IS NULL OR isnan(CAST({x} AS DOUBLE)) THEN NULL WHEN ({x}) > 0 THEN 1 - (CASE WHEN {z} < 7.07106781186547e0 THEN {tail} ELSE {far} END) ELSE (CASE WHEN {z} < 7.07106781186547e0 THEN {tail} ELSE {far} END) END)"
 
 
 def norm_ppf(p: str) -> str:
-    """x with P(Z <= x) = p, to about 1e-9; null unless 0 < p < 1."""
+    """x with P(Z <= x) = p, to about 1e-9; null unless 0 < p < 1, for NaN too."""
     low, high = f"sqrt(-2 * ln({p}))", f"sqrt(-2 * ln(1 - ({p})))"
     q = f"(({p}) - 0.5e0)"
     r = f"({q} * {q})"
     return (
-        f"(CASE WHEN ({p}) <= 0 OR ({p}) >= 1 THEN NULL WHEN ({p}) < 0.02425e0 THEN {_polynomial(PPF_C, low)} / {_polynomial(PPF_D, low)} "
+        f"(CASE WHEN ({p}) IS NULL OR ({p}) <= 0 OR ({p}) >= 1 OR isnan(CAST({p} AS DOUBLE)) THEN NULL WHEN ({p}) < 0.02425e0 THEN {_polynomial(PPF_C, low)} / {_polynomial(PPF_D, low)} "
         f"WHEN ({p}) <= 0.97575e0 THEN {_polynomial(PPF_A, r)} * {q} / {_polynomial(PPF_B, r)} ELSE -{_polynomial(PPF_C, high)} / {_polynomial(PPF_D, high)} END)"
     )

@@ -199,7 +199,8 @@ def walk_forward(frame: DataFrame, hold: int = 5, windows: int = 4, first: float
     entries = rows.filter((F.col("k") % hold == 0) & (F.col("k") < F.col("n") - hold) & (F.col("k") >= F.floor(F.col("n") * first)))
     entries = entries.withColumns({"entries": F.count("*").over(w), "window": F.ntile(windows).over(w.orderBy("ts"))}).filter(F.col("entries") >= 3 * windows)
     start = entries.groupBy("series_id", "window").agg(F.min_by(F.struct("k", "mu", "sd"), "k").alias("s"))
-    z = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (F.col("signal") - F.col("s.mu")) / F.col("s.sd")))
+    far = (F.col("signal") - F.col("s.mu")) / F.col("s.sd")
+    z = F.when(far.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), far)))
     traded = entries.join(start, ["series_id", "window"]).filter("s.k >= 5 and s.sd > 0").withColumn("z", z)
     net = traded.withColumn("net", F.col("z") * (F.col("fut_rv") - F.col("iv")) - F.abs("z") * cost)
     sharpe = F.when((F.count("*") >= 20) & (F.stddev_samp("net") > 0), F.try_divide(F.avg("net"), F.stddev_samp("net")) * (365 / hold) ** 0.5)

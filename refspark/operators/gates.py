@@ -192,6 +192,15 @@ def cpcv(net: DataFrame, groups: int = 8, per_year: float = 252, embargo: float
     return out.withColumn("overfit", F.col("p_loss") >= 0.5)
 
 
+def common_length(nets: DataFrame, by: str = "family") -> DataFrame:
+    """nets without what a series has beyond the length of its family's shortest: pbo compares candidates over equally many rows.
+
+    nets: series_id, seq (numbered from 1 in each series) and the family. The lengths are one row a series.
+    """
+    lengths = nets.groupBy(by, "series_id").agg(F.count("*").alias("n")).groupBy(by).agg(F.min("n").alias("__common"))
+    return nets.join(lengths, by).filter("seq <= __common").select(*nets.columns)
+
+
 def pbo(nets: DataFrame, groups: int = 8, by: str = "family") -> DataFrame:
     """by, splits, pbo: how often the candidate that is best in training ranks in the lower half out of sample, over all pairs of test groups.
 

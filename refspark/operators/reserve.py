@@ -66,22 +66,30 @@ def provenance_checkable(has_period: Column, datasets: Column, domains: Column,
 
 
 def reserve_overlap(lineage: DataFrame, epochs: DataFrame, key: str) -> DataFrame:
-    """key, epoch_id of the epochs that share a domain, a dataset or a day with the key's lineage.
+    """key, shares_name, shares_day, overlap: whether a lineage has a domain or a dataset of some epoch, or a day; one row for each of lineage's.
 
-    lineage: key, domains, datasets (arrays), start, end. epochs: epoch_id, domains, datasets, start, end. Names meet by equal values and
-    periods by the months that they touch, so no pair is looked at that has nothing in common.
+    lineage: key (unique), domains, datasets (arrays), start, end. epochs: epoch_id, domains, datasets, start, end. Epochs are first put together
+    to their distinct names and, month by month, to a mask of the days that any of them covers, so no pair of a lineage and an epoch is
+    made, however many share a name or a day. Null or empty arrays share nothing, a period without both ends has no day.
     """
-    def named(side: DataFrame, *keep: str) -> DataFrame:
-        return side.select(*keep, F.explode(F.concat(F.transform("domains", lambda x: F.concat(F.lit("domain:"), x)), F.transform("datasets", lambda x: F.concat(F.lit("dataset:"), x)))).alias("name"))
 
-    def months(side: DataFrame, *keep: str) -> DataFrame:
-        first, last = F.trunc("start", "month"), F.trunc("end", "month")
-        return side.filter("start <= end").select(*keep, "start", "end", F.explode(F.sequence(first, last, F.expr("interval 1 month"))).alias("month"))
-
-    by_name = named(lineage, key).join(named(epochs, "epoch_id"), "name").select(key, "epoch_id")
-    left, right = months(lineage, key).alias("l"), months(epochs, "epoch_id").alias("r")
-    by_time = left.join(right, (F.col("l.month") == F.col("r.month")) & overlaps("l.start", "l.end", "r.start", "r.end")).select(key, "epoch_id")
-    return by_name.unionByName(by_time).distinct()
+    def names(side: DataFrame, *keep: str) -> DataFrame:
+        each = lambda kind, c: F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.concat(F.lit(kind), x))
+        return side.select(*keep, F.explode(F.concat(each("domain:", F.col("domains")), each("dataset:", F.col("datasets")))).alias("name"))
+
+    def days(side: DataFrame, *keep: str) -> DataFrame:
+        months = side.filter("start <= end").select(*keep, "start", "end", F.explode(F.sequence(F.trunc("start", "month"), F.trunc("end", "month"), F.expr("interval 1 month"))).alias("month"))
+        first = F.when(F.trunc("start", "month") == F.col("month"), F.dayofmonth("start")).otherwise(1)
+        last = F.when(F.trunc("end", "month") == F.col("month"), F.dayofmonth("end")).otherwise(31)
+        below = lambda n: F.call_function("shiftleft", F.lit(1).cast("bigint"), n) - 1
+        return months.select(*keep, "month", (below(last) - below(first - 1)).alias("days"))
+
+    named = names(lineage, key).join(names(epochs).distinct(), "name", "left_semi").select(key).distinct().withColumn("shares_name", F.lit(True))
+    covered = days(epochs).groupBy("month").agg(F.bit_or("days").alias("covered"))
+    timed = days(lineage, key).join(covered, "month").filter(F.col("days").bitwiseAND(F.col("covered")) != 0).select(key).distinct().withColumn("shares_day", F.lit(True))
+    no = lambda c: F.coalesce(c, F.lit(False)).alias(c)
+    out = lineage.select(key).join(named, key, "left").join(timed, key, "left").select(key, no("shares_name"), no("shares_day"))
+    return out.withColumn("overlap", F.col("shares_name") | F.col("shares_day"))
 
 
 def assign_epochs(candidates: DataFrame, epochs: DataFrame, by: str, order: str) -> DataFrame:

@@ -65,8 +65,8 @@ def concept_query(s, d):
 
 def grounded(s, d):
     """Quotations of each benchmark text: whole, with other quotation marks, in two of its parts, and with a word put in."""
-    b = views.table(s, d, "benchmark").filter("text is not null and size(split(trim(text), ' +')) >= 12").selectExpr("item_id", "text", "split(trim(text), ' +') w")
-    head, tail = "array_join(slice(w, 1, 6), ' ')", "array_join(slice(w, size(w) - 5, 6), ' ')"
+    b = views.table(s, d, "benchmark").selectExpr("item_id", "text", "split(trim(text), ' +') w")
+    head, tail = "array_join(slice(w, 1, 6), ' ')", "array_join(slice(w, greatest(1, size(w) - 5), 6), ' ')"
     q = b.selectExpr("item_id", "text", f"stack(4, 'whole', concat('**', text, '**  '), 'parts', concat({tail}, '\\n', {head}), 'changed', concat({head}, ' zzzz zzzz zzzz zzzz zzzz zzzz ', {tail}), 'empty', ' ') as (kind, span)")
     return q.select("item_id", "kind", c.span_grounded(F.col("span"), F.col("text")).alias("grounded"))
 
@@ -129,7 +129,7 @@ def expanded(s, d):
 
 
 def contexts(s, d):
-    n = concepts(s, d).withColumn("rank", F.expr("row_number() over (partition by concept_id % 50 order by concept_id)")).filter("rank <= 30")
+    n = concepts(s, d).withColumn("rank", F.expr("row_number() over (partition by concept_id % 50 order by concept_id)"))
     return c.format_context(n.selectExpr("concept_id % 50 query_id", "rank", "'observation' level", "statement", "direction", "1L support"))
 
 
@@ -210,7 +210,12 @@ SQL = {
 r AS (SELECT *, concat_ws(',', CASE WHEN row_number() OVER (PARTITION BY run, st ORDER BY candidate) > 1 THEN 'duplicate_in_run' END, CASE WHEN candidate_class = 'conceptual_only' THEN 'not_testable' END, CASE WHEN o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 4 > 0) THEN 'ungrounded' END,
   CASE WHEN o_orderkey % 5 = 0 THEN 'params_not_numeric' END, CASE WHEN o_orderkey % 11 = 0 THEN 'grid_outside_params' END, CASE WHEN o_orderpriority LIKE '5%' THEN 'unknown_series' END) AS reasons FROM c) SELECT run, candidate, candidate_class, reasons, reasons = '' AS admitted FROM r""",
     "c12_resolve_alias": "SELECT s_suppkey, CASE WHEN s_suppkey % 5 <> 0 AND s_suppkey % 4 <> 2 THEN 'sup' || s_suppkey || '_spot_daily' END AS key FROM supplier",
-    "c13_span_grounded": "SELECT item_id, kind, kind IN ('whole', 'parts') AS grounded FROM benchmark, (VALUES ('whole'), ('parts'), ('changed'), ('empty')) AS v(kind) WHERE len(regexp_split_to_array(trim(text), ' +')) >= 12",
+    "h9_format_context": f"""WITH n AS (SELECT o_orderkey AS id, o_orderkey % 50 AS query_id, 'Claim, ' || (o_custkey % 90) || CASE WHEN o_orderkey % 2 = 0 THEN '!' ELSE '' END AS st, {_duck(('positive', 'negative', 'unknown'), 'o_orderkey')} AS dir FROM orders),
+l AS (SELECT query_id, id, '[observation] ' || st || ' (' || dir || ') - supported by 1 observations' AS line FROM n),
+w AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY query_id ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM l),
+k AS (SELECT query_id, id, CASE WHEN used + length(line) <= 1200 THEN line WHEN used <= 1200 AND 1200 - greatest(used - 1, 0) > 20 THEN rtrim(line[1:CAST(1200 - greatest(used - 1, 0) AS INT)]) END AS line FROM w)
+SELECT query_id, string_agg(line, chr(10) ORDER BY id)[1:1200] AS context FROM k WHERE line IS NOT NULL GROUP BY query_id""",
+    "c13_span_grounded": "SELECT item_id, kind, coalesce(kind = 'whole' AND trim(text) <> '' OR kind = 'parts' AND len(regexp_split_to_array(trim(text), ' +')) >= 5, false) AS grounded FROM benchmark, (VALUES ('whole'), ('parts'), ('changed'), ('empty')) AS v(kind)",
     "c20_dependency_safe": f"WITH RECURSIVE {_NODES}, {_SAFE} SELECT node_id, node_id NOT IN (SELECT node_id FROM bad) AS safe FROM n WHERE source_type IS NULL",
     "d29_triage_report": """SELECT 'verdict' AS part, event_type AS name, count(*) AS n FROM events GROUP BY ALL UNION ALL SELECT 'exit_stage', CASE WHEN user_id % 9 = 0 THEN 'unknown' ELSE 'P' || (user_id % 5) END, count(*) FROM events GROUP BY ALL""",
     "d30_audit_summary": """SELECT user_id AS run, CASE WHEN event_id % 9 = 0 THEN 'unknown' ELSE event_type END AS stage, CAST(coalesce(sum(event_id % 1000) FILTER (event_id % 5 <> 0), 0) AS DOUBLE) AS duration_ms, count(*) FILTER (event_type = 'click') AS gates,

@@ -66,10 +66,13 @@ def lenses(s, d):
 
 
 def windows(s, d):
-    """Daily returns of each flag around the days that have many orders of top priority."""
+    """Daily returns of each flag around the days with more orders of top priority than two deviations over the mean."""
     r = views.price(s, d).selectExpr("series_id", "ts", "ln(value / lag(value) over (partition by series_id order by ts)) ret")
-    days = views.table(s, d, "orders").filter("o_orderpriority = '1-URGENT'").groupBy(F.date_trunc("day", "o_orderdate").alias("event_ts")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "event_ts").limit(60)
-    return r, r.select("series_id").distinct().join(F.broadcast(days.select("event_ts")))
+    days = views.table(s, d, "orders").filter("o_orderpriority = '1-URGENT'").groupBy(F.date_trunc("day", "o_orderdate").alias("event_ts")).agg(F.count("*").alias("n"))
+    busy = days.agg((F.avg("n") + 2 * F.stddev_samp("n")).alias("most"))
+    days = days.join(F.broadcast(busy), F.col("n") > F.col("most"))
+    calendar = days.agg(F.array_sort(F.collect_list("event_ts")).alias("days"))  # at most one for each day of the calendar
+    return r, r.select("series_id").distinct().select("series_id", F.explode(calendar.scalar()).alias("event_ts"))
 
 
 def candidates(s, d):
@@ -159,7 +162,7 @@ _REFEREE = SQL_SLICE
 _ALONE = SQL_SLICE.replace("n_name AS family", "CAST(l_suppkey AS VARCHAR) AS family")
 assert _ALONE != SQL_SLICE
 _CANDIDATES = f"""{views.PRICE_SQL}, ret AS (SELECT series_id, ts, ln(value / lag(value) OVER {_W})) AS ret FROM price),
-ev AS (SELECT CAST(date_trunc('day', o_orderdate) AS TIMESTAMP) AS event_ts, count(*) AS n FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY ALL ORDER BY n DESC, event_ts LIMIT 60),
+days AS (SELECT CAST(date_trunc('day', o_orderdate) AS TIMESTAMP) AS event_ts, count(*) AS n FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY ALL), ev AS (SELECT event_ts FROM days WHERE n > (SELECT avg(n) + 2 * stddev_samp(n) FROM days)),
 k AS (SELECT *, row_number() OVER {_W}) - 1 AS k, count(*) OVER (PARTITION BY series_id) AS n FROM ret),
 p AS (SELECT s.series_id, event_ts, (SELECT count(*) FROM ret r WHERE r.series_id = s.series_id AND r.ts < event_ts) - 1 AS start FROM (SELECT DISTINCT series_id FROM ret) s, ev),
 z AS (SELECT p.*, (SELECT max(n) FROM k WHERE k.series_id = p.series_id) AS n, (SELECT count(ret) FROM k WHERE k.series_id = p.series_id AND k.k BETWEEN start - 20 AND start - 1) AS e_n, (SELECT avg(ret) FROM k WHERE k.series_id = p.series_id AND k.k BETWEEN start - 20 AND start - 1) AS e_mean,

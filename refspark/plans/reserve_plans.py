@@ -20,18 +20,14 @@ def lines(s, d):
     return views.table(s, d, "lineitem").filter("l_shipdate is not null").selectExpr("l_suppkey lineage", "array(l_returnflag) domains", "array(concat('dataset', l_linestatus)) datasets", "to_date(l_shipdate) start", "date_add(to_date(l_shipdate), int(l_quantity)) end").distinct()
 
 
-def few_epochs(s, d):
-    """The longest epoch of each priority."""
-    e = epochs(s, d).groupBy(F.col("domains")[0].alias("epoch_id")).agg(F.max(F.struct(F.datediff("end", "start").alias("n"), "start", "end")).alias("m"))
-    return e.selectExpr("epoch_id", "array(if(epoch_id like '1%', 'A', 'X')) domains", "array('datasetO') datasets", "m.start start", "m.end end")
-
-
 def supplier_spans(s, d):
     return lines(s, d).groupBy("lineage").agg(F.min("start").alias("start"), F.expr("date_add(min(start), 40)").alias("end"), F.expr("array(substr('ANR', int(lineage % 3 + 1), 1)) domains"), F.expr("array('none')").alias("datasets"))
 
 
 def overlap(s, d):
-    return r.reserve_overlap(supplier_spans(s, d), few_epochs(s, d), "lineage")
+    """All lineages against the epochs of all orders that start in the second half of a year; the epochs' names meet few lineages."""
+    e = epochs(s, d).filter("month(start) > 6").withColumn("domains", F.expr("array(if(domains[0] like '1%', 'A', 'X'))"))
+    return r.reserve_overlap(supplier_spans(s, d), e, "lineage")
 
 
 def assign(s, d):
@@ -126,9 +122,9 @@ SELECT claim, i.name, n IS NOT NULL AS available, CASE WHEN n IS NULL THEN 'data
 SELECT series_id, CASE WHEN abs(m / sd * sqrt(252) * (series_id % 50)) > 6 THEN 'implausible_sharpe' WHEN m <> 0 AND sd / (series_id % 7 * 400 + 1) < 0.02 * abs(m) THEN 'degenerate_series' END AS implausible,
   CASE WHEN series_id % 5 <> 0 THEN round(date_diff('day', DATE '2000-01-01', CAST(last AS DATE)) / 365.25, 6) END AS years,
   CASE series_id % 4 WHEN 0 THEN false WHEN 1 THEN true WHEN 2 THEN false END AS anchored FROM g""",
-    "b11_reserve_overlap": f"""WITH e0 AS ({EPOCHS}), {_SPANS},
-e AS (SELECT domain AS epoch_id, arg_max(start, ("end" - start, start, "end")) AS start, arg_max("end", ("end" - start, start, "end")) AS "end" FROM e0 GROUP BY ALL)
-SELECT DISTINCT lineage, epoch_id FROM spans s JOIN e ON list_contains(s.domains, CASE WHEN epoch_id LIKE '1%' THEN 'A' ELSE 'X' END) OR (s.start <= e."end" AND e.start <= s."end")""",
+    "b11_reserve_overlap": f"""WITH e AS (SELECT * FROM ({EPOCHS}) WHERE month(start) > 6), {_SPANS},
+x AS (SELECT lineage, domains[1] = 'A' AND (SELECT count(*) FROM e WHERE domain LIKE '1%') > 0 AS shares_name, EXISTS (SELECT 1 FROM e WHERE s.start <= e."end" AND e.start <= s."end") AS shares_day FROM spans s)
+SELECT *, shares_name OR shares_day AS overlap FROM x""",
     "b12_valid_epochs": f"""WITH e AS ({EPOCHS}), f AS (SELECT *, coalesce(start <= lag("end") OVER (PARTITION BY reserve ORDER BY start, "end", epoch_id), false) OR count(*) OVER (PARTITION BY reserve, epoch_id) > 1 AS bad FROM e)
 SELECT reserve, epoch_id, start, "end" FROM f QUALIFY NOT bool_or(bad) OVER (PARTITION BY reserve)""",
     "b13_checkable": f"WITH {_SPANS} SELECT lineage, (lineage % 2 <> 0 OR lineage % 3 <> 0) AND domains[1] <> 'N' AS checkable FROM spans",

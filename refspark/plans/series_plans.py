@@ -44,6 +44,25 @@ def book_query(s, d):
     return rounded(o.dollar_neutral_book(views.panel(s, d), "characteristic", "ret"), "ts", port_return=6, gross=6)
 
 
+# Prices, probabilities and parameters with gaps, in both engines' SQL: a null or NaN anywhere must come out as null.
+PRICE = "CASE WHEN event_id % 11 = 0 THEN NULL WHEN event_id % 13 = 0 THEN CAST('NaN' AS DOUBLE) WHEN event_id % 17 = 0 THEN 1e0 ELSE entry_price END"
+PROB = "CASE WHEN part % 11 = 0 THEN NULL WHEN part % 13 = 0 THEN CAST('NaN' AS DOUBLE) ELSE 0.6e0 END"
+MU = "CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 11 = 0 THEN CAST('NaN' AS DOUBLE) ELSE mu END"
+SIGMA = "CASE event_id % 6 WHEN 0 THEN 0e0 WHEN 1 THEN CAST('NaN' AS DOUBLE) WHEN 2 THEN NULL WHEN 3 THEN -1e0 WHEN 4 THEN 0.5e0 ELSE 1e0 END"
+LOW = "CASE WHEN event_id % 5 = 0 THEN CAST('-Infinity' AS DOUBLE) ELSE 0e0 END"
+
+
+def fees_and_sizes(s, d):
+    b = views.bracket(s, d).selectExpr("event_id", "line", "part", "size", f"{PRICE} price", f"{PROB} prob")
+    price, prob = F.col("price"), F.col("prob")
+    return b.select("event_id", "line", "part", "size", F.round(m.fee_frac(price, 0.07), 6).alias("fee"), F.round(m.taker_fee(price), 6).alias("taker"), F.round(m.kelly_size(prob, price, 0.25, 0.1), 6).alias("kelly"))
+
+
+def bracket_probabilities(s, d):
+    b = views.bracket(s, d).groupBy("event_id").agg(F.max("mu").alias("mu")).selectExpr("event_id", f"{MU} mu", f"{SIGMA} sigma", f"{LOW} low")
+    return b.select("event_id", F.round(m.bracket_probability("mu", "sigma", "low", "1e0"), 6).alias("p"))
+
+
 QUERIES = {
     "a11_clean_series": lambda s, d: o.clean_series(ticks(s, d), "event_id"),
     "a13_coverage": lambda s, d: o.coverage(ticks(s, d)),
@@ -63,8 +82,8 @@ QUERIES = {
     "d26_information_coefficient": lambda s, d: rounded(o.information_coefficient(views.panel(s, d), "characteristic", "ret"), "dates", ic=6),
     "e15_liquidity_screen": lambda s, d: rounded(o.liquidity_screen(views.panel(s, d), 5), "ts", "entity", "k", median=3),
     "a8_bracket_contract": lambda s, d: m.violations(views.bracket(s, d)).select(F.explode_outer("reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("n")),
-    "b3_b6_fees_and_sizes": lambda s, d: views.bracket(s, d).select("event_id", "line", "part", "size", F.round(m.fee_frac(F.col("entry_price"), 0.07), 6).alias("fee"), F.round(m.taker_fee(F.col("entry_price")), 6).alias("taker"), F.round(m.kelly_size(F.lit(0.6), F.col("entry_price"), 0.25, 0.1), 6).alias("kelly")),
-    "b7_bracket_probability": lambda s, d: views.bracket(s, d).groupBy("event_id").agg(F.max("mu").alias("mu")).select("event_id", F.round(m.bracket_probability("mu", "1e0", "0e0", "1e0"), 6).alias("p")),
+    "b3_b6_fees_and_sizes": fees_and_sizes,
+    "b7_bracket_probability": bracket_probabilities,
     "f7_bracket_backtest": lambda s, d: m.backtest(views.bracket(s, d).withColumn("prob", F.lit(0.6)), "prob").groupBy(F.to_date("close_time").cast("timestamp").alias("day")).agg(F.count("*").alias("trades"), F.round(F.sum("net"), 5).alias("net")),
 }
 _BR = views.BRACKET_SQL
@@ -89,8 +108,13 @@ SQL = {
     "d26_information_coefficient": f"WITH {views.PANEL_SQL}, c AS (SELECT ts, covar_pop(characteristic, ret) AS c, var_pop(characteristic) AS a, var_pop(ret) AS b FROM panel WHERE ret IS NOT NULL GROUP BY ts) SELECT count(*) AS dates, round(avg(c / sqrt(a * b)), 6) AS ic FROM c WHERE a > 0 AND b > 0",
     "e15_liquidity_screen": f"WITH {views.PANEL_SQL}, m AS (SELECT ts, entity, quantile_cont(dvol, 0.5) OVER (PARTITION BY entity ORDER BY year(ts) * 12 + month(ts) RANGE BETWEEN 2 PRECEDING AND CURRENT ROW) AS med FROM panel), k AS (SELECT *, row_number() OVER (PARTITION BY ts ORDER BY med DESC, entity) AS k FROM m) SELECT ts, entity, k, round(med, 3) AS median FROM k WHERE k <= 5",
     "a8_bracket_contract": f"WITH {_BR}, v AS (SELECT CASE WHEN close_time < decision_time THEN 'close_before_decision' END AS reason FROM bracket) SELECT reason, count(*) AS n FROM v GROUP BY reason",
-    "b3_b6_fees_and_sizes": f"WITH {_BR} SELECT event_id, line, part, size, round(0.07e0 * {_PP} * (1 - {_PP}), 6) AS fee, round(0.07e0 * entry_price * (1 - entry_price), 6) AS taker, round({_K}, 6) AS kelly FROM bracket",
-    "b7_bracket_probability": f"WITH {_BR}, g AS (SELECT event_id, max(mu) AS mu FROM bracket GROUP BY ALL) SELECT event_id, round({norm_cdf('(1e0 - mu)')} - {norm_cdf('(0e0 - mu)')}, 6) AS p FROM g",
+    "b3_b6_fees_and_sizes": f"""WITH {_BR}, q AS (SELECT event_id, line, part, size, {PRICE} AS price, {PROB} AS prob FROM bracket),
+k AS (SELECT *, price IS NOT NULL AND NOT isnan(price) AS priced, CASE WHEN price < 1e-4 THEN 1e-4 WHEN price > 0.9999e0 THEN 0.9999e0 ELSE price END AS held, CASE WHEN price < 1 THEN 0.25e0 * (prob - price) / (1 - price) END AS bet FROM q)
+SELECT event_id, line, part, size, CASE WHEN priced THEN round(0.07e0 * held * (1 - held), 6) END AS fee, CASE WHEN priced THEN round(0.07e0 * price * (1 - price), 6) END AS taker,
+  CASE WHEN NOT priced OR prob IS NULL OR isnan(prob) THEN NULL WHEN price >= 1 OR bet < 0 THEN 0 WHEN bet > 0.1e0 THEN 0.1e0 ELSE round(bet, 6) END AS kelly FROM k""",
+    "b7_bracket_probability": f"""WITH {_BR}, g AS (SELECT event_id, max(mu) AS mu FROM bracket GROUP BY ALL), q AS (SELECT event_id, {MU} AS mu, {SIGMA} AS sigma, {LOW} AS low FROM g),
+z AS (SELECT event_id, CASE WHEN sigma > 0 AND NOT isnan(sigma) THEN (low - mu) / sigma END AS a, CASE WHEN sigma > 0 AND NOT isnan(sigma) THEN (1 - mu) / sigma END AS b FROM q)
+SELECT event_id, round({norm_cdf('b')} - {norm_cdf('a')}, 6) AS p FROM z""",
     "f7_bracket_backtest": f"WITH {_BR}, t AS (SELECT *, {_K} AS kelly FROM bracket WHERE 0.6e0 - entry_price > 0 AND entry_price <= 0.9e0) SELECT CAST(CAST(close_time AS DATE) AS TIMESTAMP) AS day, count(*) AS trades, round(sum(kelly * ((outcome - entry_price) - 0.07e0 * entry_price * (1 - entry_price))), 5) AS net FROM t WHERE kelly > 0 GROUP BY ALL",
 }
 

@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 from refspark.functions.normal import norm_cdf
 from refspark.functions.sql import register_sql
 from refspark.plans import views
+from refspark.plans.series_plans import MU, PRICE, PROB
 from refspark.sources import tables as t
 from refspark.streaming import jobs
 
 
 def sql_functions(s, d):
     register_sql(s)
-    return views.bracket(s, d).selectExpr("event_id", "line", "part", "size", "round(fee_frac(entry_price, 0.07D, 1D), 6) fee", "round(kelly_size(0.6D, entry_price, 0.25D, 0.1D), 6) kelly", "round(normal_cdf(mu), 6) phi")
+    b = views.bracket(s, d).selectExpr("event_id", "line", "part", "size", f"{PRICE} price", f"{PROB} prob", f"{MU} mu")
+    return b.selectExpr("event_id", "line", "part", "size", "round(fee_frac(price, 0.07D, 1D), 6) fee", "round(kelly_size(prob, price, 0.25D, 0.1D), 6) kelly", "round(normal_cdf(mu), 6) phi")
 
 
 def factor_texts(s, d):
@@ -68,8 +70,6 @@ QUERIES = {
     "s2_stream_triage": triage,
     "s3_stream_records": new_records,
 }
-_K = "CASE WHEN entry_price >= 1 THEN 0 ELSE least(0.1e0, 0.25e0 * greatest(0e0, (0.6e0 - entry_price) / (1 - entry_price))) END"
-_PP = "least(greatest(entry_price, 1e-4), 1 - 1e-4)"
 _BR = views.BRACKET_SQL
 
 SQL = {
@@ -87,7 +87,9 @@ FROM events GROUP BY ALL""",
     "a5_panel": f"WITH {views.PANEL_SQL} SELECT ts, entity, 'return' AS kind, round(ret, 6) AS ret FROM panel WHERE entity IN (SELECT entity FROM panel WHERE ret IS NOT NULL)",
     "a9_reject_lookahead": f"WITH {_BR} SELECT city, count(*) AS n FROM bracket WHERE city NOT IN (SELECT city FROM bracket WHERE city % 3 = 0 AND event_id % 7 = 0) GROUP BY city",
     "a10_parse_underlying": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events",
-    "u4_sql_functions": f"WITH {_BR} SELECT event_id, line, part, size, round(0.07e0 * {_PP} * (1 - {_PP}), 6) AS fee, round({_K}, 6) AS kelly, round({norm_cdf('mu')}, 6) AS phi FROM bracket",
+    "u4_sql_functions": f"""WITH {_BR}, q AS (SELECT event_id, line, part, size, {PRICE} AS price, {PROB} AS prob, {MU} AS mu FROM bracket), k AS (SELECT *, price IS NOT NULL AND NOT isnan(price) AS priced, CASE WHEN price < 1e-4 THEN 1e-4 WHEN price > 0.9999e0 THEN 0.9999e0 ELSE price END AS held FROM q)
+SELECT event_id, line, part, size, CASE WHEN priced THEN round(0.07e0 * held * (1 - held), 6) END AS fee,
+  CASE WHEN NOT priced OR prob IS NULL OR isnan(prob) THEN NULL WHEN price >= 1 OR prob <= price THEN 0 WHEN 0.25e0 * (prob - price) / (1 - price) > 0.1e0 THEN 0.1e0 ELSE round(0.25e0 * (prob - price) / (1 - price), 6) END AS kelly, round({norm_cdf('mu')}, 6) AS phi FROM k""",
     "s1_stream_ohlc": "WITH b AS (SELECT event_type AS series_id, CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close FROM events WHERE value IS NOT NULL GROUP BY ALL) SELECT * FROM b WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events WHERE value IS NOT NULL)",
     "s3_stream_records": "SELECT DISTINCT md5(event_type || ':' || props) AS receipt FROM events",
 }

@@ -85,9 +85,8 @@ def fragility(s, d):
 
 
 def overfit_probability(s, d):
-    """Orders of the first 500 places of each supplier, so that candidates are of one length."""
-    n = views.net(s, d).filter("seq <= 500").withColumn("n", F.expr("count(*) over (partition by series_id)")).filter("n = 500")
-    return rounded(g.pbo(n), "family", "splits", pbo=6)
+    """Each family's candidates over their common length, that of its shortest."""
+    return rounded(g.pbo(g.common_length(views.net(s, d))), "family", "splits", pbo=6)
 
 
 def holdouts(s, d):
@@ -135,7 +134,7 @@ SQL = {
 w AS (SELECT series_id, avg(net) / stddev_samp(net) * sqrt(252) AS full_ FROM net GROUP BY series_id),
 o AS (SELECT series_id, count(*) AS paths, median(sh) AS med, quantile_cont(sh, 0.75) - quantile_cont(sh, 0.25) AS iqr, avg(CAST(sh <= 1e-9 AS INT)) AS p_loss, CAST(sum(purged) AS BIGINT) AS purged, CAST(sum(emb) AS BIGINT) AS embargoed FROM s GROUP BY series_id)
 SELECT series_id, paths, purged, embargoed, p_loss >= 0.5 AS overfit, round(med, 5) AS median_sharpe, round(iqr, 5) AS iqr_sharpe, round(p_loss, 5) AS p_loss, CASE WHEN full_ > 1e-9 THEN round(med / full_, 4) END AS haircut FROM o JOIN w USING (series_id)""",
-    "g5_pbo": f"""WITH {_GROUPS.format(src="(SELECT * FROM net WHERE seq <= 500 AND series_id IN (SELECT series_id FROM net WHERE seq = 500))")}, ok AS (SELECT family FROM m GROUP BY family HAVING count(DISTINCT series_id) >= 2),
+    "g5_pbo": f"""WITH {_GROUPS.format(src="(SELECT net.* FROM net JOIN (SELECT family, min(n) AS common FROM (SELECT family, series_id, count(*) AS n FROM net GROUP BY ALL) GROUP BY family) USING (family) WHERE seq <= common)")}, ok AS (SELECT family FROM m GROUP BY family HAVING count(DISTINCT series_id) >= 2 AND min(cnt) >= 10),
 t AS (SELECT series_id, sum(n * m) AS at_, sum(n) AS an FROM m GROUP BY series_id),
 p AS (SELECT a.family, a.series_id, a.g AS x, b.g AS y, round((a.n * a.m + b.n * b.m) / (a.n + b.n), 12) AS oos, round((at_ - a.n * a.m - b.n * b.m) / (an - a.n - b.n), 12) AS train FROM m a JOIN m b ON a.series_id = b.series_id AND a.g < b.g JOIN t ON t.series_id = a.series_id WHERE a.family IN (SELECT family FROM ok)),
 r AS (SELECT *, row_number() OVER (PARTITION BY family, x, y ORDER BY train DESC, series_id) AS k FROM p), b AS (SELECT family, x, y, oos AS best FROM r WHERE k = 1),

@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from .common import cut, map_columns, text_bytes
 from .simhash import _LOWER, components, majority
 
-#: Members of a chain of near fingerprints whose ranks lead a round of comparisons of their own, round by round; the last takes all others.
-ROUNDS = ((1, 1), (2, 8), (9, 64), (65, 1 << 40))
+#: Members of a chain of near fingerprints whose ranks lead a round of comparisons of their own, round by round. The others meet by rare shingles.
+ROUNDS = ((1, 1), (2, 8), (9, 64))
 #: Members ranked in one task.
 SALT = 100_000
 
@@ -73,14 +73,93 @@ def merged(label: DataFrame | None, edges: DataFrame) -> DataFrame:
     return cut(known.join(top, "label", "left").select("node", F.coalesce("top", "label").alias("label")), "labels")
 
 
+def by_rare_shingles(rest: DataFrame, over: int, under: int) -> DataFrame:
+    """The shingles by which the members of a chain can be similar: chain, h, node, fp, part, n, i, lead.
+
+    rest: chain, node, fp, part and hs, the distinct shingles. A member's shingles are ordered by how many members have them, the rarest first,
+    and i is the place in that order. Of two members with a Jaccard similarity of over / under the first shingle that they share has
+    at most n - over / under * n others before it in either; in the shorter one, as both have most of it in common, at most n - 2 over / (over +
+    under) * n, which is what lead says. So of texts that all share a common part, but have more of their own than that, no two meet.
+    """
+    own = rest.withColumn("n", F.size("hs"))
+    rows = own.select("chain", "node", F.explode("hs").alias("h"))
+    shared = rows.groupBy("chain", "h").agg(F.count("*").alias("c")).filter("c > 1")
+    sorted_ = rows.join(shared, ["chain", "h"]).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("c", "h"))).alias("s"))
+    placed = own.drop("hs").join(sorted_, "node").select("chain", "node", "fp", "part", "n", F.expr("n - size(s)").alias("alone"), F.posexplode("s").alias("k", "x"))
+    placed = placed.select("chain", F.col("x.h").alias("h"), "node", "fp", "part", "n", (F.col("alone") + F.col("k")).alias("i"))
+    return placed.filter(F.expr(f"i * {under} <= n * {under - over}")).withColumn("lead", F.expr(f"i * {over + under} <= n * {under - over}"))
+
+
+def groups_in_chains(members: DataFrame, sets: DataFrame, over: int, under: int, distance: int) -> DataFrame | None:
+    """node, label: the groups of members linked by a Jaccard similarity of over / under at least and fingerprints within the distance; null without links.
+
+    members: node, fp, chain; only members of one chain are compared. sets: node, hs (distinct shingles). Each round compares texts that are
+    in different groups by then: all with the text nearest to their chain's middle, with the next ones, and the rest by rare shingles, first with
+    one holder of each. So a group of copies costs links in proportion to its size as soon as one round meets a text that all are copies of.
+    """
+    def near(x: str, y: str):
+        return F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= distance
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        x = sets.select(F.col("node").alias("a"), F.col("hs").alias("x"))
+        y = sets.select(F.col("node").alias("b"), F.col("hs").alias("y"))
+        j = pairs.join(x, "a").join(y, "b").withColumn("i", F.size(F.array_intersect("x", "y")))
+        return cut(j.filter(F.col("i") * (over + under) >= over * (F.size("x") + F.size("y"))).select("a", "b"), "edges")
+
+    ones = [F.sum(F.shiftrightunsigned("fp", i).bitwiseAND(1)).alias(f"b{i}") for i in range(64)]
+    middle = reduce(lambda x, y: x.bitwiseOR(y), [F.when(2 * F.col(f"b{i}") > F.col("k"), F.lit(1 << i if i < 63 else -(1 << 63))).otherwise(0).cast("long") for i in range(64)])
+    chains = cut(members.groupBy("chain").agg(F.count("*").alias("k"), *ones).select("chain", "k", middle.alias("middle")), "chains")
+    far = F.bit_count(F.col("fp").bitwiseXOR(F.col("middle")))  # what all others were copied from lies in their middle
+    salt = F.pmod(F.xxhash64("node"), F.ceil(F.col("k") / SALT))
+    ranked = members.join(chains, "chain").withColumn("far", far)
+    ranked = cut(ranked.withColumn("r", F.row_number().over(W.partitionBy("chain", salt).orderBy("far", "node"))), "ranked")
+    last = ROUNDS[-1][1] + 1
+    tops = ranked.filter(F.col("r") < last).withColumn("place", F.least(F.lit(last), F.row_number().over(W.partitionBy("chain").orderBy("far", "node"))))
+    ranked = cut(tops.unionByName(ranked.filter(F.col("r") >= last).withColumn("place", F.lit(last))).drop("r", "far", "middle"), "places")
+    label = None
+
+    def mixed(rows: DataFrame) -> DataFrame:
+        """Rows with their groups so far, of chains that have more than one."""
+        parts = rows.withColumn("part", F.col("node")) if label is None else rows.join(label, "node", "left").withColumn("part", F.coalesce("label", "node")).drop("label")
+        some = parts.groupBy("chain").agg((F.min("part") < F.max("part")).alias("mixed")).filter("mixed").select("chain")
+        return cut(parts.join(some, "chain"), "parts")
+
+    def add(pairs: DataFrame) -> None:
+        nonlocal label
+        new = verified(cut(pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "pairs"))
+        if not new.isEmpty():
+            label = merged(label, new)
+
+    for low, high in ROUNDS:
+        parts = mixed(ranked.filter(F.col("k") > low))
+        if parts.isEmpty():
+            break
+        x, y = parts.filter(F.col("place").between(low, high)).alias("x"), parts.filter(F.col("place") >= low).alias("y")
+        add(x.join(y, F.expr("x.chain = y.chain and x.part <> y.part and (x.place < y.place or x.place = y.place and x.node < y.node)") & near("x.fp", "y.fp")))
+    else:
+        rest = ranked.filter(F.col("place") == last)
+        parts = mixed(rest)
+        if not parts.isEmpty():
+            keys = cut(by_rare_shingles(parts.select("chain", "node", "fp", "part").join(sets, "node"), over, under), "keys")
+            similar = F.expr(f"least(x.n, y.n) * {under} >= greatest(x.n, y.n) * {over} and least(x.n - x.i, y.n - y.i) * {over + under} >= (x.n + y.n) * {over}") & near("x.fp", "y.fp")
+            first = keys.filter("lead").groupBy("chain", "h").agg(F.min_by(F.struct("node", "fp", "part", "n", "i"), F.struct("i", "n", "node")).alias("f")).select("chain", "h", "f.*")
+            add(first.alias("x").join(keys.alias("y"), F.expr("x.chain = y.chain and x.h = y.h and x.part <> y.part") & similar))
+            current = mixed(rest).select("node", "part")
+            keys = keys.drop("part").join(current, "node")
+            x, y = keys.filter("lead").alias("x"), keys.alias("y")
+            add(x.join(y, F.expr("x.chain = y.chain and x.h = y.h and x.part <> y.part and (x.n < y.n or x.n = y.n and x.node < y.node)") & similar))
+    return label
+
+
 def near_duplicates(docs: DataFrame, keep: list[str], text: str = "text", size: int = 5, over: int = 4, under: int = 5, distance: int = 7, segments: int = 4, seed: int = 42) -> DataFrame:
     """The columns `keep` of every row of docs, node (its words' hash) and part: equal for rows linked by pairs of Jaccard >= over / under
     whose word fingerprints are at most `distance` bits apart.
 
     Null texts and texts without words are copies of each other. First fingerprints are chained: those that share a segment are held
     against the least of them, and then the balls around segments are searched for pairs that aren't in one chain yet, so a large group of
-    copies makes as many links as it has members. Texts are compared within a chain: all with the one nearest to its middle, and in later
-    rounds only those that are in different groups by then. Repeated rows come out as often as they came in; an empty table gives no rows.
+    copies makes as many links as it has members. Texts are compared within a chain: all with the one nearest to its middle, then with the
+    next ones, and the others where they share a rare shingle: first with one holder of it, then those that are in different groups by then. In
+    every round only texts in different groups are compared. Repeated rows come out as often as they came in; an empty table gives no rows.
     """
     spark = docs.sparkSession
 
@@ -141,34 +220,7 @@ def near_duplicates(docs: DataFrame, keep: list[str], text: str = "text", size:
     sets = map_columns(docs, [text], [], "node bigint, hs array<bigint>", again).filter("node is not null")
     sets = cut(sets.join(members.select("node"), "node", "left_semi").groupBy("node").agg(F.first("hs").alias("hs")), "sets")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        x = sets.select(F.col("node").alias("a"), F.col("hs").alias("x"))
-        y = sets.select(F.col("node").alias("b"), F.col("hs").alias("y"))
-        j = pairs.join(x, "a").join(y, "b").withColumn("i", F.size(F.array_intersect("x", "y")))
-        return cut(j.filter(F.col("i") * (over + under) >= over * (F.size("x") + F.size("y"))).select("a", "b"), "edges")
-
-    ones = [F.sum(F.shiftrightunsigned("fp", i).bitwiseAND(1)).alias(f"b{i}") for i in range(64)]
-    middle = reduce(lambda x, y: x.bitwiseOR(y), [F.when(2 * F.col(f"b{i}") > F.col("k"), F.lit(1 << i if i < 63 else -(1 << 63))).otherwise(0).cast("long") for i in range(64)])
-    chains = cut(members.groupBy("chain").agg(F.count("*").alias("k"), *ones).select("chain", "k", middle.alias("middle")), "chains")
-    far = F.bit_count(F.col("fp").bitwiseXOR(F.col("middle")))  # what all others were copied from lies in their middle
-    salt = F.pmod(F.xxhash64("node"), F.ceil(F.col("k") / SALT))
-    ranked = members.join(chains, "chain").withColumn("far", far)
-    ranked = cut(ranked.withColumn("r", F.row_number().over(W.partitionBy("chain", salt).orderBy("far", "node"))), "ranked")
-    last = ROUNDS[-1][0]
-    tops = ranked.filter(F.col("r") < last).withColumn("place", F.least(F.lit(last), F.row_number().over(W.partitionBy("chain").orderBy("far", "node"))))
-    ranked = cut(tops.unionByName(ranked.filter(F.col("r") >= last).withColumn("place", F.lit(last))).drop("r", "far", "middle"), "places")
-    label = None
-    for low, high in ROUNDS:
-        parts = ranked.filter(F.col("k") > low).withColumn("part", F.col("node")) if label is None else ranked.filter(F.col("k") > low).join(label, "node", "left").withColumn("part", F.coalesce("label", "node")).drop("label")
-        mixed = parts.groupBy("chain").agg((F.min("part") < F.max("part")).alias("mixed")).filter("mixed")
-        parts = cut(parts.join(mixed, "chain"), "parts")
-        if parts.isEmpty():
-            break
-        x, y = parts.filter(F.col("place").between(low, high)).alias("x"), parts.filter(F.col("place") >= low).alias("y")
-        pairs = x.join(y, F.expr("x.chain = y.chain and x.part <> y.part and (x.place < y.place or x.place = y.place and x.node < y.node)") & near("x.fp", "y.fp"))
-        new = verified(cut(pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")), "pairs"))
-        if not new.isEmpty():
-            label = merged(label, new)
+    label = groups_in_chains(members, sets, over, under, distance)
     label = label if label is not None else members.select("node", F.col("node").alias("label"))
     of = cut(nodes.join(label, "node", "left").select("node", F.coalesce("label", "node").alias("part")), "groups")
     return own.select(*keep, "node").join(of, "node").select(*keep, "node", "part")

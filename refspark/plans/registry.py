@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ("score_plans", "series_plans", "evidence_plans", "source_plans", "claim_plans", "record_plans", "reserve_plans", "receipt_plans", "executor_plans", "corpus_plans", "verdict_plans")
+MODULES: tuple[str, ...] = ("score_plans", "series_plans", "evidence_plans", "source_plans", "claim_plans", "record_plans", "reserve_plans", "receipt_plans", "executor_plans", "corpus_plans", "text_plans", "verdict_plans")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -102,6 +102,131 @@ def power_resolution(scored: DataFrame) -> DataFrame:
 
 
 def claim_report(decided: DataFrame) -> DataFrame:
-    """series_id, verdict, kill_reason and each metric beside what deflates it: psr and dsr with the number of trials, edge_t, the smallest edge
+    """series_id, verdict, kill_reason, the reasons (and their rationale, if it has been made) and each metric beside what deflates it: psr and dsr with the number of trials, edge_t, the smallest edge
     that could have been seen, and the holdout."""
-    return decided.select("series_id", "verdict", "kill_reason", F.array_join("reasons", "; ").alias("rationale"), "psr", "dsr", "n_trials", "edge_t", "n_oos", "mde", "sufficient", "oos_sharpe", "is_sharpe", "holdout_sharpe", "holdout_psr", (F.coalesce("is_sharpe", F.lit(0.0)) > 0).alias("replicated_in_sample"))
+    return decided.select("series_id", "verdict", "kill_reason", F.array_join("reasons", "; ").alias("reasons"), *(["rationale"] if "rationale" in decided.columns else []), "psr", "dsr", "n_trials", "edge_t", "n_oos", "mde", "sufficient", "oos_sharpe", "is_sharpe", "holdout_sharpe", "holdout_psr", (F.coalesce("is_sharpe", F.lit(0.0)) > 0).alias("replicated_in_sample"))
+
+
+# Wordings by which a claim calls itself a strategy that is traded.
+TRADED = (
+    r"\bstrateg(?:y|ies)\b",
+    r"\brebalanc",
+    r"\blong[- ]short\b",
+    r"\bgoes?\s+long\b",
+    r"\bshort\s+(?:losers?|the\s+bottom)\b",
+    r"\bportfolio\b.{0,40}\brebalanc",
+    r"\btrading\s+strateg",
+)
+
+
+def strategy_framed(text: Column) -> Column:
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return low.rlike("|".join(f"(?:{p})" for p in TRADED))
+
+
+def join_gates(
+    net: DataFrame, scored: DataFrame, claims: DataFrame, configs: DataFrame | None = None, forward: DataFrame | None = None, regimes: DataFrame | None = None, declared: DataFrame | None = None,
+    cost: float = 0.0005, reps: int = 2000, per_year: float = 252,
+) -> DataFrame:
+    """scored, a row of scores.referee for each series, with what every gate says of it: all columns of GATES, and the figures of RATIONALE.
+
+    net: series_id, family, ts, seq, net, position, payoff. claims: series_id, text, source_text, source_type, sample_end, costs (measured or
+    not). configs: claim, config, seq, net of a claim's other parameters. forward: series_id, ts, signal, fut_rv, iv. regimes: series_id,
+    scheme, label, net, and declared: series_id, scheme, label. A gate whose table is missing, or that a series is too short for, has not run:
+    its columns are null. Each gate is one table with a row a series, and all are joined by series_id.
+    """
+    from refspark.operators import claims as c
+    from refspark.operators import gates as g
+    from refspark.operators import reserve
+    from refspark.operators.claimtext import classify
+
+    base = scored.drop("verdict", "kill_reason")
+    sizes = [f"(floor(seen / 3) + if(seen % 3 > {k}, 1, 0))" for k in range(3)]
+    base = base.withColumn("fold_power", fold_power(sizes))
+    said = classify(claims, ["text"], "source_text").select("series_id", "claim_type", strategy_framed(F.col("text")).alias("strategy_framed"), F.coalesce(~reserve.anchored(F.col("source_type")), F.lit(False)).alias("unanchored"), (F.lower("source_type") == "external_source").alias("external"), (F.lower(F.trim("costs")) == "measured").alias("costs_measured"), "sample_end")
+    whole = net.groupBy("series_id").agg(F.avg("net").alias("__mean"), F.stddev_samp("net").alias("__sd"), F.max("ts").alias("data_end"))
+    tables = [
+        said,
+        whole,
+        g.block_bootstrap(net, reps, per_year=per_year).select("series_id", "includes_zero", "edge_lo", "edge_hi"),
+        g.permutation_test(net, reps).select("series_id", F.col("p").alias("permutation_p")),
+        g.regime_gate(net).groupBy("series_id").agg(F.bool_or("fragile").alias("regime_fragile"), F.min(F.when(F.col("fragile"), F.concat_ws("=", "scheme", "best"))).alias("fragile_regime")),
+        g.cpcv(net, per_year=per_year).select("series_id", F.col("overfit").alias("cpcv_overfit"), F.col("p_loss").alias("cpcv_loss"), F.col("median_sharpe").alias("cpcv_sharpe"), F.col("paths").alias("cpcv_paths")),
+        scores.tail_metrics(net).select("series_id", F.col("asymmetric").alias("tail_asymmetric"), "skew", "tail_ratio", "max_loss"),
+        g.cost_sensitivity(net, base.select("series_id", "bench"), cost, per_year).select("series_id", F.col("margin").alias("cost_margin")),
+        g.capacity_ci(net, per_year=per_year).select("series_id", "capacity_median", F.col("conditional").alias("capacity_conditional"), F.col("p_positive").alias("capacity_p")),
+    ]
+    if configs is not None:
+        tables.append(g.parameter_fragility(configs).select(F.col("claim").alias("series_id"), F.col("fragile").alias("parameter_fragile"), "positive_share", "configs"))
+    if forward is not None:
+        windows = c.walk_forward(forward)
+        shown = windows.groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("window", F.round("sharpe", 3).alias("sharpe")))).alias("w")).select("series_id", F.transform("w", lambda x: x["sharpe"]).alias("window_sharpes"))
+        tables += [c.walk_forward_consistent(windows).select("series_id", F.col("consistent").alias("walk_forward_consistent")), shown]
+    if declared is not None and regimes is not None:
+        adherence = g.regime_adherence(regimes, declared).select("series_id", "adheres", "trade_share", "top_label")
+        tables += [adherence, declared.select("series_id", F.concat_ws("=", "scheme", "label").alias("declared_regime"))]
+    out = base
+    for t in tables:
+        out = out.join(t, "series_id", "left")
+    out = out.withColumns({"post_years": reserve.post_sample_years(F.col("data_end"), F.col("sample_end")), "implausible": reserve.implausible(F.col("oos_sharpe"), F.col("__mean"), F.col("__sd"))})
+    return out.drop("__mean", "__sd")
+
+
+def _shown(c: str | Column, places: int = 3) -> Column:
+    """A number as text, or a dash."""
+    c = F.col(c) if isinstance(c, str) else c
+    value = F.round(c.cast("double"), places) if places else F.round(c.cast("double")).cast("bigint")
+    return F.coalesce(value.cast("string"), F.lit("-"))
+
+
+def rationale(decided: DataFrame) -> DataFrame:
+    """decided, of join_gates, with rationale: a sentence for each of its reasons with the figures behind it, in the order of the reasons.
+
+    What the bands say of a survivor (a score in the watch band, a holdout that doesn't confirm), and what is left open (a capacity that can't be
+    told or holds under a condition, the data that would settle an open question) comes as well. A verdict without a reason passed all gates.
+    """
+    t = decided.select("*", *[F.lit(None).cast(kind).alias(c) for c, kind in RATIONALE.items() if c not in decided.columns])
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    n, survivor = _shown("n_oos", 0), F.col("verdict").isin("watch", "research-supported")
+    alive = survivor | (F.col("verdict") == "needs_review") & F.col("kill_reason").isNull()
+    trades = ~F.coalesce("claim_type", F.lit("trading_strategy")).isin(*NOT_TRADES)
+    more = F.greatest(F.lit(0).cast("long"), F.col("needed_bars") - F.col("n_oos"))
+    framed = F.coalesce("strategy_framed", F.lit(False))
+    said = {
+        "data_unavailable": text("Only ", _shown("n_oos", 0), f" rows are out of sample, and {scores.LEAST_OOS} are needed."),
+        "in_sample_only": text("The signs of the three folds differ: t of ", _shown("fold_1"), ", ", _shown("fold_2"), ", ", _shown("fold_3"), "; power ", _shown("fold_power"), "."),
+        "no_oos_edge": text("The deflated score out of sample is ", _shown("dsr"), f", under {scores.KILL}, with ", _shown("n_trials", 0), " trials."),
+        "low_edge_t": text("The edge out of sample has a t of ", _shown("edge_t"), f", under {scores.LEAST_T}."),
+        "regime_mismatch": text("The claim is for ", F.coalesce("declared_regime", F.lit("-")), ", where a share of ", _shown("trade_share"), " of the trades lies; most of the edge is in ", F.coalesce("top_label", F.lit("-")), "."),
+        "regime_fragile": text("Without its best regime, ", F.coalesce("fragile_regime", F.lit("-")), ", little of the edge is left, less than by chance."),
+        "edge_ci_zero": text("The bootstrap interval of the edge holds zero: ", _shown("edge_lo", 6), " to ", _shown("edge_hi", 6), "."),
+        "no_signal_alignment": text("Shuffled outcomes do as well: p ", _shown("permutation_p", 4), f", over {MOST_P}."),
+        "walk_forward_drift": text("Not every walk-forward window gains: ", F.array_join(F.transform("window_sharpes", lambda x: x.cast("string")), ", ", "-"), "."),
+        "overfit_cpcv": text("Of ", _shown("cpcv_paths", 0), " purged test paths a share of ", _shown("cpcv_loss"), " loses, and their median Sharpe ratio is ", _shown("cpcv_sharpe"), "."),
+        "parameter_fragile": text("Of ", _shown("configs", 0), " configurations a share of ", _shown("positive_share"), " gains."),
+        "cost_sensitive": text("The edge bears ", _shown("cost_margin"), f" times its costs, under {LEAST_MARGIN}."),
+        "tail_asymmetric": text("Small gains stand against large losses: skew ", _shown("skew"), ", tail ratio ", _shown("tail_ratio"), ", largest loss ", _shown("max_loss", 6), "."),
+        "costs_modelled": text("Costs are modelled, not measured: at most watch."),
+        "no_external_anchor": text("The source has no outside anchor: at most watch."),
+        "capped_claim_type": F.when(F.col("claim_type") == "provided_series_statistic", "The series was given, not built here: at most watch.").when(framed, "The claim is of a strategy that is traded, and was tested before costs: at most watch.").otherwise("What is shown is no trade, and has no costs or capacity: at most watch."),
+        "no_post_sample_data": text("No data come after the claim's own sample: ", _shown("post_years"), " years."),
+        "below_detection_floor": text("Not shown to be dead: with ", n, " rows the least edge to be seen is ", _shown("mde", 4), "; ", _shown(more, 0), " rows more would tell."),
+        "implausible_sharpe": text("A Sharpe ratio of ", _shown("oos_sharpe"), " is that of a broken test, not of an edge."),
+        "degenerate_series": text("The series hardly varies: its result is that of a broken test, not of an edge."),
+    }
+    table = F.map_from_arrays(F.array(*map(F.lit, said)), F.array(*[F.coalesce(v, F.lit("-")) for v in said.values()]))
+    band = F.when(survivor & (F.col("dsr") < scores.WATCH), text("The deflated score of ", _shown("dsr"), " lies in the watch band."))
+    holdout = F.when(survivor & (F.col("dsr") >= scores.WATCH) & ~F.coalesce((F.col("holdout_sharpe") > 0) & (F.col("holdout_psr") >= scores.KILL), F.lit(False)), text("The holdout doesn't confirm it: Sharpe ratio ", _shown("holdout_sharpe"), ", score ", _shown("holdout_psr"), "."))
+    thin = F.when(survivor & trades & (F.col("cost_margin") < LEAST_MARGIN), said["cost_sensitive"])
+    size = F.when(alive & trades & F.col("capacity_median").isNull(), "Its capacity can't be told.").when(alive & trades & F.col("capacity_conditional"), text("Its capacity holds where the edge is positive, with p ", _shown("capacity_p"), "."))
+    open_ = F.when(F.col("verdict") == "insufficient_data", text(_shown(more, 0), " rows more would show an edge that matters."))
+    within = F.when((F.col("verdict") != "kill") & F.col("adheres") & F.col("declared_regime").isNotNull(), text("It holds within ", F.col("declared_regime"), ", not elsewhere."))
+    every = F.array_compact(F.concat(F.array(band, holdout), F.transform("reasons", lambda r: F.coalesce(F.try_element_at(table, r), r)), F.array(thin, size, open_, within)))
+    return t.withColumn("rationale", F.when(F.size(every) > 0, F.array_join(every, " ")).otherwise("It passed all gates.")).drop(*[c for c in RATIONALE if c not in decided.columns])
+
+
+#: Figures of the rationale, with their types; those that a table hasn't are shown as a dash.
+RATIONALE = {
+    "edge_lo": "double", "edge_hi": "double", "fragile_regime": "string", "cpcv_loss": "double", "cpcv_sharpe": "double", "cpcv_paths": "bigint", "skew": "double", "tail_ratio": "double", "max_loss": "double", "capacity_median": "double",
+    "capacity_conditional": "boolean", "capacity_p": "double", "positive_share": "double", "configs": "bigint", "window_sharpes": "array<double>", "trade_share": "double", "top_label": "string", "declared_regime": "string",
+} | GATES

@@ -7,17 +7,18 @@ from pyspark.sql import functions as F
 from refspark.functions.normal import norm_cdf
 from refspark.operators import claims as c
 from refspark.operators import gates as g
-from refspark.operators import reserve, scores
+from refspark.operators import scores
 from refspark.operators import verdicts as v
 from refspark.plans import views
 from refspark.plans.score_plans import SQL_SLICE, rounded
+from refspark.plans.text_plans import CLAIMS, _pick
 
 #: Net results with an edge that differs from series to series, so that some survive to meet the gates.
 EDGE = "0.0006e0 * (series_id % 5)"
 GATE_SQL = """CASE WHEN series_id % 31 = 0 THEN false WHEN series_id % 31 = 1 THEN true END AS adheres, series_id % 29 = 0 AS regime_fragile, series_id % 23 = 0 AS includes_zero, CASE WHEN series_id % 19 = 0 THEN 0.5e0 WHEN series_id % 2 = 0 THEN 0.01e0 END AS permutation_p,
   CASE WHEN series_id % 17 = 0 THEN false WHEN series_id % 3 = 0 THEN true END AS walk_forward_consistent, series_id % 13 = 0 AS cpcv_overfit, series_id % 11 = 0 AS parameter_fragile, series_id % 7 = 0 AS tail_asymmetric,
   CASE WHEN series_id % 6 = 0 THEN 'event_study' WHEN series_id % 6 = 1 THEN 'provided_series_statistic' ELSE 'trading_strategy' END AS claim_type, series_id % 10 = 4 AS unanchored, series_id % 4 > 0 AS costs_measured, CASE WHEN series_id % 5 > 1 THEN 2e0 END AS post_years,
-  series_id % 3 = 0 AS external, CASE WHEN series_id % 9 = 0 THEN 1.2e0 ELSE 3e0 END AS cost_margin, CASE WHEN series_id % 37 = 0 THEN 'implausible_sharpe' END AS implausible"""
+  series_id % 3 = 0 AS external, CASE WHEN series_id % 9 = 0 THEN 1.2e0 ELSE 3e0 END AS cost_margin, CASE WHEN series_id % 37 = 0 THEN 'implausible_sharpe' END AS implausible, CASE series_id % 8 WHEN 0 THEN 0.7e0 WHEN 1 THEN 0.6e0 WHEN 2 THEN 0.59e0 WHEN 3 THEN 0.1e0 END AS fold_power"""
 
 
 def net(s, d):
@@ -39,20 +40,30 @@ def _split(text: str) -> list[str]:
     return text.split(",")
 
 
-def full_gates(s, d):
-    """All gates on the series themselves, and the verdicts that they leave."""
+def claim_texts(s, d):
+    """A claim for each supplier: what it says, its source and the end of its sample."""
+    return views.table(s, d, "supplier").selectExpr(
+        "s_suppkey series_id", f"{_pick([c for c, _ in CLAIMS], 's_suppkey')} text", "'' source_text", "element_at(array('external_source', 'External_Source', 'generated', 'chat'), int(s_suppkey % 4) + 1) source_type",
+        "if(s_suppkey % 6 = 0, null, date_add(date'1992-01-01', int(s_suppkey * 97 % 2500))) sample_end", "if(s_suppkey % 3 = 0, 'Measured ', 'modelled') costs")
+
+
+def forward_rows(s, d):
+    """The payoff of each order as a signal of how much its supplier's net result moves next, beside how much it moves on average."""
+    order, every = "over (partition by series_id order by seq)", "over (partition by series_id)"
+    return net(s, d).selectExpr("series_id", "seq ts", "payoff signal", f"lead(abs(net)) {order} fut_rv", f"avg(abs(net)) {every} iv")
+
+
+def all_gates(s, d):
+    """Every series with what all gates say of it."""
     n = net(s, d)
-    base = referee(s, d)
-    boot = g.block_bootstrap(n, 2000).select("series_id", "includes_zero")
-    perm = g.permutation_test(n, 2000).select("series_id", F.col("p").alias("permutation_p"))
-    regime = g.regime_gate(n).groupBy("series_id").agg(F.bool_or("fragile").alias("regime_fragile"))
-    over = g.cpcv(n).select("series_id", F.col("overfit").alias("cpcv_overfit"))
-    tail = scores.tail_metrics(n).select("series_id", F.col("asymmetric").alias("tail_asymmetric"))
-    odd = n.groupBy("series_id").agg(F.avg("net").alias("m"), F.stddev_samp("net").alias("sd"))
-    j = base.join(odd, "series_id").withColumn("implausible", reserve.implausible(F.col("oos_sharpe"), F.col("m"), F.col("sd")))
-    for t in (boot, perm, regime, over, tail):
-        j = j.join(t, "series_id", "left")
-    return v.claim_report(v.decide(j))
+    grid = n.selectExpr("series_id claim", "seq", "net", "explode(array(0, 1, 2, 3, 4)) k").selectExpr("claim", "concat('c', k) config", "seq", "net + (k - 3) * 0.0004e0 * (claim % 3) net")
+    declared = views.table(s, d, "supplier").filter("s_suppkey % 7 < 2").selectExpr("s_suppkey series_id", "'part_of_week' scheme", "if(s_suppkey % 7 = 0, 'weekday', 'weekend') label")
+    return v.join_gates(n, scores.referee(n), claim_texts(s, d), grid, forward_rows(s, d), g.regime_rows(n), declared)
+
+
+def full_gates(s, d):
+    """All gates on the series themselves, the verdicts that they leave, and why."""
+    return v.claim_report(v.rationale(v.decide(all_gates(s, d), cost_gate=True)))
 
 
 def capacity(s, d):
@@ -159,7 +170,7 @@ i AS (SELECT *, v1 = 'research-supported' AS top, v1 IN ('watch', 'research-supp
   v1 IN ('watch', 'research-supported') AND claim_type <> 'trading_strategy' AS n4, v1 IN ('watch', 'research-supported') AND external AND coalesce(post_years, -1) < 1 AS n5 FROM h),
 j AS (SELECT *, CASE WHEN top AND (n1 OR n2 OR n3 OR n4 OR n5) THEN 'watch' ELSE v1 END AS v2 FROM i), k AS (SELECT *, s1 AND trades AND cost_margin < 1.5 AS thin FROM j),
 l AS (SELECT *, CASE WHEN thin AND v2 = 'watch' THEN 'kill' WHEN thin THEN 'watch' ELSE v2 END AS v3, CASE WHEN thin AND v2 = 'watch' THEN 'cost_sensitive' ELSE r1 END AS r3 FROM k),
-o AS (SELECT *, v3 = 'kill' AND ((r3 IN ('no_oos_edge', 'edge_ci_zero', 'overfit_cpcv', 'low_edge_t') AND weak) OR (r3 = 'in_sample_only' AND NOT coalesce(min_fold_t <= -1, false))) AS under, implausible IS NOT NULL AND claim_type <> 'provided_series_statistic' AS odd FROM l)
+o AS (SELECT *, v3 = 'kill' AND ((r3 IN ('no_oos_edge', 'edge_ci_zero', 'overfit_cpcv', 'low_edge_t') AND weak) OR (r3 = 'in_sample_only' AND NOT coalesce(min_fold_t <= -1, false) AND (fold_power IS NULL OR fold_power < 0.6))) AS under, implausible IS NOT NULL AND claim_type <> 'provided_series_statistic' AS odd FROM l)
 SELECT series_id, CASE WHEN odd THEN 'needs_review' WHEN under THEN 'underpowered' ELSE v3 END AS verdict, CASE WHEN odd THEN NULL WHEN under THEN 'below_detection_floor' ELSE r3 END AS kill_reason,
   concat_ws(';', r3, CASE WHEN n1 THEN 'tail_asymmetric' END, CASE WHEN n2 THEN 'costs_modelled' END, CASE WHEN n3 THEN 'no_external_anchor' END, CASE WHEN n4 THEN 'capped_claim_type' END, CASE WHEN n5 THEN 'no_post_sample_data' END, CASE WHEN under THEN 'below_detection_floor' END, CASE WHEN odd THEN implausible END) AS reasons FROM o""",
 }

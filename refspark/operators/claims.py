@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from bisect import insort
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from refspark.operators.scan import expanding_ranks
 from refspark.operators.series import full, over
 
 
@@ -40,28 +38,14 @@ def signal_pnl(df: DataFrame, signal: Column, cost: float = 0.0005) -> DataFrame
 def vol_regime(df: DataFrame, window: int = 60, least: int = 120) -> DataFrame:
     """series_id, ts, label: trailing volatility against the terciles of all volatility seen so far; none before `least` of it.
 
-    The volatilities are windows; the terciles come from a sorted list that grows with the series, in one grouped function, so a series of n
-    rows costs n log n comparisons and 8 bytes a row.
+    A volatility reaches the upper tercile of the n seen if 2 (n - 1) / 3 of the others at least are no higher, and the lower one if (n - 1) / 3
+    at most are lower: ranks among earlier rows, which are counted in ranges of time and of value.
     """
     r = df.withColumn("r", F.log(F.try_divide("value", F.lag("value").over(over()))))
     v = r.withColumn("vol", full(window, F.stddev_samp("r"), "r")).filter("vol is not null and not isnan(vol)").select("series_id", "ts", "vol")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts", kind="stable")
-        seen: list[float] = []
-        labels = []
-        for x in pdf["vol"].tolist():
-            insort(seen, x)
-            n = len(seen)
-            if n < least:
-                labels.append(None)
-                continue
-            low, high = (seen[int(p)] + (p - int(p)) * (seen[min(int(p) + 1, n - 1)] - seen[int(p)]) for p in ((n - 1) / 3, (n - 1) * 2 / 3))
-            labels.append("high_vol" if x >= high else "low_vol" if x <= low else "mid_vol")
-        return pdf.assign(label=labels)[["series_id", "ts", "label"]]
-
-    kinds = f"series_id {df.schema['series_id'].dataType.simpleString()}, ts {v.schema['ts'].dataType.simpleString()}, label string"
-    return v.groupBy("series_id").applyInPandas(run, kinds).filter("label is not null")
+    ranks = expanding_ranks(v, ["series_id"], ["ts"], "vol").filter(F.col("k") >= least - 1)
+    label = F.when(F.col("upto") * 3 >= F.col("k") * 2, "high_vol").when(F.col("below") * 3 <= F.col("k"), "low_vol").otherwise("mid_vol")
+    return ranks.select("series_id", "ts", label.alias("label"))
 
 
 def momentum(returns: DataFrame, lookback: int = 12, skip: int = 1) -> DataFrame:

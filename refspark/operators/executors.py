@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from refspark.operators import scores
+from refspark.operators.scan import running
 
 #: Columns that every executor returns, by claim.
 NET_TRIPLE = ("series_id", "ts", "net", "position")
@@ -43,12 +44,11 @@ def align_inner(rows: DataFrame, names: tuple[str, ...], by: tuple[str, ...] = (
 def known_at(panel: DataFrame, dates: DataFrame, value: str) -> DataFrame:
     """rb, entity, value: the panel's last date at or before each rb, and what it has there. An entity without a value on that date is out.
 
-    Only the calendars meet in a window, one row a date; the panel is then joined by equal dates.
+    Only the calendars meet, one row a date, in ranges of time; the panel is then joined by equal dates.
     """
     own, rb = panel.select("ts").distinct().withColumn("own", F.col("ts")), dates.select(F.col("rb").alias("ts"), F.lit(None).cast("timestamp").alias("own")).distinct()
-    decade = F.lit(0)
-    w = W.partitionBy(decade).orderBy("ts", F.col("own").isNull()).rowsBetween(W.unboundedPreceding, 0)
-    at = own.unionByName(rb.withColumn("own", F.lit(None).cast(panel.schema["ts"].dataType))).withColumn("at", F.last("own", ignorenulls=True).over(w))
+    both = own.unionByName(rb.withColumn("own", F.lit(None).cast(panel.schema["ts"].dataType))).withColumn("late", F.col("own").isNull())
+    at = running(both, [], ["ts", "late"], {"at": ("last", F.col("own"))})
     last = at.filter("own is null and at is not null").select(F.col("ts").alias("rb"), F.col("at").alias("ts"))
     return panel.filter(F.col(value).isNotNull()).join(last, "ts").select("rb", "entity", value)
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from refspark.functions.numbers import significant
+
 # The record format's version and fields, the hash before a chain's first event, and words that name no series.
 SCHEMA_VERSION = 1
 REQUIRED = ("schema_version", "claim_statement", "verdict", "kill_reason", "spec", "receipt")
@@ -55,11 +57,13 @@ def build_chain(events: DataFrame, by: str = "run") -> DataFrame:
 
 
 def merkle_root(series: DataFrame, by: str = "series_id") -> DataFrame:
-    """by, root: SHA-256 leaves of "time|value" (second, six decimals) in order of time, hashed pairwise level by level; an odd node is its own pair.
+    """by, root: SHA-256 leaves of "time|value" (second, ten significant digits) in order of time, hashed pairwise level by level; an odd node is its
+    own pair. A series without a value has the hash of nothing.
 
-    All series rise together: a level is one aggregation by (series, place / 2), and halves the rows.
+    All series rise together: a level is one aggregation by (series, place / 2), and halves the rows. The number of levels comes from a job
+    that counts the longest series while the plan is built.
     """
-    leaf = F.sha2(F.concat_ws("|", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.round("value", 6).cast("decimal(28,6)").cast("string")), 256)
+    leaf = F.sha2(F.concat_ws("|", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), significant(F.col("value"), 10)), 256)
     w = W.partitionBy(by)
     level = series.filter("value is not null").select(by, leaf.alias("h"), (F.row_number().over(w.orderBy("ts", "value")) - 1).alias("k"), F.count("*").over(w).alias("n"))
     most = level.agg(F.max("n")).first()[0] or 0
@@ -68,7 +72,7 @@ def merkle_root(series: DataFrame, by: str = "series_id") -> DataFrame:
         level = level.groupBy(by, F.floor(F.col("k") / 2).alias("k"), "n").agg(F.when(F.col("n") == 1, F.first("h")).otherwise(pair).alias("h"))
         level = level.select(by, "h", "k", F.ceil(F.col("n") / 2).alias("n"))
         most = (most + 1) // 2
-    return level.select(by, F.col("h").alias("root"))
+    return series.select(by).distinct().join(level.select(by, "h"), by, "left").select(by, F.coalesce("h", F.sha2(F.lit(""), 256)).alias("root"))
 
 
 def merkle_mismatch(recorded: DataFrame, local: DataFrame, name: str = "series_id") -> DataFrame:

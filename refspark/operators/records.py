@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from refspark.functions.numbers import exact
+from refspark.operators.scan import numbered
+
 # Domains and the words that name them, tried in this order.
 DOMAINS = (
     ("crypto-volatility", ("volatility", "realized vol", "implied vol", "vrp", "dvol", "garch")),
@@ -99,9 +102,8 @@ def anti_known(new: DataFrame, seen: DataFrame, keys: tuple[str, ...], order: st
 
 
 def fingerprint(series: DataFrame) -> DataFrame:
-    """series_id, fingerprint: a hash of months' hashes of (second, value in ten-thousandths); a group is a month of a series."""
-    finite = F.when(~F.isnan("value") & (F.abs("value") < 1e14), F.round(F.col("value") * 10000).cast("long").cast("string")).otherwise(F.col("value").cast("string"))
-    line = F.concat_ws(":", F.unix_timestamp("ts"), finite)
+    """series_id, fingerprint: a hash of months' hashes of (second, exact value; a null value leaves its second); a group is a month of a series."""
+    line = F.concat_ws(":", F.unix_timestamp("ts"), exact(F.col("value")))
     month = series.groupBy("series_id", F.date_format("ts", "yyyy-MM").alias("m")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), ","), 256).alias("h"))
     return month.groupBy("series_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "m", "h"))), ","), 256).alias("fingerprint"))
 
@@ -172,8 +174,8 @@ def _nearest(queries: DataFrame, corpus: DataFrame, block: int, k: int) -> DataF
 
 
 def reciprocal_ranks(scores: DataFrame, k: int = 60) -> DataFrame:
-    """id, score: the sum over score maps of 1 / (k + rank), ties by id."""
-    ranked = scores.withColumn("r", F.row_number().over(W.partitionBy("map").orderBy(F.desc("score"), "id")))
+    """id, score: the sum over score maps of 1 / (k + rank), ties by id. Ranks are numbers over ranges of (map, score), so a map is many tasks."""
+    ranked = numbered(scores.withColumn("__down", -F.col("score")), ["map"], ["__down", "id"], "r").withColumn("r", F.col("r") + 1)
     return ranked.groupBy("id").agg(F.sum(1.0 / (k + F.col("r"))).alias("score"))
 
 

@@ -91,7 +91,7 @@ SQL = {
     "d16_check_granularity": f"SELECT series_id, label, CASE WHEN series_id = 'R' THEN 'weekly' ELSE 'daily' END AS expected, label IN (CASE WHEN series_id = 'R' THEN 'weekly' ELSE 'daily' END, 'unknown') AS ok FROM ({SERIES_SQL['d15_infer_bpy']})",
     "d32_failure_clusters": f"WITH {_KILLS} SELECT reason, domain, count(*) AS n FROM k WHERE reason IS NOT NULL GROUP BY ALL HAVING count(*) >= 2",
     "d33_cross_domain_links": f"WITH {_KILLS}, b AS (SELECT reason, domain, count(*) AS n, min(id) AS id, row_number() OVER (PARTITION BY reason ORDER BY domain) AS r FROM k WHERE reason IS NOT NULL GROUP BY reason, domain) SELECT reason, count(*) AS domains, CAST(sum(n) AS BIGINT) AS total, array_to_string(list_sort(list(CAST(id AS VARCHAR)) FILTER (r <= 3)), ',') AS first FROM b GROUP BY reason HAVING count(*) >= 2",
-    "d40_fingerprint": "WITH m AS (SELECT event_type AS series_id, strftime(ts, '%Y-%m') AS m, sha256(array_to_string(list_sort(list(CAST(floor(epoch(ts)) AS BIGINT) || ':' || CAST(round(value * 10000) AS BIGINT))), ',')) AS h FROM events WHERE value IS NOT NULL GROUP BY ALL) SELECT series_id, sha256(array_to_string(list_sort(list(m || '=' || h)), ',')) AS fingerprint FROM m GROUP BY series_id",
+    "d40_fingerprint": "WITH m AS (SELECT event_type AS series_id, strftime(ts, '%Y-%m') AS m, sha256(array_to_string(list_sort(list(CAST(floor(epoch(ts)) AS BIGINT) || ':' || printf('%.15g', value))), ',')) AS h FROM events WHERE value IS NOT NULL GROUP BY ALL) SELECT series_id, sha256(array_to_string(list_sort(list(m || '=' || h)), ',')) AS fingerprint FROM m GROUP BY series_id",
     "h4_reciprocal_ranks": "WITH g AS (SELECT user_id AS id, round(sum(value), 4) AS total, count(*) AS n FROM events GROUP BY ALL), r AS (SELECT id, row_number() OVER (ORDER BY total DESC, id) AS a, row_number() OVER (ORDER BY n DESC, id) AS b FROM g) SELECT id, round(1e0 / (60 + a) + 1e0 / (60 + b), 6) AS score FROM r",
     "h5_graph_expand": "WITH e AS (SELECT doc_id AS a, lead(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS b FROM documents), u AS (SELECT a, b FROM e WHERE b IS NOT NULL UNION SELECT b, a FROM e WHERE b IS NOT NULL), s AS (SELECT doc_id AS id, 1e0 AS score FROM documents WHERE doc_id % 100 = 0), x AS (SELECT u.b AS id, score / 2 AS score FROM s JOIN u ON u.a = s.id), y AS (SELECT u.b AS id, score / 2 AS score FROM x JOIN u ON u.a = x.id) SELECT id, max(score) AS score FROM (SELECT * FROM s UNION ALL SELECT * FROM x UNION ALL SELECT * FROM y) GROUP BY id",
     "h12_domains": f"WITH d AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents) SELECT doc_id, CASE {_CASES} ELSE 'other' END AS domain FROM d",

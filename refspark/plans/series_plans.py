@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from refspark.functions.normal import norm_cdf
 from refspark.operators import markets as m
 from refspark.operators import series as o
+from refspark.operators import scan
 from refspark.plans import views
 from refspark.plans.score_plans import rounded
 
@@ -144,3 +145,47 @@ SELECT DISTINCT rule, CAST(d AS TIMESTAMP) AS ts FROM r""",
     "e13_rebalance_dates": "SELECT DISTINCT CAST(last_day(l_shipdate) AS TIMESTAMP) AS ts FROM lineitem",
     "e17_funding_carry": f"WITH {views.PRICE_SQL}, v AS (SELECT series_id, ts, value / 30000 - 1 AS value FROM price), p AS (SELECT *, CAST(sign(lag(value) OVER {_W}) AS DOUBLE) AS position FROM v), k AS (SELECT *, position * value - CASE WHEN position <> coalesce(lag(position) OVER {_W}, 0) THEN 0.0005e0 ELSE 0 END AS net FROM p) SELECT series_id, ts, position, round(net, 6) AS net FROM k WHERE net IS NOT NULL",
 }
+
+_BLOCK = 300  # so that the series of the smallest table are in several blocks
+
+
+def split_features(s, d):
+    """The features of e1_e4, each series in blocks, and the expanding mean over ranges."""
+    f = scan.in_blocks(views.price(s, d), o.features, ["ts"], 20, 0, _BLOCK)
+    return rounded(f, "series_id", "ts", lag_1=4, delta_1=4, log_return=6, sum_n=3, mean_n=4, std_n=4, z_n=6)
+
+
+def split_benchmarks(s, d):
+    p = views.price(s, d)
+    past = scan.running(p, ["series_id"], ["ts"], {"s": ("sum", F.col("value")), "n": ("count", F.col("value"))}, exclusive=True).select("series_id", "ts", F.try_divide("s", "n").alias("expanding_mean"))
+    near = scan.in_blocks(p, lambda t: o.benchmarks(t).drop("expanding_mean"), ["ts"], 1, 6, _BLOCK)
+    return rounded(near.join(past, ["series_id", "ts"]), "series_id", "ts", expanding_mean=4, random_walk=4, forward_vol=6)
+
+
+def split_equity(s, d):
+    steps = scan.in_blocks(views.price(s, d), lambda t: o.lagged(t), ["ts"], 1, 0, _BLOCK).withColumn("step", F.coalesce(1 + F.col("pct_change"), F.lit(1.0)))
+    return rounded(scan.running(steps, ["series_id"], ["ts"], {"equity": ("product", F.col("step"))}), "series_id", "ts", equity=5)
+
+
+def split_pnl(s, d):
+    return rounded(scan.in_blocks(views.price(s, d), o.lagged_pnl, ["ts"], 3, 0, _BLOCK), "series_id", "ts", "position", net=6)
+
+
+def split_drawdowns(s, d):
+    return rounded(scan.drawdowns(views.net(s, d)), "series_id", max_drawdown=6)
+
+
+def split_numbers(s, d):
+    """Places of ticks in their series, few series and many rows."""
+    return scan.numbered(views.table(s, d, "events").selectExpr("event_type series_id", "ts", "event_id"), ["series_id"], ["ts", "event_id"]).select("series_id", "event_id", "k")
+
+
+QUERIES |= {"e1_e4_split_features": split_features, "e5_e6_split_benchmarks": split_benchmarks, "d10_split_equity": split_equity, "e16_split_pnl": split_pnl, "d9_split_drawdown": split_drawdowns, "c2_split_numbers": split_numbers}
+SQL |= {
+    "e1_e4_split_features": SQL["e1_e4_features"],
+    "e5_e6_split_benchmarks": SQL["e5_e6_benchmarks"],
+    "d10_split_equity": SQL["d10_equity"],
+    "e16_split_pnl": SQL["e16_lagged_pnl"],
+    "d9_split_drawdown": f"WITH {views.NET_SQL}, e AS (SELECT *, sum(net) OVER (PARTITION BY series_id ORDER BY seq) AS eq FROM net), f AS (SELECT *, max(eq) OVER (PARTITION BY series_id ORDER BY seq) - eq AS down FROM e) SELECT series_id, round(max(down), 6) AS max_drawdown FROM f GROUP BY ALL",
+    "c2_split_numbers": "SELECT event_type AS series_id, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS k FROM events",
+}

@@ -6,9 +6,13 @@ from pyspark.sql import functions as F
 
 from refspark.functions.normal import norm_cdf
 from refspark.functions.sql import register_sql
+from refspark.operators.processed import pending, record, state_table
+from refspark.operators.records import register_trials
 from refspark.plans import views
 from refspark.plans.series_plans import MU, PRICE, PROB
+from refspark.shared import folder
 from refspark.sources import tables as t
+from refspark.sources.versioned import VersionedTable, sink
 from refspark.streaming import jobs
 
 
@@ -53,7 +57,31 @@ def new_records(s, d):
     return jobs.run_available(jobs.stream_new_records(stream, "receipt", late="365 days")).select("receipt")
 
 
+def stream_ledger(s, d):
+    """Orders as they arrive, put into a ledger in which every fifth strategy has been scored."""
+    table = VersionedTable(s, folder(s, "ledger"), "strategy", "strategy bigint, denominator bigint, scored boolean")
+    start = views.table(s, d, "customer").filter("c_custkey % 5 = 0").selectExpr("c_custkey strategy", "7L denominator", "true scored")
+    table.upsert(start, lambda old, new: new)
+    stream = jobs.arriving(s, d, "orders").selectExpr("o_custkey strategy", "o_orderkey % 90 denominator")
+    largest = lambda old, new: register_trials(old, new.groupBy("strategy").agg(F.max("denominator").alias("denominator")))
+    jobs.run_sink(stream, sink(table, largest, "orders"))
+    return table.read()
+
+
+def processed_filter(s, d):
+    """The second run over documents: half were done, some failed once or thrice, some have changed since, some are forced."""
+    docs = views.table(s, d, "documents").selectExpr("doc_id", "cast(doc_id as string) source", "text")
+    table = state_table(s, folder(s, "processed"))
+    before = docs.filter("doc_id % 2 = 0").withColumn("text", F.expr("if(doc_id % 10 = 0, concat('older ', text), text)"))
+    first = pending(before.drop("doc_id"), table.read())
+    status = F.expr("case when source % 8 = 0 then 'failed' else 'done' end")
+    record(table, first.select("source", "hash", status.alias("status"), F.expr("if(source % 16 = 0, 3, attempt)").alias("attempt"), F.expr("timestamp'2024-01-01'").alias("at")))
+    return pending(docs, table.read(), F.col("doc_id") % 50 == 4).select("doc_id", "why", "attempt")
+
+
 QUERIES = {
+    "s3_stream_ledger": stream_ledger,
+    "h31_processed_filter": processed_filter,
     "a1_read_table": lambda s, d: t.read_table(s, f"{d}/events.parquet").groupBy("event_type").agg(F.count("*").alias("n"), F.max("event_id").alias("last")),
     "a3_infer_date": inferred,
     "a15_factor_blocks": factor_texts,
@@ -73,6 +101,10 @@ QUERIES = {
 _BR = views.BRACKET_SQL
 
 SQL = {
+    "s3_stream_ledger": """WITH o AS (SELECT o_custkey AS strategy, max(o_orderkey % 90) AS denominator FROM orders GROUP BY ALL), c AS (SELECT c_custkey AS strategy FROM customer WHERE c_custkey % 5 = 0)
+SELECT coalesce(c.strategy, o.strategy) AS strategy, CASE WHEN c.strategy IS NOT NULL THEN 7 ELSE denominator END AS denominator, c.strategy IS NOT NULL AS scored FROM o FULL JOIN c ON c.strategy = o.strategy""",
+    "h31_processed_filter": """WITH w AS (SELECT doc_id, CASE WHEN doc_id % 50 = 4 THEN 'forced' WHEN doc_id % 2 <> 0 THEN 'new' WHEN doc_id % 10 = 0 AND text IS NOT NULL THEN 'changed' WHEN doc_id % 8 = 0 AND doc_id % 16 <> 0 THEN 'retry' END AS why FROM documents)
+SELECT doc_id, why, CASE WHEN why = 'new' OR why = 'changed' THEN 1 WHEN why = 'retry' THEN 2 WHEN doc_id % 16 = 0 THEN 4 ELSE 2 END AS attempt FROM w WHERE why IS NOT NULL""",
     "a1_read_table": "SELECT event_type, count(*) AS n, max(event_id) AS last FROM events GROUP BY ALL",
     "a3_infer_date": "SELECT ts, event_type AS entity, arg_max(value, event_id) AS value FROM events GROUP BY ALL",
     "a15_factor_blocks": """WITH m AS (SELECT o_orderpriority, last_day(o_orderdate) AS d, month(o_orderdate) = 1 AS jan, round(avg(o_totalprice) / 1000, 2) AS a, round(max(o_totalprice) / 1000, 2) AS b FROM orders GROUP BY ALL),

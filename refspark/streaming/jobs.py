@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -46,6 +48,13 @@ def run_available(stream: DataFrame, mode: str = "append", keys: tuple[str, ...]
     return rows.withColumn("__k", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("batch")))).filter("__k = 1").drop("__k", "batch")
 
 
+def run_sink(stream: DataFrame, write: Callable[[DataFrame, int], None], state: str | None = None, mode: str = "append") -> None:
+    """Run the stream over what has arrived into write(batch, number), which must bear batches that come again. state: where the stream's progress is
+    kept, so that the next run goes on from there; a new folder by default."""
+    at = state or f"{folder(stream.sparkSession)}/state"
+    stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", at).trigger(availableNow=True).start().awaitTermination()
+
+
 def arriving(spark: SparkSession, d: str, name: str, files: int = 1) -> DataFrame:
     """A driver table as a stream of files."""
     schema = spark.read.parquet(f"{d}/{name}.parquet").schema

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from heapq import heapify, heappop, heappush
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -213,7 +216,7 @@ def recurring_claims(concepts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, rows.join(nodes.select("key", "direction"), ["key", "direction"], "left_semi").select("concept_id", "key", "direction", F.lit("recurs_as").alias("type"))
 
 
-def family_principles(concepts: DataFrame, least: int = 3, year: int = 2026, half_life: float = 4.0) -> DataFrame:
+def family_principles(concepts: DataFrame, least: int = 3, *, year: int, half_life: float = 4.0) -> DataFrame:
     """family, direction, granularity, support, confidence, domains: evidence that recurs in a family, at every grain that its concepts share.
 
     concepts: concept_id, direction, components (an array), method, year, domain. A concept counts for its whole family, for its set of
@@ -239,35 +242,69 @@ def mechanisms(principles: DataFrame, supports: DataFrame) -> DataFrame:
     return g.filter("domains >= 2")
 
 
-def principles(kills: DataFrame, least: int = 3, year: int = 2026, half_life: float = 4.0) -> DataFrame:
+def cover(sets: list[tuple[list[str], int, int | None]], least: int) -> list[tuple[str, int, int | None]]:
+    """Labels, the one with most kills first (of equal ones the first by name), each with its kills and their newest year; a label's kills go with it.
+
+    sets: labels, number of kills with just these, newest year. A label's number only falls, so the heap's top is counted anew and taken if it is
+    still the largest.
+    """
+    where: dict[str, list[int]] = {}
+    for k, (labels, _, _) in enumerate(sets):
+        for label in labels:
+            where.setdefault(label, []).append(k)
+    gone = [False] * len(sets)
+    heap = [(-sum(sets[k][1] for k in ks), label) for label, ks in where.items()]
+    heapify(heap)
+    out = []
+    while heap:
+        said, label = heappop(heap)
+        left = [k for k in where[label] if not gone[k]]
+        n = sum(sets[k][1] for k in left)
+        if n < -said:
+            if n >= least:
+                heappush(heap, (-n, label))
+            continue
+        if n < least:
+            break
+        out.append((label, n, max((sets[k][2] for k in left if sets[k][2] is not None), default=None)))
+        for k in left:
+            gone[k] = True
+    return out
+
+
+def principles(kills: DataFrame, least: int = 3, *, year: int, half_life: float = 4.0) -> DataFrame:
     """level, label, kill_reason, n, newest, confidence: what structural kills have in common, each kill supporting one principle.
 
     kills: claim_id, at, kill_reason, domain, components (an array), method, year; components null where no family is known. First whole
-    families, then methods of what is left, then single components, the largest group first, and by domain the kills without a family. Each
-    component step drops the chosen group's kills; there are at most as many as (reason, component) groups, of which one row each is looked at.
+    families, then methods of what is left, then single components, the largest group first, and by domain the kills without a family. A kill has
+    one reason, so the components of all reasons are covered at once, each by one task over its distinct sets of components, not its kills.
     """
-    one = kills.withColumn("__k", F.row_number().over(W.partitionBy("claim_id").orderBy("at"))).filter("__k = 1").drop("__k")
+    one = kills.groupBy("claim_id").agg(F.min_by(F.struct(*[c for c in kills.columns if c != "claim_id"]), "at").alias("k")).select("claim_id", "k.*")
 
-    def rows(groups: DataFrame, level: str) -> DataFrame:
-        g = groups.groupBy("label", "kill_reason").agg(F.count("*").alias("n"), F.max("year").alias("newest")).filter(F.col("n") >= least)
+    def graded(groups: DataFrame, level: str) -> DataFrame:
         age = F.greatest(F.lit(0), year - F.coalesce("newest", F.lit(year)))
-        return g.select(F.lit(level).alias("level"), "label", "kill_reason", "n", F.coalesce("newest", F.lit(year)).alias("newest"), F.round(0.5 * F.pow(F.lit(0.5), age / half_life), 3).alias("confidence"))
+        return groups.filter(F.col("n") >= least).select(F.lit(level).alias("level"), "label", "kill_reason", "n", F.coalesce("newest", F.lit(year)).alias("newest"), F.round(0.5 * F.pow(F.lit(0.5), age / half_life), 3).alias("confidence"))
+
+    def rows(groups: DataFrame, level: str) -> DataFrame:
+        return graded(groups.groupBy("label", "kill_reason").agg(F.count("*").alias("n"), F.max("year").alias("newest")), level)
 
     known = one.filter("components is not null and method is not null")
     by_family = known.withColumn("label", F.concat_ws("::", F.array_join(F.array_sort("components"), "+"), "method"))
     exact = rows(by_family, "exact")
     left = by_family.join(exact.select("label", "kill_reason"), ["label", "kill_reason"], "left_anti").withColumn("label", F.col("method"))
     methods = rows(left, "method")
-    left = checkpointed(left.join(methods.select("label", "kill_reason"), ["label", "kill_reason"], "left_anti").select("claim_id", "kill_reason", "year", "components"))
-    out = exact.unionByName(methods).unionByName(rows(one.filter("components is null or method is null").withColumn("label", F.col("domain")), "domain"))
-    while True:
-        each = left.select("claim_id", "kill_reason", "year", F.explode(F.array_distinct("components")).alias("label"))
-        sizes = rows(each, "component").orderBy(F.desc("n"), "kill_reason", "label").limit(1).collect()
-        if not sizes:
-            return out
-        top = sizes[0]
-        out = out.unionByName(left.sparkSession.createDataFrame([tuple(top)], out.schema))
-        left = checkpointed(left.filter(~((F.col("kill_reason") == top.kill_reason) & F.array_contains("components", top.label))))
+    left = left.join(methods.select("label", "kill_reason"), ["label", "kill_reason"], "left_anti")
+    names = F.array_sort(F.array_distinct(F.array_compact("components")))
+    sets = left.filter("kill_reason is not null").groupBy("kill_reason", names.alias("names")).agg(F.count("*").alias("n"), F.max("year").alias("newest"))
+
+    def covered(table: pa.Table) -> pa.Table:
+        found = cover(list(zip(table.column("names").to_pylist(), table.column("n").to_pylist(), table.column("newest").to_pylist(), strict=True)), least)
+        label, n, newest = zip(*found, strict=True) if found else ((), (), ())
+        return pa.table({"label": pa.array(label, pa.string()), "kill_reason": pa.array(table.column("kill_reason").to_pylist()[:1] * len(found), pa.string()), "n": pa.array(n, pa.int64()), "newest": pa.array(newest, pa.int64())})
+
+    single = sets.withColumn("newest", F.col("newest").cast("long")).groupBy("kill_reason").applyInArrow(covered, "label string, kill_reason string, n bigint, newest bigint")
+    single = graded(single.withColumn("newest", F.col("newest").cast(kills.schema["year"].dataType)), "component")
+    return exact.unionByName(methods).unionByName(rows(one.filter("components is null or method is null").withColumn("label", F.col("domain")), "domain")).unionByName(single)
 
 
 def contrastive(records: DataFrame, least_kills: int = 3, least_survivors: int = 2) -> DataFrame:

@@ -92,7 +92,7 @@ def recurring_edges(s, d):
 
 
 def mechanism(s, d):
-    fam = c.family_principles(concepts(s, d), 20)
+    fam = c.family_principles(concepts(s, d), 20, year=2026)
     supports = concepts(s, d).select(F.explode("components").alias("family"), "direction", "concept_id", "domain")
     return c.mechanisms(fam, supports)
 
@@ -169,11 +169,11 @@ QUERIES = {
     "d29_triage_report": lambda s, d: c.triage_report(views.table(s, d, "events").selectExpr("event_type verdict", "if(user_id % 9 = 0, null, concat('P', user_id % 5)) exit_stage")),
     "d30_audit_summary": audit,
     "d31_run_history": lambda s, d: c.run_history(views.table(s, d, "orders").selectExpr("o_custkey run_id", "o_orderdate at", f"{_pick(('kill', 'watch', 'research-supported', 'needs_data'), 'o_orderkey')} verdict")),
-    "d34_principles": lambda s, d: rounded(c.principles(kill_rows(s, d), 5), "level", "label", "kill_reason", "n", "newest", confidence=3),
+    "d34_principles": lambda s, d: rounded(c.principles(kill_rows(s, d), 5, year=2026), "level", "label", "kill_reason", "n", "newest", confidence=3),
     "d35_contrastive": lambda s, d: c.contrastive(records(s, d)),
     "d36_recurring_claims": recurring,
     "d36_recurs_as": recurring_edges,
-    "d37_family_principles": lambda s, d: rounded(c.family_principles(concepts(s, d), 20), "family", "direction", "granularity", "support", "domains", confidence=5),
+    "d37_family_principles": lambda s, d: rounded(c.family_principles(concepts(s, d), 20, year=2026), "family", "direction", "granularity", "support", "domains", confidence=5),
     "d38_mechanisms": mechanism,
     "h3_vector_scores": lambda s, d: rounded(_vectors(s, d), "vec_id", "other", "rank", cosine=5),
     "h5_expand_eligible": expanded,

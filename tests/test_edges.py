@@ -110,7 +110,7 @@ def test_principles_support_each_kill_once(spark):
     rows = [(k, k, "r", "d", ["a", "b"], "single", 2024) for k in range(5)] + [(10 + k, k, "r", "d", ["a", f"x{k}"], f"m{k}", 2022) for k in range(4)] + [(20 + k, k, "r", "d", ["c", f"y{k}"], "overlay", None) for k in range(3)]
     rows += [(30 + k, k, "r", "macro", None, None, 2026) for k in range(3)] + [(0, 99, "r", "d", ["a", "b"], "single", 2024)]
     df = spark.createDataFrame(rows, "claim_id long, at long, kill_reason string, domain string, components array<string>, method string, year int")
-    got = {(r.level, r.label): (r.n, r.newest, r.confidence) for r in corpus.principles(df).collect()}
+    got = {(r.level, r.label): (r.n, r.newest, r.confidence) for r in corpus.principles(df, year=2026).collect()}
     assert got == {("exact", "a+b::single"): (5, 2024, 0.354), ("method", "overlay"): (3, 2026, 0.5), ("component", "a"): (4, 2022, 0.25), ("domain", "macro"): (3, 2026, 0.5)}
 
 

@@ -22,6 +22,8 @@ from .simhash import _LOWER, components, majority
 
 #: Members of a chain of near fingerprints whose ranks lead a round of comparisons of their own, round by round. The others meet by rare shingles.
 ROUNDS = ((1, 1), (2, 8), (9, 64))
+#: Steps of commonness, in members, and the size of the table that tells it.
+COMMON, LEVELS = (8, 64, 512, 4096), 1 << 20
 #: Members ranked in one task.
 SALT = 100_000
 
@@ -73,21 +75,44 @@ def merged(label: DataFrame | None, edges: DataFrame) -> DataFrame:
     return cut(known.join(top, "label", "left").select("node", F.coalesce("top", "label").alias("label")), "labels")
 
 
+def commonness(rest: DataFrame) -> np.ndarray:
+    """How common the shingles of the chains' members are, by the low bits of shingle and chain: the number of COMMON's steps that the most common one
+    there exceeds. Only shingles beyond the first step come to the driver, as at most LEVELS small numbers."""
+    key = F.col("h").bitwiseXOR(F.col("chain"))
+    counts = rest.select("chain", F.explode("hs").alias("h")).groupBy(key.alias("key")).agg(F.count("*").alias("c")).filter(F.col("c") > COMMON[0])
+    level = reduce(lambda x, y: x + y, [(F.col("c") > c).cast("int") for c in COMMON])
+    got = counts.groupBy(F.col("key").bitwiseAND(LEVELS - 1).alias("at")).agg(F.max(level).alias("level")).toPandas()
+    out = np.zeros(LEVELS, np.uint8)
+    out[got["at"].to_numpy(np.int64)] = got["level"].to_numpy(np.int64)
+    return out
+
+
 def by_rare_shingles(rest: DataFrame, over: int, under: int) -> DataFrame:
     """The shingles by which the members of a chain can be similar: chain, h, node, fp, part, n, i, lead.
 
-    rest: chain, node, fp, part and hs, the distinct shingles. A member's shingles are ordered by how many members have them, the rarest first,
-    and i is the place in that order. Of two members with a Jaccard similarity of over / under the first shingle that they share has
-    at most n - over / under * n others before it in either; in the shorter one, as both have most of it in common, at most n - 2 over / (over +
-    under) * n, which is what lead says. So of texts that all share a common part, but have more of their own than that, no two meet.
+    rest: chain, node, fp, part and hs, the distinct shingles. A member's shingles are put in an order that all members share, less common ones
+    first, and i is the place in it. Of two members with a Jaccard similarity of over / under the first shingle that they share has at
+    most n - over / under * n others before it in either; in the shorter one, as both have most of it in common, at most n - 2 over / (over + under)
+    * n, which is what lead says. So of texts that all share a common part, but have more of their own than that, no two meet. How
+    common a shingle is need only be known roughly: any order that is the same for all finds all.
     """
-    own = rest.withColumn("n", F.size("hs"))
-    rows = own.select("chain", "node", F.explode("hs").alias("h"))
-    shared = rows.groupBy("chain", "h").agg(F.count("*").alias("c")).filter("c > 1")
-    sorted_ = rows.join(shared, ["chain", "h"]).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("c", "h"))).alias("s"))
-    placed = own.drop("hs").join(sorted_, "node").select("chain", "node", "fp", "part", "n", F.expr("n - size(s)").alias("alone"), F.posexplode("s").alias("k", "x"))
-    placed = placed.select("chain", F.col("x.h").alias("h"), "node", "fp", "part", "n", (F.col("alone") + F.col("k")).alias("i"))
-    return placed.filter(F.expr(f"i * {under} <= n * {under - over}")).withColumn("lead", F.expr(f"i * {over + under} <= n * {under - over}"))
+    levels = rest.sparkSession.sparkContext.broadcast(commonness(rest))
+
+    def make():
+        def work(batch: pa.RecordBatch) -> list:
+            level, sizes, out = levels.value, [], []
+            for chain, hs in zip(batch.column("chain").to_pylist(), batch.column("hs"), strict=True):
+                h = hs.values.to_numpy()
+                common = level[(h ^ np.int64(chain)) & (LEVELS - 1)]
+                sizes.append(len(h))
+                out.append(h[np.lexsort((h, common))[: len(h) * (under - over) // under + 1]])
+            return [sizes, out]
+
+        return work
+
+    placed = map_columns(rest, ["chain", "hs"], ["chain", "node", "fp", "part"], "n int, first array<bigint>", make)
+    placed = placed.select("chain", "node", "fp", "part", "n", F.posexplode("first").alias("i", "h"))
+    return placed.withColumn("lead", F.expr(f"i * {over + under} <= n * {under - over}"))
 
 
 def groups_in_chains(members: DataFrame, sets: DataFrame, over: int, under: int, distance: int) -> DataFrame | None:
@@ -140,7 +165,7 @@ def groups_in_chains(members: DataFrame, sets: DataFrame, over: int, under: int,
         rest = ranked.filter(F.col("place") == last)
         parts = mixed(rest)
         if not parts.isEmpty():
-            keys = cut(by_rare_shingles(parts.select("chain", "node", "fp", "part").join(sets, "node"), over, under), "keys")
+            keys = cut(by_rare_shingles(cut(parts.select("chain", "node", "fp", "part").join(sets, "node"), "rest"), over, under), "keys")
             similar = F.expr(f"least(x.n, y.n) * {under} >= greatest(x.n, y.n) * {over} and least(x.n - x.i, y.n - y.i) * {over + under} >= (x.n + y.n) * {over}") & near("x.fp", "y.fp")
             first = keys.filter("lead").groupBy("chain", "h").agg(F.min_by(F.struct("node", "fp", "part", "n", "i"), F.struct("i", "n", "node")).alias("f")).select("chain", "h", "f.*")
             add(first.alias("x").join(keys.alias("y"), F.expr("x.chain = y.chain and x.h = y.h and x.part <> y.part") & similar))

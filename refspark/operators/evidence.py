@@ -2,90 +2,16 @@
 
 from __future__ import annotations
 
-import re
-from collections import Counter
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-_TERM = re.compile("[a-z0-9]+")
-
-
-def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), F.lit(1))
-
+from refspark.operators.lexical import build_index, search, tokens
 
-#: Queries that a pass over the documents takes; what a task holds of them are their terms.
-QUERY_BLOCK = 20_000
 
-
-def lexical_scores(queries: DataFrame, docs: DataFrame, k: int = 10, block: int = QUERY_BLOCK) -> DataFrame:
-    """query_id, doc_id, score, rank: the sum over shared terms of (ln((1 + N) / (1 + df)) + 1) x tf / sqrt(length), the k best of each query.
-
-    Queries come in blocks of about `block`, whose terms are broadcast. No posting is shuffled, however common its term: a first pass
-    counts the documents of each query term, a second scores a document where it is read, and every task hands on its own k best of each query.
-    """
-    spark = docs.sparkSession
-    words = docs.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("text"))
-    blocks = max(1, -(-queries.count() // block))
-    out = None
-    for b in range(blocks):
-        mine = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        rows = mine.select("query_id", F.array_distinct(tokens(F.coalesce("text", F.lit("")))).alias("terms")).collect()
-        ids = [r.query_id for r in rows]
-        asked: dict[str, list[int]] = {}
-        for i, r in enumerate(rows):
-            for t in r.terms:
-                asked.setdefault(t, []).append(i)
-        shared = spark.sparkContext.broadcast((ids, {t: (j, np.array(q, np.int64)) for j, (t, q) in enumerate(asked.items())}))
-
-        def count(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            known = shared.value[1]
-            seen, n = np.zeros(len(known), np.int64), 0
-            for batch in batches:
-                for text in batch.column("text").to_pylist():
-                    n += 1
-                    for t in set(_TERM.findall(text)) & known.keys():
-                        seen[known[t][0]] += 1
-            yield pa.RecordBatch.from_arrays([pa.array([-1, *range(len(seen))], pa.int64()), pa.array([n, *seen.tolist()], pa.int64())], names=["term", "n"])
-
-        found = {r.term: r.n for r in words.mapInArrow(count, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-        idf = np.log((1.0 + found.get(-1, 0)) / (1.0 + np.array([found.get(j, 0) for j in range(len(asked))], float))) + 1
-        weights = spark.sparkContext.broadcast(idf)
-
-        def score(batches: Iterator[pa.RecordBatch], shared=shared, weights=weights) -> Iterator[pa.RecordBatch]:
-            (names, known), idf = shared.value, weights.value
-            best: dict[int, list[tuple]] = {}
-            kind = None
-            for batch in batches:
-                kind = batch.schema.field("doc_id").type
-                for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                    said = _TERM.findall(text)
-                    hits = [(known[t], tf) for t, tf in Counter(said).items() if t in known]
-                    if not hits:
-                        continue
-                    q = np.concatenate([own for (_, own), _ in hits])
-                    w = np.repeat([idf[j] * tf for (j, _), tf in hits], [len(own) for (_, own), _ in hits]) / len(said) ** 0.5
-                    own, place = np.unique(q, return_inverse=True)
-                    for i, s in zip(own.tolist(), np.bincount(place, w).tolist(), strict=True):
-                        held = best.setdefault(i, [])
-                        held.append((-round(s, 9), doc, s))
-                        if len(held) >= 8 * k + 8:
-                            held.sort()
-                            del held[k:]
-            top = [(names[i], doc, s) for i, held in best.items() for _, doc, s in sorted(held)[:k]]
-            if top:
-                columns = list(zip(*top, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1], kind), pa.array(columns[2], pa.float64())], names=["query_id", "doc_id", "score"])
-
-        kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double"
-        part = words.filter("doc_id is not null").mapInArrow(score, kinds)
-        out = part if out is None else out.unionByName(part)
-    return out.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "doc_id"))).filter(F.col("rank") <= k)
+def lexical_scores(queries: DataFrame, docs: DataFrame, k: int = 10) -> DataFrame:
+    """query_id, doc_id, score, rank over an index made for this search; keep one of `lexical.build_index` to search the same documents again."""
+    return search(build_index(docs), queries, k)
 
 
 # What varies between repetitions of a failure, in this order, and the marks that stand for it.

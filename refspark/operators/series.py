@@ -202,13 +202,24 @@ def resample_agg(df: DataFrame, tie: str, width: str = "day") -> DataFrame:
     return df.filter("value is not null").groupBy("series_id", F.date_trunc(width, "ts").alias("day")).agg(F.max_by("value", at).alias("last"), F.min_by("value", at).alias("first"), F.sum("value").alias("sum"), F.avg("value").alias("mean"), F.count("*").alias("count"), F.max("value").alias("max"), F.min("value").alias("min"))
 
 
+WEEKDAYS = ("MON", "TUE", "WED", "THU", "FRI", "SAT", "SUN")
+
+
 def rebalance_dates(df: DataFrame, rule: str = "M") -> DataFrame:
-    """The last days of the periods that have rows: D, W (to Sunday), M, kM (k months from January on), Q or Y."""
+    """The last days of the periods that have rows: D, W (to Sunday), W-MON to W-SUN (to that weekday), M, kM (k months from January on), Q or Y.
+
+    Months, quarters and years may be written with an E, as in ME.
+    """
     day = F.to_date("ts")
+    rule = rule.strip().upper()
+    rule = rule[:-1] if rule.endswith("E") and len(rule) > 1 else rule
     if rule == "D":
         end = day
-    elif rule == "W":
-        end = F.date_add(F.date_trunc("week", day).cast("date"), 6)
+    elif rule == "W" or rule.startswith("W-"):
+        anchor = rule[2:] or "SUN"
+        if anchor not in WEEKDAYS:
+            raise ValueError(f"no weekday: {anchor}")
+        end = F.next_day(F.date_sub(day, 1), anchor)
     else:
         months = {"Q": 3, "Y": 12}.get(rule) or int(rule[:-1] or 1)
         last = F.ceil((F.year(day) * 12 + F.month(day)) / months) * months - 1  # months since year 0, of the period's last month

@@ -125,7 +125,7 @@ QUERIES |= {
     "a13_bracket_coverage": lambda s, d: o.bracket_coverage(views.bracket(s, d), "city"),
     "e1_e2_lagged": lambda s, d: rounded(o.lagged(views.price(s, d), 3), "series_id", "ts", lag_3=4, delta_3=4, log_return_3=6, pct_change=6),
     "e9_calendar_regimes": lambda s, d: o.regimes(ticks(s, d), 3).select("series_id", "event_id", "day_name", "session", "part_of_week"),
-    "e13_rebalance_rules": lambda s, d: _union([o.rebalance_dates(views.price(s, d), rule).select(F.lit(rule).alias("rule"), "ts") for rule in ("D", "W", "M", "2M", "Q", "Y")]),
+    "e13_rebalance_rules": lambda s, d: _union([o.rebalance_dates(views.price(s, d), rule).select(F.lit(rule).alias("rule"), "ts") for rule in ("D", "W", "W-FRI", "W-MON", "M", "2M", "QE", "Y")]),
     "a12_clip_window": lambda s, d: o.clip_window(ticks(s, d), "2024-01-05", "2024-01-20"),
     "d18_resample_agg": lambda s, d: rounded(o.resample_agg(ticks(s, d), "event_id"), "series_id", "day", "last", "first", "count", "max", "min", sum=4, mean=5),
     "e13_rebalance_dates": lambda s, d: o.rebalance_dates(views.price(s, d)),
@@ -137,8 +137,8 @@ SQL |= {
     "a13_bracket_coverage": f"WITH {_BR} SELECT city, min(close_time) AS first, max(close_time) AS last, count(DISTINCT event_id) AS events, count(*) AS brackets FROM bracket GROUP BY ALL",
     "e1_e2_lagged": f"WITH {views.PRICE_SQL}, p AS (SELECT *, lag(value, 3) OVER {_W} AS p FROM price) SELECT series_id, ts, round(p, 4) AS lag_3, round(value - p, 4) AS delta_3, round(ln(value / p), 6) AS log_return_3, round(value / p - 1, 6) AS pct_change FROM p",
     "e9_calendar_regimes": f"WITH {_TICKS} SELECT series_id, event_id, dayname(ts) AS day_name, CASE WHEN hour(ts) < 8 THEN 'asia' WHEN hour(ts) < 16 THEN 'europe' ELSE 'us' END AS session, CASE WHEN dayofweek(ts) IN (0, 6) THEN 'weekend' ELSE 'weekday' END AS part_of_week FROM ticks",
-    "e13_rebalance_rules": f"""WITH {views.PRICE_SQL}, r AS (SELECT 'D' AS rule, CAST(ts AS DATE) AS d FROM price UNION ALL SELECT 'W', CAST(date_trunc('week', ts) AS DATE) + 6 FROM price UNION ALL SELECT 'M', last_day(ts) FROM price
-  UNION ALL SELECT '2M', last_day(make_date(year(ts), CAST(ceil(month(ts) / 2.0) * 2 AS INT), 1)) FROM price UNION ALL SELECT 'Q', last_day(make_date(year(ts), CAST(ceil(month(ts) / 3.0) * 3 AS INT), 1)) FROM price UNION ALL SELECT 'Y', make_date(year(ts), 12, 31) FROM price)
+    "e13_rebalance_rules": f"""WITH {views.PRICE_SQL}, r AS (SELECT 'D' AS rule, CAST(ts AS DATE) AS d FROM price UNION ALL SELECT 'W', CAST(date_trunc('week', ts) AS DATE) + 6 FROM price UNION ALL SELECT 'W-FRI', CAST(ts AS DATE) + CAST((12 - isodow(ts)) % 7 AS INT) FROM price UNION ALL SELECT 'W-MON', CAST(ts AS DATE) + CAST((8 - isodow(ts)) % 7 AS INT) FROM price UNION ALL SELECT 'M', last_day(ts) FROM price
+  UNION ALL SELECT '2M', last_day(make_date(year(ts), CAST(ceil(month(ts) / 2.0) * 2 AS INT), 1)) FROM price UNION ALL SELECT 'QE', last_day(make_date(year(ts), CAST(ceil(month(ts) / 3.0) * 3 AS INT), 1)) FROM price UNION ALL SELECT 'Y', make_date(year(ts), 12, 31) FROM price)
 SELECT DISTINCT rule, CAST(d AS TIMESTAMP) AS ts FROM r""",
     "a12_clip_window": f"WITH {_TICKS}, c AS (SELECT *, count(*) OVER (PARTITION BY series_id) AS n FROM ticks WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20') SELECT series_id, ts, value, event_id FROM c WHERE n >= 30",
     "d18_resample_agg": f"WITH {_TICKS} SELECT series_id, CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, arg_max(value, (ts, event_id)) AS last, arg_min(value, (ts, event_id)) AS first, count(*) AS count, max(value) AS max, min(value) AS min, round(sum(value), 4) AS sum, round(avg(value), 5) AS mean FROM ticks WHERE value IS NOT NULL GROUP BY ALL",

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from refspark.operators import scores
-from refspark.operators.scan import running
+from refspark.operators.scan import folded, running
 
 #: Columns that every executor returns, by claim.
 NET_TRIPLE = ("series_id", "ts", "net", "position")
@@ -204,23 +204,26 @@ def event_candidates(returns: DataFrame, events: DataFrame, window: tuple[int, i
 def event_study(returns: DataFrame, events: DataFrame, window: tuple[int, int] = (-1, 3), estimation: int = 20, market: str | None = None) -> DataFrame:
     """series_id, event_ts, car, skipped: abnormal returns summed over each event's window, or why an event is left out.
 
-    In order of time an event counts only if its window and its estimation window lie after the window of the last one that counted: a fold
-    over the events of a series, some numbers each. A flaw of range comes before overlaps, the others after, as they are met.
+    In order of time an event counts only if its window and its estimation window lie after the window of the last one that counted: events are
+    streamed in their order, a series' last window being all that is kept. A flaw of range comes before overlaps, the others after, as they are met.
     """
-    c = event_candidates(returns, events, window, estimation, market)
-    early = F.col("flaw").isin("event_window_out_of_range")
-    item = F.struct("event_ts", "start", "end", "first", F.when(early, F.col("flaw")).alias("range"), "flaw", "car")
-    run = c.groupBy("series_id").agg(F.array_sort(F.collect_list(item)).alias("events"))
-    zero = F.struct(F.lit(-1).cast("bigint").alias("last"), F.array().cast("array<struct<event_ts:timestamp,car:double,skipped:string>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        some = acc["last"] >= 0
-        why = F.when(x["range"].isNotNull(), x["range"]).when(some & (x["start"] <= acc["last"]), "overlaps_prior_event_window")
-        why = why.when(x["flaw"] == "insufficient_pre_event_estimation_window", x["flaw"]).when(some & (x["first"] <= acc["last"]), "estimation_window_overlaps_prior_event_window").otherwise(x["flaw"])
-        row = F.struct(x["event_ts"].alias("event_ts"), F.when(why.isNull(), x["car"]).alias("car"), why.alias("skipped"))
-        return F.struct(F.when(why.isNull(), x["end"]).otherwise(acc["last"]).alias("last"), F.concat(acc["out"], F.array(row)).alias("out"))
-
-    return run.select("series_id", F.inline(F.aggregate("events", zero, step, lambda acc: acc["out"])))
+    c = event_candidates(returns, events, window, estimation, market).select("series_id", "event_ts", "start", "end", "first", "flaw", "car")
+
+    def step(last: int, row: tuple) -> tuple[int, tuple[float | None, str | None]]:
+        _, _, start, end, first, flaw, car = row
+        some = last >= 0
+        if flaw == "event_window_out_of_range":
+            why = flaw
+        elif some and start is not None and start <= last:
+            why = "overlaps_prior_event_window"
+        elif flaw != "insufficient_pre_event_estimation_window" and some and first is not None and first <= last:
+            why = "estimation_window_overlaps_prior_event_window"
+        else:
+            why = flaw
+        return (end if why is None else last), (car if why is None else None, why)
+
+    found = folded(c.withColumnRenamed("car", "__car"), ["series_id"], ["event_ts", "start", "end"], "car double, skipped string", -1, step)
+    return found.select("series_id", "event_ts", "car", "skipped")
 
 
 def search_scopes(net: DataFrame) -> DataFrame:

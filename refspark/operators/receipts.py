@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from hashlib import sha256
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from refspark.functions.numbers import significant
+from refspark.operators.scan import folded
 
 # The record format's version and fields, the hash before a chain's first event, and words that name no series.
 SCHEMA_VERSION = 1
@@ -45,15 +48,15 @@ def verify_chain(events: DataFrame, by: str = "run") -> DataFrame:
 
 
 def build_chain(events: DataFrame, by: str = "run") -> DataFrame:
-    """events (by, seq, payload) with prev_hash and hash, from ZERO_HASH on. A hash needs the one before, so a run is folded in one row:
-    its payloads' hashes only, 64 bytes an event."""
-    digest = events.select(by, "seq", F.sha2("payload", 256).alias("d"))
-    start = F.array().cast("array<string>")
-    before = lambda acc: F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(ZERO_HASH))
-    step = lambda acc, x: F.concat(acc, F.array(chain_hash(before(acc), x["d"])))
-    run = digest.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("seq", "d"))).alias("e")).select(by, "e", F.aggregate("e", start, step).alias("h"))
-    each = run.select(by, F.posexplode("e").alias("k", "x"), "h")
-    return each.select(by, F.col("x.seq").alias("seq"), F.coalesce(F.get("h", F.col("k") - 1), F.lit(ZERO_HASH)).alias("prev_hash"), F.get("h", "k").alias("hash"))
+    """by, seq, prev_hash and hash of events (by, seq, payload), from ZERO_HASH on. A hash needs the one before, so a run is one task's time; its
+    events are streamed, 64 bytes each, in the order of their numbers, and events of one number in that of their payloads' hashes."""
+    digest = events.select(by, "seq", F.sha2("payload", 256).alias("__d"))
+
+    def step(before: str, row: tuple) -> tuple[str, tuple[str, str]]:
+        hashed = sha256((before if row[2] is None else f"{before}|{row[2]}").encode()).hexdigest()
+        return hashed, (before, hashed)
+
+    return folded(digest, [by], ["seq", "__d"], "prev_hash string, hash string", ZERO_HASH, step).drop("__d")
 
 
 def merkle_root(series: DataFrame, by: str = "series_id") -> DataFrame:

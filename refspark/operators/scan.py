@@ -78,6 +78,34 @@ def running(df: DataFrame, by: list[str], order: list[str], states: dict[str, tu
     return out.drop(RANGE, PLACE, *taken, *[f"__b_{n}" for n in states])
 
 
+def folded(df: DataFrame, by: list[str], order: list[str], fields: str, begin: object, step: Callable[[object, tuple], tuple[object, tuple]]) -> DataFrame:
+    """df with `fields` (a DDL string): for each row, in its key's order, what step(state, row) gives beside the next state; begin is a key's first state.
+
+    For rules in which each row hangs on what was decided before, which no window expresses. Rows are streamed, so a key of any length takes one
+    task's time but not its memory. Columns of df with a name of fields are replaced.
+    """
+    new = T._parse_datatype_string(fields)
+    own = df.drop(*new.names)
+    schema = T.StructType([*own.schema.fields, *new.fields])
+    arrow, names = to_arrow_schema(schema), own.columns
+    keys = [names.index(c) for c in by]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state = None, begin
+        for batch in batches:
+            made = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                key = tuple(row[k] for k in keys)
+                if key != last:
+                    last, state = key, begin
+                state, out = step(state, row)
+                made.append(out)
+            columns = list(zip(*made, strict=True)) or [()] * len(new.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(c, arrow.field(len(names) + k).type) for k, c in enumerate(columns)]], schema=arrow)
+
+    return own.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(run, schema)
+
+
 def in_blocks(df: DataFrame, work: Callable[[DataFrame], DataFrame], order: list[str], before: int, after: int = 0, size: int = 1_000_000, by: str = "series_id") -> DataFrame:
     """work(df), for an operator whose row needs at most `before` rows of its series before it and `after` behind it, in blocks of `size` rows.
 

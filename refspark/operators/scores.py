@@ -14,10 +14,14 @@ KILL, WATCH, LEAST_OOS, LEAST_T, IC_FLOOR, Z = 0.90, 0.95, 30, 1.0, 0.05, 1.645
 
 
 def part(net: DataFrame) -> DataFrame:
-    """net with n and part: the first half of each series 'is', up to 80 % 'oos', then 'holdout', by rows."""
-    n = F.count("*").over(W.partitionBy("series_id"))
+    """net with n and part: the first half of each series 'is', up to 80 % 'oos', then 'holdout', by rows; seq becomes the row's number from 1 on.
+
+    Rows are counted in the order of seq, whatever its numbers are (from 0 on, with gaps, repeated); rows of one number in that of net.
+    """
+    w = W.partitionBy("series_id")
     first, last = F.floor(F.col("n") * 0.5), F.floor(F.col("n") * (0.5 + 0.3))
-    return net.withColumn("n", n).withColumn("part", F.when(F.col("seq") <= first, "is").when(F.col("seq") <= last, "oos").otherwise("holdout"))
+    rows = net.withColumns({"n": F.count("*").over(w), "seq": F.row_number().over(w.orderBy("seq", "net"))})
+    return rows.withColumn("part", F.when(F.col("seq") <= first, "is").when(F.col("seq") <= last, "oos").otherwise("holdout"))
 
 
 def moments(x: Column, prefix: str = "") -> list[Column]:

@@ -104,3 +104,23 @@ def test_regimes_of_volatility_against_sorted_lists(spark):
                 low, high = np.quantile(seen, [1 / 3, 2 / 3])
                 want.add((s, ts, "high_vol" if x >= high - 1e-15 else "low_vol" if x <= low + 1e-15 else "mid_vol"))
     assert {tuple(r) for r in claims.vol_regime(df, 10, 30).collect()} == want and len(want) > 500
+
+
+def test_folds_keep_their_state_over_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rng = random.Random(8)
+        rows = [(rng.choice(["a", "b", None]), k, rng.randrange(10)) for k in range(200)]
+        rng.shuffle(rows)
+        df = spark.createDataFrame(rows, "key string, k long, x long").withColumn("kept", F.lit("clash"))
+        step = lambda last, row: (row[2], (True, last)) if last is None or row[2] > last else (last, (False, last))
+        got = {(r.key, r.k): (r.kept, r.before) for r in scan.folded(df, ["key"], ["k"], "kept boolean, before bigint", None, step).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want, last = {}, {}
+    for key, k, x in sorted(rows, key=lambda r: r[1]):
+        before = last.get(key)
+        want[key, k] = (before is None or x > before, before)
+        last[key] = x if want[key, k][0] else before
+    assert got == want
+    assert scan.folded(df.limit(0), ["key"], ["k"], "kept boolean", None, lambda s, r: (s, (True,))).count() == 0

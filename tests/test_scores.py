@@ -1,6 +1,7 @@
 """Properties of the scoring operators on small planted series."""
 
 import math
+import random
 from statistics import NormalDist
 
 from pyspark.sql import functions as F
@@ -33,3 +34,16 @@ def test_short_and_flat_series(spark):
     rows = {r.series_id: r for r in scores.referee(net(spark, {"short": [0.1] * 10, "flat": [0.1] * 200, "one": [0.2]})).collect()}
     assert rows["short"].verdict == rows["one"].verdict == "insufficient_data"
     assert rows["flat"].psr is None and rows["flat"].verdict == "kill"
+
+
+def test_parts_are_counted_by_rows_whatever_the_numbers_are(spark):
+    rng = random.Random(2)
+    values = [rng.gauss(0.1, 1) for _ in range(120)]
+    frames = {"one": [(k + 1, x) for k, x in enumerate(values)], "zero": list(enumerate(values)), "gaps": [(7 * k - 50, x) for k, x in enumerate(values)]}
+    rows = [(name, "f", k, x) for name, xs in frames.items() for k, x in xs]
+    net = spark.createDataFrame(rows, "series_id string, family string, seq long, net double")
+    got = {r.series_id: r.asDict() for r in scores.score_split(net).collect()}
+    same = [{c: round(v, 9) if isinstance(v, float) else v for c, v in got[n].items() if c != "series_id"} for n in frames]
+    assert same[0] == same[1] == same[2] and same[0]["n_oos"] == 36
+    parts = {(r.part, r.n) for r in scores.part(net.filter("series_id = 'gaps'")).groupBy("part").count().selectExpr("part", "count n").collect()}
+    assert parts == {("is", 60), ("oos", 36), ("holdout", 24)}

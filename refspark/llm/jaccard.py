@@ -7,6 +7,7 @@ fingerprint is looked up under all values of the small Hamming balls around its
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
 
@@ -76,14 +77,24 @@ def merged(label: DataFrame | None, edges: DataFrame) -> DataFrame:
 
 
 def commonness(rest: DataFrame) -> np.ndarray:
-    """How common the shingles of the chains' members are, by the low bits of shingle and chain: the number of COMMON's steps that the most common one
-    there exceeds. Only shingles beyond the first step come to the driver, as at most LEVELS small numbers."""
-    key = F.col("h").bitwiseXOR(F.col("chain"))
-    counts = rest.select("chain", F.explode("hs").alias("h")).groupBy(key.alias("key")).agg(F.count("*").alias("c")).filter(F.col("c") > COMMON[0])
-    level = reduce(lambda x, y: x + y, [(F.col("c") > c).cast("int") for c in COMMON])
-    got = counts.groupBy(F.col("key").bitwiseAND(LEVELS - 1).alias("at")).agg(F.max(level).alias("level")).toPandas()
+    """How common the shingles of the chains' members are, by the low bits of shingle and chain: the number of COMMON's steps that their count there exceeds.
+
+    Each task counts its members' shingles in a table of LEVELS numbers; of the sums only those beyond the first step come to the driver.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(LEVELS, np.int64)
+        for batch in batches:
+            hs = batch.column("hs")
+            chain = np.repeat(batch.column("chain").to_numpy(), np.diff(hs.offsets.to_numpy()))
+            np.add.at(table, (hs.flatten().to_numpy() ^ chain) & (LEVELS - 1), 1)
+        at = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(table[at])], names=["at", "c"])
+
+    counts = rest.select("chain", "hs").mapInArrow(count, "at bigint, c bigint").groupBy("at").agg(F.sum("c").alias("c")).filter(F.col("c") > COMMON[0])
+    got = counts.toPandas()
     out = np.zeros(LEVELS, np.uint8)
-    out[got["at"].to_numpy(np.int64)] = got["level"].to_numpy(np.int64)
+    out[got["at"].to_numpy(np.int64)] = (got["c"].to_numpy(np.int64)[:, None] > np.array(COMMON)).sum(1)
     return out
 
 

@@ -66,11 +66,13 @@ def provenance_checkable(has_period: Column, datasets: Column, domains: Column,
 
 
 def reserve_overlap(lineage: DataFrame, epochs: DataFrame, key: str) -> DataFrame:
-    """key, shares_name, shares_day, overlap: whether a lineage has a domain or a dataset of some epoch, or a day; one row for each of lineage's.
+    """key, shares_name, shares_day, n_day_epochs, overlap: whether a lineage has a domain or a dataset of some epoch, or a day, and with how many
+    epochs it shares one; one row for each of lineage's.
 
     lineage: key (unique), domains, datasets (arrays), start, end. epochs: epoch_id, domains, datasets, start, end. Epochs are first put together
     to their distinct names and, month by month, to a mask of the days that any of them covers, so no pair of a lineage and an epoch is
-    made, however many share a name or a day. Null or empty arrays share nothing, a period without both ends has no day.
+    made, however many share a name or a day. The epochs of a lineage's days are those begun by its end less those ended before its start, two
+    sums by day. Null or empty arrays share nothing, a period without both ends has no day.
     """
 
     def names(side: DataFrame, *keep: str) -> DataFrame:
@@ -87,8 +89,17 @@ def reserve_overlap(lineage: DataFrame, epochs: DataFrame, key: str) -> DataFram
     named = names(lineage, key).join(names(epochs).distinct(), "name", "left_semi").select(key).distinct().withColumn("shares_name", F.lit(True))
     covered = days(epochs).groupBy("month").agg(F.bit_or("days").alias("covered"))
     timed = days(lineage, key).join(covered, "month").filter(F.col("days").bitwiseAND(F.col("covered")) != 0).select(key).distinct().withColumn("shares_day", F.lit(True))
+    whole = epochs.filter("start <= end")
+    marks = whole.groupBy(F.col("start").alias("day")).agg(F.count("*").alias("begun")).join(whole.groupBy(F.date_add("end", 1).alias("day")).agg(F.count("*").alias("ended")), "day", "full")
+    calendar = marks.agg(F.explode(F.sequence(F.min("day"), F.max("day"), F.expr("interval 1 day"))).alias("day"))
+    upto = W.orderBy("day").rowsBetween(W.unboundedPreceding, 0)  # one row for each day of the calendar
+    runs = calendar.join(marks, "day", "left").select("day", *[F.coalesce(F.sum(c).over(upto), F.lit(0)).alias(c) for c in ("begun", "ended")])
+    first, last = (F.broadcast(runs.agg(f("day").alias(n))) for f, n in ((F.min, "__first"), (F.max, "__last")))
+    spans = lineage.filter("start <= end").select(key, "start", "end").join(first).join(last)
+    at = lambda c, n: spans.filter(F.col(c) >= F.col("__first")).select(key, F.least(c, "__last").alias("day")).join(runs.select("day", n), "day").select(key, n)
+    counted = at("end", "begun").join(at("start", "ended"), key, "left").select(key, (F.col("begun") - F.coalesce("ended", F.lit(0))).alias("n_day_epochs"))
     no = lambda c: F.coalesce(c, F.lit(False)).alias(c)
-    out = lineage.select(key).join(named, key, "left").join(timed, key, "left").select(key, no("shares_name"), no("shares_day"))
+    out = lineage.select(key).join(named, key, "left").join(timed, key, "left").join(counted, key, "left").select(key, no("shares_name"), no("shares_day"), F.coalesce("n_day_epochs", F.lit(0)).alias("n_day_epochs"))
     return out.withColumn("overlap", F.col("shares_name") | F.col("shares_day"))
 
 

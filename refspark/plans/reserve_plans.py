@@ -25,8 +25,8 @@ def supplier_spans(s, d):
 
 
 def overlap(s, d):
-    """All lineages against the epochs of all orders that start in the second half of a year; the epochs' names meet few lineages."""
-    e = epochs(s, d).filter("month(start) > 6").withColumn("domains", F.expr("array(if(domains[0] like '1%', 'A', 'X'))"))
+    """All lineages against the epochs of all orders."""
+    e = epochs(s, d).withColumn("domains", F.expr("array(if(domains[0] like '1%', 'A', 'X'))"))
     return r.reserve_overlap(supplier_spans(s, d), e, "lineage")
 
 
@@ -122,8 +122,8 @@ SELECT claim, i.name, n IS NOT NULL AS available, CASE WHEN n IS NULL THEN 'data
 SELECT series_id, CASE WHEN abs(m / sd * sqrt(252) * (series_id % 50)) > 6 THEN 'implausible_sharpe' WHEN m <> 0 AND sd / (series_id % 7 * 400 + 1) < 0.02 * abs(m) THEN 'degenerate_series' END AS implausible,
   CASE WHEN series_id % 5 <> 0 THEN round(date_diff('day', DATE '2000-01-01', CAST(last AS DATE)) / 365.25, 6) END AS years,
   CASE series_id % 4 WHEN 0 THEN false WHEN 1 THEN true WHEN 2 THEN false END AS anchored FROM g""",
-    "b11_reserve_overlap": f"""WITH e AS (SELECT * FROM ({EPOCHS}) WHERE month(start) > 6), {_SPANS},
-x AS (SELECT lineage, domains[1] = 'A' AND (SELECT count(*) FROM e WHERE domain LIKE '1%') > 0 AS shares_name, EXISTS (SELECT 1 FROM e WHERE s.start <= e."end" AND e.start <= s."end") AS shares_day FROM spans s)
+    "b11_reserve_overlap": f"""WITH e AS (SELECT * FROM ({EPOCHS})), {_SPANS}, b AS (SELECT start AS d, count(*) AS n FROM e GROUP BY ALL), f AS (SELECT "end" AS d, count(*) AS n FROM e GROUP BY ALL),
+x AS (SELECT lineage, CAST(coalesce((SELECT sum(n) FROM b WHERE d <= s."end"), 0) - coalesce((SELECT sum(n) FROM f WHERE d < s.start), 0) AS BIGINT) AS n_day_epochs, domains[1] = 'A' AND (SELECT count(*) FROM e WHERE domain LIKE '1%') > 0 AS shares_name, EXISTS (SELECT 1 FROM e WHERE s.start <= e."end" AND e.start <= s."end") AS shares_day FROM spans s)
 SELECT *, shares_name OR shares_day AS overlap FROM x""",
     "b12_valid_epochs": f"""WITH e AS ({EPOCHS}), f AS (SELECT *, coalesce(start <= lag("end") OVER (PARTITION BY reserve ORDER BY start, "end", epoch_id), false) OR count(*) OVER (PARTITION BY reserve, epoch_id) > 1 AS bad FROM e)
 SELECT reserve, epoch_id, start, "end" FROM f QUALIFY NOT bool_or(bad) OVER (PARTITION BY reserve)""",

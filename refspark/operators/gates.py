@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Drawn values held at a time.
 CELLS = 1 << 21
+#: And as many while only the places of blocks are kept of them.
+PIECE = 1 << 16
 #: A regime whose absence leaves so small a share of the edge is suspect; a permutation as concentrated as it, so often, excuses it.
 SURVIVAL, REGIME_P, REGIME_REPS = 0.25, 0.05, 500
 #: Groups of cross-validation need so many rows, and a combination of test groups so many of its kind.
@@ -42,6 +44,71 @@ def stationary(rng: np.random.Generator, n: int, block: int, reps: int) -> np.nd
     return (np.take_along_axis(start, at, 1) + np.arange(n) - at) % n
 
 
+def _blocks(rng: np.random.Generator, n: int, block: int, reps: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same draws as stationary's, as blocks in order: row, first place, length."""
+    step = max(1, PIECE // n)
+    at = []
+    for a in range(0, reps, step):  # pieces of one stream are the same draws
+        fresh = rng.random((min(step, reps - a), n)) < 1.0 / max(1, block)
+        fresh[:, 0] = True
+        at.append(np.flatnonzero(fresh) + a * n)
+    start = [rng.integers(0, n, min(step * n, reps * n - k * step * n))[own - k * step * n] for k, own in enumerate(at)]
+    at = np.concatenate(at)
+    return at // n, np.concatenate(start), np.diff(at, append=reps * n)
+
+
+class _Circle:
+    """Sums, extremes and drawdowns of stretches of a series that is walked in a circle, each in a few look-ups.
+
+    Tables over 2^k places at each place, for stretches of up to one turn; an inner drawdown is that of two halves that overlap, or from the
+    first's part before the second to the second.
+    """
+
+    def __init__(self, x: np.ndarray, down: bool = True):
+        self.n, self.x = len(x), x - x[0]
+        self.shift = x[0]
+        turn = np.concatenate((self.x, self.x))
+        self.s1, self.s2 = (np.concatenate(([0.0], np.cumsum(v))) for v in (turn, turn * turn))
+        self.levels = max(1, self.n.bit_length())
+        if down:
+            c = np.cumsum(np.concatenate((x, x)))
+            hi, lo, dd = [c], [c], [np.zeros(len(c))]
+            for k in range(self.levels - 1):
+                far = np.minimum(np.arange(len(c)) + (1 << k), len(c) - 1)
+                dd.append(np.maximum(np.maximum(dd[k], dd[k][far]), hi[k] - lo[k][far]))
+                hi.append(np.maximum(hi[k], hi[k][far]))
+                lo.append(np.minimum(lo[k], lo[k][far]))
+            self.c, self.hi, self.lo, self.dd = c, np.stack(hi), np.stack(lo), np.stack(dd)
+            self.log = np.concatenate(([0], np.floor(np.log2(np.arange(1, self.n + 1) + 0.5)))).astype(np.int64)
+
+    def sums(self, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sum and sum of squares of the values less the first of the series."""
+        return self.s1[start + size] - self.s1[start], self.s2[start + size] - self.s2[start]
+
+    def drawdowns(self, row: np.ndarray, start: np.ndarray, size: np.ndarray, reps: int) -> np.ndarray:
+        """The largest drawdown of the summed results of each row of blocks."""
+        k = self.log[size]
+        last = start + size - (1 << k)
+        rest = size - (1 << k)
+        j = self.log[rest]
+        front = np.where(rest > 0, np.maximum(self.hi[j, start], self.hi[j, np.maximum(start, start + rest - (1 << j))]), -np.inf)
+        low, high = np.minimum(self.lo[k, start], self.lo[k, last]), np.maximum(self.hi[k, start], self.hi[k, last])
+        inner = np.maximum(np.maximum(self.dd[k, start], self.dd[k, last]), front - self.lo[k, last])
+        before = np.where(start > 0, self.c[start - 1], 0.0)
+        total = self.c[start + size - 1] - before
+        edges = np.searchsorted(row, np.arange(reps + 1))
+        count = np.diff(edges)
+        sofar, peak, out = np.zeros(reps), np.full(reps, -np.inf), np.zeros(reps)
+        for b in range(int(count.max(initial=0))):
+            r = np.flatnonzero(count > b)
+            i = edges[r] + b
+            base = sofar[r] - before[i]
+            out[r] = np.maximum(np.maximum(out[r], inner[i]), peak[r] - (base + low[i]))
+            peak[r] = np.maximum(peak[r], base + high[i])
+            sofar[r] += total[i]
+        return out
+
+
 def _chunks(reps: int, n: int) -> Iterator[int]:
     step = max(1, CELLS // max(1, n))
     yield from (min(step, reps - k) for k in range(0, reps, step))
@@ -86,11 +153,20 @@ def block_bootstrap(net: DataFrame, reps: int = 2000, ci: float = 0.9, per_year:
         n = len(x)
         if n < 10:
             return None
-        rng, parts = generator(series, "bootstrap"), []
+        rng, parts, circle = generator(series, "bootstrap"), [], _Circle(x)
         for k in _chunks(reps, n):
-            drawn = x[stationary(rng, n, max(1, round(n**0.5)), k)]
-            total = np.cumsum(drawn, axis=1)
-            parts.append((drawn.mean(1), _sharpes(drawn, per_year), (np.maximum.accumulate(total, axis=1) - total).max(1)))
+            row, start, size = _blocks(rng, n, max(1, round(n**0.5)), k)
+            s1, s2 = (np.bincount(row, v, minlength=k) for v in circle.sums(start, size))
+            var = np.maximum(s2 - s1 * s1 / n, 0) / (n - 1)
+            mean = circle.shift + s1 / n
+            sd = np.sqrt(var)
+            ratio = np.where(sd > 0, mean / np.where(sd > 0, sd, 1) * per_year**0.5, 0.0)
+            close = var <= 1e-7 * circle.s2[n] / n  # too near to none for differences of sums: drawn out
+            if close.any():
+                own = close[row]
+                places = np.repeat(start[own] - np.cumsum(size[own]) + size[own], size[own]) + np.arange(size[own].sum())
+                ratio[close] = _sharpes(x[places % n].reshape(-1, n), per_year)
+            parts.append((mean, ratio, circle.drawdowns(row, start, size, k)))
         edge, sharpe, down = (np.concatenate(p) for p in zip(*parts, strict=True))
         q = [(1 - ci) / 2 * 100, (1 + ci) / 2 * 100]
         lo, hi = np.percentile(edge, q)
@@ -125,9 +201,10 @@ def capacity_ci(net: DataFrame, reps: int = 500, ci: float = 0.9, per_year: floa
         turn = float(np.abs(np.diff(position, prepend=position[:1])).mean()) if n else 0.0
         if n < 10 or turn <= 0:
             return None
-        rng, means = generator(series, "capacity"), []
+        rng, means, circle = generator(series, "capacity"), [], _Circle(x, down=False)
         for k in _chunks(reps, n):
-            means.append(x[stationary(rng, n, max(1, round(n**0.5)), k)].mean(1))
+            row, start, size = _blocks(rng, n, max(1, round(n**0.5)), k)
+            means.append(circle.shift + np.bincount(row, circle.sums(start, size)[0], minlength=k) / n)
         year = np.concatenate(means) * per_year
         caps = year[year > 0] / (turn * per_year * bps_per_million / 1e4 / 1e6)
         share = round(float((year > 0).mean()), 3)

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -109,7 +110,9 @@ def fingerprint(series: DataFrame) -> DataFrame:
 
 
 #: Queries held in memory by a pass over the corpus, and compared with a batch at a time.
-QUERY_BLOCK, QUERY_PART = 65_536, 1024
+QUERY_BLOCK, QUERY_PART = 16_384, 512
+#: Vectors of the corpus that a block is compared with at a time: a product of QUERY_PART x CORPUS_PART numbers is all that is held.
+CORPUS_PART = 1024
 
 
 def nearest_vectors(queries: DataFrame, corpus: DataFrame, block: int = QUERY_BLOCK) -> DataFrame:
@@ -128,12 +131,16 @@ def vector_scores(queries: DataFrame, corpus: DataFrame, k: int = 10, block: int
     return best.withColumn("rank", F.row_number().over(W.partitionBy("vec_id").orderBy(F.desc("cosine"), "other")))
 
 
-def _units(column: pa.Array, wide: int) -> np.ndarray:
-    """Each vector by its length, in float64; null, empty and zero ones are zeros."""
-    rows = [np.asarray(v, np.float64) if v is not None and len(v) == wide else None for v in column.to_pylist()]
-    x = np.stack([v if v is not None else np.zeros(wide) for v in rows]) if rows else np.zeros((0, 0))
+def _units(column: pa.ListArray, wide: int) -> np.ndarray:
+    """Each vector by its length, in float64; null, empty and zero ones, and those of another length, are zeros."""
+    x = np.zeros((len(column), wide))
+    size = np.where(column.is_valid().to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy()), -1)
+    fit = np.flatnonzero(size == wide) if wide else []
+    if len(fit):
+        places = column.offsets.to_numpy()[fit, None] + np.arange(wide)
+        x[fit] = column.values.to_numpy(zero_copy_only=False)[places]
     size = np.sqrt((x * x).sum(1))
-    return np.divide(x, size[:, None], out=np.zeros_like(x), where=size[:, None] > 0)
+    return np.divide(x, size[:, None], out=x, where=size[:, None] > 0)
 
 
 def _nearest(queries: DataFrame, corpus: DataFrame, block: int, k: int) -> DataFrame:
@@ -144,21 +151,29 @@ def _nearest(queries: DataFrame, corpus: DataFrame, block: int, k: int) -> DataF
         mine = queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).select("vec_id", F.col("embedding").cast("array<double>").alias("v")).toArrow().combine_chunks()
         if not mine.num_rows:
             continue
-        wide = max((len(v) for v in mine.column("v").to_pylist() if v is not None), default=0)
-        shared = spark.sparkContext.broadcast((np.array(mine.column("vec_id").to_pylist(), np.int64), _units(mine.column("v").combine_chunks(), wide)))
+        held = mine.column("v").combine_chunks()
+        wide = int(pc.max(pc.list_value_length(held)).as_py() or 0)
+        shared = spark.sparkContext.broadcast((mine.column("vec_id").to_numpy().astype(np.int64), _units(held, wide)))
 
         def score(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             names, q = shared.value
             best = np.full((len(names), k), -np.inf)
             whose = np.full((len(names), k), np.iinfo(np.int64).max)
-            for batch in batches:
-                ids = np.array(batch.column(0).to_pylist(), np.int64)
+            parts = (batch.slice(at, CORPUS_PART) for batch in batches for at in range(0, batch.num_rows, CORPUS_PART))
+            for batch in parts:
+                ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
                 u = _units(batch.column(1), q.shape[1])
                 for a in range(0, len(names), QUERY_PART):
                     own = slice(a, a + QUERY_PART)
                     c = np.round(q[own] @ u.T, 9)
                     c[names[own, None] == ids[None]] = -np.inf
-                    both, of = np.hstack((best[own], c)), np.hstack((whose[own], np.broadcast_to(ids, c.shape)))
+                    if len(ids) > k:  # what is under a query's k best here, or under its k-th so far, needn't be put in order
+                        edge = np.maximum(np.partition(c, -k, axis=1)[:, -k], best[own, -1])
+                        open_ = np.flatnonzero((c >= edge[:, None]).any(0))
+                        c, here = c[:, open_], ids[open_]
+                    else:
+                        here = ids
+                    both, of = np.hstack((best[own], c)), np.hstack((whose[own], np.broadcast_to(here, c.shape)))
                     top = np.lexsort((of, -both), axis=1)[:, :k]
                     best[own], whose[own] = np.take_along_axis(both, top, 1), np.take_along_axis(of, top, 1)
             on = best > -np.inf

@@ -18,10 +18,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from refspark.shared import folder
+from refspark.shared import checkpointed, folder
 
 #: Documents in a block, about; queries taken at a time; queries and terms in one product; and blocks from which it pays to look for a bound first.
 BLOCK, QUERIES, PART, SKIP = 1024, 20_000, 1024, 64
+#: So many pairs of a query and a term at most are handed to every task, so that postings are shuffled to their blocks only, and only those asked for.
+ASKED = 500_000
 
 
 def tokens(text: Column) -> Column:
@@ -143,17 +145,18 @@ def search(index: LexicalIndex, queries: DataFrame, k: int = 10, block: int = QU
     parts = max(1, -(-queries.count() // block))
     best = lambda rows: rows.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))).filter(F.col("rank") <= k)
     for p in range(parts):
-        mine = words.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == p).join(index.terms, "term")
-        asked = mine.groupBy("term").agg(F.collect_list(F.struct("query_id", "idf")).alias("asked"))
+        mine = checkpointed(words.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == p).join(index.terms, "term"))
+        small = F.broadcast if mine.count() <= ASKED else lambda df: df
+        asked = small(mine.groupBy("term").agg(F.collect_list(F.struct("query_id", "idf")).alias("asked")))
         hits = index.postings.join(asked, "term").select("block", "docs", "best", "asked")
 
         def scored(rows: DataFrame, least: dict) -> DataFrame:
             held = spark.sparkContext.broadcast(least)  # a number for each of at most `block` queries
             return rows.groupBy("block").applyInArrow(lambda table: _block_scores(table, k, held.value, kinds), fields)
 
-        bounds = index.postings.select("block", "term", "best").join(mine, "term").groupBy("query_id", "block").agg(F.sum(F.col("best") * F.col("idf")).alias("most"))
+        bounds = index.postings.select("block", "term", "best").join(small(mine), "term").groupBy("query_id", "block").agg(F.sum(F.col("best") * F.col("idf")).alias("most"))
         promising = bounds.groupBy("query_id").agg(F.max_by("block", "most").alias("block"))
-        few = index.postings.join(mine.join(promising, "query_id").groupBy("term", "block").agg(F.collect_list(F.struct("query_id", "idf")).alias("asked")), ["term", "block"])
+        few = index.postings.join(small(mine.join(promising, "query_id").groupBy("term", "block").agg(F.collect_list(F.struct("query_id", "idf")).alias("asked"))), ["term", "block"])
         least = {}
         if bounds.select("block").distinct().count() >= SKIP:
             least = {r.query_id: r.score for r in best(scored(few.select("block", "docs", "best", "asked"), {})).filter(F.col("rank") == k).select("query_id", "score").collect()}

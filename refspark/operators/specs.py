@@ -6,10 +6,13 @@ by the spans of `claimtext`.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from refspark.operators.claimtext import extract
+from refspark.shared import checkpointed
 
 # Parts of keys that name an added gate, wordings of values that state one, and keys whose values are the claim's own text.
 GATE_KEYS = (
@@ -54,6 +57,10 @@ _SPEC = (
 )
 
 
+#: So many different claims and records at most are handed to every task.
+REPEATED = 10_000
+
+
 def norm(name: Column) -> Column:
     """A name's letters and digits in lower case, joined by underscores."""
     return F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), "[^a-z0-9]+", "_"), "^_+|_+$", "")
@@ -271,5 +278,15 @@ def spec_reasons(df: DataFrame, claim: list[str], spec: str = "spec", kind: str
 
 
 def spec_matches_text(df: DataFrame, claim: list[str], spec: str = "spec", kind: str = "claim_type") -> DataFrame:
-    """spec_reasons, with matches: whether there is no reason; null for types without a check."""
-    return spec_reasons(df, claim, spec, kind).withColumn("matches", F.size("reasons") == 0)
+    """spec_reasons, with matches: whether there is no reason; null for types without a check.
+
+    What is the same in type, text and record is judged once. Where that leaves at most REPEATED of them, they are handed to every task and no
+    row of df is shuffled; otherwise each row is judged by itself. Runs a job when it is called.
+    """
+    of = list(dict.fromkeys([kind, *claim, spec]))
+    each = checkpointed(df.select(*of).distinct().limit(REPEATED + 1))
+    if each.count() > REPEATED:
+        return spec_reasons(df, claim, spec, kind).withColumn("matches", F.size("reasons") == 0)
+    judged = checkpointed(spec_reasons(each, claim, spec, kind)).select(*[F.col(c).alias(f"__of_{c}") for c in of], "reasons")
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in of])
+    return df.join(F.broadcast(judged), same).select(*df.columns, "reasons").withColumn("matches", F.size("reasons") == 0)

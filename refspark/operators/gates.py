@@ -184,9 +184,10 @@ def permutation_test(net: DataFrame, reps: int = 2000) -> DataFrame:
         if n < 10:
             return None
         rng, seen, as_large = generator(series, "permutation"), float((position * payoff).mean()), 0
-        for k in _chunks(reps, n):
-            shuffled = rng.permuted(np.broadcast_to(payoff, (k, n)), axis=1)
-            as_large += int(((shuffled * position).mean(1) >= seen - 1e-12).sum())
+        step = max(1, PIECE // n)
+        for a in range(0, reps, step):
+            shuffled = rng.permuted(np.broadcast_to(payoff, (min(step, reps - a), n)), axis=1)
+            as_large += int((shuffled @ position / n >= seen - 1e-12).sum())
         return seen, (as_large + 1) / (reps + 1)
 
     return _by_series(net, ("position", "payoff"), "observed double, p double", make)

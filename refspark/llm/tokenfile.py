@@ -108,11 +108,14 @@ class Encoder:
     are cut there as arrays of bytes, Arrow finds the distinct stretches, and only those are encoded: strung together in long
     strings, for the library parts them again at the same places, and told apart by the bytes that each id stands for. A neighbour
     that could end or begin a white space character outside ASCII gives no cut, which only makes a stretch longer. Texts with the
-    string of an added token, and all texts of a file with another pre-tokenizer or a normalizer, are encoded whole.
+    string of an added token, and all texts of a file with another pre-tokenizer or a normalizer, are encoded whole. The first KNOWN
+    short stretches that a worker meets stay with their ids, for all its later batches and tasks; what isn't among them is encoded.
     """
 
     #: Bytes of stretches in one string, and strings in one call: the library holds some hundred bytes for each id of a call.
-    STRING, STRINGS = 10_000, 32
+    STRING, STRINGS = 1000, 320
+    #: Stretches that stay, some 50 bytes each with their ids, and the most bytes of one.
+    KNOWN, SHORT = 800_000, 64
 
     def __init__(self, file: str):
         from tokenizers import Tokenizer
@@ -124,6 +127,8 @@ class Encoder:
         self.added = [t["content"] for t in said.get("added_tokens", [])]
         size = self.tokenizer.get_vocab_size()
         self.bytes = np.fromiter((len(self.tokenizer.id_to_token(i) or "") for i in range(size)), np.int64, size)  # a letter of a byte-level token is a byte
+        self.known = pa.array([], pa.large_binary())
+        self.known_ids = pa.array([], pa.large_list(pa.uint32()))
 
     def _library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for k in range(0, len(texts), self.STRINGS) for e in self.tokenizer.encode_batch_fast(texts[k : k + self.STRINGS], add_special_tokens=False)]
@@ -172,6 +177,21 @@ class Encoder:
         return got.flatten().to_numpy(), np.diff(total[np.searchsorted(cuts, at)])
 
     def _distinct(self, stretches: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these stretches and where each one's begin: those that have stayed from earlier batches aren't encoded again."""
+        at = pc.index_in(stretches, value_set=self.known)
+        fresh = at.is_null().to_numpy(zero_copy_only=False)
+        new = stretches.filter(pa.array(fresh))
+        ids, edges = self._encoded(new)
+        own = pa.LargeListArray.from_arrays(pa.array(edges, pa.int64()), pa.array(ids, pa.uint32()))
+        place = at.fill_null(0).to_numpy().astype(np.int64)
+        place[fresh] = len(self.known) + np.arange(len(new))
+        got = pa.concat_arrays([self.known_ids, own]).take(pa.array(place))
+        if len(self.known) < self.KNOWN:
+            stay = pa.array(np.flatnonzero(pc.binary_length(new).to_numpy() <= self.SHORT)[: self.KNOWN - len(self.known)])
+            self.known, self.known_ids = pa.concat_arrays([self.known, new.take(stay)]), pa.concat_arrays([self.known_ids, own.take(stay)])
+        return got.flatten().to_numpy(), got.offsets.to_numpy() - got.offsets[0].as_py()
+
+    def _encoded(self, stretches: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of these stretches and where each one's begin. Those that start and end like a cut are encoded together."""
         n = len(stretches)
         if not n:
@@ -218,7 +238,7 @@ ROWS = (
 
 
 #: Bytes of text that a writing task encodes at a time.
-TEXT_BYTES = 16 << 20
+TEXT_BYTES = 12 << 20
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, doc_id: str = "doc_id", text: str = "text", row_ids: int = 1 << 18) -> None:

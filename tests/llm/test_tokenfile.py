@@ -47,6 +47,27 @@ def test_stretches_encode_as_the_whole_text():
     assert ids.tolist() == [*plain.encode("a \ufffd b").ids, *plain.encode("c").ids] and counts.sum() == len(ids)
 
 
+def test_known_stretches_are_not_encoded_again():
+    rng = random.Random(5)
+    plain = Tokenizer.from_file(FILE)
+    words = [bytes(rng.choice(b"abcdefg") for _ in range(rng.randint(1, 9))).decode() for _ in range(400)] + ["w" * 90, "É", "don't"]
+    encoder, sent = t.Encoder(FILE), []
+    encoder.KNOWN = 300
+    library = encoder._library
+    encoder._library = lambda texts: sent.append(sum(map(len, texts))) or library(texts)
+    for k in range(4):
+        said = [" ".join(rng.choice(words) for _ in range(200)) for _ in range(20)]
+        before = sum(sent)
+        ids, counts = encoder.encode(pa.array([x.encode() for x in said], pa.large_binary()))
+        stop = np.cumsum(counts)
+        assert all(ids[b - n : b].tolist() == plain.encode(x, add_special_tokens=False).ids for x, n, b in zip(said, counts, stop, strict=True))
+        if k:
+            assert sum(sent) - before < 0.6 * sent_first
+        else:
+            sent_first = sum(sent)
+    assert len(encoder.known) == len(encoder.known_ids) == 300
+
+
 def test_digest(spark):
     rng = random.Random(6)
     rows = [(i, " ".join(rng.choice(["the", "of\n", "É", "  x", "7"]) for _ in range(rng.randint(0, 50)))) for i in range(120)] + [(500, None), (501, ""), (499, "w " * 40_000), (7, "again")]

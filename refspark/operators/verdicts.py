@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from refspark.functions.normal import norm_cdf
 from refspark.operators import scores
+from refspark.shared import checkpointed
 
 # Claim types whose results are no trades, those capped at watch, and those exempt from the plausibility gate.
 NOT_TRADES = ("predictive_regression", "factor_spanning", "cross_sectional_sort", "event_study", "forecast_skill")
@@ -29,6 +30,13 @@ def fold_power(sizes: list[str]) -> Column:
     return F.expr(f"CASE WHEN {' AND '.join(f'{n} >= 5' for n in sizes)} THEN {power} END")
 
 
+def in_bands() -> Column:
+    """Whether the score bands leave a series alive, as decide's do: only then a gate or a cap can touch it."""
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    dead = (F.col("n_oos") < scores.LEAST_OOS) | ~F.coalesce("consistent", F.lit(False)) | (zero("dsr") < scores.KILL) | (zero("edge_t") < scores.LEAST_T)
+    return ~F.coalesce(dead, F.lit(False))
+
+
 def decide(scored: DataFrame, cost_gate: bool = False) -> DataFrame:
     """scored with verdict, kill_reason and reasons (an array, in the order in which they were found).
 
@@ -126,7 +134,7 @@ def strategy_framed(text: Column) -> Column:
 
 def join_gates(
     net: DataFrame, scored: DataFrame, claims: DataFrame, configs: DataFrame | None = None, forward: DataFrame | None = None, regimes: DataFrame | None = None, declared: DataFrame | None = None,
-    cost: float = 0.0005, reps: int = 2000, per_year: float = 252,
+    cost: float = 0.0005, reps: int = 2000, per_year: float = 252, report_only: bool = False,
 ) -> DataFrame:
     """scored, a row of scores.referee for each series, with what every gate says of it: all columns of GATES, and the figures of RATIONALE.
 
@@ -134,6 +142,10 @@ def join_gates(
     not). configs: claim, config, seq, net of a claim's other parameters. forward: series_id, ts, signal, fut_rv, iv. regimes: series_id,
     scheme, label, net, and declared: series_id, scheme, label. A gate whose table is missing, or that a series is too short for, has not run:
     its columns are null. Each gate is one table with a row a series, and all are joined by series_id.
+
+    With report_only the resampled gates, and those on the edge's robustness, run on the series alone that decide and rationale ask about them:
+    those that the score bands leave alive, and implausible ones (their capacity is reported). Verdicts, reasons and rationales are those of all
+    gates on all series. The scores and these series' rows are written first, so jobs run while the plan is built.
     """
     from refspark.operators import claims as c
     from refspark.operators import gates as g
@@ -145,14 +157,21 @@ def join_gates(
     base = base.withColumn("fold_power", fold_power(sizes))
     said = classify(claims, ["text"], "source_text").select("series_id", "claim_type", strategy_framed(F.col("text")).alias("strategy_framed"), F.coalesce(~reserve.anchored(F.col("source_type")), F.lit(False)).alias("unanchored"), (F.lower("source_type") == "external_source").alias("external"), (F.lower(F.trim("costs")) == "measured").alias("costs_measured"), "sample_end")
     whole = net.groupBy("series_id").agg(F.avg("net").alias("__mean"), F.stddev_samp("net").alias("__sd"), F.max("ts").alias("data_end"))
+    base = base.join(whole, "series_id", "left").withColumn("implausible", reserve.implausible(F.col("oos_sharpe"), F.col("__mean"), F.col("__sd"))).drop("__mean", "__sd")
+    tails = scores.tail_metrics(net)
+    if report_only:
+        base = checkpointed(base)
+        asked = base.filter(in_bands() | F.col("implausible").isNotNull())
+        only = lambda df, key="series_id": df.join(asked.select(F.col("series_id").alias(key)), key, "left_semi")
+        net = checkpointed(only(net))
+        configs, forward = configs and only(configs, "claim"), forward and only(forward)
     tables = [
         said,
-        whole,
         g.block_bootstrap(net, reps, per_year=per_year).select("series_id", "includes_zero", "edge_lo", "edge_hi"),
         g.permutation_test(net, reps).select("series_id", F.col("p").alias("permutation_p")),
         g.regime_gate(net).groupBy("series_id").agg(F.bool_or("fragile").alias("regime_fragile"), F.min(F.when(F.col("fragile"), F.concat_ws("=", "scheme", "best"))).alias("fragile_regime")),
         g.cpcv(net, per_year=per_year).select("series_id", F.col("overfit").alias("cpcv_overfit"), F.col("p_loss").alias("cpcv_loss"), F.col("median_sharpe").alias("cpcv_sharpe"), F.col("paths").alias("cpcv_paths")),
-        scores.tail_metrics(net).select("series_id", F.col("asymmetric").alias("tail_asymmetric"), "skew", "tail_ratio", "max_loss"),
+        tails.select("series_id", F.col("asymmetric").alias("tail_asymmetric"), "skew", "tail_ratio", "max_loss"),
         g.cost_sensitivity(net, base.select("series_id", "bench"), cost, per_year).select("series_id", F.col("margin").alias("cost_margin")),
         g.capacity_ci(net, per_year=per_year).select("series_id", "capacity_median", F.col("conditional").alias("capacity_conditional"), F.col("p_positive").alias("capacity_p")),
     ]
@@ -168,8 +187,7 @@ def join_gates(
     out = base
     for t in tables:
         out = out.join(t, "series_id", "left")
-    out = out.withColumns({"post_years": reserve.post_sample_years(F.col("data_end"), F.col("sample_end")), "implausible": reserve.implausible(F.col("oos_sharpe"), F.col("__mean"), F.col("__sd"))})
-    return out.drop("__mean", "__sd")
+    return out.withColumn("post_years", reserve.post_sample_years(F.col("data_end"), F.col("sample_end")))
 
 
 def _shown(c: str | Column, places: int = 3) -> Column:

@@ -53,17 +53,17 @@ def forward_rows(s, d):
     return net(s, d).selectExpr("series_id", "seq ts", "payoff signal", f"lead(abs(net)) {order} fut_rv", f"avg(abs(net)) {every} iv")
 
 
-def all_gates(s, d):
-    """Every series with what all gates say of it."""
+def all_gates(s, d, report_only=False):
+    """Every series with what all gates say of it; for the report alone, with what they say of those that it asks about."""
     n = net(s, d)
     grid = n.selectExpr("series_id claim", "seq", "net", "explode(array(0, 1, 2, 3, 4)) k").selectExpr("claim", "concat('c', k) config", "seq", "net + (k - 3) * 0.0004e0 * (claim % 3) net")
     declared = views.table(s, d, "supplier").filter("s_suppkey % 7 < 2").selectExpr("s_suppkey series_id", "'part_of_week' scheme", "if(s_suppkey % 7 = 0, 'weekday', 'weekend') label")
-    return v.join_gates(n, scores.referee(n), claim_texts(s, d), grid, forward_rows(s, d), g.regime_rows(n), declared)
+    return v.join_gates(n, scores.referee(n), claim_texts(s, d), grid, forward_rows(s, d), g.regime_rows(n), declared, report_only=report_only)
 
 
 def full_gates(s, d):
-    """All gates on the series themselves, the verdicts that they leave, and why."""
-    return v.claim_report(v.rationale(v.decide(all_gates(s, d), cost_gate=True)))
+    """All gates that a verdict, a reason or a rationale hangs on, the verdicts that they leave, and why."""
+    return v.claim_report(v.rationale(v.decide(all_gates(s, d, report_only=True), cost_gate=True)))
 
 
 def capacity(s, d):

@@ -150,3 +150,19 @@ def test_all_gates_over_the_table(spark):
     assert {k: (r.verdict, r.kill_reason, r.reasons.split("; ") if r.reasons else []) for k, r in report.items()} == decided
     assert all(r.rationale for r in report.values())
     joined.unpersist()
+
+
+def test_report_asks_the_gates_only_about_whom_they_can_touch(spark, monkeypatch):
+    """The same report as from all gates on all series, and the bootstrap is given only the series that it can touch."""
+    sf = "/root/testdata/sf0.01"
+    from refspark.operators import gates
+    from refspark.plans import verdict_plans as plans
+
+    given, bootstrap = [], gates.block_bootstrap
+    monkeypatch.setattr(gates, "block_bootstrap", lambda net, *a, **k: given.append({r.series_id for r in net.select("series_id").distinct().collect()}) or bootstrap(net, *a, **k))
+    every = v.decide(plans.all_gates(spark, sf), cost_gate=True)
+    want = {r.series_id: r for r in v.claim_report(v.rationale(every)).collect()}
+    got = {r.series_id: r for r in plans.full_gates(spark, sf).collect()}
+    assert got == want and len(given) == 2
+    touched = {r.series_id for r in every.filter(v.in_bands() | F.col("implausible").isNotNull()).collect()}
+    assert given[0] == set(want) and given[1] == touched and 0 < len(touched) < len(want)

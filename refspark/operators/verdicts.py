@@ -144,7 +144,7 @@ def join_gates(
     its columns are null. Each gate is one table with a row a series, and all are joined by series_id.
 
     With report_only the resampled gates, and those on the edge's robustness, run on the series alone that decide and rationale ask about them:
-    those that the score bands leave alive, and implausible ones (their capacity is reported). Verdicts, reasons and rationales are those of all
+    those that the score bands leave alive, and for capacity implausible ones as well. Verdicts, reasons and rationales are those of all
     gates on all series. The scores and these series' rows are written first, so jobs run while the plan is built.
     """
     from refspark.operators import claims as c
@@ -158,10 +158,11 @@ def join_gates(
     said = classify(claims, ["text"], "source_text").select("series_id", "claim_type", strategy_framed(F.col("text")).alias("strategy_framed"), F.coalesce(~reserve.anchored(F.col("source_type")), F.lit(False)).alias("unanchored"), (F.lower("source_type") == "external_source").alias("external"), (F.lower(F.trim("costs")) == "measured").alias("costs_measured"), "sample_end")
     whole = net.groupBy("series_id").agg(F.avg("net").alias("__mean"), F.stddev_samp("net").alias("__sd"), F.max("ts").alias("data_end"))
     base = base.join(whole, "series_id", "left").withColumn("implausible", reserve.implausible(F.col("oos_sharpe"), F.col("__mean"), F.col("__sd"))).drop("__mean", "__sd")
-    tails = scores.tail_metrics(net)
+    tails, sized = scores.tail_metrics(net), net
     if report_only:
         base = checkpointed(base)
-        asked = base.filter(in_bands() | F.col("implausible").isNotNull())
+        asked = base.filter(in_bands())
+        sized = net.join(base.filter(in_bands() | F.col("implausible").isNotNull()).select("series_id"), "series_id", "left_semi")
         only = lambda df, key="series_id": df.join(asked.select(F.col("series_id").alias(key)), key, "left_semi")
         net = checkpointed(only(net))
         configs, forward = configs and only(configs, "claim"), forward and only(forward)
@@ -173,7 +174,7 @@ def join_gates(
         g.cpcv(net, per_year=per_year).select("series_id", F.col("overfit").alias("cpcv_overfit"), F.col("p_loss").alias("cpcv_loss"), F.col("median_sharpe").alias("cpcv_sharpe"), F.col("paths").alias("cpcv_paths")),
         tails.select("series_id", F.col("asymmetric").alias("tail_asymmetric"), "skew", "tail_ratio", "max_loss"),
         g.cost_sensitivity(net, base.select("series_id", "bench"), cost, per_year).select("series_id", F.col("margin").alias("cost_margin")),
-        g.capacity_ci(net, per_year=per_year).select("series_id", "capacity_median", F.col("conditional").alias("capacity_conditional"), F.col("p_positive").alias("capacity_p")),
+        g.capacity_ci(sized, per_year=per_year).select("series_id", "capacity_median", F.col("conditional").alias("capacity_conditional"), F.col("p_positive").alias("capacity_p")),
     ]
     if configs is not None:
         tables.append(g.parameter_fragility(configs).select(F.col("claim").alias("series_id"), F.col("fragile").alias("parameter_fragile"), "positive_share", "configs"))

@@ -37,10 +37,10 @@ UNIT = 1 << 20
 FAR = -(1 << 60)
 #: Matrices combined in one group.
 FAN = 16
-#: Bytes of text that are encoded at a time.
-TEXT_BYTES = 16 << 20
+#: Bytes of text that are encoded at a time: a worker's arrays take some forty times as much.
+TEXT_BYTES = 4 << 20
 #: Characters of the longest word solved by array operations, and cells of one such array.
-LONG, CELLS = 64, 1 << 20
+LONG, CELLS = 64, 1 << 17
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+$")
 
 

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -57,6 +58,23 @@ def test_words_together_as_one_by_one():
     assert v.decode_all(got, counts) == [t.replace(p.MARK, " ").encode() for t in some]
 
 
+def test_a_batch_takes_bounded_memory():
+    """An executor of 3,000 MB holds two workers beside its heap."""
+    v, rng = p.vocabulary(FILE), random.Random(6)
+    words = ["".join(rng.choice(["the", "ation", "é", "qu", "ing", "z"]) for _ in range(rng.randint(1, 8))) for _ in range(200_000)]
+    text, size = [], 0
+    while size < p.TEXT_BYTES:
+        text.append(" ".join(rng.choices(words, k=500)))
+        size += len(text[-1].encode())
+    batch = pa.array([t.encode() for t in text], pa.large_binary())
+    tracemalloc.start()
+    got, counts, _ = v.encode_all(batch)
+    found = p._results(v, batch, got, counts, False)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert all(found[2]) and peak < 100e6, peak
+
+
 def test_scan_is_exact_and_associative():
     v = p.Vocabulary(FILE)
     for t in filter(None, texts(2, 60) + ["a" * 300, "日本語" * 60, "x y " * 40, "in" * 90]):

@@ -10,6 +10,7 @@ over ESCAPE_BITS bits stands as 0 and is listed in `escape_at`, `escape_id`.
 from __future__ import annotations
 
 import json
+import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -114,10 +115,11 @@ class Encoder:
 
     #: Bytes of stretches in one string, and strings in one call: the library holds some hundred bytes for each id of a call.
     STRING, STRINGS = 1000, 320
-    #: Stretches that stay, some 50 bytes each with their ids, and the most bytes of one.
-    KNOWN, SHORT = 800_000, 64
+    #: Stretches that stay, some 50 bytes each with their ids and as many while a batch looks them up, and the most bytes of one.
+    KNOWN, SHORT = 400_000, 64
 
     def __init__(self, file: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core: threads of the library's own would only take memory
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
@@ -135,6 +137,7 @@ class Encoder:
 
     def encode(self, texts: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and how many each has. texts: no nulls; what isn't UTF-8 is read as replacement characters."""
+        pa.default_memory_pool().release_unused()  # what the batch before has left
         try:
             texts.cast(pa.large_string())
         except pa.ArrowInvalid:
@@ -237,8 +240,8 @@ ROWS = (
 )
 
 
-#: Bytes of text that a writing task encodes at a time.
-TEXT_BYTES = 12 << 20
+#: Bytes of text that a writing task encodes at a time: a worker's arrays take some forty times as much.
+TEXT_BYTES = 4 << 20
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, doc_id: str = "doc_id", text: str = "text", row_ids: int = 1 << 18) -> None:

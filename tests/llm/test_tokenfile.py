@@ -1,5 +1,8 @@
 import random
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -68,6 +71,31 @@ def test_known_stretches_are_not_encoded_again():
     assert len(encoder.known) == len(encoder.known_ids) == 300
 
 
+PEAK = """
+import random, resource, sys
+import pyarrow as pa
+from refspark.llm import tokenfile as t
+rng = random.Random(8)
+words = ["".join(rng.choice(["the", "ation", "é", "qu", "ing", "z"]) for _ in range(rng.randint(1, 8))) for _ in range(500_000)]
+text = [" ".join(rng.choices(words, k=500)).encode() for _ in range(8000)]
+encoder, used, batch, size = t.Encoder(sys.argv[1]), lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024, [], 0
+before = used()
+for x in text:
+    batch.append(x)
+    size += len(x)
+    if size >= t.TEXT_BYTES:
+        encoder.encode(pa.array(batch, pa.large_binary()))
+        batch, size = [], 0
+print(used() - before)
+"""
+
+
+def test_a_worker_takes_bounded_memory():
+    """An executor of 3,000 MB holds two workers beside its heap."""
+    said = subprocess.run([sys.executable, "-c", PEAK, FILE], cwd=Path(t.__file__).parents[2], capture_output=True, text=True, check=True)
+    assert float(said.stdout) < 200, said.stdout
+
+
 def test_digest(spark):
     rng = random.Random(6)
     rows = [(i, " ".join(rng.choice(["the", "of\n", "É", "  x", "7"]) for _ in range(rng.randint(0, 50)))) for i in range(120)] + [(500, None), (501, ""), (499, "w " * 40_000), (7, "again")]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from refspark.operators.scan import expanding_ranks
 from refspark.operators.series import full, over
+from refspark.shared import checkpointed
 
 
 def predictive_regression(aligned: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -157,10 +158,24 @@ def market_model(df: DataFrame, y: str, x: str, by: tuple[str, ...], least: int
     return m.select(*by, "n", F.when(good, F.expr("my - c / v * mx")).alias("alpha"), F.when(good, F.expr("c / v")).alias("beta"))
 
 
-def pool_series(net: DataFrame, by: str) -> DataFrame:
-    """The net series of each value of `by` as one sample, in order of time; family and seq are the pool's."""
-    order = W.partitionBy(by).orderBy("ts", "series_id", "seq")
-    return net.withColumn("__k", F.row_number().over(order)).withColumns({"series_id": F.col(by), "seq": F.col("__k")}).drop("__k")
+#: Times whose places are broadcast; more are joined by a shuffle.
+TIMES = 100_000
+
+
+def pool_series(net: DataFrame, by: str, parts: int = 0) -> DataFrame:
+    """The net series of each value of `by` as one sample, in order of time; family and seq are the pool's, and n is its number of rows.
+
+    No task holds a pool: rows are sorted within their time, and the times' counts, one row each, are summed up to the place of each time in
+    its pool (in the shared folder; broadcast if there are at most TIMES). With `parts` the rows are dealt over so many.
+    """
+    pool = W.partitionBy("__by")
+    times = net.groupBy(F.col(by).alias("__by"), F.col("ts").alias("__ts")).agg(F.count("*").alias("__c"))
+    times = checkpointed(times.select("__by", "__ts", (F.sum("__c").over(pool.orderBy("__ts")) - F.col("__c")).alias("__before"), F.sum("__c").over(pool).alias("n")))
+    small = times.count() <= TIMES
+    rows = (net.repartition(parts, by, "ts") if parts else net).drop("n")
+    rows = rows.withColumn("__k", F.row_number().over(W.partitionBy(by, "ts").orderBy("series_id", "seq")))
+    rows = rows.join(F.broadcast(times) if small else times, F.col(by).eqNullSafe(F.col("__by")) & F.col("ts").eqNullSafe(F.col("__ts")))
+    return rows.withColumns({"series_id": F.col(by), "seq": F.col("__before") + F.col("__k")}).drop("__by", "__ts", "__before", "__k")
 
 
 def walk_forward(frame: DataFrame, hold: int = 5, windows: int = 4, first: float = 0.3, cost: float = 0.0008, rolling: bool = False) -> DataFrame:

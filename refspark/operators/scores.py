@@ -13,14 +13,15 @@ EULER = 0.5772156649
 KILL, WATCH, LEAST_OOS, LEAST_T, IC_FLOOR, Z = 0.90, 0.95, 30, 1.0, 0.05, 1.645
 
 
-def part(net: DataFrame) -> DataFrame:
+def part(net: DataFrame, numbered: bool = False) -> DataFrame:
     """net with n and part: the first half of each series 'is', up to 80 % 'oos', then 'holdout', by rows; seq becomes the row's number from 1 on.
 
-    Rows are counted in the order of seq, whatever its numbers are (from 0 on, with gaps, repeated); rows of one number in that of net.
+    Rows are counted in the order of seq, whatever its numbers are (from 0 on, with gaps, repeated); rows of one number in that of net. If
+    they are `numbered`, seq and n are so already, and no task sorts a whole series.
     """
     w = W.partitionBy("series_id")
     first, last = F.floor(F.col("n") * 0.5), F.floor(F.col("n") * (0.5 + 0.3))
-    rows = net.withColumns({"n": F.count("*").over(w), "seq": F.row_number().over(w.orderBy("seq", "net"))})
+    rows = net if numbered else net.withColumns({"n": F.count("*").over(w), "seq": F.row_number().over(w.orderBy("seq", "net"))})
     return rows.withColumn("part", F.when(F.col("seq") <= first, "is").when(F.col("seq") <= last, "oos").otherwise("holdout"))
 
 
@@ -85,10 +86,10 @@ def three_fold(net: DataFrame) -> DataFrame:
     return out.select("series_id", "fold_1", "fold_2", "fold_3", "min_fold_t", "consistent")
 
 
-def score_split(net: DataFrame, bpy: float = 252.0) -> DataFrame:
-    """series_id, family, n, n_oos, the parts' scores, and three_fold's columns, in one aggregation; dsr waits for the ledger."""
+def score_split(net: DataFrame, bpy: float = 252.0, numbered: bool = False) -> DataFrame:
+    """series_id, family, n, n_oos, the parts' scores, and three_fold's columns, in one aggregation; dsr waits for the ledger. numbered: as in part."""
     of = lambda p: F.when(F.col("part") == p, F.col("net"))
-    s = part(net).groupBy("series_id", "family").agg(F.max("n").alias("n"), *moments(of("oos"), "o_"), *moments(of("is"), "i_"), *moments(F.col("net"), "f_"), *moments(of("holdout"), "h_"), F.sum("net").alias("total"), F.avg(F.when(F.col("part") != "holdout", F.col("net"))).alias("seen_mean"), *_fold_moments())
+    s = part(net, numbered).groupBy("series_id", "family").agg(F.max("n").alias("n"), *moments(of("oos"), "o_"), *moments(of("is"), "i_"), *moments(F.col("net"), "f_"), *moments(of("holdout"), "h_"), F.sum("net").alias("total"), F.avg(F.when(F.col("part") != "holdout", F.col("net"))).alias("seen_mean"), *_fold_moments())
     s, b = _fold_columns(s), str(bpy)
     return s.withColumns({
         "n_oos": F.col("o_k"), "oos_sharpe": sharpe("o_k", "o_mean", "o_sd", b), "is_sharpe": sharpe("i_k", "i_mean", "i_sd", b), "full_sharpe": sharpe("f_k", "f_mean", "f_sd", b),

@@ -102,7 +102,7 @@ QUERIES |= {
     "f8_tail_fade": tails,
     "d12_capacity": lambda s, d: c.capacity(views.net(s, d), scores.score_split(views.net(s, d))),
     "d21_market_model": lambda s, d: rounded(c.market_model(factors(s, d), "net", "a", ("series_id",)), "series_id", "n", alpha=6, beta=5),
-    "d25_pooled_score": lambda s, d: rounded(scores.score_split(c.pool_series(views.net(s, d), "family"), 1.0), "series_id", "n", "n_oos", per_trade_sharpe=5, ann_ret=5),
+    "d25_pooled_score": lambda s, d: rounded(scores.score_split(c.pool_series(views.net(s, d), "family", views.parts(views.table(s, d, "lineitem"))), 1.0, numbered=True), "series_id", "n", "n_oos", per_trade_sharpe=5, ann_ret=5),
     "g6_rolling": lambda s, d: rounded(c.walk_forward(forward_frame(s, d), rolling=True), "series_id", "window", "trades", mean=6, sharpe=4),
     "g6_consistent": lambda s, d: c.walk_forward_consistent(c.walk_forward(forward_frame(s, d))),
     "g6_walk_forward": lambda s, d: rounded(c.walk_forward(forward_frame(s, d)), "series_id", "window", "trades", mean=6, sharpe=5),

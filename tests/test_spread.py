@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from refspark.operators import series
+from refspark.operators import claims, scores, series
 from refspark.plans import views
 
 SF = "/root/testdata/sf0.001"
@@ -32,3 +32,25 @@ def test_coverage_of_spread_brackets(spark, large, monkeypatch):
     rows = views.bracket(spark, SF)
     assert rows.groupBy(F.spark_partition_id().alias("p")).count().agg(F.max("count")).first()[0] < 900
     assert sorted(series.bracket_coverage(rows, "city").collect()) == sorted(few.collect())
+
+
+def test_net_is_the_same_in_parts(spark, large, monkeypatch):
+    few = views.net(spark, SF)
+    monkeypatch.setattr(views, "TASK_ROWS", 300)
+    many = views.net(spark, SF)
+    assert many.rdd.getNumPartitions() >= 20 > few.rdd.getNumPartitions()
+    assert many.exceptAll(few).isEmpty() and few.exceptAll(many).isEmpty()
+
+
+@pytest.mark.parametrize("times", [0, 100_000])
+def test_no_task_sorts_a_whole_pool(spark, monkeypatch, times):
+    monkeypatch.setattr(claims, "TIMES", times)
+    net = spark.range(4000).selectExpr("id % 7 series_id", "if(id % 3 = 2, null, id % 3) family", "if(id % 50 = 0, null, date_add(date'2020-01-01', int(id * 37 % 90))) ts", "id seq", "id / 10 net", "9 n")
+    pool = claims.pool_series(net, "family", 12)
+    w = "over (partition by family order by ts, series_id, seq)"
+    want = net.selectExpr("family series_id", "family", "ts", f"row_number() {w} seq", "net", "count(*) over (partition by family) n")
+    assert sorted(pool.select(*want.columns).collect(), key=str) == sorted(want.collect(), key=str)
+    of = pool.select("family", F.spark_partition_id().alias("part")).distinct().collect()
+    assert all(sum(r.family == f for r in of) > 6 for f in (0, 1, None))
+    got, plain = ({r[0]: r for r in scores.score_split(x, numbered=k).select("series_id", "n", "n_oos", F.round("per_trade_sharpe", 9), F.round("min_fold_t", 3)).collect()} for x, k in ((pool, True), (want, False)))
+    assert got == plain and len(got) == 3

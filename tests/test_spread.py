@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from refspark.operators import claims, scores, series
+from refspark.operators import claims, gates, scores, series
 from refspark.plans import views
 
 SF = "/root/testdata/sf0.001"
@@ -54,3 +54,12 @@ def test_no_task_sorts_a_whole_pool(spark, monkeypatch, times):
     assert all(sum(r.family == f for r in of) > 6 for f in (0, 1, None))
     got, plain = ({r[0]: r for r in scores.score_split(x, numbered=k).select("series_id", "n", "n_oos", F.round("per_trade_sharpe", 9), F.round("min_fold_t", 3)).collect()} for x, k in ((pool, True), (want, False)))
     assert got == plain and len(got) == 3
+
+
+def test_regime_gate_keeps_the_parts_of_its_series(spark, large, monkeypatch):
+    of = lambda: gates.regime_gate(views.net(spark, SF), reps=20)
+    few = of()
+    monkeypatch.setattr(views, "TASK_ROWS", 300)
+    many = of()
+    assert many.rdd.getNumPartitions() >= 20 > few.rdd.getNumPartitions()
+    assert sorted(map(str, many.collect())) == sorted(map(str, few.collect()))

@@ -165,8 +165,19 @@ def _nearest(queries: DataFrame, corpus: DataFrame, block: int, k: int) -> DataF
                 u = _units(batch.column(1), q.shape[1])
                 for a in range(0, len(names), QUERY_PART):
                     own = slice(a, a + QUERY_PART)
-                    c = np.round(q[own] @ u.T, 9)
-                    c[names[own, None] == ids[None]] = -np.inf
+                    c = q[own] @ u.T
+                    met = np.flatnonzero(np.isin(ids, names[own]))
+                    c[:, met] = np.where(names[own, None] == ids[None, met], -np.inf, c[:, met])
+                    if k == 1:  # only queries whose best here may reach their best so far are looked at
+                        rows = np.flatnonzero(c.max(1, initial=-np.inf) >= best[own, 0] - 2e-9)
+                        near = np.round(c[rows], 9)
+                        most = near.max(1, initial=-np.inf)
+                        who = np.where((near == most[:, None]) & (near > -np.inf), ids, np.iinfo(np.int64).max).min(1, initial=np.iinfo(np.int64).max)
+                        rows += a
+                        up = (most > best[rows, 0]) | ((most == best[rows, 0]) & (who < whose[rows, 0]))
+                        best[rows[up], 0], whose[rows[up], 0] = most[up], who[up]
+                        continue
+                    c = np.round(c, 9)
                     if len(ids) > k:  # what is under a query's k best here, or under its k-th so far, needn't be put in order
                         edge = np.maximum(np.partition(c, -k, axis=1)[:, -k], best[own, -1])
                         open_ = np.flatnonzero((c >= edge[:, None]).any(0))

@@ -34,7 +34,7 @@ def anti(s, d):
 
 def vectors(s, d):
     e = views.table(s, d, "embeddings")
-    return rounded(r.nearest_vectors(e.filter("vec_id % 100 = 0"), e), "vec_id", "best_id", "status", cosine=5)
+    return rounded(r.nearest_vectors(e, e), "vec_id", "best_id", "status", cosine=5)
 
 
 def ranks(s, d):
@@ -86,7 +86,7 @@ SQL = {
     "a21_open_requests": f"WITH {_DEC}, l AS (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY t DESC, seq DESC) AS k FROM dec) SELECT claim_id AS request_id, seq FROM l WHERE k = 1 AND open",
     "b1_b2_b5_scalars": f"WITH {views.NET_SQL} SELECT series_id, seq, round(greatest(-0.003e0, least(0.003e0, net)), 6) AS clipped, round(greatest(-1e0, least(1e0, net * 400)), 6) AS position, CASE WHEN net < 0.0008e0 THEN 'kill' ELSE 'pass' END AS gate FROM net",
     "c9_label_join": f"WITH {views.NET_SQL}, {views.PAIR_SQL}, l AS (SELECT CAST(ts AS DATE) AS day, CASE WHEN y > 150000 THEN 'high' ELSE 'low' END AS label FROM pair WHERE ts < TIMESTAMP '2001-01-01') SELECT coalesce(label, 'unknown') AS label, count(*) AS n, round(avg(net), 7) AS mean FROM net LEFT JOIN l ON l.day = CAST(net.ts AS DATE) GROUP BY ALL",
-    "c15_nearest_vectors": "WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), p AS (SELECT q.vec_id, e.vec_id AS o, round(list_cosine_similarity(q.v, e.v), 9) AS c FROM e q JOIN e ON q.vec_id <> e.vec_id WHERE q.vec_id % 100 = 0), b AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY c DESC, o) AS k FROM p) SELECT vec_id, o AS best_id, CASE WHEN c >= 0.92 THEN 'duplicate' WHEN c >= 0.75 THEN 'review' ELSE 'novel' END AS status, round(c, 5) AS cosine FROM b WHERE k = 1",
+    "c15_nearest_vectors": "WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), p AS (SELECT q.vec_id, e.vec_id AS o, round(list_cosine_similarity(q.v, e.v), 9) AS c FROM e q JOIN e ON q.vec_id <> e.vec_id), b AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY c DESC, o) AS k FROM p) SELECT vec_id, o AS best_id, CASE WHEN c >= 0.92 THEN 'duplicate' WHEN c >= 0.75 THEN 'review' ELSE 'novel' END AS status, round(c, 5) AS cosine FROM b WHERE k = 1",
     "c16_anti_known": "WITH e AS (SELECT event_id, user_id, md5(event_type || ':' || props || ':' || user_id % 10) AS receipt, user_id || ':' || event_type AS claim FROM events), n AS (SELECT * FROM e WHERE user_id >= 30 AND receipt NOT IN (SELECT receipt FROM e WHERE user_id < 30) AND claim NOT IN (SELECT claim FROM e WHERE user_id < 30)), a AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY receipt ORDER BY event_id) = 1) SELECT event_id FROM a QUALIFY row_number() OVER (PARTITION BY claim ORDER BY event_id) = 1",
     "d16_check_granularity": f"SELECT series_id, label, CASE WHEN series_id = 'R' THEN 'weekly' ELSE 'daily' END AS expected, label IN (CASE WHEN series_id = 'R' THEN 'weekly' ELSE 'daily' END, 'unknown') AS ok FROM ({SERIES_SQL['d15_infer_bpy']})",
     "d32_failure_clusters": f"WITH {_KILLS} SELECT reason, domain, count(*) AS n FROM k WHERE reason IS NOT NULL GROUP BY ALL HAVING count(*) >= 2",
